@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,18 @@ def get_session(cpus: str | int = "*", app: str = "tidemill", **extra: str) -> S
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a Spark context, wherever they were started."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemill-ship-")
+    here = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{folder}/tidemill", "zip", here.parent, here.name))
+    context._tidemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below sf_dir; Spark's own reader resolves the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
