@@ -10,9 +10,12 @@
 3. In each band group every class pairs with the group's smallest id: as many pairs as
    rows. The collision-corrected Jaccard estimate drops pairs more than five standard
    errors under the threshold; the rest are confirmed on their full sets.
-4. Pairs of a band group that are still in different components after that are
-   estimated and confirmed too. So every pair that shares a band is either in one
-   component or has been tested, while a family of g near copies costs g pairs, not g*g.
+4. All groups with one smallest id are a family. Families that still hold several
+   components are compared in full, block by block: intersections of whole sets come
+   from products of member-by-shingle matrices, and a block pair gives back the edges of
+   a spanning forest, never all its pairs. So every pair that shares a band is either in
+   one component already or has been tested, while a family of g near copies costs g
+   pairs, not g*g.
 
 Edge cases: null or blank text has an empty set and links with nothing; a null doc_id
 can't be named, so such a row links with nothing and its component_id is null; rows
@@ -38,6 +41,8 @@ EMPTY = 0xFFFF
 #: Words whose hashes a worker remembers before it starts anew.
 MEMO = 400_000
 CHUNK = 128
+#: Members, and shingles, that a block of a family holds; columns multiplied at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 2_000_000, 4096
 
 _MASK = (1 << 64) - 1
 
@@ -213,6 +218,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return rows.groupBy("a", "chunk").applyInArrow(run, "a long, b long")
 
 
+def _forest(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the links between sets of different components."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets], np.float64)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1
+    row = np.repeat(np.arange(m), n.astype(np.int64))
+    keep = counts[inverse] > 1
+    row, col = row[keep], shared[inverse[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((m, m), np.float64)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, [at, at + COLUMNS])
+        dense = np.zeros((m, COLUMNS), np.float32)
+        dense[row[lo:hi], col[lo:hi] - at] = 1
+        common += dense @ dense.T
+    linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (common > 0) & (component[:, None] != component[None, :])
+    edges, new = [], np.ones(m, bool)
+    for start in range(m):
+        if not new[start] or not linked[start].any():
+            continue
+        new[start], stack = False, [start]
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(linked[i] & new):
+                new[j] = False
+                edges.append((i, int(j)))
+                stack.append(int(j))
+    return edges
+
+
+def _family_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components of a family, for members(family, id, component, n)."""
+    sizes = members.groupBy("family").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb")
+    )
+    dealt = members.join(sizes.where("c0 <> c1"), "family").withColumn("own", F.expr("pmod(xxhash64(id), nb)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
+    dealt = dealt.select("family", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(texts, "id").select("family", "i", "j", "id", "component", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        component = table.column("component").to_numpy()
+        edges: list[tuple[int, int]] = []
+        if (component != component[0]).any():
+            shingle = Shingler(k)
+            sets = [shingle(x.as_py()) for x in table.column("text").cast(pa.binary())]
+            edges = _forest(sets, component, percent)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for every id in a link.
 
@@ -251,20 +311,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     needed = members.select(F.col("cid").alias("doc_id")).distinct()
     texts = materialise(docs.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_estimated(pairs, classes, percent), "likely")
-        return materialise(_confirmed(likely, texts, shingle_words, percent).distinct(), "links")
-
-    stars = links(members.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct())
+    pairs = members.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct()
+    likely = materialise(_estimated(pairs, classes, percent), "likely")
+    stars = materialise(_confirmed(likely, texts, shingle_words, percent).distinct(), "links")
     first = materialise(components(stars), "components")
 
-    # What is left: pairs of one band group, neither its smallest id, in two components.
-    rest = members.where("size > 2 and cid <> low").join(first.withColumnRenamed("id", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("component"))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    rest = materialise(rest.join(mixed, "band"), "rest")
-    x, y = (rest.select("band", F.col("cid").alias(f"id_{n}"), F.col("component").alias(f"c_{n}")) for n in "xy")
-    pairs = x.join(y, "band").where("c_x < c_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    late = links(pairs)
+    family = members.where("size > 2").select(F.col("low").alias("family"), F.col("cid").alias("id")).distinct()
+    family = family.where("family <> id").join(first, "id", "left").join(classes.select(F.col("cid").alias("id"), "n"), "id")
+    family = materialise(family.select("family", "id", F.coalesce("component", "id").alias("component"), "n"), "family")
+    late = materialise(_family_links(family, texts, shingle_words, percent), "links")
     found = materialise(components(stars.unionByName(late)), "components")
 
     joined = (
