@@ -42,7 +42,7 @@ EMPTY = 0xFFFF
 MEMO = 400_000
 CHUNK = 128
 #: Members, and shingles, that a block of a family holds; columns multiplied at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 2_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 250_000, 4096
 
 _MASK = (1 << 64) - 1
 
