@@ -7,11 +7,23 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, near_dedup, token_counts
+from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, quality, token_counts
 from tidemill.llm.common import work_dir
 from tidemill.session import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), k=20, query_every=20, scale=64)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so that each call does the whole job."""
     cache = f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}/token-cache-{uuid.uuid4().hex}"
@@ -26,6 +38,24 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_bpe_round_trip, op9_near_dedup)}
+def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.ann_topk(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op3_quality_rank, op4_exact_topk, op6_token_counts, op7_bpe_round_trip, op9_near_dedup, op10_ann_search)
+}
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE_SQL, "op4_exact_topk": OP4_SQL}
