@@ -51,9 +51,12 @@ def targets(sizes: DataFrame, weights: list[int], share: float, bound: float) ->
     return rows.withColumn("target", target).select("source", "sid", F.col("size").alias("source_size"), "target")
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, bound: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken for every row of docs(doc_id, text, source)."""
-    sized = pick(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, bound: float = 2.0, seed: str = "mix", carry: list[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, before, taken for every row of docs(doc_id, text, source).
+
+    carry: further short columns of docs to pass through.
+    """
+    sized = pick(docs, "doc_id", "text", "source", *carry).select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     sized = materialise(sized, "sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("size")), list(weights), share, bound)
     rows = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -64,7 +67,23 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, bou
     rows = rows.withColumn("epochs", epochs.cast("long"))
     left = words - F.col("epochs") * F.col("source_size") - F.col("before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "before", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", *carry, "size", "source_size", "target", "epochs", "before", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, bound: float = 2.0) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all their columns kept.
+
+    The document in which a budget ends is taken whole if at least half of it is in.
+    Rows that agree in id, source and text are each taken as often as the one taken most.
+    """
+    keyed = docs.withColumn("_digest", F.xxhash64("text"))
+    plan = mix(keyed, weights, share, bound, carry=["_digest"])
+    whole = F.col("taken") - F.col("epochs") * F.col("size")
+    copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * whole >= F.col("size")), 1).otherwise(0)
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_key")).agg(F.max(copies).alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_key"))
+    joined = keyed.join(plan.where("_copies > 0"), same)
+    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -329,3 +329,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
     component = F.coalesce("component", "cid", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs with one document of each component, all their columns kept.
+
+    Rows that repeat id and text count as one document; rows without id stay.
+    """
+    verdict = materialise(near_duplicates(docs, shingle_words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")), "verdict")
+    out = docs.join(verdict.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if verdict.where("kept and rows > 1").isEmpty():
+        return out
+    named = out.where("doc_id is not null").withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return named.unionByName(out.where("doc_id is null"))

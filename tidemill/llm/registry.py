@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, quality, token_counts
+from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, secrets, token_counts
 from tidemill.llm.common import work_dir
 from tidemill.session import table
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), k=20, query_every=20, scale=64)
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(preferences.self_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so that each call does the whole job."""
     cache = f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}/token-cache-{uuid.uuid4().hex}"
@@ -34,6 +42,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
@@ -44,7 +56,18 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_quality_rank, op4_exact_topk, op6_token_counts, op7_bpe_round_trip, op9_near_dedup, op10_ann_search)
+    for f in (
+        op1_mix_sources,
+        op2_pii_spans,
+        op3_quality_rank,
+        op4_exact_topk,
+        op5_preference_format,
+        op6_token_counts,
+        op7_bpe_round_trip,
+        op8_secret_scan,
+        op9_near_dedup,
+        op10_ann_search,
+    )
 }
 
 OP4_SQL = """
@@ -58,4 +81,4 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE_SQL, "op4_exact_topk": OP4_SQL}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE_SQL, "op4_exact_topk": OP4_SQL, "op5_preference_format": preferences.ORACLE_SQL}
