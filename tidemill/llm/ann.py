@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialise, shuffle_partitions
+from tidemill.llm.common import light, materialise, shuffle_partitions
 from tidemill.llm.vectors import best, is_query, matrix, ranked, usable
 
 TABLES, HASHES, TARGET, SAMPLE = 4, 2, 0.62, 1024
@@ -137,7 +137,7 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
     asked = rows.where(is_query(query_every)).mapInArrow(_hashed(index, True), schema)
 
     chunk = min(MOST_CHUNK, max(LEAST_CHUNK, given.count() // (4 * shuffle_partitions(spark))))
-    sizes = given.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    sizes = light(materialise(given.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "sizes"))
     given = given.join(sizes, ["t", "bucket"]).withColumn("chunk", F.expr("pmod(xxhash64(vec_id), chunks)"))
     asked = asked.join(sizes, ["t", "bucket"]).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
     mark = lambda df, side: df.select("t", "bucket", "chunk", "vec_id", "embedding", F.lit(side).alias("asked"))

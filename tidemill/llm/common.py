@@ -47,6 +47,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers each that are sent whole to every executor: some 60 MB at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A materialised side of a few numbers a row: broadcast if counted small, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, so that others with clashing names do no harm."""
     return df.select(*[df[n] for n in names])

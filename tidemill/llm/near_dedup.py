@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialise, pick
+from tidemill.llm.common import light, materialise, pick
 
 BUCKETS, MANTISSA, PER_BAND = 256, 10, 6
 BANDS = BUCKETS // PER_BAND
@@ -308,8 +308,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     groups = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("low")).where("size > 1")
     members = materialise(banded.join(groups, "band").select("band", "cid", "low", "size"), "members")
 
-    needed = members.select(F.col("cid").alias("doc_id")).distinct()
-    texts = materialise(docs.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    needed = materialise(members.select(F.col("cid").alias("doc_id")).distinct(), "needed")
+    texts = materialise(docs.join(light(needed), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
     pairs = members.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct()
     likely = materialise(_estimated(pairs, classes, percent), "likely")
@@ -337,7 +337,7 @@ def drop_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     Rows that repeat id and text count as one document; rows without id stay.
     """
     verdict = materialise(near_duplicates(docs, shingle_words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")), "verdict")
-    out = docs.join(verdict.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(light(verdict.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     if verdict.where("kept and rows > 1").isEmpty():
         return out
     named = out.where("doc_id is not null").withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
