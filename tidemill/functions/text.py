@@ -48,7 +48,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    out = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    out = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 

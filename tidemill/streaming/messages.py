@@ -25,7 +25,7 @@ def first_of_each_stream(messages: DataFrame, key: str = "msg_id", at: str = "ts
 
 def rolling_count(messages: DataFrame, key: str, at: str = "ts", seconds: int = RATE_WINDOW) -> DataFrame:
     """Messages of the key in the last `seconds`, this one included: an upper bound of what the limit counts."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return messages.withColumn("recent", F.count("*").over(w))
 
 
@@ -55,7 +55,7 @@ def rate_limited(messages: DataFrame, key: str, order: str, limit: int = RATE_LI
                 out += admit([t], accepted, limit, window)
             yield pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": out})
 
-    slim = messages.select(key, order, (F.unix_micros("ts") / 1e6).alias("_t"))
+    slim = messages.select(key, order, (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("_t"))
     return slim.repartition(F.col(key)).sortWithinPartitions(key, "_t", order).mapInPandas(run, schema)
 
 
