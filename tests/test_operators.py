@@ -238,7 +238,7 @@ def test_markup(spark):
     t = "# Head\n**Bold** and *it* [1]\n\n\n\n- a [s](https://x.y)\n`c`"
     df = spark.createDataFrame([(t, ["u1", "u2"], "medium", False), (t, ["u1"], "high", True), ("z" * 5000, [], "high", False)], "t string, s array<string>, b string, d boolean")
     a, b, c = [r[0] for r in df.select(tx.markup(F.col("t"), F.col("s"), F.col("b"), F.col("d"))).collect()]
-    assert a.startswith("*Head*\n*Bold* and _it_\n\n• a s (https://x.y)\n```c```\n\n_This one") and a.endswith("*Sources:*\nu1\nu2")
+    assert a.startswith("_Head_\n*Bold* and _it_\n\n• a s (https://x.y)\n```c```\n\n_This one") and a.endswith("*Sources:*\nu1\nu2")
     assert "Source" not in b
     assert c == "z" * 4076 + "\n\n…(truncated)"
 
