@@ -76,14 +76,15 @@ def mixed(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, b
     The document in which a budget ends is taken whole if at least half of it is in.
     Rows that agree in id, source and text are each taken as often as the one taken most.
     """
-    keyed = docs.withColumn("_digest", F.xxhash64("text"))
+    # The rows travel packed, so that none of their columns meets a working name.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", F.xxhash64("text").alias("_digest"))
     plan = mix(keyed, weights, share, bound, carry=["_digest"])
     whole = F.col("taken") - F.col("epochs") * F.col("size")
     copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * whole >= F.col("size")), 1).otherwise(0)
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_key")).agg(F.max(copies).alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_key"))
     joined = keyed.join(plan.where("_copies > 0"), same)
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(docs.columns)
+    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
 
 
 ORACLE_SQL = r"""

@@ -340,5 +340,5 @@ def drop_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     out = docs.join(light(verdict.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     if verdict.where("kept and rows > 1").isEmpty():
         return out
-    named = out.where("doc_id is not null").withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    named = out.where("doc_id is not null").withColumn("_text_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")
     return named.unionByName(out.where("doc_id is null"))

@@ -224,7 +224,8 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by [KIND]; overlapping spans become one, of the first's kind."""
-    found = candidates(docs)
+    # The rows travel packed, so that none of their columns meets a working name.
+    found = candidates(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
     w = fit(materialise(found.select("_base", "_more").where((F.size("_base") > 0) | (F.size("_more") > 0)), "pii"))
     found = personal(found, w)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("neg"), s["kind"].alias("kind"))))
@@ -241,4 +242,5 @@ def redact(docs: DataFrame) -> DataFrame:
     state = F.aggregate("_cuts", start, step)
     whole = F.concat(F.array_join(F.col("_state")["out"], ""), F.substring(F.col("text"), F.col("_state")["at"] + 1, F.length("text")))
     found = found.withColumn("_cuts", by_start).withColumn("_state", F.when(F.size("_cuts") > 0, state))
-    return found.withColumn("text", F.when(F.size("_cuts") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("_cuts") > 0, whole).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
