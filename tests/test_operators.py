@@ -152,6 +152,9 @@ def test_corrections_equal_brute_force(spark):
     rng = random.Random(3)
     vocab = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 12))) for _ in range(400)} | {"badminton", "adm", "hostel"})
     tokens = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(5, 12))) for _ in range(300)} | {"badmintan", "hostell"})
+    tail = "donaudampfschifffahrt"
+    vocab = sorted({*vocab, tail, tail[:-2], "hottentottenpotentat"})
+    tokens = sorted({*tokens, tail[1:], tail.replace("dampf", "damf"), tail + "en", "hottentotenpotentat", "x" + tail[:12]})
     v = spark.createDataFrame([(w, 2) for w in vocab], "word string, n long")
     t = spark.createDataFrame([(w,) for w in tokens if w not in vocab], "token string")
     got = {r.token: r.word for r in spelling.correct(t, v).collect()}

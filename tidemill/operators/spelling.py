@@ -29,26 +29,56 @@ def blocks(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return t.join(sizes, "len").select("token", "len", "words")
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Insertions and deletions that two words of these lengths may differ by at the cutoff."""
-    return F.floor((a + b) * F.lit(100 - CUTOFF) / 100 + F.lit(1e-9)).cast("int")
+#: Lengths up to which words meet by shared subsequences, longer ones by shared pieces.
+SHORT = 14
+
+
+def common(a: Column, b: Column) -> Column:
+    """Letters that words of these lengths must share, in order, to reach the cutoff."""
+    return F.ceil((a + b) * F.lit(CUTOFF / 200) - F.lit(1e-9)).cast("int")
+
+
+def _without(word: Column, n: Column, most: int) -> Column:
+    """Distinct strings left when n letters (up to most) are taken out of a word."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    found = F.array(word)
+    for k in range(most):
+        found = F.when(n > k, F.array_distinct(F.flatten(F.transform(found, one)))).otherwise(found)
+    return found
+
+
+def _keys(words: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """name, own and other length, key: what a word may share with one of the other length."""
+    t = words.select(name, F.length(name).alias(own))
+    t = t.select(name, own, F.explode(F.expr(f"sequence({own} - {MOST_DELTA}, {own} + {MOST_DELTA})")).alias(other))
+    need = common(F.col(own), F.col(other))
+    short = t.where((F.col(own) <= SHORT) & (F.col(other) <= SHORT)).withColumn("drop", F.col(own) - need).where("drop >= 0")
+    return short.select(name, own, other, F.explode(_without(F.col(name), F.col("drop"), 4)).alias("key"))
+
+
+def _long_pairs(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Pairs in which a word is long: of k + 1 pieces of the token, k edits leave one whole, moved by k places at most."""
+    t = tokens.select("token", F.length("token").alias("a")).where(F.col("a") > SHORT - MOST_DELTA)
+    t = t.select("token", "a", F.explode(F.expr(f"sequence(a - {MOST_DELTA}, a + {MOST_DELTA})")).alias("b")).where((F.col("a") > SHORT) | (F.col("b") > SHORT))
+    t = t.withColumn("k", F.col("a") + F.col("b") - 2 * common(F.col("a"), F.col("b")))
+    t = t.withColumn("p", F.explode(F.expr("transform(sequence(0, k), i -> struct(i * a div (k + 1) + 1 AS at, (i + 1) * a div (k + 1) - i * a div (k + 1) AS size))")))
+    t = t.select("token", "b", F.expr("substring(token, p.at, p.size)").alias("piece"), F.explode(F.expr("sequence(greatest(p.at - k, 1), p.at + k)")).alias("at"))
+    v = vocab.select("word", F.length("word").alias("b")).where(F.col("b") > SHORT - MOST_DELTA)
+    v = v.select("word", "b", F.explode(F.expr("sequence(1, b)")).alias("at"))
+    v = v.select("word", "b", "at", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("size")).select("word", "b", "at", F.expr("substring(word, at, size)").alias("piece"))
+    return t.join(v, ["b", "at", "piece"]).select("token", "word").distinct()
 
 
 def correct(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """token, word, ratio: the best vocabulary word for each token; ties to the shorter, then alphabetical.
 
-    The length band is an equi-join on exploded lengths. A second join key keeps a length's
-    words from meeting all tokens: at the cutoff two words differ by few insertions and
-    deletions, so that one of enough pieces of the token stands whole in the word.
+    Candidates meet by equi-joins. The cutoff says how many letters two words of given lengths
+    must share in order, so both are reduced to all their subsequences of that many letters
+    and joined on them; words over SHORT letters, of which those would be too many, are
+    joined on pieces and their places. Survivors are scored exactly.
     """
-    v = vocab.select("word", F.length("word").alias("len"))
-    t = tokens.select("token", F.explode(F.expr(f"sequence(length(token) - {MOST_DELTA}, length(token) + {MOST_DELTA})")).alias("len"))
-    # Of k + 1 pieces of a token, k edits leave one whole, moved by at most k places.
-    t = t.withColumn("k", edits(F.col("len"), F.length("token")))
-    t = t.withColumn("piece", F.explode(F.expr("transform(sequence(0, k), i -> substring(token, i * length(token) div (k + 1) + 1, (i + 1) * length(token) div (k + 1) - i * length(token) div (k + 1)))")))
-    sizes = t.select("len", F.length("piece").alias("size")).distinct()
-    grams = v.join(F.broadcast(sizes), "len").select("word", "len", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(len - size + 1, 1)), i -> substring(word, i, size)))")).alias("piece"))
-    pairs = t.join(grams, ["len", "piece"]).select("token", "word").distinct()
+    a, b = _keys(tokens, "token", "a", "b"), _keys(vocab, "word", "b", "a")
+    pairs = a.join(b, ["a", "b", "key"]).select("token", "word").distinct().unionByName(_long_pairs(tokens, vocab))
     scored = pairs.withColumn("ratio", indel_ratio("token", "word")).where(F.col("ratio") >= CUTOFF)
     best = Window.partitionBy("token").orderBy(F.desc("ratio"), F.length("word"), "word")
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
