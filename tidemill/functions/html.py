@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 from tidemill.functions import rules
 
+#: Pages whose chunks are handed back together.
+AT_ONCE = 100
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset(["script", "style", "template"])
 CHUNK = "chunk_id string, source_url string, title string, heading string, chunk_type string, content string, token_estimate long, photo_url string, profile_url string"
@@ -202,7 +204,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CHUNK.split(", ")]
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                yield pd.DataFrame(list({c["chunk_id"]: c for c in page_chunks(r.html, r.url or "", r.title or "")}.values()), columns=columns)
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.iloc[at : at + AT_ONCE].itertuples(index=False)
+                rows = [c for r in part for c in {c["chunk_id"]: c for c in page_chunks(r.html, r.url or "", r.title or "")}.values()]
+                yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("url", "title", "html").mapInPandas(run, CHUNK)
