@@ -281,6 +281,14 @@ def test_token_counts_and_cache(spark, texts, tmp_path):
     assert token_counts.token_counts(more, piece, cache).count() == 3
 
 
+def test_token_counts_of_hot_and_rare_digests(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "the hot text" if i % 3 == 0 else f"rare text {i}") for i in range(600)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path, f"file://{tmp_path}/hot").collect()
+    count = token_counts.load_tokenizer(path)
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, count([t])[0]) for i, t in rows]
+
+
 def test_token_count_edges(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_counts.token_counts(odd_documents(spark), path, f"file://{tmp_path}/a").count() == 12

@@ -5,7 +5,9 @@ digests are SHA-256 of the normalised text (null becomes empty; nothing else may
 or counts would), tokenizer digests SHA-256 of the vocabulary file. Counts come from a
 join with the cache; only distinct digests without a stored count are encoded, and their
 counts are appended. Copies meet in a map-side combine before the shuffle, so a text that
-a third of all rows hold is sent once a task.
+a third of all rows hold is sent once a task. On the way back a digest is hot if it has more
+than one row in P, for P shuffle partitions: there can't be P of those, so their counts are
+broadcast and only the other digests' rows are shuffled.
 
 Edge cases: null and empty texts share one entry of 0 tokens; rows that repeat get a row
 each; a null doc_id stays null; an empty table leaves the cache as it is; an appended entry
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidemill.llm.common import pick
+from tidemill.llm.common import materialise, pick, shuffle_partitions
 
 BATCH_CHARS = 1_000_000
 
@@ -92,5 +94,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str, limit: int = 1
     misses.mapInArrow(_count(tokenizer), "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).select("content", "tokenizer", "n_tokens").write.mode("append").parquet(cache_dir)
 
     counts = read_cache(spark, cache_dir).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    slim = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return slim.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    slim = materialise(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "digests")
+    return _with_counts(slim, counts).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _with_counts(slim: DataFrame, counts: DataFrame) -> DataFrame:
+    """slim joined with counts(content, n_tokens), hot digests by broadcast."""
+    least = slim.count() / shuffle_partitions(slim.sparkSession)
+    hot = slim.groupBy("content").agg(F.count("*").alias("rows")).where(F.col("rows") > least).select("content")
+    hot = materialise(counts.join(F.broadcast(hot), "content"), "hot")
+    marked = slim.join(F.broadcast(hot), "content", "left")
+    rest = marked.where("n_tokens is null").drop("n_tokens").join(counts, "content")
+    return marked.where("n_tokens is not null").unionByName(rest)
