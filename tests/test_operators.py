@@ -265,3 +265,31 @@ def test_sources(spark, tmp_path):
     assert [(r.pos, r.text) for r in files.read_blocks(spark, str(tmp_path / "t")).orderBy("pos").collect()] == [(0, "one"), (1, "two three")]
     assert files.prose_or_tables("p" * 12, ["t" * 10]) == [("t" * 10, "table")]
     assert math.isclose(len(files.prose_or_tables("p" * 13, ["t" * 10])), 2)
+
+
+# Guards and schedules ------------------------------------------------------
+
+
+@pytest.mark.parametrize("secret", ["k", "x" * 64, "long key " * 20, "ключ"])
+def test_hmac_equals_the_library(spark, secret):
+    import hashlib
+    import hmac
+
+    bodies = ["", "{}", "body é 日本 😀", "z" * 1000]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    got = [r[0] for r in df.select(tx.hmac_sha256(F.col("b"), secret)).collect()]
+    assert got == [hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest() for b in bodies]
+
+
+def test_signatures_fail_closed(spark):
+    df = spark.createDataFrame([("b", None), (None, "sha256="), ("b", "")], "b string, h string")
+    for secret in (None, "", "k"):
+        assert [r[0] for r in df.select(tx.signed(F.col("b"), F.col("h"), secret)).collect()] == [False] * 3
+
+
+def test_bounds_and_weekly_runs(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a",), ("ab",), ("a" * 500,), ("a" * 501,)], "q string")
+    assert [r[0] for r in df.select(tx.within_bounds(F.col("q"))).collect()] == [False, False, False, True, True, False]
+    at = ["2024-01-06 21:29:59", "2024-01-06 21:30:00", "2024-01-06 21:30:01", "2024-01-08 00:00:00"]
+    runs = spark.createDataFrame([(t,) for t in at], "t string").select(tx.next_weekly(F.col("t").cast("timestamp")).cast("string"))
+    assert [r[0] for r in runs.collect()] == ["2024-01-06 21:30:00"] * 2 + ["2024-01-13 21:30:00"] * 2

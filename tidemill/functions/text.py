@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column
@@ -91,6 +92,35 @@ def salted_hash(key: Column, salt: str, length: int = 32) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), key), 256), 1, length)
 
 
+def hmac_sha256(body: Column, secret: str) -> Column:
+    """Hex HMAC of a binary or string column: two nested digests over a padded key, all in the JVM."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ mask for b in key)) for mask in (0x36, 0x5C))
+    digest = F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))
+    return F.sha2(F.concat(outer, digest), 256)
+
+
+def signed(body: Column, header: Column, secret: str | None) -> Column:
+    """Whether a header sha256=<hex> signs the raw body; false without a secret, header or body."""
+    if not secret:
+        return F.lit(False)
+    return F.coalesce(header == F.concat(F.lit("sha256="), hmac_sha256(body, secret)), F.lit(False))
+
+
+def within_bounds(q: Column, least: int = 2, most: int = 500) -> Column:
+    """Whether a question's length in characters is allowed; a missing one isn't."""
+    return F.coalesce(F.length(q).between(least, most), F.lit(False))
+
+
+def next_weekly(ts: Column, day: int = 6, hour: int = 3, zone: str = "Asia/Kolkata") -> Column:
+    """First weekly run at or after ts: day counts from Monday (0), the hour is local to the zone."""
+    local = F.from_utc_timestamp(ts, zone)
+    run = F.date_trunc("week", local) + F.make_dt_interval(F.lit(day), F.lit(hour))
+    run = F.when(run < local, run + F.make_dt_interval(F.lit(7))).otherwise(run)
+    return F.to_utc_timestamp(run, zone)
+
+
 def first_filled(*cols: Column, default: str) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(default))
 

@@ -91,3 +91,8 @@ def context(chunks: DataFrame, key: str, width: int = 1400) -> DataFrame:
     """key, context: numbered sources with collapsed, cut content, from (key, pos, source_url, content)."""
     block = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] Source: "), "source_url", F.lit("\n"), F.substring(collapse(F.col("content")), 1, width))
     return chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))
+
+
+def cost(called: Column, declined: Column) -> Column:
+    """What an answer cost: skipped (no model called; also if unknown), no answer, or generated."""
+    return F.when(~F.coalesce(called, F.lit(False)), "skipped").when(F.coalesce(declined, F.lit(False)), "no answer").otherwise("generated")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as tx
 from tidemill.operators import chat, sync
 from tidemill.plans.registry import query, sql_collapse
 from tidemill.session import table
@@ -217,3 +218,46 @@ def normalized_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = F.coalesce(F.get_json_object(wrapped, "$.content"), F.get_json_object(wrapped, "$[0].text"))
     return c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", read).otherwise(F.concat(F.lit("A: "), read)).alias("text"))
 
+
+
+_SECRET = "a shared secret"
+_PAD = {mask: bytes(b ^ mask for b in _SECRET.encode().ljust(64, b"\0")).hex() for mask in (0x36, 0x5C)}
+
+
+@query(f"""
+WITH s AS (SELECT conv_id, turn, sha256(from_hex('{_PAD[0x5C]}') || from_hex(sha256(from_hex('{_PAD[0x36]}') || encode(text)))) AS mac FROM conversations)
+SELECT conv_id, turn, mac, turn % 3 = 0 AS accepted FROM s""")
+def signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed bodies; of three headers one is right, one has no scheme and one is missing."""
+    c = _chat(spark, sf_dir).select("conv_id", "turn", "text", tx.hmac_sha256(F.col("text"), _SECRET).alias("mac"))
+    header = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("sha256="), "mac")).when(F.col("turn") % 3 == 1, F.col("mac"))
+    return c.select("conv_id", "turn", "mac", tx.signed(F.col("text"), header, _SECRET).alias("accepted"))
+
+
+@query("SELECT conv_id, turn, coalesce(length(text) BETWEEN 2 AND 500, false) AS accepted FROM conversations")
+def request_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat(spark, sf_dir).select("conv_id", "turn", tx.within_bounds(F.col("text")).alias("accepted"))
+
+
+@query("""
+WITH w AS (SELECT event_id, CAST(epoch_us(ts) AS BIGINT) - 250200000000 AS us FROM events)
+SELECT event_id, CAST(250200 + 604800 * CAST(ceil(us / 604800000000.0) AS BIGINT) AS BIGINT) AS next_run FROM w""")
+def weekly_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next Sunday, 03:00 in Kolkata, as seconds: in UTC weeks that start at second 250200."""
+    ts = tx.next_weekly(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(ts).alias("next_run"))
+
+
+@query("""
+SELECT CASE WHEN conv_id % 4 = 0 THEN 'skipped' WHEN conv_id % 7 = 0 THEN 'no answer' ELSE 'generated' END AS outcome, count(*) AS n
+FROM conversations WHERE role = 'assistant' GROUP BY 1""")
+def answer_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by what they cost: no model called, one that found nothing, or one that answered."""
+    c = _chat(spark, sf_dir).where("role = 'assistant'")
+    return c.groupBy(chat.cost(F.col("conv_id") % 4 != 0, F.col("conv_id") % 7 == 0).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT user_id) AS conversations, count(*) AS messages, min(ts)::VARCHAR AS oldest, max(ts)::VARCHAR AS newest FROM events")
+def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("conversations"), F.count("*").alias("messages"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+    return e.withColumns({c: F.col(c).cast("string") for c in ("oldest", "newest")})
