@@ -391,6 +391,25 @@ def test_a_family_without_a_centre_is_compared_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(docs, 4, 80).items()}
 
 
+def test_a_family_of_one_large_component_and_others(spark, monkeypatch):
+    """Near copies in one component, a looser circle around it, and bridges between the two."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, n):
+        places = set(rng.sample(range(150), n))
+        return [f"x{rng.random()}" if i in places else w for i, w in enumerate(words)]
+
+    loose = edited(base, 5)
+    texts = [edited(base, 1) for _ in range(30)] + [edited(loose, 1) for _ in range(12)] + [edited(base, 4) for _ in range(10)]
+    ids = rng.sample(range(1000), len(texts))
+    docs = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4, 80).collect()}
+    want = {i: c for i, (_, c) in brute_components(docs, 4, 80).items()}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_hypermin_estimates():
     rng = np.random.default_rng(4)
     for overlap in (0.2, 0.5, 0.8, 0.95):

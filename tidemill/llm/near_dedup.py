@@ -10,12 +10,12 @@
 3. In each band group every class pairs with the group's smallest id: as many pairs as
    rows. The collision-corrected Jaccard estimate drops pairs more than five standard
    errors under the threshold; the rest are confirmed on their full sets.
-4. All groups with one smallest id are a family. Families that still hold several
-   components are compared in full, block by block: intersections of whole sets come
-   from products of member-by-shingle matrices, and a block pair gives back the edges of
-   a spanning forest, never all its pairs. So every pair that shares a band is either in
-   one component already or has been tested, while a family of g near copies costs g
-   pairs, not g*g.
+4. All groups with one smallest id are a family. In families that still hold several
+   components, all members outside the largest component are compared with the whole
+   family, block by block: intersections of whole sets come from products of
+   member-by-shingle matrices, and a block pair gives back the edges of a spanning forest,
+   never all its pairs. So every pair that shares a band is either in one component
+   already or has been tested, while a family of g near copies costs g pairs, not g*g.
 
 Edge cases: null or blank text has an empty set and links with nothing; a null doc_id
 can't be named, so such a row links with nothing and its component_id is null; rows
@@ -251,12 +251,22 @@ def _forest(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list
 
 
 def _family_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components of a family, for members(family, id, component, n)."""
-    sizes = members.groupBy("family").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb")
+    """Links between components of a family, for members(family, id, component, n).
+
+    Members of the largest component are linked among themselves already, so they meet the
+    others only: a family of g with o others costs some g * o comparisons, not g * g.
+    """
+    per = members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    sizes = per.groupBy("family").agg(F.max(F.struct("c", "component", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    top = F.col("top")
+    sizes = sizes.where("parts > 1").select(
+        "family", top["component"].alias("main"), blocks(top["c"], top["n"]).alias("mb"), blocks(F.col("c") - top["c"], F.col("n") - top["n"]).alias("ob")
     )
-    dealt = members.join(sizes.where("c0 <> c1"), "family").withColumn("own", F.expr("pmod(xxhash64(id), nb)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
+    dealt = members.join(light(materialise(sizes, "sizes")), "family").withColumn("in_main", F.col("component") == F.col("main"))
+    # Blocks of other members are 0 to ob - 1, those of the main component follow and meet only the others.
+    dealt = dealt.withColumn("own", F.expr("if(in_main, ob + pmod(xxhash64(id), mb), pmod(xxhash64(id), ob))"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, if(in_main, ob, ob + mb) - 1)"))).where("own <> other")
     dealt = dealt.select("family", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = dealt.join(texts, "id").select("family", "i", "j", "id", "component", "text")
 
