@@ -310,6 +310,21 @@ def test_bpe_equals_the_library(spark, texts):
         assert (dig[i].ids_sha256, dig[i].decoded_sha256) == (bpe.hexdigest(got[i].ids), bpe.hexdigest(got[i].decoded))
 
 
+def test_long_words_dont_fill_the_memo(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 2_000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, tok = Tokenizer.from_file(path), bpe.WordTokenizer(path)
+    for i in range(6):
+        text = " ".join(f"{chr(97 + i)}{'qzxv' * n} common" for n in range(1, 60))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert tok.encode([text])[0][1] == " ".join(map(str, want))
+        assert tok.held == sum(map(len, tok.memo)) < 20_000
+    short, hashes = b"w", near_dedup._WordHash()
+    assert hashes[b"w" * 1000] != hashes[short] and list(hashes) == [short]
+
+
 def test_speculation_is_verified_pair_by_pair():
     tok = bpe.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(9)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick
 
-#: Distinct words a worker remembers before it starts anew, and words looked up at once.
-MEMO = 250_000
+#: Distinct words, and their characters, that a worker remembers before it starts anew; words looked up at once.
+MEMO, MEMO_CHARS = 250_000, 16_000_000
 BATCH_WORDS = 400_000
 GROUP_CHARS = 2_000_000
 
@@ -177,6 +177,7 @@ class WordTokenizer:
         names = {i: t for t, i in self.model.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
         self.spell = lambda word: "".join(map(self.bytes.__getitem__, word.encode()))
         plain = {c: bytes([b]) for b, c in enumerate(self.bytes)}
         self.unspell = lambda word: b"".join(map(plain.__getitem__, word)).decode()
@@ -185,6 +186,7 @@ class WordTokenizer:
         spelled = [w if w.isascii() and w.isprintable() else self.spell(w) for w in words]
         for w, ids in zip(words, self.model.encode_words(spelled), strict=True):
             self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
+            self.held += len(w)
 
     def words(self, text: str) -> list[str]:
         text = self.normalise(text)
@@ -221,7 +223,7 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         cut = [[(piece if special else self.words(piece), special) for piece, special in self.split(text)] for text in texts]
         new = dict.fromkeys(w for pieces in cut for words, special in pieces if not special for w in words if w not in self.memo)
-        if new and len(self.memo) + len(new) <= MEMO:
+        if new and len(self.memo) + len(new) <= MEMO and self.held + sum(map(len, new)) <= MEMO_CHARS:
             self.learn(list(new))
         out = []
         for pieces in cut:
@@ -236,6 +238,7 @@ class WordTokenizer:
                         found = list(map(self.memo.__getitem__, part))
                     except KeyError:  # the memo was full: start it anew
                         self.memo.clear()
+                        self.held = 0
                         self.learn(list(dict.fromkeys(part)))
                         found = list(map(self.memo.__getitem__, part))
                     n, i, t = zip(*found, strict=True)

@@ -38,8 +38,8 @@ from tidemill.llm.common import light, materialise, pick
 BUCKETS, MANTISSA, PER_BAND = 256, 10, 6
 BANDS = BUCKETS // PER_BAND
 EMPTY = 0xFFFF
-#: Words whose hashes a worker remembers before it starts anew.
-MEMO = 400_000
+#: Words whose hashes a worker remembers before it starts anew, and bytes of the longest of them.
+MEMO, LONGEST = 400_000, 64
 CHUNK = 128
 #: Members, and shingles, that a block of a family holds; columns multiplied at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 250_000, 4096
@@ -53,9 +53,11 @@ def _odd(seed: str, n: int) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 
