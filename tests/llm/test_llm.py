@@ -215,6 +215,30 @@ def test_ann_with_one_hot_bucket(spark):
     assert got == np.lexsort((np.arange(1200), -s))[:20].tolist()
 
 
+def copy_groups(shares, rows, noise=0.0):
+    """Unit vectors, of which groups with these shares are (nearly) copies of one vector each."""
+    rng = np.random.default_rng(4)
+    x, at = rng.standard_normal((rows, 32)), 0
+    for share in shares:
+        size = int(share * rows)
+        x[at : at + size] = x[at] + noise * rng.standard_normal((size, 32))
+        at += size
+    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True)))[rng.permutation(rows)]
+
+
+@pytest.mark.parametrize(("shares", "rows", "noise"), [((1 / 3, 1 / 3), 900, 0.0), ((0.11,) * 5, 900, 0.01), ((0.2,) * 3, 500, 0.0), ((0.24,) * 4, 900, 0.01)])
+def test_ann_recall_outside_large_groups_of_copies(spark, shares, rows, noise):
+    x, ids = copy_groups(shares, rows, noise), np.arange(rows)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.ann_topk(df).collect()]
+    found = np.zeros(rows)
+    for q in range(0, rows, 20):
+        s = np.delete(x @ x[q], q)
+        least = np.sort(s)[-20]
+        found[q] = sum(r[0] == q and r[3] >= least - 1e-9 for r in got)
+    assert len(got) == len(ids[::20]) * 20 and found[::20].mean() >= 0.95 * 20 and found[::20].min() >= 0.7 * 20
+
+
 # op5 -----------------------------------------------------------------------
 
 

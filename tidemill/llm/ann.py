@@ -9,6 +9,9 @@ of near neighbours in a bounded sample; buckets are visited in falling order of
 the visited ones hold TARGET of the probability. Candidates of a visited bucket are
 reranked by the exact inner product in double precision, and the tables' lists merged.
 
+A query whose near rows lie beyond FAR times the fitted distance has no bucket to visit; it
+and any other query without rows are compared with all rows, in blocks.
+
 Buckets of any size are whole: one with many rows is dealt into chunks, each of which all
 queries that visit the bucket see, so nothing is capped.
 
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ TABLES, HASHES, TARGET, SAMPLE = 4, 2, 0.62, 1024
 LEAST_CHUNK, MOST_CHUNK, STRIP = 256, 8192, 512
 #: Cells on either side of a query's own that are considered, in each hash function.
 REACH = 4
+#: Near rows are this share of all, or k if that is more; a query that has them only beyond FAR radii is searched exactly.
+SHARE, FAR = 0.02, 1.25
 
 
 @dataclass
@@ -45,6 +50,10 @@ class Index:
     dim: int
     top: float  # largest norm
     radius: float
+    share: float  # of the other rows that count as near
+    n: int  # rows
+    sample: np.ndarray  # lifted rows
+    sample_ids: np.ndarray
 
     def __post_init__(self):
         rng = np.random.default_rng(20260101)
@@ -60,6 +69,13 @@ class Index:
         q = q * (self.top / np.sqrt((q**2).sum(axis=1, keepdims=True)))
         return np.hstack([q, np.zeros((len(q), 1))])
 
+    def own_radius(self, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """By scaled query, the distance within which it has its share of the sample's other rows."""
+        d2 = np.maximum((v**2).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None, :] - 2 * v @ self.sample.T, 0)
+        d2[ids[:, None] == self.sample_ids[None, :]] = np.inf
+        at = min(math.ceil(self.share * len(self.sample)), max(len(self.sample) - 2, 0))
+        return np.sqrt(np.partition(d2, at, axis=1)[:, at])
+
     def place(self, v: np.ndarray) -> np.ndarray:
         """Projections in cell widths: rows x TABLES x HASHES."""
         return ((v @ self.a + self.b) / self.width).reshape(-1, TABLES, HASHES)
@@ -89,18 +105,27 @@ class Index:
         return who, self.key(cell[who] + cells[order[who, which]])
 
 
-def fit(rows: DataFrame) -> Index | None:
-    """The largest norm of all rows, and the distance of near neighbours in a bounded sample."""
+def fit(rows: DataFrame, k: int) -> Index | None:
+    """The largest norm of all rows, and the distance of near neighbours in a bounded sample.
+
+    Nine in ten of the sampled rows have their share of rows within the radius, so that groups
+    of copies, however many rows they hold, leave it to the other rows if these are a tenth.
+    """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dim, top = rows.agg(F.max(F.size("embedding")), F.max(norm)).first()
+    n, dim, top = rows.agg(F.count("*"), F.max(F.size("embedding")), F.max(norm)).first()
     if not dim:
         return None
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    x = matrix(some.column(0), dim)
-    index = Index(dim, top, top)
-    d2 = ((index.scaled(x)[:256, None, :] - index.lifted(x)[None, :, :]) ** 2).sum(axis=2)
-    near = [np.quantile(np.delete(row, i), 0.02) for i, row in enumerate(d2) if len(row) > 1]
-    return Index(dim, top, math.sqrt(max(float(np.median(near)), 1e-6 * top**2)) if near else top)
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
+    return fitted(some.column(0).to_numpy(), matrix(some.column(1), dim), top, n, k)
+
+
+def fitted(ids: np.ndarray, x: np.ndarray, top: float, n: int, k: int) -> Index:
+    """The index of n rows, of which x are a sample."""
+    index = Index(x.shape[1], top, top, min(max(SHARE, k / max(n - 1, 1)), 1), n, np.empty(0), ids)
+    index.sample = index.lifted(x)
+    own = index.own_radius(index.scaled(x[:256]), ids[:256])
+    own = own[np.isfinite(own)]
+    return replace(index, radius=max(float(np.quantile(own, 0.9)), 1e-3 * top) if len(own) else top)
 
 
 def _hashed(index: Index, asked: bool):
@@ -109,7 +134,13 @@ def _hashed(index: Index, asked: bool):
             for at in range(0, batch.num_rows, STRIP):
                 part = batch.slice(at, STRIP)
                 x = matrix(part.column(1), index.dim)
-                place = index.place(index.scaled(x) if asked else index.lifted(x))
+                v = index.scaled(x) if asked else index.lifted(x)
+                if asked:
+                    near = np.flatnonzero(index.own_radius(v, part.column(0).to_numpy()) <= FAR * index.radius)
+                    part, x, v = part.take(pa.array(near)), x[near], v[near]
+                if not len(x):
+                    continue
+                place = index.place(v)
                 for t in range(TABLES):
                     if asked:
                         who, keys = index.visits(place[:, t])
@@ -128,7 +159,7 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
     """query_id, rank, vec_id, score: the k nearest found of each query."""
     spark = vectors.sparkSession
     rows = materialise(usable(vectors).where(F.exists("embedding", lambda x: x != 0)), "vectors")
-    index = fit(rows)
+    index = fit(rows, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = dict(rows.dtypes)["embedding"]
@@ -165,5 +196,20 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
         none = np.empty(0, np.int64)
         return pa.table({"query_id": np.concatenate([none, *who]), "vec_id": np.concatenate([none, *which]), "score": np.concatenate([np.empty(0), *score])})
 
-    found = mark(asked, True).unionByName(mark(given, False)).groupBy("t", "bucket", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
-    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    def meet(asked: DataFrame, given: DataFrame) -> DataFrame:
+        found = mark(asked, True).unionByName(mark(given, False)).groupBy("t", "bucket", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
+        return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+
+    found = materialise(meet(asked, given), "found")
+    whole = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= 1).select(F.col("query_id").alias("vec_id"))
+    short = materialise(rows.where(is_query(query_every)).join(whole, "vec_id", "left_anti"), "short")
+    left = short.count()
+    if not left:
+        return found
+    blocks, chunks = math.ceil(left / MOST_CHUNK), math.ceil(index.n / chunk)
+    part = lambda n: F.expr(f"pmod(xxhash64(vec_id), {n}L)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    rest = short.select("*", part(blocks).alias("t"), F.lit(0).alias("bucket"), every(chunks).alias("chunk"))
+    all_rows = rows.select("*", every(blocks).alias("t"), F.lit(0).alias("bucket"), part(chunks).alias("chunk"))
+    done = light(short.select(F.col("vec_id").alias("query_id")))
+    return found.join(done, "query_id", "left_anti").unionByName(meet(rest, all_rows))
