@@ -239,6 +239,18 @@ def test_ann_recall_outside_large_groups_of_copies(spark, shares, rows, noise):
     assert len(got) == len(ids[::20]) * 20 and found[::20].mean() >= 0.95 * 20 and found[::20].min() >= 0.7 * 20
 
 
+def test_ann_gives_all_candidates_if_fewer(spark):
+    rng = np.random.default_rng(6)
+    groups = np.repeat(rng.standard_normal((6, 16)), 3, axis=0) + 1e-3 * rng.standard_normal((18, 16))
+    for x, k in ((groups, 20), (groups, 17), (rng.standard_normal((21, 16)), 20)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = [(r[0], r[2]) for r in ann.ann_topk(df, k=k, query_every=1).collect()]
+        assert sorted(got) == [(a, b) for a in range(len(x)) for b in range(len(x)) if a != b]
+    near = sorted(tuple(r)[:3] for r in ann.ann_topk(odd_vectors(spark)).collect())
+    assert near == [(0, 1, 20), (0, 2, 7), (0, 3, 6), (20, 1, 0), (20, 2, 7), (20, 3, 6)]
+    assert ann.ann_topk(odd_vectors(spark).where("vec_id = 0")).count() == 0
+
+
 # op5 -----------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ the visited ones hold TARGET of the probability. Candidates of a visited bucket
 reranked by the exact inner product in double precision, and the tables' lists merged.
 
 A query whose near rows lie beyond FAR times the fitted distance has no bucket to visit; it
-and any other query without rows are compared with all rows, in blocks.
+and any other query with fewer than k rows, if there are more, are compared with all rows,
+in blocks.
 
 Buckets of any size are whole: one with many rows is dealt into chunks, each of which all
 queries that visit the bucket see, so nothing is capped.
@@ -201,7 +202,7 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
         return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
     found = materialise(meet(asked, given), "found")
-    whole = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= 1).select(F.col("query_id").alias("vec_id"))
+    whole = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, index.n - 1)).select(F.col("query_id").alias("vec_id"))
     short = materialise(rows.where(is_query(query_every)).join(whole, "vec_id", "left_anti"), "short")
     left = short.count()
     if not left:
