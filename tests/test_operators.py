@@ -293,3 +293,12 @@ def test_bounds_and_weekly_runs(spark):
     at = ["2024-01-06 21:29:59", "2024-01-06 21:30:00", "2024-01-06 21:30:01", "2024-01-08 00:00:00"]
     runs = spark.createDataFrame([(t,) for t in at], "t string").select(tx.next_weekly(F.col("t").cast("timestamp")).cast("string"))
     assert [r[0] for r in runs.collect()] == ["2024-01-06 21:30:00"] * 2 + ["2024-01-13 21:30:00"] * 2
+
+
+def test_language_coverage_counts_every_document(spark, sf_dir):
+    from tests.oracle import duck
+    from tidemill.plans.catalogue import QUERIES
+
+    total, langs = duck(sf_dir).execute("SELECT count(*), count(DISTINCT lang) FROM documents WHERE coalesce(lang, '') <> ''").fetchone()
+    got = QUERIES["language_coverage"](spark, sf_dir).collect()
+    assert sum(r.heads for r in got) == total and len(got) == langs

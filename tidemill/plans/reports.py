@@ -16,6 +16,12 @@ def group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.coverage(table(spark, sf_dir, "documents").where("doc_id % 100 = 1"), "lang")
 
 
+@query("SELECT lang, count(*) AS heads, count(*) > 2 AS warning FROM documents WHERE coalesce(lang, '') <> '' GROUP BY lang")
+def language_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage by every document of the table."""
+    return evaluation.coverage(table(spark, sf_dir, "documents"), "lang")
+
+
 @query("SELECT p_brand || p_size AS grp, count(*) AS n FROM part GROUP BY 1 HAVING count(*) < 20")
 def thin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("grp"))
