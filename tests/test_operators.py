@@ -295,6 +295,26 @@ def test_bounds_and_weekly_runs(spark):
     assert [r[0] for r in runs.collect()] == ["2024-01-06 21:30:00"] * 2 + ["2024-01-13 21:30:00"] * 2
 
 
+def test_lossless_chunks_hold_the_whole_of_long_lines():
+    line = "".join(chr(97 + i % 26) + str(i) for i in range(1500))
+    assert chunking.split_long(line, lossless=True) == [line[i : i + 1200] for i in range(0, len(line), 1200)]
+    assert "".join(chunking.split_long(f"head\n{line}\ntail", lossless=True)).replace("\n", "") == f"head{line}tail"
+    bodies = [c["content"].split("\n\n", 1)[1] for c in chunking.chunk_document([(line, 1)], "d", "T", lossless=True)]
+    assert "".join(bodies) == line
+
+
+def test_document_chunks_keep_every_long_line(spark, sf_dir):
+    from tests.oracle import duck
+    from tidemill.plans.catalogue import QUERIES
+
+    held: dict[str, str] = {}
+    for r in QUERIES["document_chunks"](spark, sf_dir).orderBy(F.split("chunk_id", ":")[2].cast("int")).collect():
+        held[r.doc_id] = held.get(r.doc_id, "") + r.content.split("\n\n", 1)[1]
+    flat = lambda t: "".join(t.split())
+    rows = duck(sf_dir).execute("SELECT doc_id, text FROM documents WHERE len(text) > 1200 AND NOT contains(text, chr(10))").fetchall()
+    assert rows and all(flat(text) in flat(held[str(i)]) for i, text in rows)
+
+
 def test_language_coverage_counts_every_document(spark, sf_dir):
     from tests.oracle import duck
     from tidemill.plans.catalogue import QUERIES

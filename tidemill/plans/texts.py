@@ -324,7 +324,7 @@ def role_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("title", F.coalesce("source", F.lit("document")))
-    return chunking.chunks(chunking.text_blocks(docs))
+    return chunking.chunks(chunking.text_blocks(docs), lossless=True)
 
 
 @query()
