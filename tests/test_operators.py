@@ -1,6 +1,7 @@
 """Operators that SQL can't express, on small inputs with known results."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -111,22 +112,38 @@ def test_page_chunks_of_broken_html():
 # Chunker -------------------------------------------------------------------
 
 
-def test_merging_and_splitting():
+def chunked(spark, *documents, lossless=False):
+    """Bodies of the chunks of each document, a list of (text, page)."""
+    df = spark.createDataFrame([(str(i), "T", d) for i, d in enumerate(documents)], "doc_id string, title string, blocks array<struct<text:string,page:int>>")
+    rows = chunking.chunks(df, lossless).collect()
+    return [[r.content for r in sorted((r for r in rows if r.doc_id == str(i)), key=lambda r: int(r.chunk_id.split(":")[2]))] for i in range(len(documents))]
+
+
+def test_merging_and_splitting(spark):
     small, big = "s" * 100, "b" * 1150
-    assert [c["content"].split("\n\n", 1)[1] for c in chunking.chunk_document([(small, 1), ("x" * 50, 1)], "d", "T")] == [f"{small}\n\n{'x' * 50}"]
-    assert len(chunking.chunk_document([(small, 1), (small, 2)], "d", "T")) == 2  # page changes
-    parts = chunking.chunk_document([(small, 1), (big, 1)], "d", "T")  # a short buffer merges past the limit, then splits
-    assert [p["content"].split("\n")[0] for p in parts] == ["From T, page 1: (part 1 of 2)", "From T, page 1: (part 2 of 2)"]
-    assert chunking.split_long("y" * 1201) == ["y" * 1200]
-    assert chunking.split_long("y" * 1200) == ["y" * 1200]
-
-
-@given(st.lists(st.text("ab \n", max_size=700), max_size=8))
-@settings(max_examples=60, deadline=None)
-def test_no_piece_exceeds_the_limit(blocks):
-    for c in chunking.chunk_document([(b, 1) for b in blocks if b.strip()], "d", "T"):
-        assert c["content"].startswith("From T, page 1:")
-    assert all(len(p) <= 1200 for b in blocks for p in chunking.split_long(b * 3))
+    merged, pages, split, cut, fits, table, none = chunked(
+        spark, [(small, 1), ("x" * 50, 1)], [(small, 1), (small, 2)], [(small, 1), (big, 1)], [("y" * 1201, 1)], [("y" * 1200, 1)],
+        [("Head\n" + "\n".join(f"{i} | {'c' * 80}" for i in range(30)), 3)], [(" \n", 1)],
+    )
+    assert merged == [f"From T, page 1:\n\n{small}\n\n{'x' * 50}"]
+    assert pages == [f"From T, page {p}:\n\n{small}" for p in (1, 2)]
+    # A short run takes the next block past the limit, then splits.
+    assert split == [f"From T, page 1: (part 1 of 2)\n\n{small}", f"From T, page 1: (part 2 of 2)\n\n{small}\n{big}"]
+    assert cut == fits == [f"From T, page 1:\n\n{'y' * 1200}"]
+    assert len(table) == 3 and all(t.startswith(f"From T, page 3: (part {i} of 3)\n\nHead\n") for i, t in enumerate(table, start=1))
+    assert none == []
+    assert chunked(spark, [("y" * 2500, 1)], lossless=True) == [[f"From T, page 1: (part {i} of 3)\n\n{'y' * n}" for i, n in ((1, 1200), (2, 1200), (3, 100))]]
+
+
+def test_no_piece_exceeds_the_limit_and_none_is_lost(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b c ", "\n", "\n\n", "\n \n", "word" * rng.randrange(400)]) for _ in range(rng.randrange(25))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for lossless in (False, True):
+        for r in df.select("text", chunking.split_long(F.col("text"), lossless=lossless).alias("pieces")).collect():
+            assert all(len(p) <= 1200 for p in r.pieces)
+            if lossless:
+                assert "".join("".join(r.pieces).split()) == "".join(r.text.split())
 
 
 # Spelling ------------------------------------------------------------------

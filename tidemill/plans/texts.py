@@ -321,7 +321,44 @@ def role_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.metadata(own.unionByName(docs), "text", "url", "kind").drop("text")
 
 
-@query()
+_CHUNKS = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, 'document') AS title,
+    CASE WHEN len(a) > 1 THEN a ELSE string_split(text, chr(10)) END AS parts FROM (SELECT *, string_split_regex(text, '\n\s*\n') AS a FROM documents)
+), l AS (SELECT r, [c FOR c IN [{sql_clean("p")} FOR p IN parts] IF c <> ''] AS parts FROM d
+), b AS (SELECT r, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS t FROM l
+), m AS (
+  SELECT r, i, length(t) AS held, 1 AS g FROM b WHERE i = 1 UNION ALL
+  SELECT b.r, b.i, CASE WHEN held < 120 OR held + length(t) <= 1200 THEN held + 2 + length(t) ELSE length(t) END,
+    g + CASE WHEN held < 120 OR held + length(t) <= 1200 THEN 0 ELSE 1 END FROM m JOIN b ON b.r = m.r AND b.i = m.i + 1
+), s AS (SELECT r, g, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM m JOIN b USING (r, i) GROUP BY r, g
+), p AS (SELECT r, g, unnest(range(len(a))) AS k, unnest(a) AS t FROM (SELECT r, g, string_split_regex(text, '\n\s*\n') AS a FROM s WHERE length(text) > 1200)
+), n AS (SELECT r, g, k, unnest(range(len(a))) AS line, unnest(a) AS t FROM (SELECT r, g, k, string_split(t, chr(10)) AS a FROM p WHERE length(t) > 1200)
+), x AS (SELECT r, g, k, line, t, unnest(range(CAST(greatest(ceil(length(t) / 1200), 1) AS BIGINT))) AS cut FROM n
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY r, g ORDER BY k, line, cut) AS i FROM (
+    SELECT r, g, k, 0 AS line, 0 AS cut, chr(10) || chr(10) AS glue, t FROM p WHERE length(t) <= 1200 UNION ALL
+    SELECT r, g, k, line, cut, CASE WHEN line + cut > 0 THEN chr(10) END, substr(t, cut * 1200 + 1, 1200) FROM x)
+), f AS (
+  SELECT r, g, i, length(t) AS held, 1 AS piece FROM u WHERE i = 1 UNION ALL
+  SELECT u.r, u.g, u.i, CASE WHEN held > 0 AND held + length(glue) + length(t) <= 1200 THEN held + length(glue) + length(t) ELSE length(t) END,
+    piece + CASE WHEN held > 0 AND held + length(glue) + length(t) <= 1200 THEN 0 ELSE 1 END FROM f JOIN u ON u.r = f.r AND u.g = f.g AND u.i = f.i + 1
+), y AS (
+  SELECT r, g, piece, string_agg(CASE WHEN i = least_i THEN t ELSE glue || t END, '' ORDER BY i) AS body
+  FROM (SELECT u.*, piece, min(i) OVER (PARTITION BY r, g, piece) AS least_i FROM f JOIN u USING (r, g, i)) GROUP BY r, g, piece
+  UNION ALL SELECT r, g, 1, text FROM s WHERE length(text) <= 1200
+), z AS (
+  SELECT r, g, body, row_number() OVER (PARTITION BY r, g ORDER BY piece) AS part, count(*) OVER (PARTITION BY r, g) AS n_parts,
+    row_number() OVER (PARTITION BY r ORDER BY g, piece) - 1 AS place, first_value(body) OVER (PARTITION BY r, g ORDER BY piece) AS head FROM y WHERE body <> ''
+), w AS (
+  SELECT z.*, CASE WHEN n_parts > 1 AND length(string_split(s.text, chr(10))[1]) <= 1200 THEN {sql_strip("string_split(head, chr(10))[1]")} ELSE '' END AS lead FROM z JOIN s USING (r, g)
+)
+SELECT 'upload:' || doc_id || ':' || place AS chunk_id, doc_id, title, 1 AS page, 'upload' AS source_type,
+  'From ' || title || ', page 1:' || CASE WHEN n_parts > 1 THEN ' (part ' || part || ' of ' || n_parts || ')' ELSE '' END || chr(10) || chr(10)
+  || CASE WHEN part > 1 AND lead <> '' AND NOT contains(body, lead) THEN lead || chr(10) ELSE '' END || body AS content FROM w JOIN d USING (r)"""
+
+
+@query(_CHUNKS)
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("title", F.coalesce("source", F.lit("document")))
     return chunking.chunks(chunking.text_blocks(docs), lossless=True)
