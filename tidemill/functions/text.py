@@ -273,13 +273,12 @@ def parse_category(output: Column) -> Column:
     return F.when(s != "", out)
 
 
-def route(q: Column) -> Column:
-    """Where a question is sent by its text alone; null for the plain pool."""
-    dept, head = department_in(q), wants_head(q)
+def route(principal: Column, head: Column, people: Column, dept: Column, asked: Column) -> Column:
+    """Where a question is sent by what its text wants and names; null for the plain pool."""
     school = lookup(rules.DEPARTMENT_SCHOOL, dept)
     return (
-        F.when(wants_principal(q), F.concat(F.lit("principal_"), school_in(q)))
-        .when(~head & dept.isNotNull() & wants_people(q), F.concat(F.lit("faculty_"), department_tag(dept)))
+        F.when(principal, F.concat(F.lit("principal_"), asked))
+        .when(~head & dept.isNotNull() & people, F.concat(F.lit("faculty_"), department_tag(dept)))
         .when(head & dept.isNotNull() & school.isNotNull(), F.lit("department_heads"))
     )
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import rules
-from tidemill.operators import evaluation, retrieval, scoring
-from tidemill.plans.registry import query
+from tidemill.operators import evaluation, retrieval, routing, scoring
+from tidemill.plans.registry import lit, query, sql_lookup
+from tidemill.plans.texts import ASKS_PEOPLE, CANON, DEPT, EXAMPLES, HEAD, PRINCIPAL, SCHOOL, TAG
 from tidemill.session import table
 
 #: Vectors with an id divisible by this are the stated query set; all others are searched.
@@ -77,19 +78,90 @@ def _confidence(pool: DataFrame, profile: str, filtered: bool) -> DataFrame:
     return scoring.confidence(scoring.signals(pool, ["query_id"], rules.TOP_K, profile), F.lit(filtered), F.lit(1.0), profile).drop("log_ratio")
 
 
+# The labels of the first five plain results are the voters.
+_VOTES = f"""
+  SELECT query_id, round(max(n) / greatest(5, sum(n)), 4) AS agreement FROM (
+    SELECT p.query_id, v.label, count(*) AS n FROM ({_sql_pool(n=5)}) p JOIN embeddings v ON v.vec_id = p.vec_id WHERE v.label IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
 _FLAGSHIP = " UNION ALL ".join(
-    f"SELECT *, '{name}' AS pool FROM (" + _sql_confidence(_sql_signals(_sql_pool(f), "web"), "web", str(f)) + ")" for name, f in (("plain", False), ("filtered", True))
+    f"SELECT *, '{name}' AS pool FROM ("
+    + _sql_confidence(f"SELECT s.*, coalesce(e.agreement, 0.0) AS agreement FROM ({_sql_signals(_sql_pool(f), 'web')}) s LEFT JOIN ({_VOTES}) e ON e.query_id = s.query_id", "web", str(f), "agreement")
+    + ")"
+    for name, f in (("plain", False), ("filtered", True))
 )
 
 
 @query(_sql_rounded(_FLAGSHIP))
 def flagship_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both pools of each query vector: signals, confidence, band and mode."""
-    plain = _confidence(_pool(spark, sf_dir), "web", False).withColumn("pool", F.lit("plain"))
-    filtered = _confidence(_pool(spark, sf_dir, True), "web", True).withColumn("pool", F.lit("filtered"))
+    """Both pools of each query vector: signals, the voters' agreement, confidence, band and mode."""
+    pool = _pool(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    votes = scoring.votes(pool.where("pos <= 5").join(labels, "vec_id"), ["query_id"], "label", "pos").select("query_id", "agreement")
+
+    def scored(pool: DataFrame, filtered: bool) -> DataFrame:
+        found = scoring.signals(pool, ["query_id"], rules.TOP_K, "web").join(votes, "query_id", "left")
+        return scoring.confidence(found, F.lit(filtered), F.coalesce("agreement", F.lit(0.0)), "web").drop("log_ratio", "agreement")
+
+    plain = scored(pool, False).withColumn("pool", F.lit("plain"))
+    filtered = scored(_pool(spark, sf_dir, True), True).withColumn("pool", F.lit("filtered"))
     return _rounded(plain.unionByName(filtered))
 
 
+# Every question of the examples is asked with every query vector; rules on vec_id give the chunks their metadata.
+_ROUTED_DEPARTMENTS = ["Electronics and Communication", "ece", "Mechanical Engineering", "physics", "", "computer science", "business"]
+_CHUNKS_SQL = f"""SELECT *, CASE WHEN vec_id % 41 = 3 THEN 'principal' ELSE 'faculty' END AS designation, vec_id % 7 = 5 AS is_department_head,
+  CASE vec_id % 11 {' '.join(f"WHEN {i} THEN {lit(d)}" for i, d in enumerate(_ROUTED_DEPARTMENTS))} END AS department,
+  CASE label WHEN 0 THEN 'computing' WHEN 1 THEN 'electronics and communication' WHEN 2 THEN 'mechanical' END AS department_canon FROM embeddings"""
+_ASKED_SQL = f"""SELECT -(v.vec_id * 100 + e.i) AS query_id, v.embedding AS vector, e.text FROM embeddings v
+  CROSS JOIN (VALUES {', '.join(f'({i}, {lit(t)})' for i, t in enumerate(EXAMPLES, 1))}) e(i, text) WHERE v.vec_id % {EVERY} = 0"""
+
+
+def _sql_leg(asked: str, where: str, n: int) -> str:
+    return _sql_pool(n=n).replace("embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id", f"({asked}) q JOIN chunks v ON {where}").replace("q.vec_id AS query_id", "q.query_id").replace("q.embedding", "q.vector").replace(
+        f" WHERE q.vec_id % {EVERY} = 0", ""
+    )
+
+
+_ROUTED = f"""
+WITH chunks AS ({_CHUNKS_SQL}), a AS (
+  SELECT *, {PRINCIPAL} AS principal, {HEAD} AS head, {ASKS_PEOPLE} AS people, {DEPT} AS dept, {SCHOOL} AS asked FROM ({_ASKED_SQL})
+), b AS (SELECT *, {CANON} AS canon, CASE WHEN principal THEN asked ELSE {sql_lookup(rules.DEPARTMENT_SCHOOL, 'dept')} END AS school FROM a
+), q AS (SELECT *, {TAG} AS tag, CASE WHEN principal THEN 'principal' WHEN dept IS NOT NULL AND head THEN 'head' WHEN dept IS NOT NULL AND people THEN 'people' ELSE 'plain' END AS intent FROM b
+), people AS ({_sql_leg("SELECT * FROM q WHERE intent = 'people'", "v.department_canon = q.tag", rules.DEPARTMENT_POOL)}
+), heads AS ({_sql_leg("SELECT * FROM q WHERE intent = 'head'", "v.is_department_head", rules.FILTERED_POOL)}
+), own AS (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS pos FROM (
+    SELECT h.*, q.canon AS x, lower(trim(v.department)) AS d, {sql_lookup(rules.DEPARTMENT_ALIASES, 'lower(trim(v.department))', 'lower(trim(v.department))')} AS y
+    FROM heads h JOIN q USING (query_id) JOIN chunks v ON v.vec_id = h.vec_id) WHERE d <> '' AND (x = y OR contains(x, y) OR contains(y, x))
+), principals AS ({_sql_leg("SELECT * FROM q WHERE intent = 'principal' OR (intent = 'head' AND school IS NOT NULL AND query_id NOT IN (SELECT query_id FROM own))", "v.designation = 'principal'", rules.FILTERED_POOL)}
+), plain AS ({_sql_leg("SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM people UNION ALL SELECT query_id FROM own UNION ALL SELECT query_id FROM principals)", "TRUE", rules.POOL)}
+), found AS (
+  SELECT query_id, pos, vec_id, score, 'people' AS leg FROM people UNION ALL SELECT query_id, pos, vec_id, score, 'own' FROM own
+  UNION ALL SELECT query_id, pos, vec_id, score, 'principal' FROM principals UNION ALL SELECT query_id, pos, vec_id, score, 'plain' FROM plain
+)
+SELECT query_id, pos, vec_id, round(score, 6) AS score, CASE leg WHEN 'people' THEN 'faculty_' || tag WHEN 'own' THEN 'department_heads' WHEN 'principal' THEN 'principal_' || school END AS route,
+  leg <> 'plain' AS filtered, CASE WHEN leg = 'principal' THEN concat_ws(' ', text, {sql_lookup(rules.SCHOOL_NAMES, 'school')}) ELSE text END AS rerank_text FROM found JOIN q USING (query_id)"""
+
+
+@query(_ROUTED)
+def routed_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool each question is sent to, with all fallbacks, for every example question with every query vector."""
+    v = table(spark, sf_dir, "embeddings")
+    n = F.col("vec_id") % 11
+    canon = F.when(F.col("label") == 0, "computing").when(F.col("label") == 1, "electronics and communication").when(F.col("label") == 2, "mechanical")
+    chunks = v.withColumns(
+        {
+            "designation": F.when(F.col("vec_id") % 41 == 3, "principal").otherwise("faculty"),
+            "is_department_head": F.col("vec_id") % 7 == 5,
+            "department": F.get(F.array(*map(F.lit, _ROUTED_DEPARTMENTS)), n),
+            "department_canon": canon,
+        }
+    )
+    asked = F.posexplode(F.array(*map(F.lit, EXAMPLES))).alias("i", "text")
+    questions = v.where(F.col("vec_id") % EVERY == 0).select("vec_id", F.col("embedding").alias("vector"), asked)
+    questions = questions.select((-(F.col("vec_id") * 100 + F.col("i") + 1)).alias("query_id"), "vector", "text")
+    return _rounded(routing.routed_pools(questions, chunks), "score")
+
+
 @query(_sql_rounded(_sql_confidence(_sql_signals(_sql_pool(), "upload"), "upload", "FALSE")))
 def confidence_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_confidence(_pool(spark, sf_dir), "upload", False))

@@ -138,32 +138,30 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(own)
 
 
-_PRINCIPAL = sql_match("text", sql_whole("principal"))
+PRINCIPAL = sql_match("text", sql_whole("principal"))
 _DEPUTY = sql_match("text", r"(?:vice[\s\-]*chair(?:person|man)?|deputy\s+(?:hod|head\s+of\s+(?:the\s+)?department)|associate\s+dean)(?:[^\p{L}\p{N}_]|$)")
 _HEAD_ROLE = f"({sql_match('text', r'(?:chair(?:person|man)|head\s+of\s+(?:the\s+)?department)(?:[^\p{L}\p{N}_]|$)')} OR {sql_match('text', sql_whole('hod'))})"
-_HEAD = f"(NOT {_DEPUTY} AND ({_HEAD_ROLE} OR {sql_match('text', sql_whole('|'.join(rules.HEAD_PHRASES)))}))"
-_PEOPLE = sql_match("text", sql_whole(sql_any(rules.PEOPLE_WORDS) + "|" + "|".join(rules.PEOPLE_PHRASES)))
-_DEPT = "CASE " + " ".join(f"WHEN {sql_match('text', sql_whole(p))} THEN {lit(p)}" for p in sorted(rules.DEPARTMENT_SCHOOL, key=len, reverse=True)) + " END"
-_SCHOOL = f"CASE WHEN {sql_match('text', sql_whole(sql_any(rules.ENGINEERING_WORDS)))} THEN 'engineering' WHEN {sql_match('text', sql_any(rules.COMPUTING_SCHOOLS))} OR {sql_match('text', sql_whole(sql_any(rules.COMPUTING_WORDS)))} THEN 'computing' ELSE 'engineering' END"
-_CANON = sql_lookup(rules.DEPARTMENT_ALIASES, "dept", "dept")
-_TAG = sql_lookup(rules.DEPARTMENT_TAGS, "canon", "canon")
+HEAD = f"(NOT {_DEPUTY} AND ({_HEAD_ROLE} OR {sql_match('text', sql_whole('|'.join(rules.HEAD_PHRASES)))}))"
+ASKS_PEOPLE = sql_match("text", sql_whole(sql_any(rules.PEOPLE_WORDS) + "|" + "|".join(rules.PEOPLE_PHRASES)))
+DEPT = "CASE " + " ".join(f"WHEN {sql_match('text', sql_whole(p))} THEN {lit(p)}" for p in sorted(rules.DEPARTMENT_SCHOOL, key=len, reverse=True)) + " END"
+SCHOOL = f"CASE WHEN {sql_match('text', sql_whole(sql_any(rules.ENGINEERING_WORDS)))} THEN 'engineering' WHEN {sql_match('text', sql_any(rules.COMPUTING_SCHOOLS))} OR {sql_match('text', sql_whole(sql_any(rules.COMPUTING_WORDS)))} THEN 'computing' ELSE 'engineering' END"
+CANON = sql_lookup(rules.DEPARTMENT_ALIASES, "dept", "dept")
+TAG = sql_lookup(rules.DEPARTMENT_TAGS, "canon", "canon")
 
 
 @query(f"""
-WITH a AS (SELECT *, {_PRINCIPAL} AS principal, {_HEAD} AS head, {_PEOPLE} AS people, {_DEPT} AS dept, {_SCHOOL} AS school_asked FROM {_QUESTIONS}),
-b AS (SELECT *, {_CANON} AS canon, {sql_lookup(rules.DEPARTMENT_SCHOOL, 'dept')} AS school FROM a), c AS (SELECT *, {_TAG} AS tag FROM b)
+WITH a AS (SELECT *, {PRINCIPAL} AS principal, {HEAD} AS head, {ASKS_PEOPLE} AS people, {DEPT} AS dept, {SCHOOL} AS school_asked FROM {_QUESTIONS}),
+b AS (SELECT *, {CANON} AS canon, {sql_lookup(rules.DEPARTMENT_SCHOOL, 'dept')} AS school FROM a), c AS (SELECT *, {TAG} AS tag FROM b)
 SELECT conv_id, turn, principal, head, people, dept, school_asked, school, tag,
   CASE WHEN principal THEN 'principal_' || school_asked WHEN NOT head AND dept IS NOT NULL AND people THEN 'faculty_' || tag
     WHEN head AND dept IS NOT NULL AND school IS NOT NULL THEN 'department_heads' END AS route,
   concat_ws(' ', text, CASE WHEN principal THEN {sql_lookup(rules.SCHOOL_NAMES, 'school_asked')} END) AS rerank_text FROM c""")
 def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
-    dept = tx.department_in(q)
-    df = _questions(spark, sf_dir).withColumn("dept", dept)
-    return df.select(
-        "conv_id", "turn", tx.wants_principal(q).alias("principal"), tx.wants_head(q).alias("head"), tx.wants_people(q).alias("people"), "dept",
-        tx.school_in(q).alias("school_asked"), tx.lookup(rules.DEPARTMENT_SCHOOL, F.col("dept")).alias("school"), tx.department_tag(F.col("dept")).alias("tag"),
-        tx.route(q).alias("route"), F.when(tx.wants_principal(q), tx.rerank_text(q, tx.school_in(q))).otherwise(q).alias("rerank_text"),
+    wants = {"principal": tx.wants_principal(q), "head": tx.wants_head(q), "people": tx.wants_people(q), "dept": tx.department_in(q), "school_asked": tx.school_in(q)}
+    return _questions(spark, sf_dir).withColumns(wants).select(
+        "conv_id", "turn", *wants, tx.lookup(rules.DEPARTMENT_SCHOOL, F.col("dept")).alias("school"), tx.department_tag(F.col("dept")).alias("tag"),
+        tx.route(*map(F.col, wants)).alias("route"), F.when(F.col("principal"), tx.rerank_text(q, F.col("school_asked"))).otherwise(q).alias("rerank_text"),
     )
 
 
