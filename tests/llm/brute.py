@@ -1,8 +1,7 @@
 """Plain Python versions of operators that SQL can't express."""
 
-from __future__ import annotations
-
 import hashlib
+import math
 import re
 
 
@@ -43,3 +42,25 @@ def secret_base(text: str | None) -> list[tuple[str, int, int]]:
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def plain_features(text):
+    """The quality classifier's features, one loop each."""
+    data = (text or "").encode()
+    words = data.split()
+    if not words:
+        return [0.0] * 16
+    kept = [chr(b) for b in data if b not in b" \t\n\x0b\x0c\r"]
+    is_symbol = lambda c: "!" <= c <= "~" and not (c.isascii() and c.isalnum()) and c not in ".,'\"-()"
+    symbols = sum(map(is_symbol, kept))
+    bars, bangs = kept.count("|"), kept.count("!")
+    other = symbols - bars - bangs
+    upper = sum("A" <= c <= "Z" for c in kept)
+    rest = len(kept) - symbols - sum("0" <= c <= "9" for c in kept)
+    n, lines = len(words), data.split(b"\n")
+    repeats = sum(words[i] == words[i - 1] for i in range(1, n))
+    return [
+        symbols / len(kept), math.log1p(other), other / n, math.log1p(bars), bars / n, math.log1p(bangs), bangs / n, upper / max(rest, 1),
+        math.log1p(max(upper - 0.2 * n, 0)), repeats / n, math.log1p(repeats), len(set(words)) / n, max(map(words.count, set(words))) / n,
+        1 - len(set(lines)) / len(lines), sum(len(x.split()) < 4 for x in lines) / len(lines), math.log1p(n),
+    ]

@@ -2,13 +2,14 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.brute import joined, pii_base, secret_base, sha
+from tests.llm.brute import joined, pii_base, plain_features, secret_base, sha
 from tests.oracle import differences, duck
 from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, registry, secrets, token_counts
 from tidemill.llm.common import materialise
@@ -130,6 +131,31 @@ def test_quality_held_out(spark):
     assert out.score.between(0, 1).all() and ((out.score >= 0.3) == (out.predicted == 1)).all()
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Features by plain loops, the drawn rows by hand, and Bradley-Terry's conditions at the fitted weights."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    x = {i: plain_features(t) for i, t in rows.items()}
+    for i, t in rows.items():
+        assert quality.features((t or "").encode()) == pytest.approx(x[i], abs=1e-12)
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality is not None}
+    ids = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id in known]
+    ranker = quality.train(np.array([x[i] for i in ids]), np.array([known[i] for i in ids]))
+    got = {r.doc_id: r for r in quality.rank_quality(docs, labels).collect()}
+    assert set(got) == set(rows)
+    raw = {i: sum((v - m) * w for v, m, w in zip(x[i], ranker.mean, ranker.weight, strict=True)) for i in rows}
+    for i, r in got.items():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(raw[i] - ranker.cut) * ranker.steep - math.log(0.3 / 0.7))), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3)
+    good, bad = ([raw[i] for i in ids if known[i] == y] for y in (1, 0))
+    assert sum(a > b for a in good for b in bad) > 0.9 * len(good) * len(bad)
+    below = sum(raw[i] < ranker.cut for i in ids)
+    assert abs(below - len(bad)) <= 1, "the cut is the quantile at the share of bad labels"
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted}
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 0, 0), (4, 1, 0), (5, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):
@@ -355,12 +381,28 @@ def test_long_words_dont_fill_the_memo(monkeypatch):
     for i in range(6):
         text = " ".join(f"{chr(97 + i)}{'qzxv' * n} common" for n in range(1, 60))
         want = library.encode(text, add_special_tokens=False).ids
-        assert tok.encode([text])[0][1] == " ".join(map(str, want))
-        assert tok.held == sum(map(len, tok.memo)) < 20_000
+        assert tok.encode([text]) == [" ".join(map(str, want))]
+        assert sum(map(len, tok.young)) == tok.held <= 2_000 and sum(map(len, tok.old)) < 20_000
     short, hashes = b"w", near_dedup._WordHash()
     assert hashes[b"w" * 1000] != hashes[short] and list(hashes) == [short]
 
 
+def test_bpe_of_any_characters_equals_the_library(monkeypatch):
+    """Pieces between white space are encoded alone, so every kind of space, mark, case and separator must agree."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MEMO", 300)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 200)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, tok, rng = Tokenizer.from_file(path), bpe.WordTokenizer(path), random.Random(5)
+    odd = [*map(chr, range(0x300)), *"\u0301\u0308\u2028\u2003\u180e\u200b\u212a\u212b\u1e9e\u03a3\u03c2\ud55c\ufb01\u0661", "e\u0301", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "'RE", "don't"]
+    plain = [*"abcde the 'sT 12,.!  \n"]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.4 else plain) for _ in range(rng.randrange(60))) for _ in range(6000)]
+    for text, ids, want in zip(texts, tok.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == " ".join(map(str, want.ids)), repr(text)
+        assert tok.decode(ids) == (len(want.ids), library.decode(want.ids, skip_special_tokens=False)), repr(text)
+
+
 def test_speculation_is_verified_pair_by_pair():
     tok = bpe.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(9)

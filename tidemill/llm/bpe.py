@@ -7,17 +7,26 @@ the adjacent pairs of all cuts are tested together with numpy, by undoing merges
 rank until the pair proves compatible or a better merge across the border shows; and only
 words with a failing pair undergo exact merging.
 
+A worker remembers the ids of pieces between white space in two generations of bounded
+size, and forgets them when its partition ends.
+
 Edge cases: null is as empty: no tokens, and the digest of an empty string; special
-strings inside a text become their ids, as in the library; repeated rows get a row each.
+strings inside a text become their ids, as in the library; very long texts are encoded whole,
+some GROUP_CHARS characters at a time; repeated rows get a row each; an empty table gives no
+rows; only doc_id and text are read, so further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +35,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import pick
 
-#: Distinct words, and their characters, that a worker remembers before it starts anew; words looked up at once.
-MEMO, MEMO_CHARS = 250_000, 16_000_000
-BATCH_WORDS = 400_000
-GROUP_CHARS = 2_000_000
+#: Pieces of text, and their characters, that one generation of a worker's memory holds.
+MEMO, MEMO_CHARS = 250_000, 5_000_000
+#: Characters that are cut, tested and looked up at once.
+GROUP_CHARS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -69,8 +78,11 @@ class SpeculativeBPE:
         #: Only tokens that merging reaches take part in the longest match.
         self.inner = {t: i for t, i in self.vocab.items() if not self.end or not t.endswith(self.end)}
         self.last = {t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)} if self.end else self.vocab
-        self.most = max(map(len, self.vocab))
-        self.exact = 0
+        #: First two characters of a token that ends no word: length of the longest such token.
+        self.most: dict[str, int] = {}
+        for t in self.inner:
+            self.most[t[:2]] = max(self.most.get(t[:2], 0), len(t))
+        self.seen = self.exact = 0
 
     def greedy(self, word: str) -> list[int]:
         out, at, n = [], 0, len(word)
@@ -78,7 +90,7 @@ class SpeculativeBPE:
             if (x := self.last.get(word[at:])) is not None:
                 out.append(x)
                 return out
-            for to in range(min(n - 1, at + self.most), at, -1):
+            for to in range(min(n - 1, at + self.most.get(word[at : at + 2], 1)), at, -1):
                 if (x := self.inner.get(word[at:to])) is not None:
                     out.append(x)
                     at = to
@@ -133,6 +145,7 @@ class SpeculativeBPE:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         cuts = [self.greedy(w) for w in words]
+        self.seen += len(cuts)
         lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
         flat = np.fromiter((x for c in cuts for x in c), np.int64, int(lengths.sum()))
         if len(flat) < 2:
@@ -149,6 +162,14 @@ class SpeculativeBPE:
         return cuts
 
 
+def _below_u0250(pattern: str) -> str:
+    """The split pattern with its classes of letters and numbers spelled out, for characters below U+0250."""
+    for kind in "LN":
+        held = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[{held}]").replace(f"\\p{{{kind}}}", held)
+    return pattern
+
+
 class WordTokenizer:
     """Whole texts, for tokenizers that split into words and join byte-level symbols."""
 
@@ -168,31 +189,73 @@ class WordTokenizer:
         splits = [s["pattern"]["Regex"] for s in spec["pre_tokenizer"].get("pretokenizers", []) if s["type"] == "Split"]
         if len(splits) != 1:
             raise ValueError("one split pattern is expected")
-        self.findall = regex.compile(splits[0]).findall
-        #: Where the library's tables of letters and this regex's could differ, the library splits.
-        self.rare = re.compile(r"[^\x00-\u024F]").search
+        self.findall = re.compile(_below_u0250(splits[0])).findall
+        #: Where the library's tables of letters or white space could differ from Python's, the library splits.
+        self.rare = re.compile(r"[^\x00-\x1B\x20-\u024F]").search
+        self.control = re.compile(r"[\x1C-\x1F]").search
+        self.gap = re.compile(r"\s+").search
         self.pre = tok.pre_tokenizer.pre_tokenize_str
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = byte_alphabet()
-        names = {i: t for t, i in self.model.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.held = 0
+        self.names = {str(i): t for t, i in [*self.model.vocab.items(), *self.special.items()]}
         self.spell = lambda word: "".join(map(self.bytes.__getitem__, word.encode()))
         plain = {c: bytes([b]) for b, c in enumerate(self.bytes)}
         self.unspell = lambda word: b"".join(map(plain.__getitem__, word)).decode()
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
+    def forget(self) -> None:
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.held = 0
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece of text that the split pattern finds in it once it is normalised."""
+        low = piece.lower()  # below U+0250 all is composed already
+        if self.rare(piece) or self.rare(low):
+            return [self.unspell(w) for w, _ in self.pre(self.normalise(piece))]
+        return [low] if low.isalpha() else self.findall(low)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that neither generation holds, each distinct word of them once."""
+        cut = list(map(self.words, pieces))
+        words = list(dict.fromkeys(chain.from_iterable(cut)))
         spelled = [w if w.isascii() and w.isprintable() else self.spell(w) for w in words]
-        for w, ids in zip(words, self.model.encode_words(spelled), strict=True):
-            self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
-            self.held += len(w)
+        ids = [" ".join(map(str, x)) for x in self.model.encode_words(spelled)]
+        one = dict(zip(words, ids, strict=True))
+        for piece, ws in zip(pieces, cut, strict=True):
+            self.young[piece] = one[ws[0]] if len(ws) == 1 else " ".join(map(one.__getitem__, ws))
 
-    def words(self, text: str) -> list[str]:
-        text = self.normalise(text)
-        if self.rare(text):
-            return [self.unspell(w) for w, _ in self.pre(text)]
-        return self.findall(text)
+    def known(self, pieces: list[str]) -> list[str]:
+        """The ids of pieces, from the memory or computed together.
+
+        What is asked for moves to the young generation; when that is full it becomes the old one.
+        """
+        new = set(pieces).difference(self.young)
+        if new:
+            self.held += sum(map(len, new))
+            again = new.intersection(self.old)
+            self.young.update((x, self.old[x]) for x in again)
+            self.learn(list(new - again))
+        found = list(map(self.young.__getitem__, pieces))
+        if len(self.young) > MEMO or self.held > MEMO_CHARS:
+            self.old, self.young, self.held = self.young, {}, 0
+        return found
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """Lists of pieces between white space, of some GROUP_CHARS characters each.
+
+        No word and no step of normalising reaches across white space. Texts with the
+        separators U+001C to U+001F, which Python alone counts as white space, stay whole.
+        """
+        if self.control(text):
+            yield [text]
+            return
+        at = 0
+        while at < len(text):
+            gap = self.gap(text, at + GROUP_CHARS)
+            to = gap.end() if gap else len(text)
+            yield text[at:to].split()
+            at = to
 
     def split(self, text: str) -> list[tuple[str, bool]]:
         """Words in order, and whether each is a special string."""
@@ -205,48 +268,39 @@ class WordTokenizer:
             at = m.end()
         return out + ([(text[at:], False)] if at < len(text) else [])
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Count, ids joined by spaces and decoded text of each text.
-
-        Texts are taken up to GROUP_CHARS at a time, so that their new words are cut and
-        tested together; of a longer text, BATCH_WORDS words are looked up at a time.
-        """
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                out += self._encode(group)
-                group, size = [], 0
-        return out + self._encode(group)
-
-    def _encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        cut = [[(piece if special else self.words(piece), special) for piece, special in self.split(text)] for text in texts]
-        new = dict.fromkeys(w for pieces in cut for words, special in pieces if not special for w in words if w not in self.memo)
-        if new and len(self.memo) + len(new) <= MEMO and self.held + sum(map(len, new)) <= MEMO_CHARS:
-            self.learn(list(new))
-        out = []
-        for pieces in cut:
-            count, ids, names = 0, [], []
-            for words, special in pieces:
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by spaces."""
+        out: list[list[str]] = []
+        waiting: list[tuple[int, list[str]]] = []  # place of a text and some of its pieces
+        size = 0
+
+        def settle() -> None:
+            nonlocal size
+            found = iter(self.known(list(chain.from_iterable(ps for _, ps in waiting))))
+            for i, ps in waiting:
+                out[i].append(" ".join(islice(found, len(ps))))
+            waiting.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            out.append([])
+            for part, special in self.split(text):
                 if special:
-                    count, ids, names = count + 1, [*ids, str(self.special[words])], [*names, words]
+                    settle()  # what stands before it comes first
+                    out[i].append(str(self.special[part]))
                     continue
-                for at in range(0, len(words), BATCH_WORDS):
-                    part = words[at : at + BATCH_WORDS]
-                    try:
-                        found = list(map(self.memo.__getitem__, part))
-                    except KeyError:  # the memo was full: start it anew
-                        self.memo.clear()
-                        self.held = 0
-                        self.learn(list(dict.fromkeys(part)))
-                        found = list(map(self.memo.__getitem__, part))
-                    n, i, t = zip(*found, strict=True)
-                    count += sum(n)
-                    ids.append(" ".join(i))
-                    names.append(" ".join(t))
-            out.append((count, " ".join(ids), " ".join(names)))
-        return out
+                for pieces in self.pieces(part):
+                    waiting.append((i, pieces))
+                    size += min(len(part), GROUP_CHARS)
+                    if size >= GROUP_CHARS:
+                        settle()
+        settle()
+        return [" ".join(filter(None, x)) for x in out]
+
+    def decode(self, ids: str) -> tuple[int, str]:
+        """How many ids there are, and their tokens joined as the library does without a decoder."""
+        each = ids.split()
+        return len(each), " ".join(map(self.names.__getitem__, each))
 
 
 @lru_cache(maxsize=2)
@@ -254,17 +308,33 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Encoding makes many lists and no cycles, so the collector would only walk through the memory."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
+        tok.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = [x or "" for x in batch.column(1).slice(at, 256).to_pylist()]
-                count, ids, decoded = zip(*tok.encode(texts), strict=True)
+                with no_cycles():
+                    ids = tok.encode(texts)
+                    count, decoded = zip(*map(tok.decode, ids), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 256), pa.array(count, pa.int64()), pa.array(ids, pa.large_string()).cast(pa.string()), pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        tok.forget()  # the worker lives on
 
     return run
 
