@@ -194,21 +194,57 @@ def test_exact_topk_with_ties(spark):
 
 
 def test_exact_topk_stops_early_on_skewed_lists():
-    rng = np.random.default_rng(1)
-    x = np.floor(64 * rng.standard_normal((500, 4)) ** 3)
-    got = exact_topk.search_block(x[:10], np.arange(10), x, np.arange(500), 5)
-    for i, places, scores in got:
+    """A few rows hold most of the mass: a small part of the lists tells the best, and light blocks aren't read."""
+    rng = np.random.default_rng(3)
+    heavy = np.where(rng.random((3000, 1)) < 0.02, 40, 1)
+    x = np.floor(heavy * rng.standard_exponential((3000, 12)))
+    ids = np.arange(3000)
+    got = exact_topk.search_block(x[:50], ids[:50], x, ids, 5)
+    assert len(got) == 50
+    for i, places, scores, _ in got:
         s = x @ x[i]
         s[i] = -np.inf
-        assert sorted(scores.tolist()) == sorted(np.sort(s)[-5:].tolist())
+        order = np.lexsort((ids, -s))[:5]
+        assert sorted(zip(-scores, ids[places], strict=True))[:5] == sorted(zip(-s[order].astype(int), order, strict=True))
+    assert np.mean([read for *_, read in got]) < 0.5
+    light = np.flatnonzero(heavy[:, 0] == 1)
+    floors = np.array([np.sort(np.delete(x @ x[i], i))[-5] for i in range(50)])
+    assert len(exact_topk.search_block(x[:50], ids[:50], x[light], ids[light], 5, floors)) < 25
+
+
+def test_exact_topk_reads_less_of_larger_tables():
+    rng = np.random.default_rng(8)
+    part = {}
+    for n in (500, 6000):
+        x = np.floor(8 * rng.standard_normal((n, 64)))
+        got = exact_topk.search_block(x[:40], np.arange(40), x, np.arange(n), 20)
+        part[n] = np.mean([read for *_, read in got])
+        for i, places, scores, _ in got:
+            s = np.delete(x @ x[i], i)
+            assert sorted(scores.tolist()) == np.sort(s)[-20:].astype(int).tolist() and i not in places
+    assert part[6000] < part[500] <= 1
 
 
 def test_exact_topk_of_huge_components():
     x = np.array([[2.0**70, 1.0], [2.0**70, -1.0], [-1.0, 2.0]])
-    (_, places, scores), *_ = exact_topk.search_block(x[:1], np.array([0]), x, np.array([0, 1, 2]), 5)
+    (_, places, scores, _), *_ = exact_topk.search_block(x[:1], np.array([0]), x, np.array([0, 1, 2]), 5)
     assert places.tolist() == [1, 2] and scores[0] == 2**63 - 1
 
 
+def test_exact_topk_with_a_pilot_block(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "PILOT", 100)
+    monkeypatch.setattr(exact_topk, "LEAST_BLOCK", 64)
+    x = np.random.default_rng(12).integers(-3, 4, (700, 6)).astype(float)  # many equal scores
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.exact_topk(df, k=7, query_every=20, scale=1).collect())
+    want = []
+    for i in range(0, 700, 20):
+        s = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:7]
+        want += [(i, n, int(j), int(s[j])) for n, j in enumerate(order, start=1)]
+    assert got == want
+
+
 def test_vector_edges(spark):
     exact = sorted(tuple(r) for r in exact_topk.exact_topk(odd_vectors(spark)).collect())
     assert [r[:3] for r in exact if r[0] == 0] == [(0, 1, 20), (0, 2, 7), (0, 3, 5), (0, 4, 6), (0, 5, 8)][: len([r for r in exact if r[0] == 0])]

@@ -1,22 +1,30 @@
 """Exact top-k search by aggregation without random access (operator 4).
 
-Each block of candidates has a sorted list for every dimension and sign: contributions of
-a positive query component fall along the descending list, of a negative one along the
-ascending list. All lists are read to the same depth. What a candidate has shown so far
-gives its lower bound with the list's last value in the unseen places, and its upper bound
-with the value at the reading front. For many queries at once both bounds are products of
-matrices, as the unseen places of a column are exactly those behind its front. Reading
-goes deeper only for queries where more outsiders than a few still reach the k-th lower
-bound; the scores of those left are resolved at the end. Lists are read in ever deeper
-blocks, down to their ends if need be, so the result is exact.
+Each block of candidates has a sorted list for every dimension and sign: contributions of a
+positive query component fall along the descending list, of a negative one along the
+ascending list. All lists of a query are read to the same depth, and no deeper than its
+bounds ask for:
+
+* What a candidate has shown by some depth, with the value at the reading front in its unseen
+  places, is its upper bound: max(x, front) times a positive component, min(x, front) times
+  a negative one. A block whose best bound of all, at the lists' heads, is too low isn't read.
+* The lower bound of a query's k-th best score is the best of: the k-th score found in a
+  pilot block before, and the k-th of the scores of those in the lead at some depth in this
+  block, which are resolved at once.
+* After the first depth a query reads to where an outsider that no list has shown can't qualify any more, and
+  where a few rows of the block say that few of the seen can. If more than LEFT of the block
+  still can, it reads on, at last to the lists' ends; else the scores of those left are
+  resolved. So the result is exact, and `read` says which part of the lists it took.
 
 Query blocks meet candidate blocks on a grid, each block small enough for one task; the
 partial lists of a query, k for each candidate block, are merged by rank.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take no part,
 nor rows without id; repeated ids count once (smallest vector); shorter vectors are
-padded with zeros; an empty table gives no rows; sums beyond 2**53 are computed with whole
-numbers of any size and clipped to a long.
+padded with zeros; an empty table gives no rows; equal scores go to smaller ids, so that a
+candidate whose bound equals the k-th score stays; sums beyond 2**53 are computed with whole
+numbers of any size and clipped to a long; only vec_id and embedding are read, so further
+columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -29,10 +37,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import materialise, shuffle_partitions
 from tidemill.llm.vectors import best, is_query, matrix, ranked, usable
 
-#: Rows of a query block; least and most rows of a candidate block; queries multiplied at once.
-QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK, STRIP = 2048, 256, 8192, 256
-#: Shares of the lists at which bounds are compared.
-DEPTHS = (0.5, 0.8, 1.0)
+#: Rows of a query block; least and most rows of a candidate block; queries multiplied at once; rows of the pilot block.
+QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK, STRIP, PILOT = 8192, 512, 8192, 256, 4096
+#: Shares of the lists at which reading can stop; rows of a block that tell how deep to read.
+DEPTHS, SCOUTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 64
+#: Place in DEPTHS of the first stop of queries without a bound; share of a block whose scores are resolved without reading on.
+FIRST, LEFT = 3, 0.1
 
 
 def quantise(x: np.ndarray, scale: int) -> np.ndarray:
@@ -48,9 +58,60 @@ def _whole(a: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in a], object).reshape(a.shape)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query place, candidate places, scores) with each query's k best of this block."""
+class Lists:
+    """The sorted lists of a block of rows."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.sorted = x, np.sort(x, axis=0)
+        self.fronts = np.array([np.hstack(self.front(t)) for t in DEPTHS])
+        self.heads = np.hstack([self.sorted[-1], self.sorted[0]])
+
+    def front(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Last values read, of the descending and of the ascending lists."""
+        last = max(int(np.ceil(share * len(self.x))) - 1, 0)
+        return self.sorted[len(self.x) - 1 - last], self.sorted[last]
+
+    def known(self, share: float, rows: slice = slice(None)) -> np.ndarray:
+        """What has been read of rows, the fronts in unseen places: the factors of upper bounds."""
+        down, up = self.front(share)
+        return np.hstack([np.maximum(self.x[rows], down), np.minimum(self.x[rows], up)])
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row; minus infinity if there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def _led(q: np.ndarray, x: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of the k-th best score: that of the candidates with the highest upper bounds."""
+    n = len(x)
+    lead = np.argpartition(upper, -2 * k, axis=1)[:, -2 * k :] if n > 2 * k else np.broadcast_to(np.arange(n), upper.shape)
+    scores = np.einsum("qd,qld->ql", q, x[lead])
+    scores[np.take_along_axis(upper, lead, axis=1) == -np.inf] = -np.inf
+    return _kth(scores, k)
+
+
+def _next_depth(split: np.ndarray, lists: Lists, floor: np.ndarray) -> np.ndarray:
+    """For each query the least depth (place in DEPTHS) worth stopping at."""
+    outsider = split @ lists.fronts.T >= floor[:, None]
+    depth = outsider.sum(axis=1)  # bounds fall with depth
+    for place in range(len(DEPTHS) - 1):
+        here = np.flatnonzero(depth == place)
+        if len(here):
+            open_ = split[here] @ lists.known(DEPTHS[place], slice(SCOUTS)).T >= floor[here, None]
+            depth[here[open_.mean(axis=1) > LEFT]] += 1
+    return np.minimum(depth, len(DEPTHS) - 1)
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(query place, candidate places, scores, share of the lists read): each query's k best of this block.
+
+    floors: scores that k other candidates of the query have reached; what is lower may be left out.
+    """
     kind = _exact_type(q, x)
+    floors = np.full(len(q), -np.inf) if floors is None else floors
     if kind is object:
         q, x = _whole(q), _whole(x)
         out = []
@@ -58,75 +119,78 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
             ok = np.flatnonzero(x_ids != q_ids[i])
             s = np.array([sum(a * b for a, b in zip(q[i], x[j], strict=True)) for j in ok], object)
             order = sorted(range(len(ok)), key=lambda j: (-s[j], x_ids[ok[j]]))[:k]
-            out.append((i, ok[order], np.array([min(max(s[j], -(2**63)), 2**63 - 1) for j in order], np.int64)))
+            out.append((i, ok[order], np.array([min(max(s[j], -(2**63)), 2**63 - 1) for j in order], np.int64), 1.0))
         return out
     q, x = q.astype(kind), x.astype(kind)
     n = len(x)
-    lists = np.sort(x, axis=0)
-    worst = np.hstack([np.broadcast_to(lists[0], x.shape), np.broadcast_to(lists[-1], x.shape)])
-    both = np.hstack([x, x])
-    d = x.shape[1]
-    fronts = []
-    for share in DEPTHS:
-        t = max(int(np.ceil(share * n)) - 1, 0)
-        down, up = lists[n - 1 - t], lists[t]
-        seen = np.hstack([x >= down, x <= up])
-        front = np.hstack([np.broadcast_to(down, x.shape), np.broadcast_to(up, x.shape)])
-        fronts.append((np.where(seen, both, worst).T.copy(), np.where(seen, both, front).T.copy()))
+    lists = Lists(x)
+    split = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
     out = []
-    for at in range(0, len(q), STRIP):
-        part = q[at : at + STRIP]
-        split = np.hstack([np.maximum(part, 0), np.minimum(part, 0)])
-        own = q_ids[at : at + STRIP, None] == x_ids[None, :]
-        open_ = np.arange(len(part))
-        for share, (low, high) in zip(DEPTHS, fronts, strict=True):
-            lower = split[open_] @ low
-            upper = lower if share == 1 else split[open_] @ high
-            lower = np.where(own[open_], -np.inf, lower)
-            upper = np.where(own[open_], -np.inf, upper)
-            floor = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-            alive = (upper >= floor[:, None]) & ~own[open_]
-            stop = (alive.sum(axis=1) <= 2 * k) | (share == 1)
-            for r in np.flatnonzero(stop):
-                i = open_[r]
+    todo = np.flatnonzero(split @ lists.heads >= floors)
+    floors = floors.copy()
+    depth = _next_depth(split, lists, floors)
+    depth[floors == -np.inf] = FIRST
+    for place, share in enumerate(DEPTHS):
+        here = todo[depth[todo] == place]
+        factors = lists.known(share).T.copy() if len(here) else None
+        for at in range(0, len(here), STRIP):
+            part = here[at : at + STRIP]
+            upper = split[part] @ factors
+            upper[q_ids[part, None] == x_ids[None, :]] = -np.inf
+            floors[part] = np.maximum(floors[part], _led(q[part], x, upper, k))
+            alive = (upper >= floors[part, None]) & (upper > -np.inf)
+            deeper = (alive.sum(axis=1) > max(LEFT * n, 2 * k)) & (share < 1)
+            again = part[deeper]
+            depth[again] = np.maximum(_next_depth(split[again], lists, floors[again]), place + 1)
+            for r in np.flatnonzero(~deeper):
                 places = np.flatnonzero(alive[r])
-                scores = (part[i] * x[places]).sum(axis=1, dtype=np.float64)
-                top = best(scores, x_ids[places], k)
-                out.append((at + int(i), places[top], scores[top].astype(np.int64)))
-            open_ = open_[~stop]
-            if not len(open_):
-                break
+                exact = (q[part[r]] * x[places]).sum(axis=1, dtype=np.float64)
+                top = best(exact, x_ids[places], k)
+                out.append((int(part[r]), places[top], exact[top].astype(np.int64), share))
     return out
 
 
-def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
-    spark = vectors.sparkSession
-    rows = materialise(usable(vectors), "vectors")
-    n, nq, dim = rows.agg(F.count("*"), F.count_if(is_query(query_every)), F.max(F.size("embedding"))).first()
-    dim = max(dim or 0, 1)
-    cb = max(-(-n // MOST_BLOCK), min(-(-n // LEAST_BLOCK), 2 * shuffle_partitions(spark)), 1)
-    qb = max(-(-nq // QUERY_BLOCK), 1)
+def _grid(asked: DataFrame, given: DataFrame, sizes: tuple[int, int], dim: int, scale: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of each candidate block; asked(vec_id, embedding, floor)."""
+    qb, cb = sizes
     spread = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = rows.where(is_query(query_every)).select(spread(qb).alias("q"), every(cb).alias("c"), "vec_id", "embedding", F.lit(True).alias("asked"))
-    given = rows.select(every(qb).alias("q"), spread(cb).alias("c"), "vec_id", "embedding", F.lit(False).alias("asked"))
+    asked = asked.select(spread(qb).alias("q"), every(cb).alias("c"), "vec_id", "embedding", "floor", F.lit(True).alias("asked"))
+    given = given.select(every(qb).alias("q"), spread(cb).alias("c"), "vec_id", "embedding", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("asked"))
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("asked").to_numpy()
         ids = table.column("vec_id").to_numpy()
         values = quantise(matrix(table.column("embedding"), dim), scale)
+        floors = table.column("floor").to_pandas().fillna(-np.inf).to_numpy()
         q_ids, x_ids = ids[side], ids[~side]
-        found = search_block(values[side], q_ids, values[~side], x_ids, k) if len(q_ids) and len(x_ids) else []
-        sizes = [len(p) for _, p, _ in found]
+        found = search_block(values[side], q_ids, values[~side], x_ids, k, floors[side]) if len(q_ids) and len(x_ids) else []
+        sizes = [len(f[1]) for f in found]
         none = [np.empty(0, np.int64)]
         return pa.table(
             {
-                "query_id": np.repeat(q_ids[[i for i, _, _ in found]], sizes) if found else none[0],
-                "vec_id": np.concatenate([x_ids[p] for _, p, _ in found] or none),
-                "score": np.concatenate([s for _, _, s in found] or none),
+                "query_id": np.repeat(q_ids[[f[0] for f in found]], sizes) if found else none[0],
+                "vec_id": np.concatenate([x_ids[f[1]] for f in found] or none),
+                "score": np.concatenate([f[2] for f in found] or none),
             }
         )
 
-    found = asked.unionByName(given).groupBy("q", "c").applyInArrow(run, "query_id long, vec_id long, score long")
-    return ranked(found, k)
+    return asked.unionByName(given).groupBy("q", "c").applyInArrow(run, "query_id long, vec_id long, score long")
+
+
+def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
+    spark = vectors.sparkSession
+    rows = materialise(usable(vectors), "vectors")
+    n, nq, dim = rows.agg(F.count("*"), F.count_if(is_query(query_every)), F.max(F.size("embedding"))).first()
+    dim = max(dim or 0, 1)
+    cb = max(-(-n // MOST_BLOCK), min(-(-n // LEAST_BLOCK), 2 * shuffle_partitions(spark)), 1)
+    qb = max(-(-nq // QUERY_BLOCK), 1)
+    asked = rows.where(is_query(query_every)).withColumn("floor", F.lit(None).cast("double"))
+    if n > 2 * PILOT:
+        pilot = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT)
+        few = max(-(-nq // (STRIP * 4)), 1)  # more tasks: each has one small candidate block
+        first = ranked(_grid(asked, pilot, (few, 1), dim, scale, k), k).where(F.col("rank") == k)
+        first = first.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+        asked = materialise(asked.drop("floor").join(first, "vec_id", "left"), "asked")
+    return ranked(_grid(asked, rows, (qb, cb), dim, scale, k), k)
