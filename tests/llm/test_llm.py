@@ -1,5 +1,6 @@
 """Operators of the llm subpackage: oracle SQL, brute force, recall, held-out accuracy and edge cases."""
 
+import itertools
 import math
 import random
 import zlib
@@ -301,6 +302,61 @@ def test_ann_recall_outside_large_groups_of_copies(spark, shares, rows, noise):
     assert len(got) == len(ids[::20]) * 20 and found[::20].mean() >= 0.95 * 20 and found[::20].min() >= 0.7 * 20
 
 
+def reranked(x, queries):
+    """Share of rows in a visited bucket, recall of the 20 best in them, and functions of a table."""
+    n = len(x)
+    index = ann.fitted(np.arange(n)[: ann.SAMPLE], x[: ann.SAMPLE], float(np.sqrt((x**2).sum(axis=1)).max()), n, 20)
+    place, asked = index.place(index.lifted(x)), index.place(index.scaled(x[queries]))
+    hit = np.zeros((len(queries), n), bool)
+    for t in range(ann.TABLES):
+        _, bucket = index.keys(np.floor(place[:, t]))
+        who, cells = index.visits(asked[:, t])
+        _, visited = index.keys(cells)
+        for q in range(len(queries)):
+            hit[q] |= np.isin(bucket, visited[who == q])
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    return hit.mean(), np.take_along_axis(hit, np.argsort(-s, axis=1)[:, :20], axis=1).mean(), index.hashes
+
+
+def test_ann_reranks_a_smaller_part_of_larger_tables():
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((30_000, 64))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    parts = {n: reranked(x[:n], np.arange(40)) for n in (500, 4000, 30_000)}
+    shares = [p[0] for p in parts.values()]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.65
+    assert all(recall >= 0.9 for _, recall, _ in parts.values()) and [p[2] for p in parts.values()] == [6, 8, 11]
+    near = (np.repeat(x[:100], 300, axis=0) + 0.05 * rng.standard_normal((30_000, 64)))[rng.permutation(30_000)]  # groups far from each other
+    share, recall, _ = reranked(near / np.sqrt((near**2).sum(axis=1, keepdims=True)), np.arange(40))
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_ann_visits_the_likeliest_buckets_first():
+    x = np.random.default_rng(5).standard_normal((300, 6))
+    index = ann.fitted(np.arange(300), x, float(np.sqrt((x**2).sum(axis=1)).max()), 300, 5)
+    asked = index.place(index.scaled(x[:20]))[:, 0]
+    who, cells = index.visits(asked)
+    steps = np.array(list(itertools.product((-1, 0, 1), repeat=index.hashes)))
+    for q in range(20):
+        wall = (np.floor(asked[q]) + steps - asked[q]) * index.width / index.radius
+        p = np.prod([[math.erf((w + ann.WIDTH) / 2**0.5) - math.erf(w / 2**0.5) for w in row] for row in wall], axis=1) / 2**index.hashes
+        order = np.argsort(-p)
+        need = int((np.cumsum(p[order]) - p[order] < ann.TARGET).sum())
+        assert {tuple(c) for c in cells[who == q]} == {tuple(c) for c in np.floor(asked[q]) + steps[order[:need]]}
+
+
+def test_ann_of_huge_and_tiny_components(spark):
+    x = np.random.default_rng(13).standard_normal((300, 8))
+    for factor in (1e150, 1e-150, 1e200):
+        df = spark.createDataFrame([(i, (v * factor).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = [r.vec_id for r in ann.ann_topk(df, k=5).where("query_id = 20").orderBy("rank").collect()]
+        assert len(got) == len(set(got)) <= 5
+        if factor < 1e200:
+            s = np.delete(x @ x[20], 20)
+            assert sum(x[i] @ x[20] >= np.sort(s)[-5] for i in got) >= 4
+
+
 def test_ann_gives_all_candidates_if_fewer(spark):
     rng = np.random.default_rng(6)
     groups = np.repeat(rng.standard_normal((6, 16)), 3, axis=0) + 1e-3 * rng.standard_normal((18, 16))

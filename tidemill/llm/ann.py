@@ -2,26 +2,35 @@
 
 Nearness is the inner product, so candidates get one more coordinate that lifts all of
 them to the largest norm, and queries are scaled to it; then the nearest in distance are
-the largest in inner product. A table has HASHES functions floor((a.v + b) / width) with
-normal a. For a query the probability that a neighbour falls into a bucket is estimated
+the largest in inner product. A table has some functions floor((a.v + b) / width) with
+normal a; their number grows with the logarithm of the rows, so that buckets stay small.
+For a query the probability that a neighbour falls into a bucket is estimated
 from where the query's projections lie between the bucket's walls and from the distance
 of near neighbours in a bounded sample; buckets are visited in falling order of it until
 the visited ones hold TARGET of the probability. Candidates of a visited bucket are
 reranked by the exact inner product in double precision, and the tables' lists merged.
 
+The first few functions of a table, more with more rows, deal rows and queries to tasks; a
+query goes once to each coarse cell that holds buckets it visits, with their keys, and meets only rows of those
+buckets there. What a task gives back is bounded by k rows a query, and by the k-th score
+that the query has in the sample.
+
 A query whose near rows lie beyond FAR times the fitted distance has no bucket to visit; it
 and any other query with fewer than k rows, if there are more, are compared with all rows,
 in blocks.
 
-Buckets of any size are whole: one with many rows is dealt into chunks, each of which all
-queries that visit the bucket see, so nothing is capped.
+Buckets of any size are whole: a cell with many rows is dealt into chunks, each of which all
+queries that visit the cell see, so nothing is capped.
 
 The sample (SAMPLE rows, by hash of the id) fits only the neighbour distance; all rows are
 indexed. Recall is measured against brute force in tests/llm and the README.
 
 Edge cases: vectors that are null, all zeros, or hold null, NaN or infinite components take
 no part, nor rows without id; repeated ids count once (smallest vector); shorter vectors
-are padded with zeros; an empty table gives no rows.
+are padded with zeros; an empty table gives no rows; equal scores go to smaller ids; hashing
+works on components scaled by the largest of all, so that no norm overflows, and pairs whose
+product does and is no number are left out; only vec_id
+and embedding are read, so further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -38,12 +47,14 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import light, materialise, shuffle_partitions
 from tidemill.llm.vectors import best, is_query, matrix, ranked, usable
 
-TABLES, HASHES, TARGET, SAMPLE = 4, 2, 0.62, 1024
+TABLES, TARGET, SAMPLE = 14, 0.16, 2048
+#: Functions of a table, within these, for each doubling of the rows; cell width in radii.
+LEAST_HASHES, MOST_HASHES, SLOPE, WIDTH = 2, 14, 0.75, 2.0
+#: Buckets of a table that a query visits at most, and cells on either side of its own that are considered.
+PROBES, REACH = 1024, 1
 LEAST_CHUNK, MOST_CHUNK, STRIP = 256, 8192, 512
-#: Cells on either side of a query's own that are considered, in each hash function.
-REACH = 4
 #: Near rows are this share of all, or k if that is more; a query that has them only beyond FAR radii is searched exactly.
-SHARE, FAR = 0.02, 1.25
+SHARE, FAR = 0.004, 1.25
 
 
 @dataclass
@@ -55,12 +66,16 @@ class Index:
     n: int  # rows
     sample: np.ndarray  # lifted rows
     sample_ids: np.ndarray
+    scale: float = 1.0  # largest component; what is hashed is in its units
 
     def __post_init__(self):
         rng = np.random.default_rng(20260101)
-        self.a = rng.standard_normal((self.dim + 1, TABLES * HASHES))
-        self.width = self.radius
-        self.b = rng.uniform(0, self.width, TABLES * HASHES)
+        self.hashes = min(max(round(SLOPE * math.log2(max(self.n, 1)) - 0.5), LEAST_HASHES), MOST_HASHES)
+        # A function halves its rows and a little more; coarse cells are to hold a chunk.
+        self.coarse = min(max(round(math.log2(max(self.n / MOST_CHUNK, 1)) / 1.3), 1), self.hashes)
+        self.a = rng.standard_normal((self.dim + 1, TABLES * self.hashes))
+        self.width = WIDTH * self.radius
+        self.b = rng.uniform(0, self.width, TABLES * self.hashes)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.top**2 - (x**2).sum(axis=1, keepdims=True), 0))
@@ -78,32 +93,63 @@ class Index:
         return np.sqrt(np.partition(d2, at, axis=1)[:, at])
 
     def place(self, v: np.ndarray) -> np.ndarray:
-        """Projections in cell widths: rows x TABLES x HASHES."""
-        return ((v @ self.a + self.b) / self.width).reshape(-1, TABLES, HASHES)
+        """Projections in cell widths: rows x TABLES x functions."""
+        return ((v @ self.a + self.b) / self.width).reshape(-1, TABLES, self.hashes)
 
-    def key(self, cells: np.ndarray) -> np.ndarray:
-        """One number for the cells of a table's functions."""
+    def keys(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the coarse cell and of the bucket, for the cells of a table's functions."""
         out = np.zeros(cells.shape[:-1], np.int64)
-        for i in range(HASHES):
-            out = out * 100_003 + np.clip(cells[..., i], -50_000, 50_000).astype(np.int64)
-        return out
+        coarse = out
+        for i in range(self.hashes):
+            with np.errstate(over="ignore"):
+                out = out * 1_000_003 + np.clip(cells[..., i], -50_000, 50_000).astype(np.int64)
+            if i == self.coarse - 1:
+                coarse = out
+        return coarse, out
 
     def visits(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Query places and bucket keys to visit, for projections of one table."""
+        """Query places and the cells of the buckets to visit, for projections of one table.
+
+        The cells of one function after the other are multiplied in, and the PROBES best
+        beginnings kept: the best buckets begin with the best beginnings.
+        """
         cell = np.floor(place)
         steps = np.arange(-REACH, REACH + 1)
-        wall = (cell[:, :, None] + steps - place[:, :, None]) * self.width / self.radius
-        erf = np.vectorize(math.erf)
-        edge = 0.5 * (1 + erf(np.concatenate([wall, wall[:, :, -1:] + self.width / self.radius], axis=2) / math.sqrt(2)))
-        mass = np.diff(edge, axis=2)  # queries x HASHES x steps
-        joint, cells = mass[:, 0], steps[:, None]
-        for i in range(1, HASHES):
-            joint = (joint[:, :, None] * mass[:, i][:, None, :]).reshape(len(place), -1)
-            cells = np.hstack([np.repeat(cells, len(steps), axis=0), np.tile(steps, len(cells))[:, None]])
+        wall = (cell[:, :, None] + np.append(steps, REACH + 1) - place[:, :, None]) * (self.width / self.radius)
+        mass = np.diff(normal(wall), axis=2)  # queries x functions x steps
+        joint, chosen = np.ones((len(place), 1)), np.zeros((len(place), 1, 0), np.int8)
+        for i in range(self.hashes):
+            joint = (joint[:, :, None] * mass[:, i, None, :]).reshape(len(place), -1)
+            m = min(joint.shape[1], PROBES)
+            best_ = np.argpartition(-joint, m - 1, axis=1)[:, :m]
+            joint = np.take_along_axis(joint, best_, axis=1)
+            before = np.take_along_axis(chosen, (best_ // len(steps))[:, :, None], axis=1)
+            chosen = np.concatenate([before, steps[best_ % len(steps)][:, :, None].astype(np.int8)], axis=2)
         order = np.argsort(-joint, axis=1, kind="stable")
-        before = np.cumsum(np.take_along_axis(joint, order, axis=1), axis=1) - np.take_along_axis(joint, order, axis=1)
-        who, which = np.nonzero(before < TARGET)
-        return who, self.key(cell[who] + cells[order[who, which]])
+        joint = np.take_along_axis(joint, order, axis=1)
+        who, which = np.nonzero(np.cumsum(joint, axis=1) - joint < TARGET)
+        return who, cell[who] + chosen[who, order[who, which]]
+
+    def floor(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+        """The k-th inner product that queries have in the sample; minus infinity if there are fewer.
+
+        Only for tables many times the sample: the rows left then are many times k.
+        """
+        x = self.sample[:, : self.dim]
+        s = q @ x.T
+        s[ids[:, None] == self.sample_ids[None, :]] = -np.inf
+        if s.shape[1] < k or self.n < 8 * SAMPLE:
+            return np.full(len(q), -np.inf)
+        return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+
+
+_GRID = np.linspace(-8, 8, 16_001)
+_NORMAL = np.array([0.5 * (1 + math.erf(z / math.sqrt(2))) for z in _GRID])
+
+
+def normal(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, good to 1e-7."""
+    return np.interp(z, _GRID, _NORMAL, 0, 1)
 
 
 def fit(rows: DataFrame, k: int) -> Index | None:
@@ -112,50 +158,124 @@ def fit(rows: DataFrame, k: int) -> Index | None:
     Nine in ten of the sampled rows have their share of rows within the radius, so that groups
     of copies, however many rows they hold, leave it to the other rows if these are a tenth.
     """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    n, dim, top = rows.agg(F.count("*"), F.max(F.size("embedding")), F.max(norm)).first()
+    n, dim, scale = rows.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).first()
     if not dim:
         return None
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / F.lit(scale), F.lit(2.0)))
+    top = rows.agg(F.max(F.sqrt(square))).first()[0]
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
-    return fitted(some.column(0).to_numpy(), matrix(some.column(1), dim), top, n, k)
+    return fitted(some.column(0).to_numpy(), matrix(some.column(1), dim) / scale, top, n, k, scale)
 
 
-def fitted(ids: np.ndarray, x: np.ndarray, top: float, n: int, k: int) -> Index:
-    """The index of n rows, of which x are a sample."""
-    index = Index(x.shape[1], top, top, min(max(SHARE, k / max(n - 1, 1)), 1), n, np.empty(0), ids)
+def fitted(ids: np.ndarray, x: np.ndarray, top: float, n: int, k: int, scale: float = 1.0) -> Index:
+    """The index of n rows, of which x are a sample; rows and norms in units of scale."""
+    index = Index(x.shape[1], top, top, min(max(SHARE, k / max(n - 1, 1)), 1), n, np.empty(0), ids, scale)
     index.sample = index.lifted(x)
-    own = index.own_radius(index.scaled(x[:256]), ids[:256])
+    own = index.own_radius(index.scaled(x[:512]), ids[:512])
     own = own[np.isfinite(own)]
     return replace(index, radius=max(float(np.quantile(own, 0.9)), 1e-3 * top) if len(own) else top)
 
 
-def _hashed(index: Index, asked: bool):
+def _given(index: Index):
+    """Rows with their coarse cell and bucket in each table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, STRIP):
                 part = batch.slice(at, STRIP)
-                x = matrix(part.column(1), index.dim)
-                v = index.scaled(x) if asked else index.lifted(x)
-                if asked:
-                    near = np.flatnonzero(index.own_radius(v, part.column(0).to_numpy()) <= FAR * index.radius)
-                    part, x, v = part.take(pa.array(near)), x[near], v[near]
-                if not len(x):
-                    continue
-                place = index.place(v)
+                place = index.place(index.lifted(matrix(part.column(1), index.dim) / index.scale))
                 for t in range(TABLES):
-                    if asked:
-                        who, keys = index.visits(place[:, t])
-                    else:
-                        who, keys = np.arange(len(x)), index.key(np.floor(place[:, t]))
-                    take = pa.array(who)
+                    coarse, fine = index.keys(np.floor(place[:, t]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), t, np.int32)), pa.array(keys), part.column(0).take(take), part.column(1).take(take)],
-                        names=["t", "bucket", "vec_id", "embedding"],
+                        [pa.array(np.full(len(fine), t, np.int32)), pa.array(coarse), pa.array(fine), part.column(0), part.column(1)], names=["t", "cell", "bucket", "vec_id", "embedding"]
                     )
 
     return run
 
 
+def _asked(index: Index, k: int):
+    """Queries with the coarse cells they visit in each table, the buckets there, and a bound of their k-th score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STRIP):
+                part = batch.slice(at, STRIP)
+                x, ids = matrix(part.column(1), index.dim) / index.scale, part.column(0).to_numpy()
+                v = index.scaled(x)
+                near = np.flatnonzero(index.own_radius(v, ids) <= FAR * index.radius)
+                part, place, floor = part.take(pa.array(near)), index.place(v[near]), index.floor(x[near], ids[near], k)
+                for t in range(TABLES if len(near) else 0):
+                    who, cells = index.visits(place[:, t])
+                    coarse, fine = index.keys(cells)
+                    order = np.lexsort((fine, coarse, who))
+                    who, coarse, fine = who[order], coarse[order], fine[order]
+                    first = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(coarse, prepend=coarse[0] - 1) != 0))
+                    take = pa.array(who[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(first), t, np.int32)), pa.array(coarse[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(fine)), pa.int32()), pa.array(fine)),
+                            pa.array(floor[who[first]]), part.column(0).take(take), part.column(1).take(take),
+                        ],
+                        names=["t", "cell", "buckets", "floor", "vec_id", "embedding"],
+                    )
+
+    return run
+
+
+def _rerank(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and of rows among which the k best of each query are; few if floors are good."""
+    out_q, out_x = [], []
+    for at in range(0, len(q), STRIP):
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = q[at : at + STRIP] @ x.T
+        rough[np.isnan(rough) | (q_ids[at : at + STRIP, None] == x_ids[None, :])] = -np.inf
+        least = floor[at : at + STRIP]
+        if len(x) > 4 * k:
+            least = np.maximum(least, np.partition(rough, len(x) - k, axis=1)[:, len(x) - k])
+        slack = 1e-12 * (1 + np.abs(rough).max(axis=1, where=np.isfinite(rough), initial=0))
+        keep = (rough >= (least - slack)[:, None]) & (rough > -np.inf)
+        for i in np.flatnonzero(keep.sum(axis=1) > 4 * k):  # many equal scores
+            places = np.flatnonzero(keep[i])
+            keep[i] = False
+            keep[i, places[best((q[at + i] * x[places]).sum(axis=1), x_ids[places], k)]] = True
+        i, j = np.nonzero(keep)
+        out_q.append(i + at)
+        out_x.append(j)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_q]), np.concatenate([none, *out_x])
+
+
+def search_cell(q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, bucket: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, row ids and scores: each query's k best among the rows of the buckets it visits."""
+    order = np.argsort(bucket, kind="stable")
+    x, x_ids, bucket = x[order], x_ids[order], bucket[order]
+    keys, starts = np.unique(bucket, return_index=True)
+    ends = np.append(starts[1:], len(bucket))
+    who = np.repeat(np.arange(len(q)), list(map(len, visits)))
+    asked = np.concatenate([np.empty(0, np.int64), *visits])
+    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[place] == asked
+    who, place = who[hit], place[hit]
+    order = np.argsort(place, kind="stable")
+    who, place = who[order], place[order]
+    pairs = []
+    for group in np.split(np.arange(len(who)), np.flatnonzero(np.diff(place)) + 1) if len(who) else []:
+        qs, rows = who[group], slice(starts[place[group[0]]], ends[place[group[0]]])
+        i, j = _rerank(q[qs], q_ids[qs], x[rows], x_ids[rows], floor[qs], k)
+        pairs.append((qs[i], j + rows.start))
+    none = np.empty(0, np.int64)
+    i, j = (np.concatenate([none, *[p[side] for p in pairs]]) for side in (0, 1))
+    score = np.empty(len(i))
+    for at in range(0, len(i), 65_536):
+        with np.errstate(over="ignore", invalid="ignore"):
+            score[at : at + 65_536] = (q[i[at : at + 65_536]] * x[j[at : at + 65_536]]).sum(axis=1)
+    order = np.lexsort((x_ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.searchsorted(i, i)
+    top = np.arange(len(i)) - first < k
+    return q_ids[i[top]], x_ids[j[top]], score[top]
+
+
 def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query."""
     spark = vectors.sparkSession
@@ -164,41 +284,33 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = dict(rows.dtypes)["embedding"]
-    schema = f"t int, bucket long, vec_id long, embedding {kind}"
-    given = materialise(rows.mapInArrow(_hashed(index, False), schema), "buckets")
-    asked = rows.where(is_query(query_every)).mapInArrow(_hashed(index, True), schema)
-
-    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, given.count() // (4 * shuffle_partitions(spark))))
-    sizes = light(materialise(given.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "sizes"))
-    given = given.join(sizes, ["t", "bucket"]).withColumn("chunk", F.expr("pmod(xxhash64(vec_id), chunks)"))
-    asked = asked.join(sizes, ["t", "bucket"]).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-    mark = lambda df, side: df.select("t", "bucket", "chunk", "vec_id", "embedding", F.lit(side).alias("asked"))
+    given = materialise(rows.mapInArrow(_given(index), f"t int, cell long, bucket long, vec_id long, embedding {kind}"), "buckets")
+    asked = rows.where(is_query(query_every)).mapInArrow(_asked(index, k), f"t int, cell long, buckets array<long>, floor double, vec_id long, embedding {kind}")
+
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, index.n * TABLES // (4 * shuffle_partitions(spark))))
+    sizes = light(materialise(given.groupBy("t", "cell").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "sizes"))
+    given = given.join(sizes, ["t", "cell"]).withColumn("chunk", F.expr("pmod(xxhash64(vec_id), chunks)"))
+    asked = asked.join(sizes, ["t", "cell"]).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    given = given.withColumns({"buckets": F.array("bucket"), "floor": F.lit(None).cast("double"), "asked": F.lit(False)})
     dim = index.dim
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("asked").to_numpy()
         ids = table.column("vec_id").to_numpy()
         x = matrix(table.column("embedding"), dim)
-        q, q_ids, x, x_ids = x[side], ids[side], x[~side], ids[~side]
-        who, which, score = [], [], []
-        for at in range(0, len(q) if len(x) else 0, STRIP):
-            rough = q[at : at + STRIP] @ x.T
-            rough[q_ids[at : at + STRIP, None] == x_ids[None, :]] = -np.inf
-            floor = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(rough), -np.inf)
-            slack = 1e-12 * (1 + np.abs(rough).max(axis=1, where=np.isfinite(rough), initial=0))
-            keep = (rough >= (floor - slack)[:, None]) & np.isfinite(rough)
-            for i in np.flatnonzero(keep.any(axis=1)):
-                places = np.flatnonzero(keep[i])
-                exact = (q[at + i] * x[places]).sum(axis=1)
-                top = best(exact, x_ids[places], k)
-                who.append(np.full(len(top), q_ids[at + i]))
-                which.append(x_ids[places[top]])
-                score.append(exact[top])
-        none = np.empty(0, np.int64)
-        return pa.table({"query_id": np.concatenate([none, *who]), "vec_id": np.concatenate([none, *which]), "score": np.concatenate([np.empty(0), *score])})
+        lists = table.column("buckets").combine_chunks()
+        keys, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        visits = [keys[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(side)]
+        floor = table.column("floor").to_pandas().fillna(-np.inf).to_numpy()[side]
+        # The bound is of scaled scores; what rounding does to it is left open.
+        unit = index.scale * index.scale
+        floor = (floor - 1e-9 * np.abs(floor)) * unit if 0 < unit < np.inf else np.full(len(floor), -np.inf)
+        out = search_cell(x[side], ids[side], visits, floor, x[~side], ids[~side], keys[offsets[:-1][~side]], k) if side.any() and not side.all() else ([], [], [])
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     def meet(asked: DataFrame, given: DataFrame) -> DataFrame:
-        found = mark(asked, True).unionByName(mark(given, False)).groupBy("t", "bucket", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
+        names = ["t", "cell", "chunk", "buckets", "floor", "vec_id", "embedding", "asked"]
+        found = asked.withColumn("asked", F.lit(True)).select(names).unionByName(given.select(names)).groupBy("t", "cell", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
         return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
     found = materialise(meet(asked, given), "found")
@@ -210,7 +322,8 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
     blocks, chunks = math.ceil(left / MOST_CHUNK), math.ceil(index.n / chunk)
     part = lambda n: F.expr(f"pmod(xxhash64(vec_id), {n}L)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    rest = short.select("*", part(blocks).alias("t"), F.lit(0).alias("bucket"), every(chunks).alias("chunk"))
-    all_rows = rows.select("*", every(blocks).alias("t"), F.lit(0).alias("bucket"), part(chunks).alias("chunk"))
+    plain = {"cell": F.lit(0).cast("long"), "buckets": F.array(F.lit(0).cast("long")), "floor": F.lit(None).cast("double")}
+    rest = short.withColumns(plain | {"t": part(blocks), "chunk": every(chunks)})
+    all_rows = rows.withColumns(plain | {"t": every(blocks), "chunk": part(chunks), "asked": F.lit(False)})
     done = light(short.select(F.col("vec_id").alias("query_id")))
     return found.join(done, "query_id", "left_anti").unionByName(meet(rest, all_rows))
