@@ -12,8 +12,8 @@ reranked by the exact inner product in double precision, and the tables' lists m
 
 The first few functions of a table, more with more rows, deal rows and queries to tasks; a
 query goes once to each coarse cell that holds buckets it visits, with their keys, and meets only rows of those
-buckets there. What a task gives back is bounded by k rows a query, and by the k-th score
-that the query has in the sample.
+buckets there. What a task gives back is bounded by k rows a query, and by the score and id of
+the k-th row that the query has in a part of the sample.
 
 A query whose near rows lie beyond FAR times the fitted distance has no bucket to visit; it
 and any other query with fewer than k rows, if there are more, are compared with all rows,
@@ -47,14 +47,18 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import light, materialise, shuffle_partitions
 from tidemill.llm.vectors import best, is_query, matrix, ranked, usable
 
-TABLES, TARGET, SAMPLE = 14, 0.16, 2048
+TABLES, TARGET, SAMPLE = 10, 0.25, 2048
 #: Functions of a table, within these, for each doubling of the rows; cell width in radii.
 LEAST_HASHES, MOST_HASHES, SLOPE, WIDTH = 2, 14, 0.75, 2.0
 #: Buckets of a table that a query visits at most, and cells on either side of its own that are considered.
 PROBES, REACH = 1024, 1
-LEAST_CHUNK, MOST_CHUNK, STRIP = 256, 8192, 512
+LEAST_CHUNK, MOST_CHUNK, STRIP = 1024, 8192, 512
+#: Rows for each one of the sample that bounds a query's k-th score.
+ROWS_A_BOUND = 8
 #: Near rows are this share of all, or k if that is more; a query that has them only beyond FAR radii is searched exactly.
 SHARE, FAR = 0.004, 1.25
+#: In large tables the distance is carried on to k rows from the share and TIMES the share, to LEAST_PART of it at least.
+TIMES, LEAST_PART = 8, 0.85
 
 
 @dataclass
@@ -67,6 +71,7 @@ class Index:
     sample: np.ndarray  # lifted rows
     sample_ids: np.ndarray
     scale: float = 1.0  # largest component; what is hashed is in its units
+    rows: np.ndarray | None = None  # the sample as it came
 
     def __post_init__(self):
         rng = np.random.default_rng(20260101)
@@ -85,11 +90,11 @@ class Index:
         q = q * (self.top / np.sqrt((q**2).sum(axis=1, keepdims=True)))
         return np.hstack([q, np.zeros((len(q), 1))])
 
-    def own_radius(self, v: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """By scaled query, the distance within which it has its share of the sample's other rows."""
+    def own_radius(self, v: np.ndarray, ids: np.ndarray, times: float = 1) -> np.ndarray:
+        """By scaled query, the distance within which it has its share (some times that) of the sample's other rows."""
         d2 = np.maximum((v**2).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None, :] - 2 * v @ self.sample.T, 0)
         d2[ids[:, None] == self.sample_ids[None, :]] = np.inf
-        at = min(math.ceil(self.share * len(self.sample)), max(len(self.sample) - 2, 0))
+        at = min(math.ceil(times * self.share * len(self.sample)), max(len(self.sample) - 2, 0))
         return np.sqrt(np.partition(d2, at, axis=1)[:, at])
 
     def place(self, v: np.ndarray) -> np.ndarray:
@@ -130,17 +135,24 @@ class Index:
         who, which = np.nonzero(np.cumsum(joint, axis=1) - joint < TARGET)
         return who, cell[who] + chosen[who, order[who, which]]
 
-    def floor(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """The k-th inner product that queries have in the sample; minus infinity if there are fewer.
+    def floor(self, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the k-th row that queries have in a part of the sample; minus infinity if there are fewer.
 
-        Only for tables many times the sample: the rows left then are many times k.
+        The part is small beside the table: what is as good as this bound is many times k rows.
         """
-        x = self.sample[:, : self.dim]
-        s = q @ x.T
-        s[ids[:, None] == self.sample_ids[None, :]] = -np.inf
-        if s.shape[1] < k or self.n < 8 * SAMPLE:
-            return np.full(len(q), -np.inf)
-        return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        part = slice(min(len(self.sample), self.n // ROWS_A_BOUND))
+        x, x_ids = self.rows[part], self.sample_ids[part]
+        score, at = np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max)
+        if len(x) <= k:
+            return score, at
+        i, j = _rerank(q, ids, x, x_ids, score, k)
+        for one in np.unique(i):
+            places = j[i == one]
+            exact = (q[one] * x[places]).sum(axis=1)
+            top = best(exact, x_ids[places], k)
+            if len(top) == k:
+                score[one], at[one] = exact[top[-1]], x_ids[places[top[-1]]]
+        return score, at
 
 
 _GRID = np.linspace(-8, 8, 16_001)
@@ -164,14 +176,21 @@ def fit(rows: DataFrame, k: int) -> Index | None:
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / F.lit(scale), F.lit(2.0)))
     top = rows.agg(F.max(F.sqrt(square))).first()[0]
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
-    return fitted(some.column(0).to_numpy(), matrix(some.column(1), dim) / scale, top, n, k, scale)
+    return fitted(some.column(0).to_numpy(), matrix(some.column(1), dim), top, n, k, scale)
 
 
 def fitted(ids: np.ndarray, x: np.ndarray, top: float, n: int, k: int, scale: float = 1.0) -> Index:
-    """The index of n rows, of which x are a sample; rows and norms in units of scale."""
-    index = Index(x.shape[1], top, top, min(max(SHARE, k / max(n - 1, 1)), 1), n, np.empty(0), ids, scale)
+    """The index of n rows, of which x are a sample; top is the largest norm in units of scale."""
+    index = Index(x.shape[1], top, top, min(max(SHARE, k / max(n - 1, 1)), 1), n, np.empty(0), ids, scale, x)
+    x = x / scale
     index.sample = index.lifted(x)
-    own = index.own_radius(index.scaled(x[:512]), ids[:512])
+    v = index.scaled(x[:512])
+    own = index.own_radius(v, ids[:512])
+    wanted = k / max(n - 1, 1)
+    if wanted < index.share:  # so near that the sample shows none: carried on from two shares that it shows
+        z, z_more, z_wanted = (-np.interp(p, _NORMAL, _GRID) for p in (index.share, TIMES * index.share, wanted))
+        fall = (index.own_radius(v, ids[:512], TIMES) - own) / (z - z_more)
+        own = np.maximum(own - fall * (z_wanted - z), LEAST_PART * own)
     own = own[np.isfinite(own)]
     return replace(index, radius=max(float(np.quantile(own, 0.9)), 1e-3 * top) if len(own) else top)
 
@@ -200,10 +219,11 @@ def _asked(index: Index, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, STRIP):
                 part = batch.slice(at, STRIP)
-                x, ids = matrix(part.column(1), index.dim) / index.scale, part.column(0).to_numpy()
-                v = index.scaled(x)
+                x, ids = matrix(part.column(1), index.dim), part.column(0).to_numpy()
+                v = index.scaled(x / index.scale)
                 near = np.flatnonzero(index.own_radius(v, ids) <= FAR * index.radius)
-                part, place, floor = part.take(pa.array(near)), index.place(v[near]), index.floor(x[near], ids[near], k)
+                part, place = part.take(pa.array(near)), index.place(v[near])
+                floor, floor_id = index.floor(x[near], ids[near], k)
                 for t in range(TABLES if len(near) else 0):
                     who, cells = index.visits(place[:, t])
                     coarse, fine = index.keys(cells)
@@ -214,9 +234,9 @@ def _asked(index: Index, k: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(first), t, np.int32)), pa.array(coarse[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(fine)), pa.int32()), pa.array(fine)),
-                            pa.array(floor[who[first]]), part.column(0).take(take), part.column(1).take(take),
+                            pa.array(floor[who[first]]), pa.array(floor_id[who[first]]), part.column(0).take(take), part.column(1).take(take),
                         ],
-                        names=["t", "cell", "buckets", "floor", "vec_id", "embedding"],
+                        names=["t", "cell", "buckets", "floor", "floor_id", "vec_id", "embedding"],
                     )
 
     return run
@@ -245,8 +265,10 @@ def _rerank(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return np.concatenate([none, *out_q]), np.concatenate([none, *out_x])
 
 
-def search_cell(q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, bucket: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, row ids and scores: each query's k best among the rows of the buckets it visits."""
+def search_cell(
+    q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], floor: np.ndarray, floor_id: np.ndarray, x: np.ndarray, x_ids: np.ndarray, bucket: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, row ids and scores: each query's k best among the rows of the buckets it visits, but none behind its floor."""
     order = np.argsort(bucket, kind="stable")
     x, x_ids, bucket = x[order], x_ids[order], bucket[order]
     keys, starts = np.unique(bucket, return_index=True)
@@ -269,6 +291,8 @@ def search_cell(q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], floo
     for at in range(0, len(i), 65_536):
         with np.errstate(over="ignore", invalid="ignore"):
             score[at : at + 65_536] = (q[i[at : at + 65_536]] * x[j[at : at + 65_536]]).sum(axis=1)
+    within = (score > floor[i]) | ((score == floor[i]) & (x_ids[j] <= floor_id[i]))
+    i, j, score = i[within], j[within], score[within]
     order = np.lexsort((x_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     first = np.searchsorted(i, i)
@@ -285,13 +309,14 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = dict(rows.dtypes)["embedding"]
     given = materialise(rows.mapInArrow(_given(index), f"t int, cell long, bucket long, vec_id long, embedding {kind}"), "buckets")
-    asked = rows.where(is_query(query_every)).mapInArrow(_asked(index, k), f"t int, cell long, buckets array<long>, floor double, vec_id long, embedding {kind}")
+    asked = rows.where(is_query(query_every)).mapInArrow(_asked(index, k), f"t int, cell long, buckets array<long>, floor double, floor_id long, vec_id long, embedding {kind}")
 
     chunk = min(MOST_CHUNK, max(LEAST_CHUNK, index.n * TABLES // (4 * shuffle_partitions(spark))))
     sizes = light(materialise(given.groupBy("t", "cell").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "sizes"))
     given = given.join(sizes, ["t", "cell"]).withColumn("chunk", F.expr("pmod(xxhash64(vec_id), chunks)"))
     asked = asked.join(sizes, ["t", "cell"]).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-    given = given.withColumns({"buckets": F.array("bucket"), "floor": F.lit(None).cast("double"), "asked": F.lit(False)})
+    open_ = {"floor": F.lit(float("-inf")), "floor_id": F.lit((1 << 63) - 1)}
+    given = given.withColumns(open_ | {"buckets": F.array("bucket"), "asked": F.lit(False)})
     dim = index.dim
 
     def run(table: pa.Table) -> pa.Table:
@@ -301,15 +326,12 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
         lists = table.column("buckets").combine_chunks()
         keys, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         visits = [keys[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(side)]
-        floor = table.column("floor").to_pandas().fillna(-np.inf).to_numpy()[side]
-        # The bound is of scaled scores; what rounding does to it is left open.
-        unit = index.scale * index.scale
-        floor = (floor - 1e-9 * np.abs(floor)) * unit if 0 < unit < np.inf else np.full(len(floor), -np.inf)
-        out = search_cell(x[side], ids[side], visits, floor, x[~side], ids[~side], keys[offsets[:-1][~side]], k) if side.any() and not side.all() else ([], [], [])
+        floor, floor_id = (table.column(c).to_numpy()[side] for c in ("floor", "floor_id"))
+        out = search_cell(x[side], ids[side], visits, floor, floor_id, x[~side], ids[~side], keys[offsets[:-1][~side]], k) if side.any() and not side.all() else ([], [], [])
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     def meet(asked: DataFrame, given: DataFrame) -> DataFrame:
-        names = ["t", "cell", "chunk", "buckets", "floor", "vec_id", "embedding", "asked"]
+        names = ["t", "cell", "chunk", "buckets", "floor", "floor_id", "vec_id", "embedding", "asked"]
         found = asked.withColumn("asked", F.lit(True)).select(names).unionByName(given.select(names)).groupBy("t", "cell", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
         return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
@@ -322,7 +344,7 @@ def ann_topk(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFram
     blocks, chunks = math.ceil(left / MOST_CHUNK), math.ceil(index.n / chunk)
     part = lambda n: F.expr(f"pmod(xxhash64(vec_id), {n}L)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    plain = {"cell": F.lit(0).cast("long"), "buckets": F.array(F.lit(0).cast("long")), "floor": F.lit(None).cast("double")}
+    plain = open_ | {"cell": F.lit(0).cast("long"), "buckets": F.array(F.lit(0).cast("long"))}
     rest = short.withColumns(plain | {"t": part(blocks), "chunk": every(chunks)})
     all_rows = rows.withColumns(plain | {"t": every(blocks), "chunk": part(chunks), "asked": F.lit(False)})
     done = light(short.select(F.col("vec_id").alias("query_id")))
