@@ -28,19 +28,42 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts lineage: a lost executor costs its running tasks, not the stages before.
-    The folder of a session is removed with `sweep`.
+    The tables belong to whoever runs the session: results read them, so only the caller
+    knows when they can go, with `sweep`. The pipeline sweeps after each of its stages.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that `materialise` wrote in this session."""
+def session_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables that `materialise` wrote in this session, but those that `keep` reads."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    used = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for found in fs.listStatus(folder) if fs.exists(folder) else []:
+        if found.getPath().getName() not in used:
+            fs.delete(found.getPath(), True)
+
+
+#: Bytes of an Arrow batch on its way to a worker, and Spark's own default.
+BATCH, DEFAULT_BATCH = "4m", str(64 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session's owner has chosen a size.
+
+    The JVM and the worker each hold a batch several times over, for every running task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).rstrip("bB") == DEFAULT_BATCH:
+        spark.conf.set(key, BATCH)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -17,9 +17,14 @@
    never all its pairs. So every pair that shares a band is either in one component
    already or has been tested, while a family of g near copies costs g pairs, not g*g.
 
+Links that can be lost: a pair at similarity 0.8 that shares no band (3e-6), or whose estimate
+lies more than five standard errors too low (3e-7); more similar pairs much more seldom.
+
 Edge cases: null or blank text has an empty set and links with nothing; a null doc_id
 can't be named, so such a row links with nothing and its component_id is null; rows
-that share a doc_id are judged each by its own text; an empty table gives no rows.
+that share a doc_id are judged each by its own text; very long texts are one set, however
+many shingles it has; an empty table gives no rows; only doc_id and text are read, so
+further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import light, materialise, pick
+from tidemill.llm.common import BROADCAST_ROWS, light, materialise, pick, small_batches
 
 BUCKETS, MANTISSA, PER_BAND = 256, 10, 6
 BANDS = BUCKETS // PER_BAND
@@ -128,8 +133,12 @@ def bands(regs: np.ndarray) -> np.ndarray:
 def jaccard_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected estimates for rows of registers, and the filled buckets of each."""
     filled = (a != EMPTY) | (b != EMPTY)
-    equal = ((a == b) & filled).sum(axis=1)
-    n = np.maximum(filled.sum(axis=1), 1)
+    return corrected(((a == b) & filled).sum(axis=1), filled.sum(axis=1), na, nb)
+
+
+def corrected(equal: np.ndarray, filled: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate from counts of equal and of filled buckets, less the equal ones expected by chance."""
+    n = np.maximum(filled, 1)
     ratio = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
     chance = 0.169919487159739 * BUCKETS / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
     return np.maximum(equal - chance, 0) / n, n
@@ -190,10 +199,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold.
 
-    The partners of one `a` are dealt into chunks, each of which gets the text of `a`.
+    The partners of one `a` are dealt into chunks, each of which gets the text of `a`; how many
+    chunks is told by broadcast, so that no task gets all pairs of one `a`.
     """
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.expr("pmod(xxhash64(b), k)").alias("chunk"))
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("k")).where("k > 1")
+    dealt = pairs.join(light(materialise(heavy, "heavy")), "a", "left").select("a", "b", F.expr("pmod(xxhash64(b), coalesce(k, 1L))").alias("chunk"))
     rows = dealt.select("a", "chunk", F.col("b").alias("id"), F.lit(False).alias("lead")).unionByName(
         dealt.select("a", "chunk", F.col("a").alias("id"), F.lit(True).alias("lead")).distinct()
     )
@@ -252,11 +262,26 @@ def _forest(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list
     return edges
 
 
-def _family_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _candidates(regs: np.ndarray, n: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Members whose estimate with some member of another component doesn't rule out the threshold."""
+    m, t = len(regs), percent / 100
+    equal, filled = np.zeros((m, m), np.int16), np.zeros((m, m), np.int16)
+    for i in range(BUCKETS):
+        col, full = regs[:, i], regs[:, i] != EMPTY
+        either = full[:, None] | full[None, :]
+        equal += (col[:, None] == col[None, :]) & either
+        filled += either
+    est, filled = corrected(equal, filled, n[:, None], n[None, :])
+    near = (np.minimum(n[:, None], n[None, :]) >= t * np.maximum(n[:, None], n[None, :])) & ((est >= t - 5 * np.sqrt(t * (1 - t) / filled)) | (filled < 24))
+    return np.flatnonzero((near & (component[:, None] != component[None, :])).any(axis=1))
+
+
+def _family_links(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components of a family, for members(family, id, component, n).
 
     Members of the largest component are linked among themselves already, so they meet the
-    others only: a family of g with o others costs some g * o comparisons, not g * g.
+    others only: a family of g with o others costs some g * o comparisons, not g * g. Those
+    are of sketches; only members with a likely partner in the block get their whole sets.
     """
     per = members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     sizes = per.groupBy("family").agg(F.max(F.struct("c", "component", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("parts"))
@@ -270,16 +295,21 @@ def _family_links(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     dealt = dealt.withColumn("own", F.expr("if(in_main, ob + pmod(xxhash64(id), mb), pmod(xxhash64(id), ob))"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, if(in_main, ob, ob + mb) - 1)"))).where("own <> other")
     dealt = dealt.select("family", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(texts, "id").select("family", "i", "j", "id", "component", "text")
+    about = texts.join(classes.select(F.col("cid").alias("id"), "regs", F.col("n").alias("size")), "id")
+    rows = dealt.join(about, "id").select("family", "i", "j", "id", "component", "regs", "size", "text")
 
     def run(table: pa.Table) -> pa.Table:
         component = table.column("component").to_numpy()
+        ids = table.column("id").to_numpy()
         edges: list[tuple[int, int]] = []
         if (component != component[0]).any():
-            shingle = Shingler(k)
-            sets = [shingle(x.as_py()) for x in table.column("text").cast(pa.binary())]
-            edges = _forest(sets, component, percent)
-        ids = table.column("id").to_numpy()
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            likely = _candidates(regs, table.column("size").to_numpy().astype(float), component, percent)
+            component, ids = component[likely], ids[likely]
+            if len(likely):
+                shingle = Shingler(k)
+                sets = [shingle(x.as_py()) for x in table.column("text").take(pa.array(likely)).cast(pa.binary())]
+                edges = _forest(sets, component, percent)
         return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
 
     return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
@@ -294,11 +324,13 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
+        # One row a node: broadcast if there can't be many, so that a star's edges needn't meet in one task.
+        small_side = F.broadcast if 2 * before[0] <= BROADCAST_ROWS else lambda df: materialise(df, "low")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = small_side(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(small_side(least), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "edges")
         after = mark(edges)
@@ -311,13 +343,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sketches = materialise(docs.mapInArrow(_sketch(shingle_words), _SKETCH), "sketch")
     real = sketches.where("regs is not null")
     classes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
 
     banded = classes.select("cid", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("low")).where("size > 1")
+    # Written, so that the join has a shuffle of its own on both sides and a hot band can be split at run time.
+    groups = materialise(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("low")).where("size > 1"), "groups")
     members = materialise(banded.join(groups, "band").select("band", "cid", "low", "size"), "members")
 
     needed = materialise(members.select(F.col("cid").alias("doc_id")).distinct(), "needed")
@@ -331,7 +365,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     family = members.where("size > 2").select(F.col("low").alias("family"), F.col("cid").alias("id")).distinct()
     family = family.where("family <> id").join(first, "id", "left").join(classes.select(F.col("cid").alias("id"), "n"), "id")
     family = materialise(family.select("family", "id", F.coalesce("component", "id").alias("component"), "n"), "family")
-    late = materialise(_family_links(family, texts, shingle_words, percent), "links")
+    late = materialise(_family_links(family, classes, texts, shingle_words, percent), "links")
     found = materialise(components(stars.unionByName(late)), "components")
 
     joined = (
