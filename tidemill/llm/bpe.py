@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import pick
+from tidemill.llm.common import pick, small_batches
 
 #: Pieces of text, and their characters, that one generation of a worker's memory holds.
 MEMO, MEMO_CHARS = 250_000, 5_000_000
@@ -341,6 +341,7 @@ def _encode(path: str):
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by spaces) and decoded text of every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     slim = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return slim.mapInArrow(_encode(tokenizer), "doc_id long, n_tokens long, ids string, decoded string")
 

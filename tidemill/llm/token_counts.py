@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidemill.llm.common import materialise, pick, shuffle_partitions
+from tidemill.llm.common import materialise, pick, shuffle_partitions, small_batches
 
 BATCH_CHARS = 1_000_000
 
@@ -75,17 +75,21 @@ def _count(path: str):
 
 
 def read_cache(spark, cache_dir: str) -> DataFrame:
-    """Stored counts; a cache that isn't there yet is empty."""
+    """Stored counts; a cache that isn't there yet is empty, one of other columns is an error."""
     schema = "content binary, tokenizer string, n_tokens long"
     try:
-        return spark.read.schema(schema).parquet(cache_dir)
-    except AnalysisException:
+        found = spark.read.parquet(cache_dir)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], schema)
+    return found.select(F.col("content").cast("binary"), F.col("tokenizer").cast("string"), F.col("n_tokens").cast("long"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     version = tokenizer_digest(tokenizer)
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
