@@ -312,12 +312,14 @@ def test_bounds_and_weekly_runs(spark):
     assert [r[0] for r in runs.collect()] == ["2024-01-06 21:30:00"] * 2 + ["2024-01-13 21:30:00"] * 2
 
 
-def test_lossless_chunks_hold_the_whole_of_long_lines():
+def test_lossless_chunks_hold_the_whole_of_long_lines(spark):
     line = "".join(chr(97 + i % 26) + str(i) for i in range(1500))
-    assert chunking.split_long(line, lossless=True) == [line[i : i + 1200] for i in range(0, len(line), 1200)]
-    assert "".join(chunking.split_long(f"head\n{line}\ntail", lossless=True)).replace("\n", "") == f"head{line}tail"
-    bodies = [c["content"].split("\n\n", 1)[1] for c in chunking.chunk_document([(line, 1)], "d", "T", lossless=True)]
-    assert "".join(bodies) == line
+    df = spark.createDataFrame([(line,), (f"head\n{line}\ntail",)], "text string")
+    one, two = (r.pieces for r in df.select(chunking.split_long(F.col("text"), lossless=True).alias("pieces")).collect())
+    assert one == [line[i : i + 1200] for i in range(0, len(line), 1200)]
+    assert "".join(two).replace("\n", "") == f"head{line}tail"
+    (bodies,) = chunked(spark, [(line, 1)], lossless=True)
+    assert "".join(b.split("\n\n", 1)[1] for b in bodies) == line
 
 
 def test_document_chunks_keep_every_long_line(spark, sf_dir):
@@ -339,3 +341,126 @@ def test_language_coverage_counts_every_document(spark, sf_dir):
     total, langs = duck(sf_dir).execute("SELECT count(*), count(DISTINCT lang) FROM documents WHERE coalesce(lang, '') <> ''").fetchone()
     got = QUERIES["language_coverage"](spark, sf_dir).collect()
     assert sum(r.heads for r in got) == total and len(got) == langs
+
+
+# Office files --------------------------------------------------------------
+
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def office_file(path, parts):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+
+
+def links(**targets):
+    rows = "".join(f'<Relationship Id="{i}" Type="{_REL}/{kind}" Target="{t}"/>' for i, (kind, t) in targets.items())
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rows}</Relationships>'
+
+
+def test_office_blocks(spark, tmp_path):
+    from tidemill.sources import files
+
+    w, a = 'xmlns:w="w"', f'xmlns:a="a" xmlns:p="p" xmlns:r="{_REL}"'
+    cell = lambda *ps: "<w:tc>" + "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in ps) + "</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('Year')}{cell('')}</w:tr><w:tr>{cell('1')}{cell('two', 'lines')}</w:tr><w:tr>{cell(' ')}</w:tr></w:tbl>"
+    paragraphs = "<w:p><w:r><w:t>One</w:t><w:tab/><w:t>more</w:t></w:r></w:p><w:p/>" + table + "<w:p><w:r><w:t>Two</w:t></w:r></w:p>"
+    office_file(tmp_path / "d.docx", {"word/document.xml": f"<w:document {w}><w:body>{paragraphs}</w:body></w:document>"})
+
+    shape = lambda t: f"<p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+    notes = f'<p:notes {a}><p:sp><p:nvPr><p:ph type="sldNum"/></p:nvPr><a:p><a:r><a:t>7</a:t></a:r></a:p></p:sp><p:sp><p:nvPr><p:ph type="body"/></p:nvPr><a:p><a:r><a:t>say it</a:t></a:r></a:p></p:sp></p:notes>'
+    grid = "<p:graphicFrame><a:tbl><a:tr><a:tc><a:p><a:r><a:t>x</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>y</a:t></a:r></a:p></a:tc></a:tr></a:tbl></p:graphicFrame>"
+    office_file(
+        tmp_path / "s.pptx",
+        {
+            "ppt/presentation.xml": f'<p:presentation {a}><p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r1"/><p:sldId r:id="r3"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": links(r1=("slide", "slides/slide1.xml"), r2=("slide", "/ppt/slides/slide2.xml"), r3=("slide", "slides/slide3.xml")),
+            "ppt/slides/slide1.xml": f"<p:sld {a}>{shape('Title')}{grid}</p:sld>",
+            "ppt/slides/_rels/slide1.xml.rels": links(n=("notesSlide", "../notesSlides/n1.xml")),
+            "ppt/notesSlides/n1.xml": notes,
+            "ppt/slides/slide2.xml": f"<p:sld {a}>{shape('First')}</p:sld>",
+            "ppt/slides/slide3.xml": f"<p:sld {a}/>",
+        },
+    )
+    rows = '<row><c t="s"><v>1</v></c><c><v>2.5</v></c><c t="b"><v>1</v></c></row><row><c/></row><row><c t="inlineStr"><is><t>in</t></is></c><c t="str"><f>A1</f><v>9:00</v></c></row>'
+    office_file(
+        tmp_path / "t.XLSX",
+        {
+            "xl/workbook.xml": f'<workbook xmlns:r="{_REL}"><sheets><sheet name="Empty" r:id="a"/><sheet name="Times" r:id="b"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": links(a=("worksheet", "worksheets/sheet1.xml"), b=("worksheet", "worksheets/other.xml")),
+            "xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><r><t>sh</t></r><r><t>ared</t></r></si></sst>",
+            "xl/worksheets/sheet1.xml": "<worksheet><sheetData/></worksheet>",
+            "xl/worksheets/other.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>",
+        },
+    )
+    got = {(r.path.rsplit("/", 1)[1], r.pos): (r.text, r.page, r.kind) for r in files.read_blocks(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("d.docx", 0): ("One more\nTwo", 1, "text"),
+        ("d.docx", 1): ("Year\n1 | two lines", 1, "table"),
+        ("s.pptx", 0): ("First", 1, "slide"),
+        ("s.pptx", 1): ("Title\nx | y\nSpeaker notes: say it", 2, "slide"),
+        ("t.XLSX", 0): ("Sheet: Times\nshared | 2.5 | True\nin | 9:00", 2, "sheet"),
+    }
+
+
+# Models and routes ---------------------------------------------------------
+
+
+def test_models_are_asked_in_turn():
+    from tidemill.operators import generation
+
+    asked = []
+
+    def first(x):
+        asked.append(("first", x))
+        return [None if v < 3 else f" {v} " for v in x]
+
+    def broken(x):
+        raise OSError
+
+    def last(x):
+        asked.append(("last", x))
+        return [None if v == 0 else "last" for v in x]
+
+    out = generation.in_turn([("f", first), ("b", broken), ("l", last)])([0, 1, 5])
+    assert out == [None, {"text": "last", "model": "l"}, {"text": "5", "model": "f"}]
+    assert asked == [("first", [0, 1, 5]), ("last", [0, 1])]
+
+
+def test_every_route_is_taken(spark, sf_dir):
+    from tidemill.plans.catalogue import QUERIES
+
+    routes = {r.route for r in QUERIES["routed_pools"](spark, sf_dir).select("route").distinct().collect()}
+    assert {None, "department_heads", "principal_engineering", "principal_computing"} <= routes and any(r and r.startswith("faculty_") for r in routes)
+
+
+def test_a_department_without_a_head_goes_to_its_principal(spark):
+    from tidemill.operators import routing
+
+    chunks = [
+        (1, [1.0, 0.0], "principal", "", None, False), (2, [0.6, 0.8], "head_of_department", "ece", "electronics and communication", True),
+        (3, [0.0, 1.0], "professor", "", "electronics and communication", False), (4, [0.5, 0.5], "", None, None, False),
+    ]
+    c = spark.createDataFrame(chunks, "vec_id long, embedding array<double>, designation string, department string, department_canon string, is_department_head boolean")
+    texts = ["Who is the HOD of ECE?", "Who is the HOD of chemistry?", "who is the hod", "principal?", "staff in ece", "staff in physics", None]
+    q = spark.createDataFrame([(-1 - i, [1.0, 0.0], t) for i, t in enumerate(texts)], "query_id long, vector array<double>, text string")
+    got = {}
+    for r in routing.routed_pools(q, c).orderBy("query_id", "pos").collect():
+        got.setdefault(-1 - r.query_id, []).append((r.vec_id, r.route, r.filtered, r.rerank_text))
+    assert got[0] == [(2, "department_heads", True, texts[0])]
+    assert got[1] == [(1, "principal_engineering", True, f"{texts[1]} School of Engineering")]
+    assert got[3] == [(1, "principal_engineering", True, "principal? School of Engineering")]
+    assert [x[:2] for x in got[4]] == [(2, "faculty_electronics and communication"), (3, "faculty_electronics and communication")]
+    for plain in (2, 5, 6):
+        assert [x[0] for x in got[plain]] == [1, 4, 2, 3] and {x[1:3] for x in got[plain]} == {(None, False)}
+    assert routing.routed_pools(q, c.where("designation <> 'principal'")).where("query_id = -2").select("route").distinct().collect()[0].route is None
+    assert routing.routed_pools(q.limit(0), c).count() == 0
+
+
+def test_listing_departments_skip_own_names(spark):
+    urls = [("http://u/oakfield/physics/faculty/",), ("http://u/physics/oakfield/faculty/",), ("http://u/school/faculty",)]
+    df = spark.createDataFrame(urls, "url string")
+    assert [r.d for r in df.select(tx.listing_department(F.col("url"), ["oakfield"]).alias("d")).collect()] == ["physics", "physics", None]

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemill.functions import rules
+from tidemill.functions import roles, rules
 
 #: Pages whose chunks are handed back together.
 AT_ONCE = 100
@@ -100,8 +100,8 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def _noise(n: Node) -> bool:
-    return n.name in rules.NOISE_TAGS or n.attrs.get("id") in rules.NOISE_IDS or any(c in rules.NOISE_CLASSES for c in n.classes())
+def _noise(n: Node, ids: frozenset[str]) -> bool:
+    return n.name in rules.NOISE_TAGS or n.attrs.get("id") in ids or any(c in rules.NOISE_CLASSES for c in n.classes())
 
 
 def _web(base: str, ref: str) -> str:
@@ -123,11 +123,15 @@ def table_rows(table: Node) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def page_chunks(html: str | None, url: str, title: str) -> list[dict]:
-    """Tables first, then cards, then the running text by section."""
+def page_chunks(html: str | None, url: str, title: str, own_names: Sequence[str] = ()) -> list[dict]:
+    """Tables first, then cards, then the running text by section.
+
+    own_names: words of the institution's own name; a block that tells why to choose it is noise.
+    """
     root = parse(html or "")
+    ids = frozenset([*rules.NOISE_IDS, *(f"why-{name}-sec" for name in own_names)])
     for n in list(root.walk()):
-        if _noise(n):
+        if _noise(n, ids):
             n.drop()
     body = next((n for n in root.walk() if n.name in ("main", "article") or "content" in n.classes() or n.attrs.get("id") == "content"), root)
     portrait = next((n for n in root.walk() if n.name == "img" and "src" in n.attrs and ("wp-post-image" in n.classes() or _inside(n, "fac-inner-left"))), None)
@@ -198,15 +202,16 @@ def _inside(n: Node, name: str) -> bool:
     return False
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Chunks of pages(url, title, html); of equal ids in a page the last stays."""
+def extract(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
+    """Chunks of pages(url, title, html), with roles and departments; of equal ids in a page the last stays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CHUNK.split(", ")]
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
                 part = batch.iloc[at : at + AT_ONCE].itertuples(index=False)
-                rows = [c for r in part for c in {c["chunk_id"]: c for c in page_chunks(r.html, r.url or "", r.title or "")}.values()]
+                rows = [c for r in part for c in {c["chunk_id"]: c for c in page_chunks(r.html, r.url or "", r.title or "", own_names)}.values()]
                 yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select("url", "title", "html").mapInPandas(run, CHUNK)
+    chunks = pages.select("url", "title", "html").mapInPandas(run, CHUNK)
+    return roles.metadata(chunks, "content", "source_url", "chunk_type", own_names)

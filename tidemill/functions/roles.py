@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -54,26 +55,39 @@ def leading(found: Column, text: Column) -> Column:
     return F.filter(found, lambda r: (at > 0) & (r["start"] >= at - 1 + size) & (r["start"] < rules.LEADING_WINDOW))
 
 
-def _tail(text: str, stop: int) -> str:
+def _tail(text: str, stop: int, border: re.Pattern) -> str:
     tail = text[stop : stop + 200].lstrip(" \t\n\r-–—:,|")
-    end = re.search("|".join([*rules.DEPARTMENT_STOP, rf"\b(?:{'|'.join(rules.CAMPUSES)})\b"]), tail, re.I)
+    end = border.search(tail)
     tail = tail[: end.start()] if end else tail
     nxt = roles_in(tail)
     return tail[: nxt[0]["start"]] if nxt else tail
 
 
-@F.pandas_udf(StringType())
-def department_text(text: pd.Series, stop: pd.Series) -> pd.Series:
-    """The raw words after a role up to the first structural border or the next role."""
-    return pd.Series([None if pd.isna(s) or t is None else _tail(t, int(s)) for t, s in zip(text, stop, strict=True)])
+def department_text(text: Column, stop: Column, own_names: Sequence[str] = ()) -> Column:
+    """The raw words after a role up to the first structural border or the next role.
 
+    own_names: words of the institution's own name and of its sites, which are borders too.
+    """
+    places = "|".join(map(re.escape, [*rules.CAMPUSES, *own_names]))
+    pattern = "|".join([*rules.DEPARTMENT_STOP, rf"\b(?:{places})\b"])
 
-def metadata(df, text: str, url: str, kind: str):
+    @F.pandas_udf(StringType())
+    def tails(text: pd.Series, stop: pd.Series) -> pd.Series:
+        border = re.compile(pattern, re.I)
+        return pd.Series([None if pd.isna(s) or t is None else _tail(t, int(s), border) for t, s in zip(text, stop, strict=True)])
+
+    return tails(text, stop)
+
+
+def metadata(df: DataFrame, text: str, url: str, kind: str, own_names: Sequence[str] = ()) -> DataFrame:
     """df with designation, designation_raw, designations_all, is_department_head and department; blank outside records of a person."""
     from tidemill.functions.text import is_person_record, normalize_department
 
-    df = df.withColumn("_roles", F.when(is_person_record(F.col(url), F.col(kind)), leading(find_roles(text), F.col(text))).otherwise(F.array().cast(f"array<{ROLE}>")))
-    df = df.withColumn("_first", primary(F.col("_roles"))).withColumn("_dept", normalize_department(department_text(F.col(text), F.col("_first")["stop"])))
+    # Roles count only after a title of address near the beginning: other texts don't go to a worker whole.
+    titled = is_person_record(F.col(url), F.col(kind)) & F.rlike(F.substring(text, 1, rules.LEADING_WINDOW), F.lit("(?i)" + rules.HONORIFIC))
+    seen = F.when(titled, F.col(text))
+    df = df.withColumn("_roles", F.when(titled, leading(find_roles(seen), F.col(text))).otherwise(F.array().cast(f"array<{ROLE}>")))
+    df = df.withColumn("_first", primary(F.col("_roles"))).withColumn("_dept", normalize_department(department_text(F.col(text), F.col("_first")["stop"], own_names)))
     names = F.array_sort(F.array_distinct(F.transform("_roles", lambda r: r["role"])))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return df.select(

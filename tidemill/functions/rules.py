@@ -42,7 +42,7 @@ DEPARTMENT_TAGS = {"computer science": "computing", "artificial intelligence": "
 DEPARTMENT_STOP = [
     r"[,|;]", r"\bschool\s+of\b", r"\bprofile\s*:", r"\bqualification\s*:", r"\bemail\b", r"\bph\s*:",
 ]
-CAMPUSES = ["bengaluru", "bangalore", "coimbatore", "amritapuri", "chennai", "kochi", "mysuru", "nagercoil", "faridabad"]
+CAMPUSES = ["bengaluru", "bangalore", "coimbatore", "chennai", "kochi", "mysuru", "nagercoil", "faridabad"]
 DEPARTMENT_MAX_WORDS, DEPARTMENT_REJECT = 7, r"https?://|[:*]|\d{4}"
 
 # Departments and their schools.

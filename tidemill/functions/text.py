@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -208,12 +209,12 @@ def normalize_department(raw: Column) -> Column:
     return F.when(good, s)
 
 
-def listing_department(url: Column) -> Column:
-    """The nearest part before /faculty/ that is no campus, unless a `school` comes first."""
+def listing_department(url: Column, own_names: Sequence[str] = ()) -> Column:
+    """The nearest part before /faculty/ that is no campus or own name, unless a `school` comes first."""
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     at = F.array_position(parts, F.lit("faculty")).cast("int")
-    back = F.filter(F.reverse(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0)))), lambda p: ~p.isin(rules.CAMPUSES))
+    back = F.filter(F.reverse(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0)))), lambda p: ~p.isin([*rules.CAMPUSES, *own_names]))
     first = F.try_element_at(back, F.lit(1))
     name = F.lower(F.replace(first, F.lit("-"), F.lit(" ")))
     return F.when((at > 0) & (first != "school"), lookup(rules.DEPARTMENT_ALIASES, name, name))

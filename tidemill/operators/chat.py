@@ -15,6 +15,17 @@ def overview(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return conversations.join(per, "conv_id", "left").select("conv_id", F.coalesce("messages", F.lit(0)).alias("messages"), "title", "last_turn")
 
 
+def recent(listed: DataFrame, *order: Column, n: int = 50) -> DataFrame:
+    """The first n of a list by order, with their place; only n rows reach one task."""
+    first = listed.orderBy(*order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def create(requests: DataFrame, now: Column, seed: int | None = None) -> DataFrame:
+    """requests with the random id of a new conversation and its two times, equal at first."""
+    return requests.withColumns({"id": F.uuid() if seed is None else F.uuid(F.lit(seed)), "created_at": now, "last_active_at": now})
+
+
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
     """The last n turns of each conversation; n = 0 means all."""
     if not n:

@@ -57,6 +57,15 @@ def coverage(heads: DataFrame, group: str) -> DataFrame:
     return heads.where(F.coalesce(group, F.lit("")) != "").groupBy(group).agg(F.count("*").alias("heads")).withColumn("warning", F.col("heads") > 2)
 
 
+def head_warnings(heads: DataFrame, group: str, most: int = 2) -> DataFrame:
+    """warning, grp, heads: groups with more heads than a card and a profile give, heads of no group, no group at all."""
+    named = F.trim(F.coalesce(group, F.lit(""))) != ""
+    per = heads.groupBy(F.when(named, F.col(group)).alias("grp")).agg(F.count("*").alias("heads"))
+    found = per.where((F.col("heads") > most) | F.col("grp").isNull()).select(F.when(F.col("grp").isNull(), "unnamed").otherwise("crowded").alias("warning"), "grp", "heads")
+    none = per.agg(F.count("grp").alias("heads")).where("heads = 0").select(F.lit("none").alias("warning"), F.lit(None).cast("string").alias("grp"), "heads")
+    return found.unionByName(none)
+
+
 def thin(df: DataFrame, group: str, least: int = 20) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") < least)
 

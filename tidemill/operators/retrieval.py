@@ -51,3 +51,8 @@ def centroids(vectors: DataFrame) -> DataFrame:
     """label, centroid: mean vector of each label."""
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
+
+
+def upload_sources(pool: DataFrame) -> DataFrame:
+    """A pool of uploads (title, page) with source_url and heading, which web chunks have of their own."""
+    return pool.withColumns({"source_url": F.format_string("%s (page %d)", "title", "page"), "heading": F.col("title")})

@@ -110,8 +110,11 @@ def shaped(token: Column, word: Column) -> Column:
 
 def corrected(queries: DataFrame, fixes: DataFrame, key: str = "query_id", column: str = "text") -> DataFrame:
     """key, corrected: queries with their unknown tokens replaced, everything else as it was."""
-    parts = F.regexp_extract_all(column, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
-    t = queries.select(key, F.posexplode(parts).alias("i", "part")).withColumn("token", F.lower("part"))
-    j = t.join(fixes.select("token", "word"), "token", "left")
-    part = F.when(F.col("word").isNull() | (F.length("part") < LEAST_TOKEN), F.col("part")).otherwise(shaped(F.col("part"), F.col("word")))
-    return j.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("p")))), lambda s: s["p"]), "").alias("corrected"))
+    parts = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    t = queries.select(key, F.posexplode_outer(parts).alias("i", "part"))
+    # Only what can have a correction is joined: blanks and short words would be the hottest keys.
+    word = F.coalesce(F.rlike("part", F.lit(f"^[A-Za-z]{{{LEAST_TOKEN},}}$")), F.lit(False))
+    j = t.where(word).withColumn("token", F.lower("part")).join(fixes.select("token", "word"), "token", "left")
+    fixed = j.select(key, "i", F.when(F.col("word").isNull(), F.col("part")).otherwise(shaped(F.col("part"), F.col("word"))).alias("p"))
+    all_parts = fixed.unionByName(t.where(~word).select(key, "i", F.col("part").alias("p")))
+    return all_parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]), "").alias("corrected"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
+
+from tidemill.functions.text import listing_department
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,3 +70,19 @@ def department_edges(listings: DataFrame) -> DataFrame:
     profiles = edges.groupBy("source_url").agg(F.max_by("department", "ord").alias("department"))
     own = listings.groupBy(F.col("url").alias("source_url")).agg(F.max_by("department", "ord").alias("department"))
     return upsert(profiles, own, ["source_url"])
+
+
+def card_listings(chunks: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
+    """ord, url, department, profiles of listing pages, from their chunks' cards; pages without a department aren't listings."""
+    cards = chunks.where((F.col("chunk_type") == "faculty_card") & (F.col("profile_url") != ""))
+    per = cards.groupBy(F.col("source_url").alias("url")).agg(F.collect_set("profile_url").alias("profiles"))
+    named = per.withColumn("department", listing_department(F.col("url"), own_names)).where("department is not null")
+    return named.select(F.col("url").alias("ord"), "url", "department", "profiles")
+
+
+def metadata(df: DataFrame, reserved: Sequence[str]) -> Column:
+    """All columns but the reserved ones as a map of strings: nulls become empty, what is no scalar becomes JSON."""
+    scalar = lambda f: not isinstance(f.dataType, (ArrayType, MapType, StructType))
+    value = lambda f: F.coalesce(F.col(f.name).cast("string") if scalar(f) else F.to_json(f.name), F.lit(""))
+    pairs = [x for f in df.schema if f.name not in reserved for x in (F.lit(f.name), value(f))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")

@@ -176,13 +176,32 @@ def rolling_count_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.rolling_count(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id").select("event_id", "user_id", "recent")
 
 
-@query()
+def _sql_admitted(rows: str, limit: int, window: int) -> str:
+    """ord, allowed of rows(sender, ord, ts): the times let through so far travel along each sender's messages."""
+    return f"""WITH RECURSIVE e AS (
+      SELECT sender, ord, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY sender ORDER BY ts, ord) AS i FROM ({rows})
+    ), r AS (
+      SELECT sender, ord, i, [t] AS kept, TRUE AS allowed FROM e WHERE i = 1 UNION ALL
+      SELECT sender, ord, i, CASE WHEN len(k) < {limit} THEN list_append(k, t) ELSE k END, len(k) < {limit}
+      FROM (SELECT e.*, [x FOR x IN r.kept IF e.t - x <= {window}] AS k FROM r JOIN e ON e.sender = r.sender AND e.i = r.i + 1)
+    ) SELECT ord, allowed FROM r"""
+
+
+@query(f"SELECT user_id, event_id, allowed FROM events JOIN ({_sql_admitted('SELECT user_id AS sender, event_id AS ord, ts FROM events', 3, 86_400)}) a ON a.ord = event_id")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact limit, over a day so that these sparse events reach it."""
     return ms.rate_limited(table(spark, sf_dir, "events"), "user_id", "event_id", limit=3, window=86_400)
 
 
-@query()
+_INBOUND = f"""SELECT ord, CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS msg_id, user_id AS sender, ts,
+  CASE WHEN event_type = 'error' THEN 'image' ELSE 'text' END AS kind, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE props END AS body FROM ({_MESSAGES})"""
+_NTH = f"SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS nth FROM ({_INBOUND}) WHERE msg_id <> '' AND sender IS NOT NULL"
+
+
+@query(f"""
+SELECT msg_id, ord, CASE WHEN nth > 1 THEN 'duplicate' WHEN kind <> 'text' THEN 'notice' WHEN NOT allowed THEN 'limited' WHEN trim(coalesce(body, '')) = '' THEN 'blank' ELSE 'answer' END AS outcome
+FROM ({_NTH}) n LEFT JOIN ({_sql_admitted(f"SELECT sender, ord, ts FROM ({_NTH}) WHERE nth = 1 AND kind = 'text'", 3, 86_400)}) a USING (ord)
+UNION ALL SELECT msg_id, ord, 'skip' FROM ({_INBOUND}) WHERE msg_id = '' OR sender IS NULL""")
 def message_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
     body = F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.col("props"))

@@ -38,22 +38,18 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_pages(spark, sf_dir))
 
 
-# Two snapshots: the new one holds every page; the old one lacks some, has other content for some and has pages that are gone.
+# Two snapshots: the new one holds every page; in the old one some have another content, and some another url, which is gone since.
 _NEW = f"SELECT url, url || '::text::' || substr(sha256({sql_strip('html')}), 1, 16) AS chunk_id FROM pages"
-_OLD = f"""SELECT url, CASE WHEN page_id % 5 = 0 THEN url || '::text::old' ELSE url || '::text::' || substr(sha256({sql_strip('html')}), 1, 16) END AS chunk_id
-  FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT 'gone:' || url, 'gone:' || url || '::text::x' FROM pages WHERE page_id % 11 = 0"""
-
-
-def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", tx.chunk_id(F.col("url"), F.lit("text"), F.col("html")).alias("chunk_id"))
+_OLD = f"""SELECT CASE WHEN page_id % 7 = 0 THEN 'gone:' || url ELSE url END AS url,
+  CASE WHEN page_id % 7 = 0 THEN 'gone:' || url || '::text::x' WHEN page_id % 5 = 0 THEN url || '::text::old' ELSE url || '::text::' || substr(sha256({sql_strip('html')}), 1, 16) END AS chunk_id FROM pages"""
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = _new(spark, sf_dir)
-    changed = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("::text::old"))).otherwise(F.col("chunk_id"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", tx.chunk_id(F.col("url"), F.lit("text"), F.col("html")).alias("chunk_id"))
     gone = F.concat(F.lit("gone:"), "url")
-    old = p.where("page_id % 7 <> 0").select("url", changed.alias("chunk_id"))
-    return old.unionByName(p.where("page_id % 11 = 0").select(gone.alias("url"), F.concat(gone, F.lit("::text::x")).alias("chunk_id"))), p.select("url", "chunk_id")
+    moved = F.col("page_id") % 7 == 0
+    chunk = F.when(moved, F.concat(gone, F.lit("::text::x"))).when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("::text::old"))).otherwise(F.col("chunk_id"))
+    return p.select(F.when(moved, gone).otherwise(F.col("url")).alias("url"), chunk.alias("chunk_id")), p.select("url", "chunk_id")
 
 
 _DIFF = f"""SELECT coalesce(n.url, o.url) AS url, coalesce(n.chunk_id, o.chunk_id) AS chunk_id,
@@ -90,13 +86,15 @@ def manifest_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.delete(old, sync.purge(old, new, "url"), ["url"])
 
 
-_OLD_DOCS = "SELECT doc_id, source, 'old ' || substr(sha256(text), 1, 8) AS content FROM documents WHERE doc_id % 3 <> 0"
-_NEW_DOCS = "SELECT doc_id, source, substr(sha256(text), 1, 8) AS content FROM documents WHERE doc_id % 2 = 0"
+# Every document is in both versions; a third of them had another id in the old one.
+_OLD_DOCS = "SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, source, 'old ' || substr(sha256(text), 1, 8) AS content FROM documents"
+_NEW_DOCS = "SELECT doc_id, source, substr(sha256(text), 1, 8) AS content FROM documents"
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 8).alias("content"))
-    return d.where("doc_id % 3 <> 0").withColumn("content", F.concat(F.lit("old "), "content")), d.where("doc_id % 2 = 0")
+    new = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 8).alias("content"))
+    old = new.withColumns({"doc_id": F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")), "content": F.concat(F.lit("old "), "content")})
+    return old, new
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW_DOCS})) UNION ALL {_NEW_DOCS}")
@@ -110,10 +108,11 @@ def delete_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.delete(old, new, ["doc_id"])
 
 
-@query(f"SELECT * FROM ({_OLD_DOCS}) WHERE source <> 'src3'")
+@query(f"SELECT * FROM ({_OLD_DOCS}) WHERE source IS DISTINCT FROM 'src3'")
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of one source's documents go; those without a source stay."""
     old, _ = _versions(spark, sf_dir)
-    return old.where(F.col("source") != "src3")
+    return old.where(~F.col("source").eqNullSafe("src3"))
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE source NOT IN (SELECT source FROM ({_NEW_DOCS}) WHERE source IN ('src1', 'src2')) UNION ALL SELECT * FROM ({_NEW_DOCS}) WHERE source IN ('src1', 'src2')")
@@ -122,7 +121,7 @@ def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.replace_group(old, new.where(F.col("source").isin("src1", "src2")), "source")
 
 
-_META = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang ELSE upper(lang) END AS lang FROM documents WHERE doc_id % 2 = 1 OR doc_id % 4 = 0"
+_META = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang ELSE upper(lang) END AS lang FROM documents"
 
 
 @query(f"SELECT d.doc_id, coalesce(m.lang, d.lang) AS lang, d.n_chars FROM documents d LEFT JOIN ({_META}) m ON m.doc_id = d.doc_id")
@@ -139,7 +138,7 @@ def metadata_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _meta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
     lang = F.expr("CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang ELSE upper(lang) END")
-    return d.select("doc_id", "lang", "n_chars"), d.where("doc_id % 2 = 1 OR doc_id % 4 = 0").select("doc_id", lang.alias("lang"))
+    return d.select("doc_id", "lang", "n_chars"), d.select("doc_id", lang.alias("lang"))
 
 
 @query("""

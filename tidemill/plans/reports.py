@@ -10,15 +10,9 @@ from tidemill.plans.registry import query
 from tidemill.session import table
 
 
-@query("SELECT lang, count(*) AS heads, count(*) > 2 AS warning FROM documents WHERE coalesce(lang, '') <> '' AND doc_id % 100 = 1 GROUP BY lang")
-def group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an id of 1 modulo 100 play the heads of departments."""
-    return evaluation.coverage(table(spark, sf_dir, "documents").where("doc_id % 100 = 1"), "lang")
-
-
 @query("SELECT lang, count(*) AS heads, count(*) > 2 AS warning FROM documents WHERE coalesce(lang, '') <> '' GROUP BY lang")
 def language_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage by every document of the table."""
+    """Every document plays a head, languages the departments."""
     return evaluation.coverage(table(spark, sf_dir, "documents"), "lang")
 
 

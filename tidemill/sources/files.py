@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clean, extension
 
-#: Block parsers by extension: bytes to (text, page, kind). Office and PDF parsers are registered by who has them.
+#: Block parsers by extension: bytes to (text, page, kind). Those of office files are in sources.office; a PDF parser is registered by who has one.
 PARSERS: dict[str, Callable[[bytes], list[tuple[str, int, str]]]] = {}
 TEXT_KINDS = (".txt", ".md")
 KNOWN_KINDS = (".pdf", ".pptx", ".docx", ".xlsx", ".xlsm", *TEXT_KINDS)
@@ -26,13 +27,15 @@ def parser(*extensions: str):
     return add
 
 
+def clean_text(text: str) -> str:
+    """As functions.text.clean, on the worker."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text.replace("\xa0", " "))).strip()
+
+
 @parser(*TEXT_KINDS)
 def parse_text(data: bytes) -> list[tuple[str, int, str]]:
-    import re
-
     parts = re.split(r"\n\s*\n", data.decode("utf-8", errors="replace"))
-    cleaned = (re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", p.replace("\xa0", " "))).strip() for p in parts)
-    return [(p, 1, "text") for p in cleaned if p]
+    return [(p, 1, "text") for p in map(clean_text, parts) if p]
 
 
 def prose_or_tables(prose: str, tables: list[str]) -> list[tuple[str, str]]:
@@ -44,15 +47,19 @@ def prose_or_tables(prose: str, tables: list[str]) -> list[tuple[str, str]]:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, text, page, kind of every file of a known kind below path; unknown kinds fail."""
+    from tidemill.sources import office  # noqa: F401 registers its parsers
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
+    parsers = dict(PARSERS)  # workers know none that is registered here
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, data in zip(batch["path"], batch["content"], strict=True):
                 ext = "." + p.rsplit(".", 1)[-1].lower()
-                if ext not in PARSERS:
+                if ext not in parsers:
                     raise ValueError(f"no parser for {ext}; register one with tidemill.sources.files.parser")
-                rows = [(p, i, *b) for i, b in enumerate(PARSERS[ext](data))]
+                rows = [(p, i, *b) for i, b in enumerate(parsers[ext](data))]
                 yield pd.DataFrame(rows, columns=["path", "pos", "text", "page", "kind"])
 
     return files.mapInPandas(run, "path string, pos int, text string, page int, kind string")

@@ -40,9 +40,10 @@ def admit(times: Iterable[float], accepted: list[float], limit: int, window: flo
         yield ok
 
 
-def rate_limited(messages: DataFrame, key: str, order: str, limit: int = RATE_LIMIT, window: int = RATE_WINDOW, batch: int = 10_000) -> DataFrame:
+def rate_limited(messages: DataFrame, key: str, order: str, limit: int = RATE_LIMIT, window: int = RATE_WINDOW) -> DataFrame:
     """messages(key, ts, order) with `allowed`. Acceptance depends on earlier acceptance, so a key is
-    folded in order of time; groups arrive in pieces, and only the accepted times of one window are held."""
+    folded in order of time, in one task by its nature; its rows arrive in pieces, and only the
+    accepted times of one window are held."""
     schema = f"{key} {dict(messages.dtypes)[key]}, {order} {dict(messages.dtypes)[order]}, allowed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,15 +120,14 @@ def admission(messages: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_W
     Without id or sender: skip. Redelivered: duplicate. Not text: notice. Over the limit:
     limited. Blank: blank, which still uses up the quota. Else: answer.
     """
-    w = Window.partitionBy("msg_id").orderBy("ord")
-    df = messages.withColumn("_n", F.row_number().over(w))
-    named = F.coalesce("msg_id", F.lit("")) != ""
-    known = named & F.col("sender").isNotNull()
-    text = df.where(known & (F.col("_n") == 1) & (F.col("kind") == "text"))
-    allowed = rate_limited(text, "sender", "ord", limit, window).select("ord", "allowed")
-    df = df.join(allowed, "ord", "left")
+    known = F.coalesce((F.col("msg_id") != "") & F.col("sender").isNotNull(), F.lit(False))
+    skipped = messages.where(~known).select("msg_id", "ord", F.lit("skip").alias("outcome"))
+    # Messages without id or sender may be many; they share no task.
+    df = messages.where(known).withColumn("_n", F.row_number().over(Window.partitionBy("msg_id").orderBy("ord")))
+    text = df.where((F.col("_n") == 1) & (F.col("kind") == "text"))
+    df = df.join(rate_limited(text, "sender", "ord", limit, window).select("ord", "allowed"), "ord", "left")
     outcome = (
-        F.when(~known, "skip").when(F.col("_n") > 1, "duplicate").when(~F.col("kind").eqNullSafe("text"), "notice")
+        F.when(F.col("_n") > 1, "duplicate").when(~F.col("kind").eqNullSafe("text"), "notice")
         .when(~F.col("allowed"), "limited").when(F.coalesce(F.regexp_replace("body", r"\s", ""), F.lit("")) == "", "blank").otherwise("answer")
     )
-    return df.select("msg_id", "ord", outcome.alias("outcome"))
+    return df.select("msg_id", "ord", outcome.alias("outcome")).unionByName(skipped)
