@@ -64,3 +64,30 @@ def plain_features(text):
         math.log1p(max(upper - 0.2 * n, 0)), repeats / n, math.log1p(repeats), len(set(words)) / n, max(map(words.count, set(words))) / n,
         1 - len(set(lines)) / len(lines), sum(len(x.split()) < 4 for x in lines) / len(lines), math.log1p(n),
     ]
+
+
+def plain_battery(token):
+    """Combined p-value of a token under randomness, test by test."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for pattern, letters in [
+        ("[0-9a-f]+", digits + "abcdef"), ("[0-9A-F]+", digits + "ABCDEF"), ("[A-Z2-7]+=*", upper + "234567"), ("[0-9a-z]+", digits + lower),
+        ("[0-9A-Za-z]+", digits + upper + lower), ("[0-9A-Za-z_-]+=*", upper + lower + digits + "-_"), (".*", upper + lower + digits + "+/"),
+    ]:
+        if re.fullmatch(pattern, token):
+            break
+    body = token.rstrip("=")
+    n, k = max(len(body), 2), len(letters)
+    tail = lambda z: 1 / (1 + math.exp(min(1.5976 * z + 0.07056 * z**3, 700)))
+    chi = k / n * sum(body.count(c) ** 2 for c in set(body)) - n
+    p_chi = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    code = [letters.find(c) for c in body]
+    high = [x >= k / 2 for x in code]
+    n1 = max(sum(high), 1)
+    n2 = max(n - n1, 1)
+    runs, expected = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), 2 * n1 * n2 / n + 1
+    p_runs = 2 * tail(abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25)))
+    mean = sum(code) / n
+    var = max(sum((x - mean) ** 2 for x in code), 1e-9)
+    lag = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:], strict=False))
+    p_serial = 2 * tail(abs(lag / var + 1 / (n - 1)) * math.sqrt(n - 1))
+    return min(1, 3 * min(p_chi, p_runs, p_serial))

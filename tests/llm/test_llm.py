@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.brute import joined, pii_base, plain_features, secret_base, sha
+from tests.llm.brute import joined, pii_base, plain_battery, plain_features, secret_base, sha
 from tests.oracle import differences, duck
 from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, registry, secrets, token_counts
 from tidemill.llm.common import materialise
@@ -118,6 +118,48 @@ def test_random_tokens_are_secrets_and_words_are_not(spark):
     assert not any(got[100 + i] for i in range(30)) and got[200] == ""
 
 
+def secret_like(rng, i):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return "".join(rng.choice(letters if i % 2 else "0123456789abcdef") for _ in range(rng.choice([20, 24, 30, 40, 64]) if i % 2 else rng.randrange(20, 32)))
+
+
+def ordinary(rng):
+    words = "alpha beta gamma delta config server network module handler manager version release candidate number table index".split()
+    return "_".join(rng.choice(words) for _ in range(rng.randrange(3, 7))) + f"_{rng.randrange(1, 2025)}"
+
+
+def test_battery_equals_brute_force(spark):
+    rng = random.Random(17)
+    tokens = [secret_like(rng, i) for i in range(60)] + [ordinary(rng) for _ in range(60)] + ["a" * 40, "ab" * 20, "Zm9v" * 8 + "==", "A2B3" * 6, "x+/" * 9, "0" * 31 + "f"]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    for r in df.select("token", secrets.battery(F.col("token")).alias("p")).collect():
+        assert r.p == pytest.approx(plain_battery(r.token), rel=1e-9, abs=1e-300), r.token
+
+
+def test_reported_tokens_are_the_controlled_discoveries(spark):
+    """Precision and recall on planted random tokens among ordinary ones of the same lengths."""
+    rng = random.Random(3)
+    docs = []
+    for i in range(400):
+        t, o = secret_like(rng, i), ordinary(rng)
+        docs.append((i, f"see {t} and {o} here", t))
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id int, text string, t string")).collect()}
+    hits = [text[slice(*map(int, x.split(":")[1:]))] == t for i, text, t in docs for x in found[i].split(",") if x.startswith("random")]
+    assert sum(hits) >= 0.85 * 400 and sum(hits) >= (1 - 1.5 * secrets.RATE) * len(hits)
+    plain = spark.createDataFrame([(i, f"only {ordinary(rng)}") for i in range(200)], "doc_id int, text string")
+    assert sum(r.spans.count("random") for r in secrets.find_secrets(plain).collect()) <= 20
+
+
+def test_bounds_of_reported_steps():
+    random_ = {c: [500, 200, 150, 100, 50] + [0] * (secrets.STEPS - 4) for c in range(5)}
+    counts = {c: [0] * (secrets.STEPS + 1) for c in range(5)}
+    counts[1][:5] = [50, 20, 15, 10, 5]  # random ones only: all are reported
+    counts[2][:3], counts[2][60] = [50, 20, 15], 500  # 500 ordinary ones far out stay unreported
+    counts[3][70] = 9  # ordinary ones only
+    got = secrets.bounds(counts, random_, 0.1)
+    assert got[0] == 0 and got[1] == secrets.STEPS + 1 and 5 <= got[2] <= 60 and got[3] == 0
+
+
 # op3 -----------------------------------------------------------------------
 
 

@@ -4,17 +4,25 @@ Base spans (assigned values, access keys, long hex) always stay. Every other tok
 more encoding characters is a candidate: its encoding is inferred from the characters in
 it, then tested for uniform use of that alphabet (chi-squared), for runs above and below
 the alphabet's middle, and for serial correlation. The least p-value, times three, says how
-well the token goes with randomness. Within each class of lengths the Benjamini-Hochberg
-procedure (on p-values rounded up to a fixed grid, so that only counts by class and grid
-step travel) rejects randomness for what isn't random, with a false-discovery rate of
-RATE; a token that mixes letters and digits and isn't rejected is reported as `random`.
-
-Edge cases: null text is as empty; repeated rows get a row each; an empty table gives no rows.
+well the token goes with randomness; it is rounded down to a step of a fixed grid, so that
+only counts by class of length and step travel.
+
+The discoveries are the tokens reported as `random`. Their false-discovery control is by
+length class: how random tokens spread over the steps is known from the same battery on
+hashes of counted numbers; how many there are follows from the steps of high p-values, which
+ordinary tokens hardly reach; and what a bound lets in beyond their share is ordinary. Each
+class takes the widest bound at which those are at most RATE of what it reports.
+
+Edge cases: null text is as empty; repeated rows get a row each and count each; an empty
+table gives no rows; very long texts are searched whole; only doc_id and text are read, so
+further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import materialise, pick
@@ -38,12 +46,23 @@ ENCODINGS = [
     (r"^[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
     (r".", UPPER + LOWER + DIGITS + "+/"),
 ]
-RATE, STEPS, CLASSES = 0.2, 80, (20, 28, 40, 64, 128)
+RATE, STEPS, CLASSES = 0.1, 80, (20, 28, 40, 64, 128)
+#: Random tokens a class is measured on; the last step of the p-values (over one half) that tell how many there are.
+MEASURED, SURE = 2000, 2
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a normal variable, by a logistic approximation good to 2e-4."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
+    return let(z, lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z)))
+
+
+def total(a: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
 
 
 def battery(token: Column) -> Column:
@@ -51,29 +70,34 @@ def battery(token: Column) -> Column:
     alphabet = F.lit(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
         alphabet = F.when(F.rlike(token, F.lit(pattern)), F.lit(letters)).otherwise(alphabet)
-    body = F.regexp_replace(token, "=+$", "")
+    letters_of = lambda body: F.filter(F.split(body, ""), lambda c: c != "")
+    codes = lambda body, alphabet: F.transform(letters_of(body), lambda c: F.call_function("instr", alphabet, c).cast("double") - 1)
+    return let(alphabet, lambda alphabet: let(F.regexp_replace(token, "=+$", ""), lambda body: let(codes(body, alphabet), lambda code: _combined(body, F.length(alphabet).cast("double"), code))))
+
+
+def _combined(body: Column, k: Column, code: Column) -> Column:
     n = F.greatest(F.length(body), F.lit(2)).cast("double")
-    k = F.length(alphabet).cast("double")
-    chars = F.filter(F.split(body, ""), lambda c: c != "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    p_chi = upper_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-
-    code = F.transform(chars, lambda c: F.call_function("instr", alphabet, c).cast("double") - 1)
-    first, second = F.slice(code, F.lit(1), F.greatest(F.size(code) - 1, F.lit(0))), F.slice(code, F.lit(2), F.greatest(F.size(code) - 1, F.lit(0)))
+    letters = F.array_distinct(F.filter(F.split(body, ""), lambda c: c != ""))
+    squares = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
+    p_chi = upper_tail((k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+
+    least = F.greatest(F.size(code) - 1, F.lit(0))
+    steps = lambda f: F.zip_with(F.slice(code, F.lit(1), least), F.slice(code, F.lit(2), least), f)
     high = lambda x: x >= k / 2
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    n1 = F.greatest(total(code, lambda x: high(x).cast("double")), F.lit(1.0))
-    n2 = F.greatest(n - n1, F.lit(1.0))
-    runs = 1 + F.aggregate(F.zip_with(first, second, lambda a, b: (high(a) != high(b)).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    expected = 2 * n1 * n2 / n + 1
-    spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.25))
-    p_runs = 2 * upper_tail(F.abs(runs - expected) / F.sqrt(spread))
-
-    mean = total(code, lambda x: x) / n
-    var = F.greatest(total(code, lambda x: (x - mean) * (x - mean)), F.lit(1e-9))
-    lag = F.aggregate(F.zip_with(first, second, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda s, x: s + x)
-    p_serial = 2 * upper_tail(F.abs(lag / var + 1 / (n - 1)) * F.sqrt(n - 1))
+
+    def runs_test(n1: Column) -> Column:
+        n2 = F.greatest(n - n1, F.lit(1.0))
+        runs = 1 + total(steps(lambda a, b: (high(a) != high(b)).cast("double")))
+        of = lambda expected: F.abs(runs - expected) / F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.25)))
+        return 2 * upper_tail(let(2 * n1 * n2 / n + 1, of))
+
+    def serial_test(mean: Column) -> Column:
+        var = F.greatest(total(code, lambda x: (x - mean) * (x - mean)), F.lit(1e-9))
+        lag = total(steps(lambda a, b: (a - mean) * (b - mean)))
+        return 2 * upper_tail(F.abs(lag / var + 1 / (n - 1)) * F.sqrt(n - 1))
+
+    p_runs = let(F.greatest(total(code, lambda x: high(x).cast("double")), F.lit(1.0)), runs_test)
+    p_serial = let(total(code) / n, serial_test)
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
@@ -89,13 +113,35 @@ def length_class(n: Column) -> Column:
     return c
 
 
-def rejected_from(found: DataFrame) -> dict[int, int]:
-    """By length class, the least grid step at which randomness is rejected."""
-    each = found.select(F.explode("_tokens").alias("s")).groupBy("s.cls", "s.step").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("cls")
-    ranked = each.withColumn("r", F.sum("n").over(by_class.orderBy(F.desc("step")))).withColumn("m", F.sum("n").over(by_class))
-    passing = ranked.where(F.pow(F.lit(10.0), -F.col("step") / 10) <= RATE * F.col("r") / F.col("m"))
-    return {r[0]: r[1] for r in passing.groupBy("cls").agg(F.min("step")).collect()}  # a row for each class at most
+def by_step(tokens: DataFrame) -> dict[int, list[int]]:
+    """By length class, how many tokens(cls, step) there are at each step: a row a class and step at most."""
+    out = {c: [0] * (STEPS + 1) for c in range(len(CLASSES))}
+    for c, step, n in tokens.groupBy("cls", "step").agg(F.count("*").alias("n")).collect():
+        out[c][step] = n
+    return out
+
+
+def random_tokens(spark: SparkSession) -> DataFrame:
+    """cls, step of MEASURED random tokens of each class, half of them hexadecimal, half base64."""
+    n = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("id") % len(CLASSES) + 1).cast("int"))
+    digest = lambda i: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{i}")), 512)
+    text = F.when(F.col("id") % 2 == 0, digest(0)).otherwise(F.translate(F.base64(F.unhex(F.concat(digest(0), digest(1)))), "=\r\n", ""))
+    rows = spark.range(MEASURED * len(CLASSES)).select(n.alias("n"), F.substring(text, F.lit(1), n).alias("token"))
+    return rows.select(length_class(F.col("n")).alias("cls"), step_of(battery(F.col("token"))).alias("step"))
+
+
+def bounds(counts: dict[int, list[int]], random: dict[int, list[int]], rate: float = RATE) -> dict[int, int]:
+    """By length class, the first step that isn't reported any more."""
+    out = {}
+    for c, n in counts.items():
+        share = [sum(random[c][: s + 1]) / max(sum(random[c]), 1) for s in range(STEPS + 1)]
+        found = min(sum(n[: SURE + 1]) / max(share[SURE], 1e-9), sum(n))
+        out[c] = 0
+        for s in range(STEPS + 1):
+            reported = sum(n[: s + 1])
+            if reported and reported - found * share[s] <= rate * reported:
+                out[c] = s + 1
+    return out
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -114,7 +160,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(F.col(f"_b{i}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["stop"].alias("stop")))
 
     df = df.withColumn("_base", F.sort_array(F.concat(*map(of_kind, range(3)))))
-    mixed = lambda s: F.rlike(s["text"], F.lit("[0-9].*[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z].*[A-Za-z]")) & ~overlaps(s, F.col("_base"))
+    mixed = lambda s: F.rlike(s["text"], F.lit("[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z]")) & ~overlaps(s, F.col("_base"))
     tested = F.transform(
         F.filter("_t", mixed),
         lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), length_class(s["stop"] - s["start"]).alias("cls"), step_of(battery(s["text"])).alias("step")),
@@ -125,8 +171,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans, for every row of docs(doc_id, text)."""
     found = materialise(candidates(pick(docs, "doc_id", "text")).drop("text"), "secrets")
-    limits = rejected_from(found)
-    bound = F.array(*[F.lit(limits.get(i, STEPS + 1)) for i in range(len(CLASSES))])
+    limits = bounds(by_step(found.select(F.inline("_tokens")).select("cls", "step")), by_step(random_tokens(docs.sparkSession)))
+    bound = F.array(*[F.lit(limits[i]) for i in range(len(CLASSES))])
     random = F.transform(F.filter("_tokens", lambda s: s["step"] < bound[s["cls"]]), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["stop"].alias("stop")))
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
