@@ -441,10 +441,22 @@ def test_preference_edges(spark):
     rows = [(1, 0, "user", None), (1, 0, None, "x"), (1, None, "assistant", ""), (None, 0, "user", "lost"), (2, 0, "user", "only"), (3, 1, "assistant", "b"), (3, 1, "assistant", "b")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
     got = {r.pair_id: r for r in preferences.format_pairs(preferences.self_pairs(df)).collect()}
-    assert set(got) == {1, 2, 3} and got[2].chosen == "" and got[3].prompt_turns == 2
+    assert set(got) == {1, 2, 3} and got[2].chosen == "" and got[3].prompt_turns == 2  # both say the same
     assert preferences.format_pairs(preferences.self_pairs(df.limit(0))).count() == 0
 
 
+def test_preference_branches_part_at_any_depth(spark):
+    long = "é" * 200_000
+    turns = [(r, t) for i in range(3) for r, t in (("user", f"q{i}"), ("assistant", f"a{i}" if i else long))]
+    df = spark.createDataFrame([(c, i, r, t) for c in (3, 4, 5) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preferences.format_pairs(preferences.self_pairs(df)).collect()}
+    assert [got[c].prompt_turns for c in (3, 4, 5)] == [1, 3, 5]
+    assert got[3].chosen_mask.count(":") == 3 and got[5].chosen_mask.count(":") == 1
+    for c, said in ((3, ["a1", "a1", "a2"]), (4, ["a2", "a2"]), (5, [long])):
+        whole = got[c].prompt + got[c].rejected
+        assert [whole[slice(*map(int, m.split(":")))].removesuffix(preferences.END) for m in got[c].rejected_mask.split(",")] == said
+
+
 # op6, op7 ------------------------------------------------------------------
 
 

@@ -7,7 +7,9 @@ end mark after them.
 
 Edge cases: null roles count as "unknown", null texts as empty; turns are equal only if role
 and text are (nulls equal nulls); a pair without turns gives empty strings; rows without
-conv_id belong to no conversation; turns that share a number are ordered by role and text.
+conv_id belong to no conversation; turns that share a number are ordered by role and text;
+repeated turns stay; an empty table gives no rows; very long turns are rendered whole; only
+the named columns are read, so further columns, whatever their names, do no harm.
 A conversation is one output row, so its turns meet in one task.
 """
 
@@ -66,44 +68,47 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def self_pairs(conversations: DataFrame) -> DataFrame:
-    """A pair for each conversation: up to its last assistant turn, against the same with the
-    assistant's turn before that (or nothing) in its place."""
+    """A pair for each conversation: up to its last assistant turn, against a branch of it.
+
+    The branch leaves at one of the assistant's turns, which by the conversation's id: there
+    it says what the assistant says at its next turn (after the last at the first; nothing, if
+    there is no other), and then goes on as the conversation does. So pairs part at any depth,
+    and completions have any number of turns.
+    """
     turns = pick(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null")
     df = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
     df = df.withColumn("all", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    places = F.filter(F.transform("all", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    places = F.filter(F.transform("all", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
     df = df.withColumn("at", places)
-    last, before = F.element_at("at", -1), F.try_element_at("at", F.lit(-2))
-    some = F.size("at") > 0
-    df = df.withColumn("chosen", F.when(some, F.slice("all", F.lit(1), F.when(some, last).otherwise(1))).otherwise(F.col("all")))
-    other = F.when(before.isNotNull(), F.try_element_at("all", before)["text"]).otherwise(F.lit(""))
-    instead = F.array(F.struct(F.lit("assistant").alias("role"), other.alias("text")))
-    df = df.withColumn("rejected", F.when(some, F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), instead)).otherwise(F.col("all")))
-    return df.select(F.col("conv_id").alias("pair_id"), "chosen", "rejected")
+    count = F.size("at")
+    df = df.withColumns({"j": F.when(count > 0, F.pmod(F.col("conv_id"), count).cast("int")), "last": F.coalesce(F.get("at", count - 1) + 1, F.size("all"))})
+    other = F.when(count > 1, F.get("all", F.get("at", (F.col("j") + 1) % count))["text"]).otherwise(F.lit(""))
+    df = df.withColumns({"chosen": F.slice("all", F.lit(1), F.col("last")), "place": F.get("at", F.col("j")), "other": other})
+    branch = F.transform("chosen", lambda t, i: F.struct(t["role"].alias("role"), F.when(i.eqNullSafe(F.col("place")), F.col("other")).otherwise(t["text"]).alias("text")))
+    return df.select(F.col("conv_id").alias("pair_id"), "chosen", branch.alias("rejected"))
 
 
 ORACLE_SQL = """
 WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, role = 'assistant' AS a,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  SELECT conv_id, role, text, coalesce(role = 'assistant', FALSE) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
-), c AS (
-  SELECT conv_id, max(pos) AS n, max(pos) FILTER (a) AS la FROM t GROUP BY conv_id
-), d AS (
-  SELECT c.*, (SELECT max(pos) FROM t WHERE t.conv_id = c.conv_id AND a AND pos < c.la) AS pa FROM c
-), e AS (
-  SELECT d.*, lt.text AS last_text, coalesce(pt.text, '') AS other FROM d
-  LEFT JOIN t lt ON lt.conv_id = d.conv_id AND lt.pos = d.la LEFT JOIN t pt ON pt.conv_id = d.conv_id AND pt.pos = d.pa
-), f AS (
-  SELECT *, CASE WHEN la IS NULL THEN n WHEN last_text = other THEN la ELSE la - 1 END AS prompt_turns FROM e
-), g AS (
-  SELECT f.*, coalesce((SELECT string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY pos) FROM t
-    WHERE t.conv_id = f.conv_id AND pos <= f.prompt_turns), '') AS prompt FROM f
-), h AS (SELECT *, la IS NOT NULL AND prompt_turns < la AS open, '<|assistant|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail FROM g)
-SELECT conv_id AS pair_id, CAST(prompt_turns AS INTEGER) AS prompt_turns, prompt,
-  CASE WHEN open THEN head || last_text || tail ELSE '' END AS chosen,
-  CASE WHEN open THEN head || other || tail ELSE '' END AS rejected,
-  CASE WHEN open THEN (length(prompt) + length(head)) || ':' || (length(prompt) + length(head) + length(last_text) + length(tail)) ELSE '' END AS chosen_mask,
-  CASE WHEN open THEN (length(prompt) + length(head)) || ':' || (length(prompt) + length(head) + length(other) + length(tail)) ELSE '' END AS rejected_mask
-FROM h
+), c AS (SELECT conv_id, count(*) AS n, max(pos) FILTER (a) AS la, count(*) FILTER (a) AS m FROM t GROUP BY conv_id
+), o AS (SELECT conv_id, pos, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS j FROM t WHERE a
+), b AS (
+  SELECT c.conv_id, c.m, coalesce(c.la, c.n) AS last, p.pos AS place, p.text AS own, CASE WHEN c.m > 1 THEN q.text ELSE '' END AS other FROM c
+  LEFT JOIN o p ON p.conv_id = c.conv_id AND p.j = ((c.conv_id % greatest(c.m, 1)) + c.m) % greatest(c.m, 1) LEFT JOIN o q ON q.conv_id = c.conv_id AND q.j = (p.j + 1) % greatest(c.m, 1)
+), d AS (SELECT *, CASE WHEN m = 0 OR own IS NOT DISTINCT FROM other THEN last ELSE place - 1 END AS prompt_turns FROM b
+), r AS (
+  SELECT d.conv_id, t.pos, t.a, t.pos <= d.prompt_turns AS shared, length('<|' || coalesce(role, 'unknown') || '|>') + 1 AS head, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS h,
+    coalesce(t.text, '') || '<|end|>' || chr(10) AS body, coalesce(CASE WHEN t.pos = d.place THEN d.other ELSE t.text END, '') || '<|end|>' || chr(10) AS branch
+  FROM d JOIN t ON t.conv_id = d.conv_id AND t.pos <= d.last
+), s AS (
+  SELECT *, sum(head + length(body)) OVER w - length(body) AS start_c, sum(head + CASE WHEN shared THEN length(body) ELSE length(branch) END) OVER w - length(branch) AS start_r
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+)
+SELECT d.conv_id AS pair_id, CAST(d.prompt_turns AS INTEGER) AS prompt_turns, coalesce(string_agg(h || body, '' ORDER BY pos) FILTER (shared), '') AS prompt,
+  coalesce(string_agg(h || body, '' ORDER BY pos) FILTER (NOT shared), '') AS chosen, coalesce(string_agg(h || branch, '' ORDER BY pos) FILTER (NOT shared), '') AS rejected,
+  coalesce(string_agg(CAST(start_c AS BIGINT) || ':' || CAST(start_c + length(body) AS BIGINT), ',' ORDER BY pos) FILTER (a AND NOT shared), '') AS chosen_mask,
+  coalesce(string_agg(CAST(start_r AS BIGINT) || ':' || CAST(start_r + length(branch) AS BIGINT), ',' ORDER BY pos) FILTER (a AND NOT shared), '') AS rejected_mask
+FROM d LEFT JOIN s ON s.conv_id = d.conv_id GROUP BY d.conv_id, d.prompt_turns
 """
