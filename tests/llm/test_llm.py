@@ -65,6 +65,15 @@ def test_mixed_rows(spark):
     assert n.get(4, 0) in (1, 2) and plan[4, 80_000].epochs >= 1
 
 
+def test_repeated_rows_keep_to_their_budget(spark):
+    same, other = "one two three four five six seven eight nine ten", "a b c d e f g h i j"
+    rows = [(1, same, None, "s", 0)] * 30 + [(2 + i, other, None, "s", 0) for i in range(30)] + [(100 + i, other, None, "t", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    target = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    taken = {r.source: 10 * r["count"] for r in mixing.mixed(df).groupBy("source").count().collect()}
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target) and set(taken) == set(target)
+
+
 # op2, op8 ------------------------------------------------------------------
 
 
@@ -696,6 +705,18 @@ def test_pipeline(spark, sf_dir):
     assert sorted((r.doc_id, r.ids) for r in p.run(spark, sf_dir).collect()) == want
 
 
+def test_sweep_leaves_what_is_read_and_what_was_there(spark):
+    from tidemill.llm.common import sweep, tables
+
+    older = materialise(spark.range(3), "older")
+    before = tables(spark)
+    gone, kept = materialise(spark.range(4), "gone"), materialise(spark.range(5), "kept")
+    sweep(spark, kept, before)
+    assert older.count() == 3 and kept.count() == 5 and len(tables(spark)) == len(before) + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
+        gone.count()
+
+
 def test_pipeline_stages_take_odd_documents(spark, sf_dir):
     import corpus_pipeline as p
 

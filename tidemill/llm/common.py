@@ -41,15 +41,23 @@ def session_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/tidemill-{spark.sparkContext.applicationId}"
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables that `materialise` wrote in this session, but those that `keep` reads."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _folder(spark: SparkSession):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """Names of the tables that `materialise` wrote in this session."""
+    folder, fs = _folder(spark)
+    return {f.getPath().getName() for f in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, older: set[str] = frozenset()) -> None:
+    """Delete the session's tables, but those that `keep` reads and those named in `older`."""
+    folder, fs = _folder(spark)
     used = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
-    for found in fs.listStatus(folder) if fs.exists(folder) else []:
-        if found.getPath().getName() not in used:
-            fs.delete(found.getPath(), True)
+    for name in tables(spark) - used - set(older):
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
 
 
 #: Bytes of an Arrow batch on its way to a worker, and Spark's own default.

@@ -9,7 +9,9 @@ its size repeats whole epochs; the rest of its budget is cut at the exact word.
 
 Edge cases: null or blank text has size 0 and is never taken; a null source is a source of
 its own, last in order; rows that repeat are each documents (equal keys are ordered by id,
-then size); sources of size 0 have target 0; an empty table gives no rows.
+then size); sources of size 0 have target 0; very long texts are counted whole, and may be
+taken in part; an empty table gives no rows; only doc_id, text and source are read, so further
+columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialise, pick, shuffle_partitions, word_count
+from tidemill.llm.common import light, materialise, pick, shuffle_partitions, word_count
 
 
 def prefix_sums(df: DataFrame, within: list[str], order: list[Column], names: dict[str, str], tag: str) -> DataFrame:
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, bou
     """
     sized = pick(docs, "doc_id", "text", "source", *carry).select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     sized = materialise(sized, "sizes")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("size")), list(weights), share, bound)
+    plan = light(materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), list(weights), share, bound), "plan"))
     rows = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = prefix_sums(rows, ["sid"], [F.asc("key"), F.asc("doc_id"), F.asc("size")], {"size": "before"}, "keyed")
@@ -74,16 +76,21 @@ def mixed(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, b
     """Rows of docs as often as the mix takes them, all their columns kept.
 
     The document in which a budget ends is taken whole if at least half of it is in.
-    Rows that agree in id, source and text are each taken as often as the one taken most.
+    Rows that agree in id, source and text are taken as often as all of them together: one of
+    them, if their other columns differ.
     """
     # The rows travel packed, so that none of their columns meets a working name.
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", F.xxhash64("text").alias("_digest"))
     plan = mix(keyed, weights, share, bound, carry=["_digest"])
     whole = F.col("taken") - F.col("epochs") * F.col("size")
     copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * whole >= F.col("size")), 1).otherwise(0)
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_key")).agg(F.max(copies).alias("_copies"))
+    keys = ["_id", "_source", "_key"]
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_key")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows"))
+    plan = materialise(plan.where("_copies > 0"), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_key"))
-    joined = keyed.join(plan.where("_copies > 0"), same)
+    joined = keyed.join(plan, same)
+    if not plan.where("_rows > 1").isEmpty():
+        joined = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(keys))
     return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
 
 

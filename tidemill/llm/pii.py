@@ -10,7 +10,9 @@ fitted to those. Both run as folds over one row in Spark; the driver sees their
 only. Further spans stay if the classifier gives 0.5 or more.
 
 Edge cases: null text is as empty; repeated rows and ids get a row each; an empty table
-gives no rows; without votes the classifier keeps its starting weights.
+gives no rows; without votes the classifier keeps its starting weights; very long texts are
+searched whole; `redact` keeps all columns, the others read only doc_id and text, so further
+columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations

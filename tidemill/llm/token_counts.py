@@ -11,7 +11,8 @@ broadcast and only the other digests' rows are shuffled.
 
 Edge cases: null and empty texts share one entry of 0 tokens; rows that repeat get a row
 each; a null doc_id stays null; an empty table leaves the cache as it is; an appended entry
-that a retried run repeats is counted once.
+that a retried run repeats is counted once; very long texts are encoded whole; only doc_id
+and text are read, so further columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
