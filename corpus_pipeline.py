@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 all but the last return the columns of documents. `run` writes each stage to the shared
-folder and reads it back, so that a lost executor costs no finished stage.
+folder and reads it back, so that a lost executor costs no finished stage, and deletes what
+the stages before have left there.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, mixing, near_dedup, pii, quality
-from tidemill.llm.common import materialise
+from tidemill.llm.common import materialise, sweep, tables
 from tidemill.session import table
 
 
@@ -55,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, older = table(spark, sf_dir, "documents"), tables(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        sweep(spark, docs, older)  # the stage's own tables, and its predecessor's result
     return docs
