@@ -237,14 +237,19 @@ def declined(answer: Column) -> Column:
     return F.exists(F.array(*[F.lit(d) for d in rules.DECLINES]), lambda d: F.contains(low, d))
 
 
+def abbreviations_in(q: Column) -> Column:
+    """Abbreviations among the words of q, longest first: one split and one look-up of the words."""
+    # Letters that agree with ASCII ones if case doesn't count.
+    plain = F.lower(F.translate(F.coalesce(q, F.lit("")), "\u017f\u0131\u0130", "sii"))
+    known = F.array(*[F.lit(s) for s in sorted(rules.ABBREVIATIONS, key=len, reverse=True)])
+    return F.array_intersect(known, F.regexp_extract_all(plain, F.lit(rf"{_W}+"), F.lit(0)))
+
+
 def expansions(q: Column, most: int = 4) -> Column:
-    """Full forms of abbreviations in q, longest abbreviation first, at most `most`."""
+    """Full forms of abbreviations in q, longest abbreviation first, at most `most`; none that q has already."""
     low = F.lower(q)
-    found = []
-    for short, full in sorted(rules.ABBREVIATIONS.items(), key=lambda kv: -len(kv[0])):
-        found.append(F.when(matches(q, whole(short)) & ~F.contains(low, F.lit(full.lower())), F.lit(full)))
-    distinct = F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.slice(distinct, 1, most)
+    full = F.transform(abbreviations_in(q), lambda s: lookup(rules.ABBREVIATIONS, s))
+    return F.slice(F.array_distinct(F.filter(full, lambda x: ~F.contains(low, F.lower(x)))), 1, most)
 
 
 def expand(q: Column, most: int = 4) -> Column:
@@ -252,11 +257,6 @@ def expand(q: Column, most: int = 4) -> Column:
     return F.when(F.size(more) > 0, F.concat_ws(" ", q, F.array_join(more, " "))).otherwise(q)
 
 
-def abbreviations_in(q: Column) -> Column:
-    found = [F.when(matches(q, whole(s)), F.lit(s)) for s in sorted(rules.ABBREVIATIONS, key=len, reverse=True)]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
 def keyword_category(q: Column) -> Column:
     low = F.lower(F.coalesce(q, F.lit("")))
     scores = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, (c, ws) in enumerate(rules.KEYWORDS.items())]
