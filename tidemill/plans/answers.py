@@ -11,7 +11,8 @@ from tidemill.functions import text as tx
 from tidemill.operators import chat, chunking, evaluation, generation, retrieval, spelling, sync
 from tidemill.plans.registry import lit, query, sql_collapse
 from tidemill.plans.retrieval import EVERY
-from tidemill.session import table
+from tidemill.session import scratch, table
+from tidemill.sources import files
 
 # Answers -------------------------------------------------------------------
 
@@ -284,3 +285,32 @@ def upload_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").withColumns({"title": F.concat(F.lit("document "), F.col("label").cast("string")), "page": F.col("vec_id") % 9 + 1})
     q = v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
     return retrieval.upload_sources(retrieval.pools(q, v, rules.POOL, carry=["title", "page"])).select("query_id", "pos", "vec_id", "source_url", "heading")
+
+
+# Files ---------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes out as JSON lines comes back."""
+    path, d = scratch(spark, "lines"), table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    files.write_json(d, path)
+    return spark.read.schema(d.schema).json(path)
+
+
+@query("SELECT coalesce(source, '') AS doc_id, source AS title, count(*)::INTEGER AS chunks, max(coalesce(nullif(doc_id % 12, 0), 1))::INTEGER AS pages FROM documents GROUP BY source")
+def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of sources, written as one JSON object and read again."""
+    path = scratch(spark, "registry")
+    r = sync.registry(table(spark, sf_dir, "documents").withColumn("page", F.expr("nullif(doc_id % 12, 0)")), "source", "page")
+    nothing = F.lit(None).cast("string")
+    files.write_registry(r.select(F.coalesce("source", F.lit("")).alias("doc_id"), F.col("source").alias("title"), nothing.alias("filename"), "chunks", "pages", nothing.alias("uploaded_at")), path)
+    return files.read_registry(spark, path).select("doc_id", "title", "chunks", "pages")
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL")
+def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls written as JSON arrays, read as the distinct seeds."""
+    path = scratch(spark, "seeds")
+    files.write_seeds(table(spark, sf_dir, "pages").select("url").where("url is not null"), path)
+    return files.read_seeds(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below sf_dir; Spark's own reader resolves the path."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder of spark.checkpoint.dir; below a local one only for a local master."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+    return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -113,3 +113,16 @@ def envelope_messages(payload: Column) -> Column:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_registry(entries: DataFrame, path: str) -> None:
+    """Rewrites the JSON object of documents; entries as `read_registry` gives them, one short row a document."""
+    names = ["doc_id", "title", "filename", "chunks", "pages", "uploaded_at"]
+    pair = F.struct(F.coalesce("doc_id", F.lit("")), F.struct(*names))
+    entries.coalesce(1).agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_seeds(urls: DataFrame, path: str, files: int = 8) -> None:
+    """Urls as JSON arrays, one to a file."""
+    part = urls.groupBy(F.pmod(F.xxhash64("url"), F.lit(files)).alias("part")).agg(F.to_json(F.collect_list("url")).alias("value"))
+    part.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
