@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemill.functions import roles, rules
 from tidemill.functions import html as pages
 from tidemill.functions import text as tx
-from tidemill.operators import chat, chunking, evaluation, generation, retrieval, spelling, sync
-from tidemill.plans.registry import lit, query, sql_collapse
+from tidemill.operators import chat, chunking, evaluation, generation, retrieval, scoring, spelling, sync
+from tidemill.plans.registry import ORACLE_SQL, lit, query, sql_collapse
 from tidemill.plans.retrieval import EVERY
+from tidemill.plans.texts import EXAMPLES_SQL, questions
 from tidemill.session import scratch, table
 from tidemill.sources import files
 
@@ -314,3 +315,28 @@ def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "seeds")
     files.write_seeds(table(spark, sf_dir, "pages").select("url").where("url is not null"), path)
     return files.read_seeds(spark, path)
+
+
+# Voters --------------------------------------------------------------------
+
+
+def _voter(texts: list[str]) -> list[str | None]:
+    return [None if len(t) % 3 == 0 else "I think\nthe category is Faculty." if len(t) % 3 == 1 else "fees" for t in texts]
+
+
+@query(f"""
+WITH k AS ({ORACLE_SQL["keyword_category"]}), q AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM {EXAMPLES_SQL}),
+v AS (
+  SELECT conv_id, turn, 1 AS pos, category AS label FROM k UNION ALL
+  SELECT conv_id, turn, 2, CASE length(coalesce(text, '')) % 3 WHEN 1 THEN 'faculty' WHEN 2 THEN 'fees' END FROM q UNION ALL
+  SELECT conv_id, turn, 3, 'general_info' FROM q WHERE conv_id % 2 = 0
+), c AS (SELECT conv_id, turn, label, count(*) AS n, min(pos) AS first FROM v WHERE label IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS total, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first, label) AS r FROM c)
+SELECT conv_id, turn, label, n, CAST(total AS BIGINT) AS total, round(n / greatest(5, total), 4) AS agreement FROM r WHERE r = 1""")
+def ensemble_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule, a plugged-in model that fails at times and a voter that abstains decide a question's category."""
+    q = questions(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    asked = generation.with_model(q, _voter, "text", "said")
+    each = F.array(tx.keyword_category(F.col("text")), tx.parse_category(F.col("said")), F.when(F.col("conv_id") % 2 == 0, "general_info"))
+    votes = asked.select("conv_id", "turn", F.posexplode(each).alias("pos", "label"))
+    return scoring.votes(votes, ["conv_id", "turn"], "label", "pos")

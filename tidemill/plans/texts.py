@@ -129,11 +129,11 @@ EXAMPLES = [
     "when is the endsem for btech cse", "see the reval dates, prof", "I don't have that information.", "The page does not mention it. [1]", "", "   ",
     "Aids awareness maintenance", "who is in charge of placements and salary", "headed by the dean", "admission cutoff and entrance fee", "ok", "those two",
 ]
-_EXAMPLES_SQL = "(VALUES " + ", ".join(f"({-1 - i}, 0, {lit(e)})" for i, e in enumerate(EXAMPLES)) + ") e(conv_id, turn, text)"
-_QUESTIONS = f"(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM {_EXAMPLES_SQL}) q"
+EXAMPLES_SQL = "(VALUES " + ", ".join(f"({-1 - i}, 0, {lit(e)})" for i, e in enumerate(EXAMPLES)) + ") e(conv_id, turn, text)"
+_QUESTIONS = f"(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM {EXAMPLES_SQL}) q"
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1 - i, 0, e) for i, e in enumerate(EXAMPLES)], "conv_id long, turn long, text string")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(own)
 
@@ -159,7 +159,7 @@ SELECT conv_id, turn, principal, head, people, dept, school_asked, school, tag,
 def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
     wants = {"principal": tx.wants_principal(q), "head": tx.wants_head(q), "people": tx.wants_people(q), "dept": tx.department_in(q), "school_asked": tx.school_in(q)}
-    return _questions(spark, sf_dir).withColumns(wants).select(
+    return questions(spark, sf_dir).withColumns(wants).select(
         "conv_id", "turn", *wants, tx.lookup(rules.DEPARTMENT_SCHOOL, F.col("dept")).alias("school"), tx.department_tag(F.col("dept")).alias("tag"),
         tx.route(*map(F.col, wants)).alias("route"), F.when(F.col("principal"), tx.rerank_text(q, F.col("school_asked"))).otherwise(q).alias("rerank_text"),
     )
@@ -179,12 +179,12 @@ WITH t AS (SELECT *, {sql_strip("coalesce(text, '')")} AS s FROM {_QUESTIONS})
 SELECT conv_id, turn, s <> '' AND ({_FOLLOW} OR len(regexp_extract_all(s, '\S+')) < 3) AS needs_rewrite, length(text) BETWEEN 2 AND 500 AS in_bounds FROM t""")
 def rewrite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
-    return _questions(spark, sf_dir).select("conv_id", "turn", tx.needs_rewrite(q).alias("needs_rewrite"), F.length(q).between(2, 500).alias("in_bounds"))
+    return questions(spark, sf_dir).select("conv_id", "turn", tx.needs_rewrite(q).alias("needs_rewrite"), F.length(q).between(2, 500).alias("in_bounds"))
 
 
 @query(f"SELECT conv_id, turn, {' OR '.join(f'contains(lower(text), {lit(d)})' for d in rules.DECLINES)} AS declined FROM {_QUESTIONS}")
 def declined_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark, sf_dir).select("conv_id", "turn", tx.declined(F.col("text")).alias("declined"))
+    return questions(spark, sf_dir).select("conv_id", "turn", tx.declined(F.col("text")).alias("declined"))
 
 
 _BY_LENGTH = sorted(rules.ABBREVIATIONS.items(), key=lambda kv: -len(kv[0]))
@@ -198,7 +198,7 @@ b AS (SELECT *, [e[i] FOR i IN range(1, len(e) + 1) IF list_position(e, e[i]) =
 SELECT conv_id, turn, CASE WHEN len(d) > 0 THEN text || ' ' || list_aggregate(d, 'string_agg', ' ') ELSE text END AS expanded, coalesce(list_aggregate(f, 'string_agg', ','), '') AS found FROM b""")
 def abbreviation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
-    return _questions(spark, sf_dir).select("conv_id", "turn", tx.expand(q).alias("expanded"), F.array_join(tx.abbreviations_in(q), ",").alias("found"))
+    return questions(spark, sf_dir).select("conv_id", "turn", tx.expand(q).alias("expanded"), F.array_join(tx.abbreviations_in(q), ",").alias("found"))
 
 
 _SCORES = {c: " + ".join(f"CAST(contains(lower(text), {lit(w)}) AS INTEGER)" for w in ws) for c, ws in rules.KEYWORDS.items()}
@@ -208,7 +208,7 @@ _SCORES = {c: " + ".join(f"CAST(contains(lower(text), {lit(w)}) AS INTEGER)" for
 WITH s AS (SELECT conv_id, turn, [{', '.join(_SCORES.values())}] AS n FROM {_QUESTIONS})
 SELECT conv_id, turn, CASE WHEN list_max(n) > 0 THEN [{', '.join(map(lit, _SCORES))}][list_position(n, list_max(n))] ELSE 'general_info' END AS category FROM s""")
 def keyword_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark, sf_dir).select("conv_id", "turn", tx.keyword_category(F.col("text")).alias("category"))
+    return questions(spark, sf_dir).select("conv_id", "turn", tx.keyword_category(F.col("text")).alias("category"))
 
 
 @query(f"""
@@ -216,7 +216,7 @@ WITH s AS (SELECT conv_id, turn, {sql_strip('text')} AS s FROM {_QUESTIONS}), l
 SELECT conv_id, turn, CASE WHEN s <> '' THEN CASE {' '.join(f'WHEN contains(last, {lit(c)}) THEN {lit(c)}' for c in rules.CATEGORIES)} ELSE 'general_info' END END AS vote FROM l""")
 def parsed_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read as answers of a classifying model; an empty answer is no vote."""
-    return _questions(spark, sf_dir).select("conv_id", "turn", tx.parse_category(F.col("text")).alias("vote"))
+    return questions(spark, sf_dir).select("conv_id", "turn", tx.parse_category(F.col("text")).alias("vote"))
 
 
 _LISTINGS = [
