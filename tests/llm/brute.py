@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 
 def sha(s: str) -> str:
@@ -91,3 +92,28 @@ def plain_battery(token):
     lag = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:], strict=False))
     p_serial = 2 * tail(abs(lag / var + 1 / (n - 1)) * math.sqrt(n - 1))
     return min(1, 3 * min(p_chi, p_runs, p_serial))
+
+
+def plain_fit(spans, kinds=6, voters=5, rounds=25, steps=60):
+    """The labelers' reliabilities by expectation-maximisation, then the span classifier's weights; spans: (kind, votes)."""
+    table = sorted(Counter(spans).items())
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    clip = lambda x, lo, hi: max(lo, min(hi, x))
+    prior, acc = 0.7, [0.8] * voters
+    belief = lambda votes: sigmoid(math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc, strict=True)))
+    for _ in range(rounds):
+        p = [belief(votes) for (_, votes), _ in table]
+        total = sum(n for _, n in table)
+        said = [sum(n for (_, v), n in table if v[j]) for j in range(voters)]
+        right = [sum(n * (b if v[j] == 1 else 1 - b) for ((_, v), n), b in zip(table, p, strict=True) if v[j]) for j in range(voters)]
+        prior = clip(sum(n * b for (_, n), b in zip(table, p, strict=True)) / total, 0.05, 0.95)
+        acc = [clip((r + 8) / (m + 10), 0.55, 0.99) for r, m in zip(right, said, strict=True)]
+    rows = [([1.0, *votes, *(float(k == kind) for k in range(kinds))], belief(votes), math.sqrt(n)) for (kind, votes), n in table]
+    mass, w = sum(n for *_, n in rows), [0.0] * (1 + voters + kinds)
+    for _ in range(steps):
+        slope = [0.0] * len(w)
+        for f, p, n in rows:
+            miss = n * (sigmoid(sum(a * b for a, b in zip(w, f, strict=True))) - p)
+            slope = [g + miss * x for g, x in zip(slope, f, strict=True)]
+        w = [a - 1.5 * (g / mass + 0.002 * a) for a, g in zip(w, slope, strict=True)]
+    return w

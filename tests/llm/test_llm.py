@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.brute import joined, pii_base, plain_battery, plain_features, secret_base, sha
+from tests.llm.brute import joined, pii_base, plain_battery, plain_features, plain_fit, secret_base, sha
 from tests.oracle import differences, duck
 from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, registry, secrets, token_counts
 from tidemill.llm.common import materialise
@@ -100,6 +100,19 @@ def test_span_edges(spark, find):
     assert find(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_weak_supervision_equals_brute_force(spark):
+    rng = random.Random(19)
+    spans = []
+    for _ in range(400):  # four labelers right at different rates, one silent
+        truth = rng.random() < 0.6
+        spans.append((rng.randrange(6), tuple((1 if truth == (rng.random() < good) else -1) if rng.random() < 0.8 else 0 for good in (0.95, 0.8, 0.7, 0.6)) + (0,)))
+    span = "array<struct<kind:int,start:int,stop:int,votes:array<int>>>"
+    rows = [([(k, 0, 1, list(v)) for k, v in spans[:150]], [(k, 0, 1, list(v)) for k, v in spans[150:]]), ([], [])]
+    w = pii.fit(spark.createDataFrame(rows, f"_base {span}, _more {span}"))
+    assert w == pytest.approx(plain_fit(spans), rel=1e-9, abs=1e-12)
+    assert w[1] > w[2] > w[3] > w[4] > 0 == w[5], "more reliable labelers weigh more"
+
+
 def test_more_personal_data_is_found(spark):
     text = "Call me: (415) 555-2671 or write to jane [at] example [dot] com, signed Dr. Jane Doe, ssn 123-45-6789. Version v 1.2.3.4"
     docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
