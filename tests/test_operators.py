@@ -464,3 +464,16 @@ def test_listing_departments_skip_own_names(spark):
     urls = [("http://u/oakfield/physics/faculty/",), ("http://u/physics/oakfield/faculty/",), ("http://u/school/faculty",)]
     df = spark.createDataFrame(urls, "url string")
     assert [r.d for r in df.select(tx.listing_department(F.col("url"), ["oakfield"]).alias("d")).collect()] == ["physics", "physics", None]
+
+
+def test_places_over_many_ranges(spark):
+    import random
+
+    from tidemill.operators import ranking
+
+    rows = [(random.Random(i).randrange(5), i) for i in range(300)] + [(2, 7)] * 3 + [(None, 1)]
+    df = spark.createDataFrame(rows, "v int, id int")
+    got = sorted((r.place, r.v, r.id) for r in ranking.places(df, F.desc_nulls_last("v"), F.asc("id")).collect())
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [g[0] for g in got] == list(range(1, 305)) and [g[1:] for g in got] == want
+    assert ranking.places(df.limit(0), F.asc("id")).count() == 0

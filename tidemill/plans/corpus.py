@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html
 from tidemill.functions import text as tx
-from tidemill.operators import evaluation, sync
+from tidemill.operators import evaluation, ranking, sync
 from tidemill.plans.registry import query, sql_collapse, sql_strip
 from tidemill.session import table
 
@@ -186,10 +186,8 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, CAST(row_number() OVER (ORDER BY n DESC, source) AS INTEGER) AS place FROM (SELECT source, count(*) FILTER (lang = 'en') AS n FROM documents GROUP BY source)")
 def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of collections, most English texts first; one row a collection."""
-    from pyspark.sql import Window
-
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("n"))
-    return n.select("source", F.row_number().over(Window.orderBy(F.desc("n"), "source")).alias("place"))
+    return ranking.places(n, F.desc("n"), F.asc("source")).drop("n")
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS messages")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import rules
-from tidemill.operators import evaluation, retrieval, routing, scoring
+from tidemill.operators import evaluation, ranking, retrieval, routing, scoring
 from tidemill.plans.registry import lit, query, sql_lookup
 from tidemill.plans.texts import ASKS_PEOPLE, CANON, DEPT, EXAMPLES, HEAD, PRINCIPAL, SCHOOL, TAG
 from tidemill.session import table
@@ -319,11 +319,8 @@ def carrier_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT query_id, round(log_ratio, 6) AS log_ratio, CAST(row_number() OVER (ORDER BY round(sep, 9) DESC, query_id) AS INTEGER) AS place FROM ({_sql_signals(_sql_pool(), 'web')})")
 def log_ratio_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over the query set, sorted by separation."""
-    from pyspark.sql import Window
-
-    s = scoring.signals(_pool(spark, sf_dir), ["query_id"])
-    place = F.row_number().over(Window.orderBy(F.desc(F.round("sep", 9)), "query_id"))
-    return _rounded(s.select("query_id", "log_ratio", place.alias("place")), "log_ratio")
+    s = scoring.signals(_pool(spark, sf_dir), ["query_id"]).select("query_id", "log_ratio", F.round("sep", 9).alias("sep"))
+    return _rounded(ranking.places(s, F.desc("sep"), F.asc("query_id")).drop("sep"), "log_ratio")
 
 
 @query(f"""
