@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, secrets, token_counts
+from tidemill.llm import ann, bpe, exact_topk, line_dedup, merkle, mixing, near_dedup, pii, preferences, quality, secrets, token_counts, whitening
 from tidemill.llm.common import work_dir
 from tidemill.session import table
 
@@ -54,6 +54,19 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.ann_topk(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=32)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.digests(line_dedup.kept_lines(docs, line_dedup.keep_bitmaps(docs, least_length=20, least_docs=3)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +80,9 @@ QUERIES = {
         op8_secret_scan,
         op9_near_dedup,
         op10_ann_search,
+        op11_merkle_manifest,
+        op12_embedding_whitening,
+        op13_line_dedup,
     )
 }
 
@@ -81,4 +97,10 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE_SQL, "op4_exact_topk": OP4_SQL, "op5_preference_format": preferences.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
+    "op4_exact_topk": OP4_SQL,
+    "op5_preference_format": preferences.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_line_dedup": line_dedup.ORACLE_SQL,
+}
