@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import blocks
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -14,23 +16,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def pools(queries: DataFrame, vectors: DataFrame, n: int = 15, where: Column | None = None, carry: list[str] = ()) -> DataFrame:
+def pools(queries: DataFrame, vectors: DataFrame, n: int = 15, same_label: bool = False, carry: list[str] = ()) -> DataFrame:
     """query_id, pos, vec_id, score: the n nearest by cosine of each query among other vectors.
 
-    carry: further columns of vectors to pass through.
+    queries(query_id, vector, label), vectors(vec_id, embedding, label). With same_label a
+    query meets vectors of its own label only (a metadata filter before ranking); filters on
+    one side are filters of that side. carry: further columns of vectors to pass through.
 
-    queries(query_id, vector, label), vectors(vec_id, embedding, label). `where` filters pairs
-    before ranking (metadata pre-filter). A stated query set meets all vectors; each map task
-    keeps only its n best a query (the window's group limit), so that the shuffle holds n
-    rows a query and task.
+    A stated query set meets all vectors in blocks, as matrix products; each pair of blocks
+    gives back n rows a query, so that this is what is shuffled.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"), F.col("label").alias("_label"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("_qn"))
-    v = vectors.select("vec_id", "embedding", "label", *carry, F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_vn"))
-    on = F.col("query_id") != F.col("vec_id")
-    pairs = v.join(q, on if where is None else on & where)
-    scored = pairs.select("query_id", "vec_id", *carry, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot(F.col("_q"), F.col("embedding")) / (F.col("_qn") * F.col("_vn")), 9))).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= n).select("query_id", "pos", "vec_id", "score", *carry)
+    key = F.col("label").cast("string") if same_label else F.lit("")
+    found = blocks.nearest(queries.select("query_id", "vector", key.alias("key")), vectors.select("vec_id", "embedding", key.alias("key")), n)
+    found = found.select("query_id", "pos", "vec_id", "score")
+    return found.join(vectors.select("vec_id", *carry), "vec_id").select("query_id", "pos", "vec_id", "score", *carry) if carry else found
 
 
 def rerank(pool: DataFrame, score: Column, k: int = 5) -> DataFrame:

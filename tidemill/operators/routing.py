@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import rules
 from tidemill.functions import text as tx
-from tidemill.operators import retrieval
+from tidemill.operators import blocks, retrieval
+from tidemill.session import scratch
 
 
 def intents(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -29,36 +30,46 @@ def intents(questions: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"intent": intent, "tag": tx.department_tag(F.col("dept")), "school": school}).drop("principal", "head", "people", "asked")
 
 
-def _named(pool: DataFrame, route: Column, filtered: bool = True) -> DataFrame:
-    return pool.select("query_id", "pos", "vec_id", "score", route.alias("route"), F.lit(filtered).alias("filtered"))
-
-
 def routed_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, pos, vec_id, score, route, filtered, rerank_text of each question's pool.
 
     questions(query_id, vector, text); chunks(vec_id, embedding, designation, department,
     department_canon, is_department_head).
+
+    Each chunk has a key for every leg that its metadata allow, each question one for every
+    leg that it may need, so that all filtered legs are one pass over the chunks. Its result
+    is written, as it decides which questions the second pass, the plain one, is for.
     """
+    spark = questions.sparkSession
     q = intents(questions.select("query_id", "vector", "text"))
-    about = q.select("query_id", "text", "dept", "tag", "school")
-    ask = lambda kind: q.where(F.col("intent") == kind).select("query_id", "vector", F.col("tag").alias("label"))
-    of = lambda label: chunks.withColumn("label", F.col(label))
-
-    people = retrieval.pools(ask("people"), of("department_canon").where("department_canon is not null"), rules.DEPARTMENT_POOL, F.col("label") == F.col("_label"))
-    people = _named(people.join(about, "query_id"), F.concat(F.lit("faculty_"), "tag"))
-
-    heads = retrieval.pools(ask("head"), of("department_canon").where("is_department_head"), rules.FILTERED_POOL, carry=["department"])
-    own = heads.join(about, "query_id").where(tx.departments_match(F.col("dept"), F.col("department")))
-    own = own.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
-    own = _named(own, F.lit("department_heads"))
-
-    headless = ask("head").join(own.select("query_id").distinct(), "query_id", "left_anti").join(about.where("school is not null").select("query_id"), "query_id", "left_semi")
-    principals = retrieval.pools(ask("principal").unionByName(headless), of("department_canon").where("designation = 'principal'"), rules.FILTERED_POOL)
-    principals = _named(principals.join(about, "query_id"), F.concat(F.lit("principal_"), "school"))
-
-    scoped = people.unionByName(own).unionByName(principals)
-    rest = q.join(scoped.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "vector", F.col("tag").alias("label"))
-    plain = _named(retrieval.pools(rest, of("department_canon"), rules.POOL), F.lit(None).cast("string"), False)
-    led = F.col("route").startswith("principal_")
-    text = F.when(led, tx.rerank_text(F.col("text"), F.col("school"))).otherwise(F.col("text"))
-    return scoped.unionByName(plain).join(about, "query_id").select("query_id", "pos", "vec_id", "score", "route", "filtered", text.alias("rerank_text"))
+    path = scratch(spark, "questions")
+    q.write.parquet(path)
+    q = spark.read.schema(q.schema).parquet(path)
+    intent, school = F.col("intent"), F.col("school").isNotNull()
+    needs = F.when(intent == "people", F.array(F.concat(F.lit("people|"), "tag"))).when(intent == "principal", F.array(F.lit("principal"))).when((intent == "head") & school, F.array(F.lit("head"), F.lit("principal"))).when(intent == "head", F.array(F.lit("head")))
+    allows = F.filter(
+        F.array(F.concat(F.lit("people|"), "department_canon"), F.when(F.col("is_department_head"), F.lit("head")), F.when(F.col("designation") == "principal", F.lit("principal"))),
+        lambda k: k.isNotNull(),
+    )
+    asked = q.select("query_id", "vector", F.explode(needs).alias("key"))
+    found = blocks.nearest(asked, chunks.select("vec_id", "embedding", F.explode(allows).alias("key")), max(rules.DEPARTMENT_POOL, rules.FILTERED_POOL))
+    kind = F.split("key", r"\|")[0]
+    about = q.select("query_id", "text", "dept", "tag", "school", "intent")
+    found = found.where(F.col("pos") <= F.when(kind == "people", rules.DEPARTMENT_POOL).otherwise(rules.FILTERED_POOL)).withColumn("leg", kind).drop("key")
+    found = found.join(about, "query_id").join(chunks.select("vec_id", "department"), "vec_id", "left")
+    found = found.where((F.col("leg") != "head") | tx.departments_match(F.col("dept"), F.col("department")))
+    # A head's question takes the principals only if no head of the department is left.
+    own = F.max(F.col("leg") == "head").over(Window.partitionBy("query_id"))
+    found = found.withColumn("_own", own).where((F.col("leg") == "head") | ~F.col("_own"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    route = F.when(F.col("leg") == "people", F.concat(F.lit("faculty_"), "tag")).when(F.col("leg") == "head", "department_heads").otherwise(F.concat(F.lit("principal_"), "school"))
+    text = F.when(F.col("leg") == "principal", tx.rerank_text(F.col("text"), F.col("school"))).otherwise(F.col("text"))
+    scoped = found.select("query_id", place.alias("pos"), "vec_id", "score", route.alias("route"), F.lit(True).alias("filtered"), text.alias("rerank_text"))
+    path = scratch(spark, "scoped")
+    scoped.write.parquet(path)
+    scoped = spark.read.schema(scoped.schema).parquet(path)
+
+    rest = q.join(scoped.select("query_id").distinct(), "query_id", "left_anti").withColumn("label", F.lit(None).cast("string"))
+    plain = retrieval.pools(rest.select("query_id", "vector", "label"), chunks.withColumn("label", F.col("department_canon")), rules.POOL)
+    plain = plain.join(about.select("query_id", F.col("text").alias("rerank_text")), "query_id")
+    return scoped.unionByName(plain.select("query_id", "pos", "vec_id", "score", F.lit(None).cast("string").alias("route"), F.lit(False).alias("filtered"), "rerank_text"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import rules
-from tidemill.operators import evaluation, ranking, retrieval, routing, scoring
+from tidemill.operators import evaluation, ranking, retrieval, routing, scoring, vector_index
 from tidemill.plans.registry import lit, query, sql_lookup
 from tidemill.plans.texts import ASKS_PEOPLE, CANON, DEPT, EXAMPLES, HEAD, PRINCIPAL, SCHOOL, TAG
-from tidemill.session import table
+from tidemill.session import scratch, table
 
 #: Vectors with an id divisible by this are the stated query set; all others are searched.
 EVERY = 100
@@ -21,7 +21,7 @@ def _queries(v: DataFrame) -> DataFrame:
 
 def _pool(spark: SparkSession, sf_dir: str, filtered: bool = False, n: int = rules.POOL) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return retrieval.pools(_queries(v), v, n, F.col("label") == F.col("_label") if filtered else None)
+    return retrieval.pools(_queries(v), v, n, same_label=filtered)
 
 
 def _sql_pool(filtered: bool = False, n: int = rules.POOL) -> str:
@@ -74,6 +74,39 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_pool(spark, sf_dir, True, rules.FILTERED_POOL), "score")
 
 
+def _indexed(spark: SparkSession, sf_dir: str, filtered: bool, n: int) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex.build(v, scratch(spark, "index"))
+    return _rounded(index.search(_queries(v), v, n, same_label=filtered), "score")
+
+
+@query("SELECT query_id, pos, vec_id, round(score, 6) AS score FROM (" + _sql_pool() + ")")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over all vectors, searched until its bounds prove the result."""
+    return _indexed(spark, sf_dir, False, rules.POOL)
+
+
+@query("SELECT query_id, pos, vec_id, round(score, 6) AS score FROM (" + _sql_pool(True, rules.FILTERED_POOL) + ")")
+def indexed_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, True, rules.FILTERED_POOL)
+
+
+_FRESH = f"SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN [-x FOR x IN embedding] ELSE embedding END AS embedding, label FROM embeddings WHERE vec_id % {EVERY} = 0 OR vec_id % 7 <> 2"
+
+
+@query("WITH fresh AS (" + _FRESH + ") SELECT query_id, pos, vec_id, round(score, 6) AS score FROM (" + _sql_pool().replace("JOIN embeddings v", "JOIN fresh v").replace("FROM embeddings q", "FROM fresh q") + ")")
+def indexed_topk_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the vectors is replaced by its opposites and a seventh deleted, by id, in the built index."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    index = vector_index.VectorIndex.build(v, scratch(spark, "index"))
+    turned = v.where("vec_id % 3 = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    gone = f"vec_id % {EVERY} <> 0 AND vec_id % 7 = 2"
+    index.upsert(turned)
+    index.delete(v.where(gone).select("vec_id"))
+    now = v.where("vec_id % 3 <> 1").unionByName(turned).where(f"NOT ({gone})")
+    return _rounded(index.search(_queries(now), now, rules.POOL), "score")
+
+
 def _confidence(pool: DataFrame, profile: str, filtered: bool) -> DataFrame:
     return scoring.confidence(scoring.signals(pool, ["query_id"], rules.TOP_K, profile), F.lit(filtered), F.lit(1.0), profile).drop("log_ratio")
 
@@ -223,7 +256,7 @@ def confidence_golden_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _half(spark: SparkSession, sf_dir: str, odd: int, profile: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return _confidence(retrieval.pools(_queries(v), v, rules.POOL, F.col("label") % 2 == odd), profile, False)
+    return _confidence(retrieval.pools(_queries(v), v.where(F.col("label") % 2 == odd), rules.POOL), profile, False)
 
 
 def _sql_half(odd: int, profile: str) -> str:
@@ -284,7 +317,7 @@ SELECT query_id, pos, vec_id, round(score, 6) AS score, TRUE AS filtered FROM sc
 SELECT query_id, pos, vec_id, round(score, 6) AS score, FALSE AS filtered FROM plain WHERE query_id NOT IN (SELECT query_id FROM scoped)""")
 def empty_pool_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    scoped = retrieval.pools(_queries(v), v, rules.POOL, (F.col("label") == F.col("_label")) & (F.col("_label") < 5))
+    scoped = retrieval.pools(_queries(v).where("label < 5"), v, rules.POOL, same_label=True)
     return _rounded(retrieval.with_fallback(scoped, _pool(spark, sf_dir)), "score")
 
 
