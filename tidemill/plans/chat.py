@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as tx
 from tidemill.operators import chat, sync
 from tidemill.plans.registry import query, sql_collapse
-from tidemill.session import table
+from tidemill.session import scratch, table
 from tidemill.sources.files import envelope_messages
+from tidemill.streaming import admission as adm
 from tidemill.streaming import messages as ms
 
 #: Where a query needs a present time, it is this one.
@@ -198,16 +199,54 @@ _INBOUND = f"""SELECT ord, CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(event_i
 _NTH = f"SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS nth FROM ({_INBOUND}) WHERE msg_id <> '' AND sender IS NOT NULL"
 
 
-@query(f"""
+_ADMITTED = f"""
 SELECT msg_id, ord, CASE WHEN nth > 1 THEN 'duplicate' WHEN kind <> 'text' THEN 'notice' WHEN NOT allowed THEN 'limited' WHEN trim(coalesce(body, '')) = '' THEN 'blank' ELSE 'answer' END AS outcome
 FROM ({_NTH}) n LEFT JOIN ({_sql_admitted(f"SELECT sender, ord, ts FROM ({_NTH}) WHERE nth = 1 AND kind = 'text'", 3, 86_400)}) a USING (ord)
-UNION ALL SELECT msg_id, ord, 'skip' FROM ({_INBOUND}) WHERE msg_id = '' OR sender IS NULL""")
-def message_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+UNION ALL SELECT msg_id, ord, 'skip' FROM ({_INBOUND}) WHERE msg_id = '' OR sender IS NULL"""
+
+
+def _inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
     body = F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.col("props"))
     kind = F.when(F.col("event_type") == "error", "image").otherwise("text")
     msg = F.when(F.col("event_id") % 17 == 0, "").otherwise(F.col("event_id").cast("string"))
-    return ms.admission(m.select("ord", msg.alias("msg_id"), F.col("user_id").alias("sender"), "ts", kind.alias("kind"), body.alias("body")), limit=3, window=86_400)
+    return m.select("ord", msg.alias("msg_id"), F.col("user_id").alias("sender"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), body.alias("body"))
+
+
+@query(_ADMITTED)
+def message_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.admission(_inbound(spark, sf_dir), limit=3, window=86_400)
+
+
+#: Writes that the messages arrive in, in order of time; within one, they come in any order.
+ARRIVALS = 4
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(_ADMITTED)
+def streamed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the stateful stream: all messages as files that arrive one after the other, read in micro-batches."""
+    m, folder, key = _inbound(spark, sf_dir), scratch(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    cuts = m.where("ts IS NOT NULL").select(F.unix_micros("ts").cast("double").alias("us")).approxQuantile("us", [i / ARRIVALS for i in range(ARRIVALS + 1)], 0.001) or [0.0]
+    part = F.lit(0)
+    for cut in cuts[1:-1]:
+        part = part + (F.unix_micros("ts") > cut).cast("int")
+    # A message from nobody in particular, a day later, moves the watermark past all others.
+    last = spark.createDataFrame([(None, "end", -1, "text", "")], "ord long, msg_id string, sender long, kind string, body string").withColumn("ts", F.timestamp_micros(F.lit(int(cuts[-1]) + 172_800_000_000)))
+    for i in range(ARRIVALS):
+        m.where(part == i).write.parquet(f"{folder}/in/{i}")
+    last.select(m.columns).write.parquet(f"{folder}/in/{ARRIVALS}")
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, _ROCKS)
+    try:
+        for name, rule in (("known", lambda x: adm.admission_stream(x, limit=3, window=86_400)), ("skipped", adm.skipped)):
+            source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/*")
+            sink = rule(source).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state-{name}")
+            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    read = lambda name: spark.read.schema(adm.RESULT).parquet(f"{folder}/{name}")
+    return read("known").where("ord IS NOT NULL").unionByName(read("skipped"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -91,7 +92,7 @@ class SeenIds(StatefulProcessor):
         self.seen = handle.getValueState("seen", "ids array<bigint>")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        ids = list(self.seen.get()[0]) if self.seen.exists() else []
+        ids = deque(self.seen.get()[0]) if self.seen.exists() else deque()
         known = set(ids)
         for pdf in rows:
             new = []
@@ -101,9 +102,9 @@ class SeenIds(StatefulProcessor):
                     ids.append(int(i))
                     known.add(i)
                     if len(ids) > self.size:
-                        known.discard(ids.pop(0))
+                        known.discard(ids.popleft())
             yield pdf[new]
-        self.seen.update((ids,))
+        self.seen.update((list(ids),))
 
     def close(self) -> None:
         pass
@@ -123,7 +124,7 @@ def admission(messages: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_W
     known = F.coalesce((F.col("msg_id") != "") & F.col("sender").isNotNull(), F.lit(False))
     skipped = messages.where(~known).select("msg_id", "ord", F.lit("skip").alias("outcome"))
     # Messages without id or sender may be many; they share no task.
-    df = messages.where(known).withColumn("_n", F.row_number().over(Window.partitionBy("msg_id").orderBy("ord")))
+    df = messages.where(known).withColumn("_n", F.row_number().over(Window.partitionBy("msg_id").orderBy("ts", "ord")))
     text = df.where((F.col("_n") == 1) & (F.col("kind") == "text"))
     df = df.join(rate_limited(text, "sender", "ord", limit, window).select("ord", "allowed"), "ord", "left")
     outcome = (
