@@ -91,7 +91,9 @@ def plain_battery(token):
     var = max(sum((x - mean) ** 2 for x in code), 1e-9)
     lag = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:], strict=False))
     p_serial = 2 * tail(abs(lag / var + 1 / (n - 1)) * math.sqrt(n - 1))
-    return min(1, 3 * min(p_chi, p_runs, p_serial))
+    share = 10 / k
+    p_digits = 2 * tail(abs(sum(c.isdigit() for c in body) - n * share) / math.sqrt(n * share * (1 - share)))
+    return min(1, 4 * min(p_chi, p_digits, p_runs, p_serial))
 
 
 def plain_fit(spans, kinds=6, voters=5, rounds=25, steps=60):

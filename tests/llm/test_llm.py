@@ -172,9 +172,68 @@ def test_reported_tokens_are_the_controlled_discoveries(spark):
     assert sum(r.spans.count("random") for r in secrets.find_secrets(plain).collect()) <= 20
 
 
+def plain_steps(tokens):
+    """By length class, how many tokens there are at each step."""
+    counts = {c: [0] * (secrets.STEPS + 1) for c in range(len(secrets.CLASSES))}
+    for t in tokens:
+        counts[plain_class(t)][plain_step(t)] += 1
+    return counts
+
+
+def plain_class(token):
+    return max([i for i, least in enumerate(secrets.CLASSES) if len(token) >= least], default=0)
+
+
+def plain_step(token):
+    return min(secrets.STEPS, math.floor(-10 * math.log10(max(plain_battery(token), 1e-12))))
+
+
+def plain_random():
+    import base64
+    import hashlib
+
+    out = []
+    for i in range(secrets.MEASURED * len(secrets.CLASSES)):
+        n = secrets.CLASSES[i % len(secrets.CLASSES)]
+        first, second = (hashlib.sha512(f"{i}:{j}".encode()).hexdigest() for j in (0, 0))
+        out.append((first if i % 2 == 0 else base64.b64encode(bytes.fromhex(first + second)).decode().rstrip("="))[:n])
+    return out
+
+
+def test_secret_scan_equals_plain_loops(spark):
+    """Spans and scores of a whole scan: every span is judged, and what is reported follows from the counts."""
+    import os
+    import re
+
+    sf = "/root/testdata/sf0.01" if os.path.exists("/root/testdata/sf0.01") else "/root/testdata/sf0.001"
+    rng = random.Random(12)
+    docs = documents(sf) + [(10**6 + i, f"see {secret_like(rng, i)} and {ordinary(rng)} here, token={secret_like(rng, i)}") for i in range(120)]
+    found = []
+    for i, text in docs:
+        base = []
+        for kind, a, b in secret_base(text):
+            piece = text[a:b]
+            base.append((a, ("assign", "access", "hex").index(kind), b, re.search("[:=] *[\"']?([A-Za-z0-9+/_.=-]+)$", piece)[1] if kind == "assign" else piece))
+        free = lambda m, base=base: all(m.end() <= a or b <= m.start() for a, _, b, _ in base)
+        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+", text or "") if free(m)]
+        found.append((i, sorted(base), more))
+    counts, measured = plain_steps(t for _, base, more in found for *_, t in base + more), plain_steps(plain_random())
+    shares, limits = secrets.ordinary_shares(counts, measured), secrets.bounds(counts, measured)
+    want = {}
+    for i, base, more in found:
+        spans = sorted(base + [s for s in more if plain_step(s[3]) < limits[plain_class(s[3])]])
+        q = [min(shares[plain_class(t)][plain_step(t) :]) for *_, t in spans]
+        want[i] = (",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans), [(round(10 ** (-plain_step(t) / 10), 8), round(x, 6)) for (*_, t), x in zip(spans, q, strict=True)])
+    rows = secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.spans, [tuple(map(float, x.split(":"))) for x in r.scores.split(",") if x]) for r in rows}
+    assert got == want
+    judged = [s for i, (_, scores) in got.items() if i < 10**6 for s in scores]
+    assert judged and all(0 <= p <= 1 and 0 <= q <= 1 for p, q in judged), "on the given table, too, the battery judges what is found"
+
+
 def test_bounds_of_reported_steps():
-    random_ = {c: [500, 200, 150, 100, 50] + [0] * (secrets.STEPS - 4) for c in range(5)}
-    counts = {c: [0] * (secrets.STEPS + 1) for c in range(5)}
+    random_ = {c: [500, 200, 150, 100, 50] + [0] * (secrets.STEPS - 4) for c in range(6)}
+    counts = {c: [0] * (secrets.STEPS + 1) for c in range(6)}
     counts[1][:5] = [50, 20, 15, 10, 5]  # random ones only: all are reported
     counts[2][:3], counts[2][60] = [50, 20, 15], 500  # 500 ordinary ones far out stay unreported
     counts[3][70] = 9  # ordinary ones only

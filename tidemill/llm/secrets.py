@@ -1,17 +1,20 @@
 """Secret scans by a battery of randomness tests (operator 8), with DataFrame functions only.
 
-Base spans (assigned values, access keys, long hex) always stay. Every other token of 20 or
-more encoding characters is a candidate: its encoding is inferred from the characters in
-it, then tested for uniform use of that alphabet (chi-squared), for runs above and below
-the alphabet's middle, and for serial correlation. The least p-value, times three, says how
-well the token goes with randomness; it is rounded down to a step of a fixed grid, so that
-only counts by class of length and step travel.
+Base spans (assigned values, access keys, long hex) always stay. What they hold and every
+other token of 12 or more encoding characters is tested: its encoding is inferred from the
+characters in it, then it is tested for uniform use of that alphabet (chi-squared), for the
+share of digits that the alphabet has, for runs above and below the alphabet's middle, and
+for serial correlation. The least p-value, times four, says how well the token goes with
+randomness; it is rounded down to a step of a fixed grid, so that only counts by class of
+length and step travel.
 
 The discoveries are the tokens reported as `random`. Their false-discovery control is by
 length class: how random tokens spread over the steps is known from the same battery on
 hashes of counted numbers; how many there are follows from the steps of high p-values, which
 ordinary tokens hardly reach; and what a bound lets in beyond their share is ordinary. Each
-class takes the widest bound at which those are at most RATE of what it reports.
+class takes the widest bound at which those are at most RATE of what it reports. The result
+says for every span, base ones included, its p-value and the share of ordinary tokens among
+all that are at least as random (q).
 
 Edge cases: null text is as empty; repeated rows get a row each and count each; an empty
 table gives no rows; very long texts are searched whole; only doc_id and text are read, so
@@ -33,7 +36,7 @@ ASSIGN_RE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"'
 VALUE_RE = r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 ACCESS_RE = r"AKIA[A-Z0-9]+"
 HEX_RE = r"[0-9a-f]{32,}"
-TOKEN_RE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN_RE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings in the order in which they are tried: pattern of the whole token, alphabet.
@@ -46,7 +49,7 @@ ENCODINGS = [
     (r"^[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
     (r".", UPPER + LOWER + DIGITS + "+/"),
 ]
-RATE, STEPS, CLASSES = 0.1, 80, (20, 28, 40, 64, 128)
+RATE, STEPS, CLASSES = 0.1, 80, (12, 20, 28, 40, 64, 128)
 #: Random tokens a class is measured on; the last step of the p-values (over one half) that tell how many there are.
 MEASURED, SURE = 2000, 2
 
@@ -75,10 +78,18 @@ def battery(token: Column) -> Column:
     return let(alphabet, lambda alphabet: let(F.regexp_replace(token, "=+$", ""), lambda body: let(codes(body, alphabet), lambda code: _combined(body, F.length(alphabet).cast("double"), code))))
 
 
+def digits_test(body: Column, n: Column, k: Column) -> Column:
+    """Whether about 10 of k characters are digits, too few or too many of them alike."""
+    share = 10 / k
+    found = F.length(F.regexp_replace(body, "[^0-9]", ""))
+    return 2 * upper_tail(F.abs(found - n * share) / F.sqrt(n * share * (1 - share)))
+
+
 def _combined(body: Column, k: Column, code: Column) -> Column:
     n = F.greatest(F.length(body), F.lit(2)).cast("double")
     letters = F.array_distinct(F.filter(F.split(body, ""), lambda c: c != ""))
     squares = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
+    p_digits = digits_test(body, n, k)
     p_chi = upper_tail((k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
 
     least = F.greatest(F.size(code) - 1, F.lit(0))
@@ -98,7 +109,7 @@ def _combined(body: Column, k: Column, code: Column) -> Column:
 
     p_runs = let(F.greatest(total(code, lambda x: high(x).cast("double")), F.lit(1.0)), runs_test)
     p_serial = let(total(code) / n, serial_test)
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    return F.least(F.lit(1.0), 4 * F.least(p_chi, p_digits, p_runs, p_serial))
 
 
 def step_of(p: Column) -> Column:
@@ -130,20 +141,22 @@ def random_tokens(spark: SparkSession) -> DataFrame:
     return rows.select(length_class(F.col("n")).alias("cls"), step_of(battery(F.col("token"))).alias("step"))
 
 
-def bounds(counts: dict[int, list[int]], random: dict[int, list[int]], rate: float = RATE) -> dict[int, int]:
-    """By length class, the first step that isn't reported any more."""
+def ordinary_shares(counts: dict[int, list[int]], random: dict[int, list[int]]) -> dict[int, list[float]]:
+    """By length class and step: the share of ordinary tokens among those that are at least as random."""
     out = {}
     for c, n in counts.items():
         share = [sum(random[c][: s + 1]) / max(sum(random[c]), 1) for s in range(STEPS + 1)]
         found = min(sum(n[: SURE + 1]) / max(share[SURE], 1e-9), sum(n))
-        out[c] = 0
-        for s in range(STEPS + 1):
-            reported = sum(n[: s + 1])
-            if reported and reported - found * share[s] <= rate * reported:
-                out[c] = s + 1
+        total = [sum(n[: s + 1]) for s in range(STEPS + 1)]
+        out[c] = [max(0.0, t - found * p) / t if t else 1.0 for t, p in zip(total, share, strict=True)]
     return out
 
 
+def bounds(counts: dict[int, list[int]], random: dict[int, list[int]], rate: float = RATE) -> dict[int, int]:
+    """By length class, the first step that isn't reported any more."""
+    return {c: max([s + 1 for s, q in enumerate(q_of) if q <= rate], default=0) for c, q_of in ordinary_shares(counts, random).items()}
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """docs with `_base` (kind, start, stop; by start, then kind) and `_tokens` (start, stop, cls, step)."""
     text = F.coalesce("text", F.lit(""))
@@ -156,28 +169,41 @@ def candidates(docs: DataFrame) -> DataFrame:
     }
     df = docs.withColumns(cols)
 
-    def of_kind(i: int) -> Column:
-        return F.transform(F.col(f"_b{i}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["stop"].alias("stop")))
+    value = [lambda t: F.regexp_extract(t, VALUE_RE, 1), lambda t: t, lambda t: t]
 
-    df = df.withColumn("_base", F.sort_array(F.concat(*map(of_kind, range(3)))))
-    mixed = lambda s: F.rlike(s["text"], F.lit("[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z]")) & ~overlaps(s, F.col("_base"))
-    tested = F.transform(
-        F.filter("_t", mixed),
-        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), length_class(s["stop"] - s["start"]).alias("cls"), step_of(battery(s["text"])).alias("step")),
-    )
-    return df.withColumn("_tokens", tested).drop(*cols)
+    def judged(spans: Column, kind: int, token: Callable[[Column], Column] = lambda t: t) -> Column:
+        def judge(s: Column) -> Column:
+            of = lambda t: F.struct(length_class(F.length(t)).alias("cls"), step_of(battery(t)).alias("step"))
+            found = let(token(s["text"]), of)
+            return F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), found["cls"].alias("cls"), found["step"].alias("step"))
+
+        return F.transform(spans, judge)
+
+    df = df.withColumn("_base", F.sort_array(F.concat(*[judged(F.col(f"_b{i}"), i, value[i]) for i in range(3)])))
+    apart = F.filter("_t", lambda s: ~overlaps(s, F.col("_base")))
+    return df.withColumn("_tokens", judged(apart, 3)).drop(*cols)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans, for every row of docs(doc_id, text)."""
+    """doc_id, counts of base spans, their digest, all spans, and `scores`, for every row of docs(doc_id, text).
+
+    scores: for each of the spans, in their order, p and q as p:q, comma-joined; tokens under
+    12 characters are judged as ones of 12.
+    """
     found = materialise(candidates(pick(docs, "doc_id", "text")).drop("text"), "secrets")
-    limits = bounds(by_step(found.select(F.inline("_tokens")).select("cls", "step")), by_step(random_tokens(docs.sparkSession)))
+    counts = by_step(found.select(F.inline(F.concat("_base", "_tokens"))).select("cls", "step"))
+    random = by_step(random_tokens(docs.sparkSession))
+    limits, shares = bounds(counts, random), ordinary_shares(counts, random)
     bound = F.array(*[F.lit(limits[i]) for i in range(len(CLASSES))])
-    random = F.transform(F.filter("_tokens", lambda s: s["step"] < bound[s["cls"]]), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["stop"].alias("stop")))
+    q_of = F.array(*[F.array(*[F.lit(round(min(shares[c][s:]), 6)) for s in range(STEPS + 1)]) for c in range(len(CLASSES))])
+    report = F.filter("_tokens", lambda s: s["step"] < bound[s["cls"]])
+    out = found.withColumn("_spans", F.sort_array(F.concat("_base", report)))
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return found.select(
+    score = lambda s: F.concat(F.round(F.pow(F.lit(10.0), -s["step"] / 10), 8).cast("string"), F.lit(":"), q_of[s["cls"]][s["step"]].cast("string"))
+    return out.select(
         "doc_id",
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(F.col("_base"), KINDS), 256).alias("base_sha256"),
-        joined(F.sort_array(F.concat("_base", random)), KINDS).alias("spans"),
+        joined(F.col("_spans"), KINDS).alias("spans"),
+        F.array_join(F.transform("_spans", score), ",").alias("scores"),
     )
