@@ -42,15 +42,31 @@ def exchanges(messages: DataFrame) -> DataFrame:
     return df.where("role = 'assistant' and _role = 'user'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
+def _short(answer: Column, width: int) -> Column:
+    """An answer without images and badges, on one line, cut."""
+    return F.substring(collapse(F.regexp_replace(F.regexp_replace(answer, r"!\[[^\]]*\]\([^)]*\)", ""), r"(?s)<div.*?</div>", "")), 1, width)
+
+
 def history(messages: DataFrame, turns: int = 2, width: int = 300) -> DataFrame:
     """conv_id, history: the last exchanges as lines, answers without images and badges, cut."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    answer = F.substring(collapse(F.regexp_replace(F.regexp_replace("answer", r"!\[[^\]]*\]\([^)]*\)", ""), r"(?s)<div.*?</div>", "")), 1, width)
-    line = F.concat(F.lit("User: "), "question", F.lit("\nAssistant: "), answer)
+    line = F.concat(F.lit("User: "), "question", F.lit("\nAssistant: "), _short(F.col("answer"), width))
     df = exchanges(messages).withColumn("r", F.row_number().over(w)).where(F.col("r") <= turns).withColumn("line", line)
     return df.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda s: s["line"]), "\n").alias("history"))
 
 
+def histories(messages: DataFrame, width: int = 300) -> DataFrame:
+    """conv_id, turn, text, history of every user turn: the lines of the last two exchanges before it, as `history` has them."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    line = F.concat(F.lit("User: "), "question", F.lit("\nAssistant: "), _short(F.col("answer"), width))
+    pairs = exchanges(messages).withColumn("_line", line)
+    pairs = pairs.select("conv_id", "turn", F.struct(F.lag("_line").over(w).alias("first"), F.col("_line").alias("second")).alias("_pair"))
+    df = messages.where(F.col("role").isin("user", "assistant")).join(pairs, ["conv_id", "turn"], "left")
+    df = df.withColumn("_last", F.last("_pair", ignorenulls=True).over(before)).where("role = 'user'")
+    return df.select("conv_id", "turn", "text", F.when(F.col("_last").isNotNull(), F.concat_ws("\n", "_last.first", "_last.second")).alias("history"))
+
+
 def append(messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All messages, and each conversation's last activity."""
     out = messages.unionByName(new, allowMissingColumns=True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import rules
 from tidemill.functions import text as tx
 from tidemill.operators import blocks, retrieval
-from tidemill.session import scratch
+from tidemill.session import stored
 
 
 def intents(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -40,11 +40,7 @@ def routed_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     leg that it may need, so that all filtered legs are one pass over the chunks. Its result
     is written, as it decides which questions the second pass, the plain one, is for.
     """
-    spark = questions.sparkSession
-    q = intents(questions.select("query_id", "vector", "text"))
-    path = scratch(spark, "questions")
-    q.write.parquet(path)
-    q = spark.read.schema(q.schema).parquet(path)
+    q = stored(intents(questions.select("query_id", "vector", "text")), "questions")
     intent, school = F.col("intent"), F.col("school").isNotNull()
     needs = F.when(intent == "people", F.array(F.concat(F.lit("people|"), "tag"))).when(intent == "principal", F.array(F.lit("principal"))).when((intent == "head") & school, F.array(F.lit("head"), F.lit("principal"))).when(intent == "head", F.array(F.lit("head")))
     allows = F.filter(
@@ -64,10 +60,7 @@ def routed_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     route = F.when(F.col("leg") == "people", F.concat(F.lit("faculty_"), "tag")).when(F.col("leg") == "head", "department_heads").otherwise(F.concat(F.lit("principal_"), "school"))
     text = F.when(F.col("leg") == "principal", tx.rerank_text(F.col("text"), F.col("school"))).otherwise(F.col("text"))
-    scoped = found.select("query_id", place.alias("pos"), "vec_id", "score", route.alias("route"), F.lit(True).alias("filtered"), text.alias("rerank_text"))
-    path = scratch(spark, "scoped")
-    scoped.write.parquet(path)
-    scoped = spark.read.schema(scoped.schema).parquet(path)
+    scoped = stored(found.select("query_id", place.alias("pos"), "vec_id", "score", route.alias("route"), F.lit(True).alias("filtered"), text.alias("rerank_text")), "scoped")
 
     rest = q.join(scoped.select("query_id").distinct(), "query_id", "left_anti").withColumn("label", F.lit(None).cast("string"))
     plain = retrieval.pools(rest.select("query_id", "vector", "label"), chunks.withColumn("label", F.col("department_canon")), rules.POOL)

@@ -77,6 +77,9 @@ def correct(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     and joined on them; words over SHORT letters, of which those would be too many, are
     joined on pieces and their places. Survivors are scored exactly.
     """
+    lengths = F.explode(F.expr(f"sequence(length(token) - {MOST_DELTA}, length(token) + {MOST_DELTA})")).alias("_len")
+    near = F.broadcast(tokens.select(lengths).distinct())  # a number for each length of a word
+    vocab = vocab.join(near, F.length("word") == F.col("_len"), "left_semi")
     a, b = _keys(tokens, "token", "a", "b"), _keys(vocab, "word", "b", "a")
     pairs = a.join(b, ["a", "b", "key"]).select("token", "word").distinct().unionByName(_long_pairs(tokens, vocab))
     scored = pairs.withColumn("ratio", indel_ratio("token", "word")).where(F.col("ratio") >= CUTOFF)

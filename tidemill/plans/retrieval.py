@@ -155,8 +155,8 @@ def _sql_leg(asked: str, where: str, n: int) -> str:
 
 
 _ROUTED = f"""
-WITH chunks AS ({_CHUNKS_SQL}), a AS (
-  SELECT *, {PRINCIPAL} AS principal, {HEAD} AS head, {ASKS_PEOPLE} AS people, {DEPT} AS dept, {SCHOOL} AS asked FROM ({_ASKED_SQL})
+WITH chunks AS (CHUNKS), a AS (
+  SELECT *, {PRINCIPAL} AS principal, {HEAD} AS head, {ASKS_PEOPLE} AS people, {DEPT} AS dept, {SCHOOL} AS asked FROM (ASKED)
 ), b AS (SELECT *, {CANON} AS canon, CASE WHEN principal THEN asked ELSE {sql_lookup(rules.DEPARTMENT_SCHOOL, 'dept')} END AS school FROM a
 ), q AS (SELECT *, {TAG} AS tag, CASE WHEN principal THEN 'principal' WHEN dept IS NOT NULL AND head THEN 'head' WHEN dept IS NOT NULL AND people THEN 'people' ELSE 'plain' END AS intent FROM b
 ), people AS ({_sql_leg("SELECT * FROM q WHERE intent = 'people'", "v.department_canon = q.tag", rules.DEPARTMENT_POOL)}
@@ -175,7 +175,11 @@ SELECT query_id, pos, vec_id, round(score, 6) AS score, CASE leg WHEN 'people' T
   leg <> 'plain' AS filtered, CASE WHEN leg = 'principal' THEN concat_ws(' ', text, {sql_lookup(rules.SCHOOL_NAMES, 'school')}) ELSE text END AS rerank_text FROM found JOIN q USING (query_id)"""
 
 
-@query(_ROUTED)
+def sql_routed(chunks: str, asked: str) -> str:
+    return _ROUTED.replace("CHUNKS", chunks).replace("ASKED", asked)
+
+
+@query(sql_routed(_CHUNKS_SQL, _ASKED_SQL))
 def routed_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool each question is sent to, with all fallbacks, for every example question with every query vector."""
     v = table(spark, sf_dir, "embeddings")

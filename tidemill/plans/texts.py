@@ -9,7 +9,7 @@ from tidemill.functions import roles, rules
 from tidemill.functions import text as tx
 from tidemill.operators import chunking, spelling
 from tidemill.plans.registry import lit, query, sql_any, sql_clean, sql_collapse, sql_lookup, sql_match, sql_strip, sql_whole
-from tidemill.session import table
+from tidemill.session import stored, table
 from tidemill.sources import files
 
 
@@ -290,12 +290,29 @@ def spell_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.blocks(spelling.unknown(table(spark, sf_dir, "conversations"), v), v)
 
 
-@query()
+# A correction shares its letters in order with the token: 200 * shared / joint length, by bits of the token over
+# the word's letters. Pairs whose edit distance is too large can't reach the cutoff and are left out first.
+_LCS = """length(t) - bit_count(list_reduce(list_concat([(1::BIGINT << length(t)) - 1], [ascii(c)::BIGINT FOR c IN string_split(w, '')]), lambda f, c:
+  ((f + (f & list_sum([CASE WHEN ascii(t[i]) = c THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, length(t) + 1)])::BIGINT)) | (f - (f & list_sum([CASE WHEN ascii(t[i]) = c THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, length(t) + 1)])::BIGINT))) & ((1::BIGINT << length(t)) - 1)))"""
+FIXES_SQL = f"""
+  SELECT t AS token, w AS word FROM (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY ratio DESC, length(w), w) AS r FROM (
+      SELECT t, w, 200.0::DOUBLE * ({_LCS}) / (length(t) + length(w)) AS ratio FROM (
+        SELECT o.token AS t, v.word AS w FROM ({_OOV}) o JOIN ({_VOCAB}) v ON abs(length(v.word) - length(o.token)) <= 2
+        WHERE length(o.token) <= 60 AND levenshtein(o.token, v.word) <= 0.18 * (length(o.token) + length(v.word)))) WHERE ratio >= 82) WHERE r = 1"""
+_SHAPED = "CASE WHEN word IS NULL THEN part WHEN part = upper(part) THEN upper(word) WHEN part[1] = upper(part[1]) THEN upper(word[1]) || word[2:] ELSE word END"
+
+
+@query(f"""
+WITH f AS ({FIXES_SQL}), p AS (
+  SELECT conv_id, turn, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]+') AS parts FROM conversations)
+), s AS (SELECT conv_id, turn, string_agg({_SHAPED}, '' ORDER BY i) AS corrected FROM p LEFT JOIN f ON length(part) >= 5 AND lower(part) = f.token GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, coalesce(corrected, '') AS corrected FROM (SELECT DISTINCT conv_id, turn FROM conversations) c LEFT JOIN s USING (conv_id, turn)""")
 def spell_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with their unknown words corrected."""
-    v = _vocab(spark, sf_dir)
+    v = stored(_vocab(spark, sf_dir), "vocabulary")
     c = table(spark, sf_dir, "conversations").withColumn("query_id", F.struct("conv_id", "turn"))
-    fixes = spelling.correct(spelling.unknown(c, v), v)
+    fixes = spelling.correct(stored(spelling.unknown(c, v), "unknown"), v)
     return spelling.corrected(c, fixes).select("query_id.*", "corrected")
 
 

@@ -55,5 +55,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        context = spark.sparkContext
+        path = context._tidemill_scratch = getattr(context, "_tidemill_scratch", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-")
     return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: what several steps need is computed once, and survives lost executors."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
