@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import html, roles
 from tidemill.functions import text as tx
 from tidemill.operators import chunking, spelling
-from tidemill.plans.retrieval import GOLDEN
+from tests.golden import GOLDEN
 from tidemill.plans.texts import PEOPLE
 from tidemill.streaming import messages as ms
 
@@ -426,7 +426,7 @@ def test_models_are_asked_in_turn():
         return [None if v == 0 else "last" for v in x]
 
     out = generation.in_turn([("f", first), ("b", broken), ("l", last)])([0, 1, 5])
-    assert out == [None, {"text": "last", "model": "l"}, {"text": "5", "model": "f"}]
+    assert out == [{"text": None, "model": None, "failures": 1}, {"text": "last", "model": "l", "failures": 1}, {"text": "5", "model": "f", "failures": 0}]
     assert asked == [("first", [0, 1, 5]), ("last", [0, 1])]
 
 
@@ -477,3 +477,29 @@ def test_places_over_many_ranges(spark):
     want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     assert [g[0] for g in got] == list(range(1, 305)) and [g[1:] for g in got] == want
     assert ranking.places(df.limit(0), F.asc("id")).count() == 0
+
+
+def test_only_rows_that_fail_are_lost(spark):
+    from tidemill.operators import generation
+
+    def model(texts):
+        if any(t == "bad" for t in texts):
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(i, "bad" if i % 10 == 3 else None if i == 5 else f"t{i}") for i in range(40)], "id long, text string").withColumn("ask", F.col("text").isNotNull())
+    got = {r.id: (r.out, r.error) for r in generation.with_model(df, model, "text", "out", where="ask", budget=40, errors="error").collect()}
+    assert got == {i: (None, "ValueError: no") if i % 10 == 3 else (None, None) if i == 5 else (f"T{i}", None) for i in range(40)}
+    with pytest.raises(Exception, match="no"):
+        generation.with_model(df.where("ask"), model, "text", "out").collect()
+
+
+def test_groups_of_like_length_waste_little(spark, sf_dir):
+    from tidemill.operators import generation
+
+    lengths = [len(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    groups = generation.by_length(lengths, 64, 100_000)
+    assert sorted(i for g in groups for i in g) == list(range(len(lengths)))
+    padded = sum(len(g) * max(lengths[i] for i in g) for g in groups)
+    assert padded <= generation.WASTE * sum(lengths) and all(len(g) <= 64 and (len(g) == 1 or len(g) * max(lengths[i] for i in g) <= 100_000) for g in groups)
+    assert generation.by_length([3, 1, 2], 2, None) == [[0, 1], [2]]

@@ -1,9 +1,10 @@
 """Answers from scored pools. Models are plugged in; everything around them is columns.
 
 A model is a function from a list of inputs to a list of outputs (None where it has none).
-It is called on the workers, a slice of a batch at a time, and only for rows that need it.
+It is called on the workers, a few rows of a batch at a time, and only for rows that need it.
 
-Edge cases: a model that raises has no output for that slice; results without chunks are
+Edge cases: where several models are asked in turn, one that raises is asked again row by
+row, and has no output only for the rows that it raises for, which are counted; results without chunks are
 refused like those of a low band; a question without history is asked as it is.
 """
 
@@ -15,58 +16,102 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from tidemill.functions.text import declined, preview
 
 Model = Callable[[list], list]
 #: Rows that a model gets at once.
 AT_ONCE = 64
-ANSWER = "struct<text:string,model:string>"
-
-
-def with_model(df: DataFrame, model: Model, of: str, to: str, kind: str = "string", where: str | None = None) -> DataFrame:
+#: What padding may add to a call's texts.
+WASTE = 1.2
+ANSWER = "struct<text:string,model:string,failures:int>"
+
+
+def by_length(lengths: list[int], most_rows: int, budget: int | None) -> list[list[int]]:
+    """Places of rows in groups of like lengths: at most most_rows rows and, padded to the longest, at most the
+    budget (one longer row has a group of its own) and WASTE times what the rows really hold. Without a budget,
+    groups in order of arrival."""
+    if budget is None:
+        return [list(range(i, min(i + most_rows, len(lengths)))) for i in range(0, len(lengths), most_rows)]
+    groups: list[list[int]] = []
+    held = 0
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        size = lengths[i]
+        n = len(groups[-1]) + 1 if groups else 0
+        if not groups or n > most_rows or n * size > budget or n * size > WASTE * (held + size):
+            groups.append([])
+            held = 0
+        groups[-1].append(i)
+        held += size
+    return groups
+
+
+def row_by_row(model: Model, inputs: list) -> tuple[list, list[str | None]]:
+    """Outputs and errors: if the model raises on all inputs together, each is asked alone, so that only those that fail are lost."""
+    try:
+        found = model(inputs)
+        if len(found) != len(inputs):
+            raise ValueError(f"{len(found)} outputs for {len(inputs)} inputs")
+        return list(found), [None] * len(inputs)
+    except Exception as error:  # whatever a service raises
+        if len(inputs) == 1:
+            return [None], [f"{type(error).__name__}: {error}"]
+    each = [row_by_row(model, [x]) for x in inputs]
+    return [o[0] for o, _ in each], [e[0] for _, e in each]
+
+
+def with_model(df: DataFrame, model: Model, of: str, to: str, kind: str = "string", where: str | None = None, budget: int | None = None, errors: str | None = None) -> DataFrame:
     """df with the model's output for column `of` as column `to`; null where the flag column `where` isn't true.
 
     Serves every step that needs a model: rewriting, embedding (kind "array<float>"), voting, answering.
+    budget: characters that a call may hold when its texts are padded to the longest; texts of
+    like length then go together, whatever their order. errors: a column for what the model
+    raised for a row, which then has no output; without it, an error ends the job.
     """
     out = _parse_datatype_string(kind)
     arrow = to_arrow_type(out)
     schema = StructType([*df.schema.fields]).add(to, out)
+    if errors:
+        schema = schema.add(errors, StringType())
     names = to_arrow_schema(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                inputs = part.column(names.index(of)).to_pylist()
-                wanted = part.column(names.index(where)).to_pylist() if where else [True] * len(inputs)
-                rows = [i for i, w in enumerate(wanted) if w]
-                values: list = [None] * len(inputs)
-                for i, v in zip(rows, model([inputs[i] for i in rows]) if rows else [], strict=True):
-                    values[i] = v
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], names=names)
+            inputs = batch.column(names.index(of)).to_pylist()
+            wanted = batch.column(names.index(where)).to_pylist() if where else [True] * len(inputs)
+            rows = [i for i, w in enumerate(wanted) if w]
+            values: list = [None] * len(inputs)
+            raised: list = [None] * len(inputs)
+            lengths = [len(inputs[i]) if hasattr(inputs[i], "__len__") else 0 for i in rows]
+            for group in by_length(lengths, AT_ONCE, budget):
+                places = [rows[g] for g in group]
+                given = [inputs[i] for i in places]
+                found, failed = row_by_row(model, given) if errors else (model(given), [None] * len(given))
+                for i, v, e in zip(places, found, failed, strict=True):
+                    values[i], raised[i] = v, e
+            columns = [*batch.columns, pa.array(values, arrow), *[pa.array(raised, pa.string())] * bool(errors)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, schema)
 
 
 def in_turn(models: list[tuple[str, Model]]) -> Model:
-    """One model of several: each input goes to the next model until one has an output; with its name."""
+    """One model of several: each input goes to the next model until one has an output; with its name and how many raised before."""
 
     def call(inputs: list) -> list:
         out: list = [None] * len(inputs)
+        failures = [0] * len(inputs)
         for name, model in models:
             left = [i for i, x in enumerate(out) if x is None]
             if not left:
                 break
-            try:
-                found = model([inputs[i] for i in left])
-            except Exception:  # whatever a service raises: the next one is asked
-                continue
-            for i, text in zip(left, found, strict=True):
+            found, failed = row_by_row(model, [inputs[i] for i in left])
+            for i, text, error in zip(left, found, failed, strict=True):
+                failures[i] += error is not None
                 if text is not None:
-                    out[i] = {"text": text.strip(), "model": name}
-        return out
+                    out[i] = {"text": text.strip(), "model": name, "failures": failures[i]}
+        return [x or {"text": None, "model": None, "failures": n} for x, n in zip(out, failures, strict=True)]
 
     return call
 
@@ -80,7 +125,7 @@ def prompt(question: Column, context: Column, mode: Column, rules: str, by_mode:
 
 
 def answers(results: DataFrame, models: list[tuple[str, Model]], rules: str, by_mode: dict[str, str], refusal: str, failure: str) -> DataFrame:
-    """results with answer, sources, llm_called, model, declined and reason.
+    """results with answer, sources, llm_called, model, declined, reason and failures (models that raised).
 
     results(question, rewritten, band, mode, context, urls): the rewritten question is asked,
     if there is one; urls are the chunks' sources in order. The other columns pass through.
@@ -102,6 +147,7 @@ def answers(results: DataFrame, models: list[tuple[str, Model]], rules: str, by_
         F.col("_out.model").alias("model"),
         no.alias("declined"),
         F.when(~called, "confidence below threshold — generation skipped").when(failed, "all generation models failed").alias("reason"),
+        F.coalesce("_out.failures", F.lit(0)).alias("failures"),
     )
 
 

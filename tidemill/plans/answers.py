@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import roles, rules
+from tidemill.functions import rules
 from tidemill.functions import html as pages
 from tidemill.functions import text as tx
-from tidemill.operators import chat, chunking, evaluation, generation, retrieval, scoring, spelling, sync
-from tidemill.plans.registry import ORACLE_SQL, lit, query, sql_collapse
+from tidemill.operators import chat, chunking, evaluation, generation, retrieval, scoring, sync
+from tidemill.plans.registry import ORACLE_SQL, lit, query, sql_collapse, sql_strip
 from tidemill.plans.retrieval import EVERY
 from tidemill.plans.texts import EXAMPLES_SQL, questions
 from tidemill.session import scratch, table
@@ -35,7 +35,7 @@ def _third(prompts: list[str]) -> list[str | None]:
 
 _MODELS = [("a/first", _first), ("b/second", _second), ("c/third", _third)]
 _RESULTS = f"""
-  SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS question, CASE WHEN doc_id % 2 = 0 THEN substr(coalesce(text, ''), 1, 30) || '?' END AS rewritten,
+  SELECT doc_id, coalesce(text, '') AS question, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || '?' END AS rewritten,
     CASE WHEN n_chars >= 2000 THEN 'high' WHEN n_chars >= 200 THEN 'medium' ELSE 'low' END AS band, CASE WHEN doc_id % 3 = 0 THEN 'assert' WHEN doc_id % 3 = 1 THEN 'disambiguate' END AS mode,
     substr({sql_collapse("coalesce(text, '')")}, 1, 1400) AS context, CASE WHEN doc_id % 11 <> 0 THEN ['u1', 'u2', 'u1'] ELSE CAST([] AS VARCHAR[]) END AS urls FROM documents"""
 
@@ -50,24 +50,38 @@ WITH r AS ({_RESULTS}), c AS (SELECT *, band <> 'low' AND len(urls) > 0 AS llm_c
 )
 SELECT doc_id, llm_called, model, CASE WHEN NOT llm_called THEN {lit(_REFUSAL)} ELSE coalesce(given, {lit(_FAILURE)}) END AS answer, given IS NULL OR contains(given, 'don''t have') AS declined,
   CASE WHEN given LIKE 'See%' THEN 'u1,u2' WHEN given LIKE 'In%' THEN 'u1' ELSE '' END AS sources,
-  CASE WHEN NOT llm_called THEN 'confidence below threshold — generation skipped' WHEN given IS NULL THEN 'all generation models failed' END AS reason FROM a""")
+  CASE WHEN NOT llm_called THEN 'confidence below threshold — generation skipped' WHEN given IS NULL THEN 'all generation models failed' END AS reason,
+  CASE WHEN llm_called AND n % 3 <> 0 THEN 1 ELSE 0 END::INTEGER AS failures FROM a""")
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a question with its context; stand-ins for models, of which one is never there."""
     d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     results = d.select(
-        "doc_id", F.substring("text", 1, 40).alias("question"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 30), F.lit("?"))).alias("rewritten"),
+        "doc_id", F.col("text").alias("question"), F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("?"))).alias("rewritten"),
         F.when(F.col("n_chars") >= 2000, "high").when(F.col("n_chars") >= 200, "medium").otherwise("low").alias("band"),
         F.when(F.col("doc_id") % 3 == 0, "assert").when(F.col("doc_id") % 3 == 1, "disambiguate").alias("mode"), F.substring(tx.collapse(F.col("text")), 1, 1400).alias("context"),
         F.when(F.col("doc_id") % 11 != 0, F.array(F.lit("u1"), F.lit("u2"), F.lit("u1"))).otherwise(F.array().cast("array<string>")).alias("urls"),
     )
     out = generation.answers(results, _MODELS, _RULES, _MODES, _REFUSAL, _FAILURE)
-    return out.select("doc_id", "llm_called", "model", "answer", "declined", F.array_join("sources", ",").alias("sources"), "reason")
+    return out.select("doc_id", "llm_called", "model", "answer", "declined", F.array_join("sources", ",").alias("sources"), "reason", "failures")
 
 
 def _embed(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count("a"))] for t in texts]
 
 
+def _fickle(texts: list[str]) -> list[int]:
+    if any("|" in t for t in texts):
+        raise ValueError("a bar")
+    return [len(t) for t in texts]
+
+
+@query("SELECT doc_id, CASE WHEN NOT contains(text, '|') THEN CAST(length(text) AS BIGINT) END AS said, CASE WHEN contains(text, '|') THEN 'ValueError: a bar' END AS error FROM documents WHERE text IS NOT NULL")
+def batched_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents through a model that raises for some of them, texts of like length together."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return generation.with_model(d, _fickle, "text", "said", "bigint", budget=200_000, errors="error").drop("text")
+
+
 @query("SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS a FROM conversations WHERE text IS NOT NULL")
 def embedded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through a plugged-in embedding model, here one that counts letters."""
@@ -147,13 +161,13 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT source FROM documents WHERE lang <> 'en'), g AS (SELECT source, count(*) AS heads FROM h WHERE trim(coalesce(source, '')) <> '' GROUP BY source)
+WITH h AS (SELECT source FROM documents), g AS (SELECT source, count(*) AS heads FROM h WHERE trim(coalesce(source, '')) <> '' GROUP BY source)
 SELECT 'crowded' AS warning, source AS grp, heads FROM g WHERE heads > 2 UNION ALL
 SELECT 'unnamed', NULL, count(*) FROM h WHERE trim(coalesce(source, '')) = '' HAVING count(*) > 0 UNION ALL
 SELECT 'none', NULL, 0 WHERE NOT EXISTS (SELECT * FROM g)""")
 def head_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in other languages than English play the heads, sources the departments."""
-    return evaluation.head_warnings(table(spark, sf_dir, "documents").where("lang <> 'en'"), "source")
+    """Documents play the heads, sources the departments."""
+    return evaluation.head_warnings(table(spark, sf_dir, "documents"), "source")
 
 
 @query("""
@@ -183,96 +197,67 @@ def created_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("created"), F.count_distinct("id").alias("ids"), F.max(F.length("id")).alias("width"), F.count_if(F.col("created_at") == F.col("last_active_at")).alias("equal_times"))
 
 
-# Known inputs with known results: what SQL can't compute it can state. --------
+# Pages with every element that the parser knows, built around the whole text of each document. -----
 
+#: A card's role as written, its role and whether it is a head's, its department as written and as known.
+CARDS = [
+    ("HOD", "head_of_department", True, "Electronics and Communication", "electronics and communication"), ("Vice-Chairperson", "deputy_head", False, "Mechanical Engineering", "mechanical"),
+    ("Associate Professor", "associate_professor", False, "Computer Science and Engineering", "computer science"), ("Chairperson", "head_of_department", True, "EEE", "electrical and electronics"),
+    ("Professor Emeritus", "professor_emeritus", False, "Physics", "physics"), ("Lab Technician", "staff", False, "CSE", "computer science"), ("Assistant Professor", "assistant_professor", False, "Civil", "civil"),
+]
 _OWN = ["oakfield"]
-_ECE = "electronics and communication"
-PERSONS = [
-    # label, url, kind, text; designation, as written, all designations, head, department
-    ("hod", "http://u/faculty/a", "text", "Dr. A. Rao HOD, Department of Electronics and Communication, School of Engineering, Bengaluru | Professor, Department of Electronics and Communication", ("head_of_department", "HOD", "head_of_department|professor", True, _ECE)),
-    ("card", "http://u/faculty/a", "faculty_card", "Faculty Dr. A. Rao HOD Department of Electronics and Communication School of Engineering Bengaluru Professor Profile: http://u/faculty/a", ("head_of_department", "HOD", "head_of_department|professor", True, _ECE)),
-    ("deputy", "http://u/faculty/b", "text", "Dr. B. Iyer Vice-Chairperson, Electronics and Communication Engineering, School of Engineering | Assistant Professor (Sl. Gd.), Electronics and Communication Engineering", ("deputy_head", "Vice-Chairperson", "assistant_professor|deputy_head", False, _ECE)),
-    ("eee", "http://u/faculty/c", "text", "Dr. C. Nair Chairperson, Department of Electrical and Electronics Engineering, School of Engineering", ("head_of_department", "Chairperson", "head_of_department", True, "electrical and electronics")),
-    ("own name", "http://u/faculty/d", "text", "Dr. D. Pai Professor, Department of Physics Oakfield Campus", ("professor", "Professor", "professor", False, "physics")),
-    ("no address", "http://u/faculty/e", "text", "Achievements of a group on health. Chairperson of the group.", ("", "", "", False, "")),
-    ("no person", "http://u/library", "text", "Dr. F. Shah Chairperson of the grievances box", ("", "", "", False, "")),
-    ("late", "http://u/faculty/g", "text", "Dr. G. Das Professor, School of Computing " + "x " * 80 + "chairperson of something", ("professor", "Professor", "professor", False, "")),
-    ("title only", "http://u/faculty/h", "faculty_card", "Faculty Dr. H. Roy Chairperson Head of Department Professor Profile: http://u/faculty/h", ("head_of_department", "Chairperson", "head_of_department|professor", True, "")),
-    ("nothing", "http://u/faculty/i", "text", None, ("", "", "", False, "")),
+_PAGE = [
+    '<html><nav>menu</nav><div class="breadcrumb">x</div><div id="why-oakfield-sec">choose us</div><main><h1>Page ', "id", "</h1><p>", "text",
+    "</p>\n<h2>Fees</h2><table><tr><th>Year</th><th>", "lang", "</th></tr><tr><td>", "id", "</td><td> ", "n", '\n</td></tr><tr><td></td></tr></table><table><tr><td> </td></tr></table><div class="fc-item"><img src="/p', "id",
+    '.png"><a href="/faculty/', "id", '">Dr. A  Rao ', "role", " Department of ", "dept", ' Oakfield</a></div><div class="fc-item"><a href="mailto:x">C</a></div><ul><li><b>June 2020</b> first ', "id",
+    "</li><li>second</li><li><strong>May 2021</strong> third</li></ul><h3>Empty</h3></main><footer>f</footer></html>",
 ]
 
 
-def _values(rows: list[tuple]) -> str:
-    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else lit(v)
-    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+def _built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id") % len(CARDS)
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    of = lambda i: F.get(F.array(*[F.lit(c[i]) for c in CARDS]), n)
+    values = {"id": F.col("doc_id").cast("string"), "text": escaped, "lang": F.coalesce("lang", F.lit("")), "n": F.coalesce(F.col("n_chars").cast("string"), F.lit("")), "role": of(0), "dept": of(3)}
+    return d.select(F.concat(F.lit("http://u.edu/pages/"), "doc_id").alias("url"), F.concat(F.lit("Title "), "doc_id").alias("title"), F.concat(*[values.get(x, F.lit(x)) for x in _PAGE]).alias("html"))
 
 
-@query(f"SELECT * FROM ({_values([(p[0], *p[4]) for p in PERSONS])}) t(label, designation, designation_raw, designations_all, is_department_head, department)")
-def known_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([p[:4] for p in PERSONS], "label string, url string, kind string, text string")
-    return roles.metadata(df, "text", "url", "kind", _OWN).drop("url", "kind", "text")
+def _of_card(i: int) -> str:
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {lit(c[i]) if isinstance(c[i], str) else str(c[i]).upper()}" for k, c in enumerate(CARDS)) + " END"
 
 
-KNOWN_PAGE = """<html><nav>menu</nav><div class="breadcrumb">x</div><div id="why-oakfield-sec">choose us</div><main><h1>Top</h1><p>Intro &amp; more</p>
-<h2>Fees</h2><table><tr><th>Year</th><th></th></tr><tr><td>1</td><td>10
-</td></tr><tr><td></td></tr></table><table><tr><td> </td></tr></table>
-<div class="fc-item"><img src="/p.png"><a href="/faculty/a">Dr. A  Rao HOD Department of Physics</a></div><div class="fc-item"><a href="mailto:x">C</a></div>
-<ul><li><b>June 2020</b> first</li><li>second</li><li><strong>May 2021</strong> third</li></ul><h3>Empty</h3></main><footer>f</footer></html>"""
-_LISTING = "http://u.edu/bengaluru/physics/faculty/"
-KNOWN_CHUNKS = [
-    # kind, heading, content, photo, profile, designation, department
-    ("table", "Fees", "Fees\n\nThe following table shows fees details for T, including the data below:\n\nYear\n1 | 10", "", "", "", ""),
-    ("faculty_card", "Faculty", "Faculty\n\nDr. A Rao HOD Department of Physics Profile: http://u.edu/faculty/a", "http://u.edu/p.png", "http://u.edu/faculty/a", "head_of_department", "physics"),
-    ("faculty_card", "Faculty", "Faculty\n\nC", "", "", "", ""),
-    ("text", "Top", "Top\n\nIntro & more", "", "", "", ""),
-    ("text", "Fees", "Fees\n\n* June 2020 first\n* second", "", "", "", ""),
-    ("text", "Fees", "Fees\n\n* May 2021 third", "", "", "", ""),
-]
+_BUILT = f"""
+WITH d AS (SELECT *, 'http://u.edu/pages/' || doc_id AS url, {sql_strip("coalesce(text, '')")} AS body FROM documents), c AS (
+  SELECT url, 'table' AS chunk_type, 'Fees' AS heading, 'Fees' || chr(10) || chr(10) || 'The following table shows fees details for Title ' || doc_id || ', including the data below:' || chr(10) || chr(10) || concat_ws(' | ', 'Year', nullif(lang, ''))
+    || chr(10) || concat_ws(' | ', doc_id, n_chars) AS content, '' AS photo_url, '' AS profile_url, '' AS designation, '' AS designation_raw, FALSE AS is_department_head, '' AS department FROM d
+  UNION ALL SELECT url, 'faculty_card', 'Faculty', 'Faculty' || chr(10) || chr(10) || 'Dr. A Rao ' || {_of_card(0)} || ' Department of ' || {_of_card(3)} || ' Oakfield Profile: http://u.edu/faculty/' || doc_id,
+    'http://u.edu/p' || doc_id || '.png', 'http://u.edu/faculty/' || doc_id, {_of_card(1)}, {_of_card(0)}, {_of_card(2)}, {_of_card(4)} FROM d
+  UNION ALL SELECT url, 'faculty_card', 'Faculty', 'Faculty' || chr(10) || chr(10) || 'C', '', '', '', '', FALSE, '' FROM d
+  UNION ALL SELECT url, 'text', 'Page ' || doc_id, 'Page ' || doc_id || chr(10) || chr(10) || body, '', '', '', '', FALSE, '' FROM d WHERE body <> ''
+  UNION ALL SELECT url, 'text', 'Fees', 'Fees' || chr(10) || chr(10) || '* June 2020 first ' || doc_id || chr(10) || '* second', '', '', '', '', FALSE, '' FROM d
+  UNION ALL SELECT url, 'text', 'Fees', 'Fees' || chr(10) || chr(10) || '* May 2021 third', '', '', '', '', FALSE, '' FROM d
+)
+SELECT url || '::' || chunk_type || '::' || substr(sha256(content), 1, 16) AS chunk_id, chunk_type, heading, photo_url, profile_url, designation, designation_raw, is_department_head, department FROM c"""
 
 
-def _known_page(spark: SparkSession) -> DataFrame:
-    return pages.extract(spark.createDataFrame([(_LISTING, "T", KNOWN_PAGE), ("http://u.edu/none", "N", None)], "url string, title string, html string"), _OWN)
+@query(_BUILT)
+def built_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise, headings, tables, cards with roles and departments, sections and dated entries around every whole document."""
+    out = pages.extract(_built_pages(spark, sf_dir), _OWN)
+    return out.select("chunk_id", "chunk_type", "heading", "photo_url", "profile_url", "designation", "designation_raw", "is_department_head", "department")
 
 
 @query(f"""
-SELECT {lit(_LISTING)} || '::' || chunk_type || '::' || substr(sha256(content), 1, 16) AS chunk_id, *, CAST(len(regexp_extract_all(content, '\\S+')) * 13 // 10 AS BIGINT) AS token_estimate
-FROM ({_values(KNOWN_CHUNKS)}) t(chunk_type, heading, content, photo_url, profile_url, designation, department)""".replace("\\\\", "\\"))
-def known_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page with noise, tables, cards, sections and dated entries."""
-    return _known_page(spark).select("chunk_id", "chunk_type", "heading", "content", "photo_url", "profile_url", "designation", "department", "token_estimate")
-
-
-@query("SELECT * FROM (VALUES ('http://u.edu/faculty/a', 'physics'), ('" + _LISTING + "', 'physics')) t(source_url, department)")
+WITH l AS (SELECT page_id, 'http://u.edu/bengaluru/' || CASE page_id % 3 WHEN 0 THEN 'physics' WHEN 1 THEN 'EEE' ELSE 'school' END || '/faculty/?p=' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'physics' WHEN 1 THEN 'electrical and electronics' END AS department FROM pages)
+SELECT url AS source_url, department FROM l WHERE department IS NOT NULL
+UNION ALL SELECT 'http://u.edu/faculty/' || page_id || x, department FROM l, (VALUES ('a'), ('b')) t(x) WHERE department IS NOT NULL""")
 def listing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of listing pages give their profiles the listing's department."""
-    return sync.department_edges(sync.card_listings(_known_page(spark), _OWN))
-
-
-_VOCABULARY = ["department", "electronics", "communication", "faculty", "placement", "hostel", "scholarship", "the", "who"]
-SPELLED = [("who is in the deparment", "who is in the department"), ("electroncs facultty", "electronics faculty"), ("schlarship and hostel", "scholarship and hostel"), ("zzzzqqq", "zzzzqqq"), ("", "")]
-
-
-@query(f"SELECT * FROM ({_values(SPELLED)}) t(text, corrected)")
-def known_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SPELLED)], "query_id int, text string")
-    v = spark.createDataFrame([(w, 5) for w in _VOCABULARY], "word string, n int")
-    return spelling.corrected(q, spelling.correct(spelling.unknown(q, v), v)).join(q, "query_id").select("text", "corrected")
-
-
-MARKED = [
-    # answer, sources, band, message
-    ("# Fees\n\n**Bold** and *it* [1]\n- a\n* b", ["http://x"], "high", "_Fees_\n\n*Bold* and _it_\n• a\n• b\n\n*Source:*\nhttp://x"),
-    ("See [site](https://x.y) and `c`", [], "high", "See site (https://x.y) and ```c```"),
-    ("Fine", ["a", "b", "c", "d"], "medium", "Fine\n\n_This one I'm less sure about — worth confirming._\n\n*Sources:*\na\nb\nc"),
-    ("I don't have that information.", ["a"], "medium", "I don't have that information."),
-    ("a\n\n\n\n\nb", [], "low", "a\n\nb"),
-]
-
-
-@query(f"SELECT * FROM ({_values([(m[0], m[3]) for m in MARKED])}) t(answer, message)")
-def known_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([m[:3] for m in MARKED], "answer string, sources array<string>, band string")
-    return df.select("answer", tx.markup(F.col("answer"), F.col("sources"), F.col("band"), tx.declined(F.col("answer"))).alias("message"))
+    """Listing pages with two cards each, one for every page of the table; cards give their profiles the listing's department."""
+    i = F.col("page_id").cast("string")
+    name = F.when(F.col("page_id") % 3 == 0, "physics").when(F.col("page_id") % 3 == 1, "EEE").otherwise("school")
+    card = lambda x: F.concat(F.lit('<div class="fc-item"><a href="/faculty/'), i, F.lit(f'{x}">Dr. {x}</a></div>'))
+    listings = table(spark, sf_dir, "pages").select(F.concat(F.lit("http://u.edu/bengaluru/"), name, F.lit("/faculty/?p="), i).alias("url"), F.lit("T").alias("title"), F.concat(card("a"), card("b")).alias("html"))
+    return sync.department_edges(sync.card_listings(pages.extract(listings, _OWN), _OWN))
 
 
 @query(f"""

@@ -10,6 +10,7 @@ from tidemill.functions import text as tx
 from tidemill.operators import evaluation, ranking, sync
 from tidemill.plans.registry import query, sql_collapse, sql_strip
 from tidemill.session import table
+from tidemill.sources.files import file_kind
 
 _ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
 
@@ -199,11 +200,11 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(convs), F.lit(True))
 
 
-_NAMES = "VALUES ('a.PDF'), ('b.md'), ('c.tar.gz'), ('d'), ('e.xlsx'), ('x.y/f')"
+_ENDINGS = [".PDF", ".md", ".tar.gz", "", ".xlsx", ".y/f", ".DocX", ".pptx", ".xlsm", ".txt"]
 
 
-@query(f"SELECT path, CASE WHEN ext IN ('.pdf', '.pptx', '.docx', '.xlsx', '.xlsm', '.txt', '.md') THEN ext END AS kind FROM (SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM ({_NAMES}) t(path))")
+@query(f"SELECT path, CASE WHEN ext IN ('.pdf', '.pptx', '.docx', '.xlsx', '.xlsm', '.txt', '.md') THEN ext END AS kind FROM (SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM (SELECT url || [{', '.join(map(repr, _ENDINGS))}][page_id % {len(_ENDINGS)} + 1] AS path FROM pages))")
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemill.sources.files import file_kind
-
-    return spark.sql(f"SELECT * FROM ({_NAMES}) t(path)").select("path", file_kind(F.col("path")).alias("kind"))
+    """Every page's url as a file's path, with endings in turn."""
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("page_id") % len(_ENDINGS)).cast("int"))
+    return table(spark, sf_dir, "pages").select(F.concat("url", ending).alias("path")).select("path", file_kind(F.col("path")).alias("kind"))

@@ -143,4 +143,4 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = questions.Models(_rewrite, _embed, _rerank, _MODELS, _voters())
     wording = {"rules": _RULES, "by_mode": _MODES, "refusal": _REFUSAL, "failure": _FAILURE}
     out = questions.answered(turns, _web(spark, sf_dir), _uploads(spark, sf_dir), stored(_vocab(spark, sf_dir), "vocabulary"), models, wording)
-    return out.withColumns({"final": F.round("final", 6), "sources": F.array_join("sources", ",")})
+    return out.drop("failures").withColumns({"final": F.round("final", 6), "sources": F.array_join("sources", ",")})

@@ -89,9 +89,17 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IDS = ["http://a.b/c::text::0123456789abcdef", "http://a.b/x::y::table::00", "no separators", "a::b", "::text::1"]
 
 
-@query(r"SELECT id, CASE WHEN regexp_matches(id, '(?s)^.*::.*::') THEN regexp_extract(id, '(?s)^(.*)::(.*?)::([^:]*)$', 1) END AS url, CASE WHEN regexp_matches(id, '(?s)^.*::.*::') THEN regexp_extract(id, '(?s)^(.*)::(.*?)::([^:]*)$', 2) END AS kind FROM (VALUES " + ", ".join(f"({lit(i)})" for i in _IDS) + ") t(id)")
+_PARSED = r"SELECT id, CASE WHEN regexp_matches(id, '(?s)^.*::.*::') THEN regexp_extract(id, '(?s)^(.*)::(.*?)::([^:]*)$', 1) END AS url, CASE WHEN regexp_matches(id, '(?s)^.*::.*::') THEN regexp_extract(id, '(?s)^(.*)::(.*?)::([^:]*)$', 2) END AS kind FROM "
+
+
+@query(_PARSED + f"(SELECT url || '::text::' || substr(sha256({sql_strip('html')}), 1, 16) AS id FROM pages UNION ALL SELECT 'd::' || doc_id || '::table::' || substr(sha256(coalesce(text, '')), 1, 16) FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({lit(i)})" for i in _IDS) + ")) t(id)")
 def chunk_id_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i,) for i in _IDS], "id string")
+    """The ids of all pages' and documents' chunks, and some odd ones."""
+    own = spark.createDataFrame([(i,) for i in _IDS], "id string")
+    of_pages = table(spark, sf_dir, "pages").select(tx.chunk_id(F.col("url"), F.lit("text"), F.col("html")).alias("id"))
+    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16)
+    of_docs = _docs(spark, sf_dir).select(F.concat(F.lit("d::"), F.col("doc_id").cast("string"), F.lit("::table::"), digest).alias("id"))
+    df = of_pages.unionByName(of_docs).unionByName(own)
     url, kind = tx.parse_chunk_id(F.col("id"))
     return df.select("id", url.alias("url"), kind.alias("kind"))
 
@@ -230,12 +238,14 @@ _DEPARTMENTS = [
 
 
 @query(f"""
-WITH u AS (SELECT url, [p FOR p IN string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/') IF p <> ''] AS parts FROM (VALUES {', '.join(f'({lit(x)})' for x in _LISTINGS)}) t(url)),
+WITH u AS (SELECT url, [p FOR p IN string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/') IF p <> ''] AS parts FROM (SELECT * FROM (VALUES {', '.join(f'({lit(x)})' for x in _LISTINGS)}) UNION ALL SELECT rtrim(url, '/') || '/faculty/' FROM pages) t(url)),
 v AS (SELECT url, list_position(parts, 'faculty') AS pos, [p FOR p IN list_reverse(parts[1:greatest(coalesce(list_position(parts, 'faculty'), 0) - 1, 0)]) IF p NOT IN ({', '.join(map(lit, rules.CAMPUSES))})] AS back FROM u),
 w AS (SELECT url, CASE WHEN coalesce(pos, 0) > 0 AND len(back) > 0 AND back[1] <> 'school' THEN lower(replace(back[1], '-', ' ')) END AS name FROM v)
 SELECT url, {sql_lookup(rules.DEPARTMENT_ALIASES, 'name', 'name')} AS department FROM w""")
 def listing_department(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(u,) for u in _LISTINGS], "url string")
+    """Every page's url as that of a listing, and some others."""
+    own = table(spark, sf_dir, "pages").select(F.concat(F.rtrim("url", F.lit("/")), F.lit("/faculty/")).alias("url"))
+    df = spark.createDataFrame([(u,) for u in _LISTINGS], "url string").unionByName(own)
     return df.select("url", tx.listing_department(F.col("url")).alias("department"))
 
 
@@ -246,20 +256,28 @@ _N = f"lower(regexp_replace({_N}, '^[ ,|\\-.]+|[ ,|\\-.]+$', '', 'g'))"
 
 
 @query(rf"""
-WITH n AS (SELECT raw, {_N} AS s FROM (VALUES {', '.join(f'({lit(x)})' for x in _DEPARTMENTS)}) t(raw)), a AS (SELECT raw, {sql_lookup(rules.DEPARTMENT_ALIASES, 's', 's')} AS s FROM n)
+WITH n AS (SELECT raw, {_N} AS s FROM (SELECT * FROM (VALUES {', '.join(f'({lit(x)})' for x in _DEPARTMENTS)}) UNION ALL SELECT text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'Department of ' || source || ' Engineering' FROM documents WHERE source IS NOT NULL) t(raw)), a AS (SELECT raw, {sql_lookup(rules.DEPARTMENT_ALIASES, 's', 's')} AS s FROM n)
 SELECT raw, CASE WHEN s <> '' AND len(regexp_extract_all(s, '\S+')) <= 7 AND NOT regexp_matches(s, 'https?://|[:*]|\d{{4}}') AND regexp_matches(s, '[a-z]') THEN s END AS department FROM a""")
 def normalized_department(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(u,) for u in _DEPARTMENTS], "raw string")
+    """Names made of the documents' sources, all turns of conversations, of which few can be a department, and some spellings."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("text").alias("raw"))
+    sources = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat(F.lit("Department of "), "source", F.lit(" Engineering")).alias("raw"))
+    df = spark.createDataFrame([(u,) for u in _DEPARTMENTS], "raw string").unionByName(turns).unionByName(sources)
     return df.select("raw", tx.normalize_department(F.col("raw")).alias("department"))
 
 
+_NAMED = [*rules.DEPARTMENT_SCHOOL, ""]
+
+
 @query(f"""
-WITH d AS (SELECT d, {sql_lookup(rules.DEPARTMENT_ALIASES, 'd', 'd')} AS c FROM (VALUES {', '.join(f'({lit(x)})' for x in [*rules.DEPARTMENT_SCHOOL, ''])}) t(d))
-SELECT a.d AS a, b.d AS b, a.d <> '' AND b.d <> '' AND (a.c = b.c OR contains(a.c, b.c) OR contains(b.c, a.c)) AS same FROM d a CROSS JOIN d b""")
+WITH d AS (SELECT doc_id, [{', '.join(map(lit, _NAMED))}][doc_id % {len(_NAMED)} + 1] AS a, [{', '.join(map(lit, _NAMED))}][(doc_id // {len(_NAMED)}) % {len(_NAMED)} + 1] AS b FROM documents),
+c AS (SELECT *, {sql_lookup(rules.DEPARTMENT_ALIASES, 'a', 'a')} AS x, {sql_lookup(rules.DEPARTMENT_ALIASES, 'b', 'b')} AS y FROM d)
+SELECT doc_id, a, b, a <> '' AND b <> '' AND (x = y OR contains(x, y) OR contains(y, x)) AS same FROM c""")
 def department_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule table against itself."""
-    d = spark.createDataFrame([(x,) for x in [*rules.DEPARTMENT_SCHOOL, ""]], "a string")
-    return d.join(F.broadcast(d.withColumnRenamed("a", "b")), F.lit(True)).select("a", "b", tx.departments_match(F.col("a"), F.col("b")).alias("same"))
+    """Two departments of the rule table for each document."""
+    names, i, n = F.array(*map(F.lit, _NAMED)), F.col("doc_id"), len(_NAMED)
+    d = _docs(spark, sf_dir).select(i, F.get(names, (i % n).cast("int")).alias("a"), F.get(names, (F.expr(f"doc_id div {n}") % n).cast("int")).alias("b"))
+    return d.select("doc_id", "a", "b", tx.departments_match(F.col("a"), F.col("b")).alias("same"))
 
 
 # Vocabulary ----------------------------------------------------------------
@@ -379,7 +397,21 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(chunking.text_blocks(docs), lossless=True)
 
 
-@query()
+_EDGE = r"[^\p{L}\p{N}_]"
+_MARKED = "'# Answer' || repeat(chr(10), 2) || '**Note** and *this* [1], see [site](https://x.y)' || chr(10) || '- one' || chr(10) || '* two `code`' || repeat(chr(10), 4) || coalesce(text, '')"
+for _pattern, _to in [
+    (r"(?m)^#{1,6}\s*(.+)$", r"*\1*"), (r"\*\*(.+?)\*\*", "\x01\\1\x01"), (rf"(^|{_EDGE})\*([^\s*](?:[^*\n]*[^\s*])?)\*($|{_EDGE})", r"\1_\2_\3"), ("\x01", "*"), (r"\[([^\]]+)\]\((https?://[^)]+)\)", r"\1 (\2)"),
+    (r"(?m)^[ \t]*[-*][ \t]+", "• "), (r"`([^`]+)`", r"```\1```"), (r"\s*\[\d+\]", ""), (r"\n{3,}", "\n\n"),
+]:
+    _MARKED = f"regexp_replace({_MARKED}, {lit(_pattern)}, {lit(_to)}, 'g')"
+_REFUSED = " OR ".join(f"contains(lower(coalesce(text, '')), {lit(d)})" for d in rules.DECLINES)
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, {sql_strip(_MARKED)} AS t, {_REFUSED} AS refused FROM conversations WHERE role = 'assistant'),
+n AS (SELECT conv_id, turn, t || CASE WHEN turn % 2 = 1 AND NOT refused THEN chr(10) || chr(10) || '_This one I''m less sure about — worth confirming._' ELSE '' END
+  || CASE WHEN NOT refused THEN chr(10) || chr(10) || '*Sources:*' || chr(10) || 'https://x.y/1' || chr(10) || 'https://x.y/2' ELSE '' END AS t FROM m)
+SELECT conv_id, turn, CASE WHEN length(t) > 4096 THEN regexp_replace(substr(t, 1, 4076), '\\s+$', '') || chr(10) || chr(10) || '…(truncated)' ELSE t END AS message FROM n""".replace("\\\\", "\\"))
 def markup_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as messenger texts, with heading, bold, italics, link, list and citation put around."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
