@@ -45,7 +45,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def plain_features(text):
+def quality_features(text):
     """The quality classifier's features, one loop each."""
     data = (text or "").encode()
     words = data.split()
@@ -96,22 +96,34 @@ def plain_battery(token):
     return min(1, 4 * min(p_chi, p_digits, p_runs, p_serial))
 
 
-def plain_fit(spans, kinds=6, voters=5, rounds=25, steps=60):
-    """The labelers' reliabilities by expectation-maximisation, then the span classifier's weights; spans: (kind, votes)."""
+SHARES, PSEUDO = [0.9] * 4 + [0.6] * 4 + [0.3], (1, 3, 6)
+
+
+def sigmoid(z):
+    return 1 / (1 + math.exp(-z))
+
+
+def plain_features(group, votes, shape):
+    return [1.0, *map(float, votes), *(float(g == group) for g in range(len(SHARES))), *map(float, shape)]
+
+
+def plain_fit(spans, voters=5, rounds=25, steps=60):
+    """How labelers vote on personal spans and on others, by expectation-maximisation, then the span classifier's weights; spans: (group, votes, shape)."""
     table = sorted(Counter(spans).items())
-    sigmoid = lambda z: 1 / (1 + math.exp(-z))
     clip = lambda x, lo, hi: max(lo, min(hi, x))
-    prior, acc = 0.7, [0.8] * voters
-    belief = lambda votes: sigmoid(math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc, strict=True)))
+    prior = list(SHARES)
+    yes, no = ([[c / sum(p) for c in p] for _ in range(voters)] for p in (PSEUDO, PSEUDO[::-1]))
+    belief = lambda g, votes: sigmoid(math.log(prior[g] / (1 - prior[g])) + sum(math.log(yes[j][v + 1] / no[j][v + 1]) for j, v in enumerate(votes)))
     for _ in range(rounds):
-        p = [belief(votes) for (_, votes), _ in table]
-        total = sum(n for _, n in table)
-        said = [sum(n for (_, v), n in table if v[j]) for j in range(voters)]
-        right = [sum(n * (b if v[j] == 1 else 1 - b) for ((_, v), n), b in zip(table, p, strict=True) if v[j]) for j in range(voters)]
-        prior = clip(sum(n * b for (_, n), b in zip(table, p, strict=True)) / total, 0.05, 0.95)
-        acc = [clip((r + 8) / (m + 10), 0.55, 0.99) for r, m in zip(right, said, strict=True)]
-    rows = [([1.0, *votes, *(float(k == kind) for k in range(kinds))], belief(votes), math.sqrt(n)) for (kind, votes), n in table]
-    mass, w = sum(n for *_, n in rows), [0.0] * (1 + voters + kinds)
+        p = [(g, votes, n * belief(g, votes), n * (1 - belief(g, votes))) for (g, votes, _), n in table]
+        sides = []
+        for at, pseudo in ((2, PSEUDO), (3, PSEUDO[::-1])):
+            mass = sum(x[at] for x in p) + sum(pseudo)
+            sides.append([[(sum(x[at] for x in p if x[1][j] == v) + pseudo[v + 1]) / mass for v in (-1, 0, 1)] for j in range(voters)])
+        prior = [clip((sum(x[2] for x in p if x[0] == g) + 2 * SHARES[g]) / (sum(x[2] + x[3] for x in p if x[0] == g) + 2), 0.02, 0.98) for g in range(len(SHARES))]
+        yes, no = sides
+    rows = [(plain_features(g, votes, shape), belief(g, votes), math.sqrt(n)) for (g, votes, shape), n in table]
+    mass, w = sum(n for *_, n in rows), [0.0] * (1 + voters + len(SHARES) + 3)
     for _ in range(steps):
         slope = [0.0] * len(w)
         for f, p, n in rows:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.brute import joined, pii_base, plain_battery, plain_features, plain_fit, secret_base, sha
+from tests.llm.brute import joined, pii_base, plain_battery, plain_features, plain_fit, quality_features, secret_base, sha, sigmoid
 from tests.oracle import differences, duck
 from tidemill.llm import ann, bpe, exact_topk, mixing, near_dedup, pii, preferences, quality, registry, secrets, token_counts
 from tidemill.llm.common import materialise
@@ -105,14 +105,39 @@ def test_weak_supervision_equals_brute_force(spark):
     spans = []
     for _ in range(400):  # four labelers right at different rates, one silent
         truth = rng.random() < 0.6
-        spans.append((rng.randrange(6), tuple((1 if truth == (rng.random() < good) else -1) if rng.random() < 0.8 else 0 for good in (0.95, 0.8, 0.7, 0.6)) + (0,)))
-    span = "array<struct<kind:int,start:int,stop:int,votes:array<int>>>"
-    rows = [([(k, 0, 1, list(v)) for k, v in spans[:150]], [(k, 0, 1, list(v)) for k, v in spans[150:]]), ([], [])]
-    w = pii.fit(spark.createDataFrame(rows, f"_base {span}, _more {span}"))
+        votes = tuple((1 if truth == (rng.random() < good) else -1) if rng.random() < 0.8 else 0 for good in (0.95, 0.8, 0.7, 0.6))
+        spans.append((rng.randrange(9), (*votes, 0), tuple(rng.randrange(2) for _ in range(3))))
+    span = "array<struct<kind:int,start:int,stop:int,group:int,votes:array<int>,shape:array<int>>>"
+    packed = [(0, 0, 1, g, list(v), list(s)) for g, v, s in spans]
+    w = pii.fit(spark.createDataFrame([(packed[:150], packed[150:]), ([], [])], f"_base {span}, _more {span}"))
     assert w == pytest.approx(plain_fit(spans), rel=1e-9, abs=1e-12)
     assert w[1] > w[2] > w[3] > w[4] > 0 == w[5], "more reliable labelers weigh more"
 
 
+def test_every_span_is_judged_and_numbers_are_rejected(spark):
+    """On the given documents, too: probabilities by plain loops, and decisions in which the classifier has a part."""
+    import os
+
+    sf = "/root/testdata/sf0.01" if os.path.exists("/root/testdata/sf0.01") else "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, t) for i, t in enumerate(["order 4155 552 671 88", "tel (415) 555-2671", "2024-01-02 10 20 30", "12345678901234567", "mail an.address-longer-than-forty-characters.in-all.of-it [at] example [dot] org"])]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    found = pii.candidates(docs).select("doc_id", "_base", "_more").collect()
+    one = lambda s: (s.group, tuple(s.votes), tuple(s["shape"]))
+    w = plain_fit([one(s) for r in found for s in [*r._base, *r._more]])
+    p = lambda s: sigmoid(sum(a * b for a, b in zip(w, plain_features(*one(s)), strict=True)))
+    want = {}
+    for r in found:
+        spans = sorted((s.kind, s.start, s.stop, p(s)) for s in [*r._base, *[s for s in r._more if p(s) >= 0.5]])
+        want[r.doc_id] = (",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, _ in spans), [x for *_, x in spans])
+    got = {r.doc_id: (r.spans, [float(x) for x in r.scores.split(",") if x]) for r in pii.find_personal(docs).collect()}
+    assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in got)
+    assert [got[10**6 + i][0].split(":")[0] for i in range(5)] == ["", "phone", "", "", "email"]
+    more = [p(s) for r in found if r.doc_id < 10**6 for s in r._more]
+    assert more and any(x < 0.5 for x in more), "the classifier decides on spans of the given documents"
+
+
 def test_more_personal_data_is_found(spark):
     text = "Call me: (415) 555-2671 or write to jane [at] example [dot] com, signed Dr. Jane Doe, ssn 123-45-6789. Version v 1.2.3.4"
     docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
@@ -260,7 +285,7 @@ def test_quality_scores_equal_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
     rows = {r.doc_id: r.text for r in docs.collect()}
-    x = {i: plain_features(t) for i, t in rows.items()}
+    x = {i: quality_features(t) for i, t in rows.items()}
     for i, t in rows.items():
         assert quality.features((t or "").encode()) == pytest.approx(x[i], abs=1e-12)
     known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality is not None}
