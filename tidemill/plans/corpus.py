@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemill.functions import html
 from tidemill.functions import text as tx
 from tidemill.operators import evaluation, ranking, sync
+from tidemill.operators.keyed_table import KeyedTable
 from tidemill.plans.registry import query, sql_collapse, sql_strip
-from tidemill.session import table
+from tidemill.session import scratch, table
 from tidemill.sources.files import file_kind
 
 _ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
@@ -74,52 +75,81 @@ def purge_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.purge(old.select("url").distinct(), new, "url")
 
 
+def _kept(rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None) -> KeyedTable:
+    """rows as the first version of a keyed table."""
+    t = KeyedTable(rows.sparkSession, scratch(rows.sparkSession, "table"))
+    t.create(rows, keys, bucket_by)
+    return t
+
+
 @query(f"SELECT url, chunk_id FROM ({_OLD}) WHERE url NOT IN (SELECT url FROM ({_NEW})) UNION ALL SELECT url, chunk_id FROM ({_NEW})")
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest row for each url: the new snapshot's wins."""
     old, new = _snapshots(spark, sf_dir)
-    return sync.upsert(old, new, ["url"])
+    t = _kept(old, ["url"])
+    t.upsert(new)
+    return t.read()
 
 
 @query(f"SELECT url, chunk_id FROM ({_OLD}) WHERE url IN (SELECT url FROM pages)")
 def manifest_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _snapshots(spark, sf_dir)
-    return sync.delete(old, sync.purge(old, new, "url"), ["url"])
+    t = _kept(old, ["url"])
+    t.delete(sync.purge(old, new, "url"))
+    return t.read()
 
 
-# Every document is in both versions; a third of them had another id in the old one.
-_OLD_DOCS = "SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, source, 'old ' || substr(sha256(text), 1, 8) AS content FROM documents"
-_NEW_DOCS = "SELECT doc_id, source, substr(sha256(text), 1, 8) AS content FROM documents"
+# Every document is in both versions; a third of them had another id in the old one. Each write is a commit on a keyed table.
+_OLD_DOCS = "SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, source, 'old ' || sha256(text) AS content FROM documents"
+_NEW_DOCS = "SELECT doc_id, source, sha256(text) AS content FROM documents"
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    new = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 8).alias("content"))
+    new = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content"))
     old = new.withColumns({"doc_id": F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")), "content": F.concat(F.lit("old "), "content")})
     return old, new
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW_DOCS})) UNION ALL {_NEW_DOCS}")
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.upsert(*_versions(spark, sf_dir), ["doc_id"])
+    old, new = _versions(spark, sf_dir)
+    t = _kept(old, ["doc_id"])
+    t.upsert(new)
+    return t.read()
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW_DOCS}))")
 def delete_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    return sync.delete(old, new, ["doc_id"])
+    t = _kept(old, ["doc_id"])
+    t.delete(new.select("doc_id"))
+    return t.read()
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE source IS DISTINCT FROM 'src3'")
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of one source's documents go; those without a source stay."""
-    old, _ = _versions(spark, sf_dir)
-    return old.where(~F.col("source").eqNullSafe("src3"))
+    t = _kept(_versions(spark, sf_dir)[0], ["source", "doc_id"], ["source"])
+    t.delete_where(F.col("source") == "src3")
+    return t.read()
 
 
 @query(f"SELECT * FROM ({_OLD_DOCS}) WHERE source NOT IN (SELECT source FROM ({_NEW_DOCS}) WHERE source IN ('src1', 'src2')) UNION ALL SELECT * FROM ({_NEW_DOCS}) WHERE source IN ('src1', 'src2')")
 def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    return sync.replace_group(old, new.where(F.col("source").isin("src1", "src2")), "source")
+    t = _kept(old, ["source", "doc_id"], ["source"])
+    t.replace(new.where(F.col("source").isin("src1", "src2")))
+    return t.read()
+
+
+@query(f"SELECT 'before' AS version, doc_id, source, content FROM ({_OLD_DOCS}) UNION ALL SELECT 'after', * FROM ({_NEW_DOCS})")
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version that was written over is still there."""
+    old, new = _versions(spark, sf_dir)
+    t = _kept(old, ["doc_id"])
+    t.delete(old.select("doc_id"))
+    t.upsert(new)
+    return t.read(0).withColumn("version", F.lit("before")).unionByName(t.read().withColumn("version", F.lit("after")))
 
 
 _META = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN lang ELSE upper(lang) END AS lang FROM documents"
@@ -127,7 +157,10 @@ _META = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 T
 
 @query(f"SELECT d.doc_id, coalesce(m.lang, d.lang) AS lang, d.n_chars FROM documents d LEFT JOIN ({_META}) m ON m.doc_id = d.doc_id")
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.update_metadata(*_meta(spark, sf_dir), "doc_id", ["lang"])
+    docs, meta = _meta(spark, sf_dir)
+    t = _kept(docs, ["doc_id"])
+    t.merge(meta, ["lang"])
+    return t.read()
 
 
 @query(f"SELECT d.doc_id, m.lang, d.n_chars FROM documents d JOIN ({_META}) m ON m.doc_id = d.doc_id WHERE m.lang IS NOT NULL AND m.lang IS DISTINCT FROM d.lang")
