@@ -361,12 +361,32 @@ def test_exact_topk_stops_early_on_skewed_lists():
     assert len(exact_topk.search_block(x[:50], ids[:50], x[light], ids[light], 5, floors)) < 25
 
 
+def test_bounds_come_from_what_the_lists_have_shown():
+    """Unseen places hold the fronts or the ends, and the real scores lie between the bounds at every depth."""
+    rng = np.random.default_rng(2)
+    x, q = (np.floor(8 * rng.standard_normal((n, 5))) for n in (300, 7))
+    lists, split = exact_topk.Lists(x), np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+    wider = np.inf
+    for share in exact_topk.DEPTHS:
+        m = lists.depth(share)
+        upper, lower = (lists.read(share, unseen) for unseen in (lists.fronts(share), lists.ends))
+        for d in range(5):
+            seen = set(lists.order[300 - m :, d].tolist())
+            assert all(upper[i, d] == (x[i, d] if i in seen else lists.fronts(share)[d]) and lower[i, d] == (x[i, d] if i in seen else x[:, d].min()) for i in range(300))
+        most, least, scores = split @ upper.T, split @ lower.T, q @ x.T
+        assert (least <= scores).all() and (scores <= most).all()
+        assert (most - least).mean() <= wider
+        wider = (most - least).mean()
+    assert wider == 0
+
+
 def test_exact_topk_reads_less_of_larger_tables():
     rng = np.random.default_rng(8)
     part = {}
     for n in (500, 6000):
         x = np.floor(8 * rng.standard_normal((n, 64)))
-        got = exact_topk.search_block(x[:40], np.arange(40), x, np.arange(n), 20)
+        pilot = np.array([np.sort(np.delete(x[: n // 2] @ x[i], i))[-20] for i in range(40)])  # what half the rows have reached
+        got = exact_topk.search_block(x[:40], np.arange(40), x, np.arange(n), 20, pilot)
         part[n] = np.mean([read for *_, read in got])
         for i, places, scores, _ in got:
             s = np.delete(x @ x[i], i)

@@ -2,19 +2,19 @@
 
 Each block of candidates has a sorted list for every dimension and sign: contributions of a
 positive query component fall along the descending list, of a negative one along the
-ascending list. All lists of a query are read to the same depth, and no deeper than its
-bounds ask for:
-
-* What a candidate has shown by some depth, with the value at the reading front in its unseen
-  places, is its upper bound: max(x, front) times a positive component, min(x, front) times
-  a negative one. A block whose best bound of all, at the lists' heads, is too low isn't read.
-* The lower bound of a query's k-th best score is the best of: the k-th score found in a
-  pilot block before, and the k-th of the scores of those in the lead at some depth in this
-  block, which are resolved at once.
-* After the first depth a query reads to where an outsider that no list has shown can't qualify any more, and
-  where a few rows of the block say that few of the seen can. If more than LEFT of the block
-  still can, it reads on, at last to the lists' ends; else the scores of those left are
-  resolved. So the result is exact, and `read` says which part of the lists it took.
+ascending list. All lists are read in rounds, each to the same depth; nothing else of a
+candidate is looked at before reading stops:
+
+* What a candidate has shown so far, with the lists' fronts in its unseen places, is its upper
+  bound; with the lists' last values there, its lower bound. Both come from tables that are
+  filled from the lists as they are read.
+* The floor of a query is the k-th best lower bound, or the k-th score that a pilot block of
+  other candidates has reached, if that is higher.
+* A candidate that no list has shown can have the fronts at most. Once that is below the floor,
+  no outsider can qualify. If at most LEFT of the block still can by their upper bounds, reading
+  stops, and the scores of those are resolved; else it goes on, at last to the lists' ends. So
+  the result is exact, and `read` says which part of the lists it took.
+* A block whose heads are too low for a query isn't read for it.
 
 Query blocks meet candidate blocks on a grid, each block small enough for one task; the
 partial lists of a query, k for each candidate block, are merged by rank.
@@ -39,10 +39,8 @@ from tidemill.llm.vectors import best, is_query, matrix, ranked, usable
 
 #: Rows of a query block; least and most rows of a candidate block; queries multiplied at once; rows of the pilot block.
 QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK, STRIP, PILOT = 8192, 512, 8192, 256, 4096
-#: Shares of the lists at which reading can stop; rows of a block that tell how deep to read.
-DEPTHS, SCOUTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 64
-#: Place in DEPTHS of the first stop of queries without a bound; share of a block whose scores are resolved without reading on.
-FIRST, LEFT = 3, 0.1
+#: Shares of the lists that the rounds read to; share of a block whose scores are resolved without reading on.
+DEPTHS, LEFT = (0.05, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0), 0.1
 
 
 def quantise(x: np.ndarray, scale: int) -> np.ndarray:
@@ -59,22 +57,29 @@ def _whole(a: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of a block of rows."""
+    """The sorted lists of a block of rows: descending ones first, then ascending ones."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.sorted = x, np.sort(x, axis=0)
-        self.fronts = np.array([np.hstack(self.front(t)) for t in DEPTHS])
-        self.heads = np.hstack([self.sorted[-1], self.sorted[0]])
-
-    def front(self, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Last values read, of the descending and of the ascending lists."""
-        last = max(int(np.ceil(share * len(self.x))) - 1, 0)
-        return self.sorted[len(self.x) - 1 - last], self.sorted[last]
-
-    def known(self, share: float, rows: slice = slice(None)) -> np.ndarray:
-        """What has been read of rows, the fronts in unseen places: the factors of upper bounds."""
-        down, up = self.front(share)
-        return np.hstack([np.maximum(self.x[rows], down), np.minimum(self.x[rows], up)])
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, self.order, axis=0)
+        self.n = len(x)
+        self.heads, self.ends = (np.hstack([self.sorted[i], self.sorted[-1 - i]]) for i in (-1, 0))
+
+    def depth(self, share: float) -> int:
+        return max(int(np.ceil(share * self.n)), 1)
+
+    def fronts(self, share: float) -> np.ndarray:
+        """The last values read."""
+        m = self.depth(share)
+        return np.hstack([self.sorted[self.n - m], self.sorted[m - 1]])
+
+    def read(self, share: float, unseen: np.ndarray) -> np.ndarray:
+        """What the lists have shown of each row down to a depth, with `unseen` in the other places."""
+        m, d = self.depth(share), self.sorted.shape[1]
+        out = np.repeat(unseen[None], self.n, axis=0)
+        np.put_along_axis(out[:, :d], self.order[self.n - m :], self.sorted[self.n - m :], axis=0)
+        np.put_along_axis(out[:, d:], self.order[:m], self.sorted[:m], axis=0)
+        return out
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
@@ -84,27 +89,6 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
-def _led(q: np.ndarray, x: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
-    """A lower bound of the k-th best score: that of the candidates with the highest upper bounds."""
-    n = len(x)
-    lead = np.argpartition(upper, -2 * k, axis=1)[:, -2 * k :] if n > 2 * k else np.broadcast_to(np.arange(n), upper.shape)
-    scores = np.einsum("qd,qld->ql", q, x[lead])
-    scores[np.take_along_axis(upper, lead, axis=1) == -np.inf] = -np.inf
-    return _kth(scores, k)
-
-
-def _next_depth(split: np.ndarray, lists: Lists, floor: np.ndarray) -> np.ndarray:
-    """For each query the least depth (place in DEPTHS) worth stopping at."""
-    outsider = split @ lists.fronts.T >= floor[:, None]
-    depth = outsider.sum(axis=1)  # bounds fall with depth
-    for place in range(len(DEPTHS) - 1):
-        here = np.flatnonzero(depth == place)
-        if len(here):
-            open_ = split[here] @ lists.known(DEPTHS[place], slice(SCOUTS)).T >= floor[here, None]
-            depth[here[open_.mean(axis=1) > LEFT]] += 1
-    return np.minimum(depth, len(DEPTHS) - 1)
-
-
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
     """(query place, candidate places, scores, share of the lists read): each query's k best of this block.
 
@@ -128,25 +112,35 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
     out = []
     todo = np.flatnonzero(split @ lists.heads >= floors)
     floors = floors.copy()
-    depth = _next_depth(split, lists, floors)
-    depth[floors == -np.inf] = FIRST
-    for place, share in enumerate(DEPTHS):
-        here = todo[depth[todo] == place]
-        factors = lists.known(share).T.copy() if len(here) else None
-        for at in range(0, len(here), STRIP):
-            part = here[at : at + STRIP]
-            upper = split[part] @ factors
-            upper[q_ids[part, None] == x_ids[None, :]] = -np.inf
-            floors[part] = np.maximum(floors[part], _led(q[part], x, upper, k))
-            alive = (upper >= floors[part, None]) & (upper > -np.inf)
-            deeper = (alive.sum(axis=1) > max(LEFT * n, 2 * k)) & (share < 1)
-            again = part[deeper]
-            depth[again] = np.maximum(_next_depth(split[again], lists, floors[again]), place + 1)
-            for r in np.flatnonzero(~deeper):
+    for share in DEPTHS:
+        if not len(todo):
+            break
+        fronts = lists.fronts(share)
+        lower, upper = (lists.read(share, unseen).T.copy() for unseen in (lists.ends, fronts))
+        going = []
+        for at in range(0, len(todo), STRIP):
+            part = todo[at : at + STRIP]
+            outsider = split[part] @ fronts
+            own = q_ids[part, None] == x_ids[None, :]
+            open_ = np.flatnonzero((outsider >= floors[part]) & (share < 1))
+            if len(open_):
+                least = split[part[open_]] @ lower
+                least[own[open_]] = -np.inf
+                floors[part[open_]] = np.maximum(floors[part[open_]], _kth(least, k))
+            closed = np.flatnonzero((outsider < floors[part]) | (share == 1))
+            most = split[part[closed]] @ upper
+            most[own[closed]] = -np.inf
+            if share == 1:  # all is seen, so bounds are scores
+                floors[part[closed]] = np.maximum(floors[part[closed]], _kth(most, k))
+            alive = (most >= floors[part[closed], None]) & (most > -np.inf)
+            done = (alive.sum(axis=1) <= max(LEFT * n, 2 * k)) | (share == 1)
+            for r in np.flatnonzero(done):
                 places = np.flatnonzero(alive[r])
-                exact = (q[part[r]] * x[places]).sum(axis=1, dtype=np.float64)
+                exact = (q[part[closed[r]]] * x[places]).sum(axis=1, dtype=np.float64)
                 top = best(exact, x_ids[places], k)
-                out.append((int(part[r]), places[top], exact[top].astype(np.int64), share))
+                out.append((int(part[closed[r]]), places[top], exact[top].astype(np.int64), share))
+            going.append(np.setdiff1d(part, part[closed[done]]))
+        todo = np.concatenate(going)
     return out
 
 
