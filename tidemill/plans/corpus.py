@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html
 from tidemill.functions import text as tx
-from tidemill.operators import evaluation, ranking, sync
+from tidemill.operators import digests, evaluation, ranking, sync, views
 from tidemill.operators.keyed_table import KeyedTable
 from tidemill.plans.registry import query, sql_collapse, sql_strip
-from tidemill.session import scratch, table
+from tidemill.session import scratch, stored, table
 from tidemill.sources.files import file_kind
 
 _ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
@@ -64,6 +64,12 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.diff(*_snapshots(spark, sf_dir), ["url", "chunk_id"])
 
 
+@query(f"SELECT * FROM ({_DIFF}) WHERE status <> 'unchanged'")
+def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added and deleted rows only, by digests of ranges: ranges that agree aren't compared."""
+    return digests.changes(*_snapshots(spark, sf_dir), ["url", "chunk_id"])
+
+
 @query(f"SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'unchanged') AS unchanged FROM ({_DIFF})")
 def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.summary(sync.diff(*_snapshots(spark, sf_dir), ["url", "chunk_id"]))
@@ -217,6 +223,35 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sizes(table(spark, sf_dir, "documents"), F.length("text"), "source")
 
 
+_SPREAD = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("SELECT grp, count(*) AS n, TRUE AS close FROM (SELECT lang AS grp, text FROM documents UNION ALL SELECT 'all', text FROM documents) WHERE text IS NOT NULL GROUP BY grp")
+def chunk_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the lengths by language and of all, from sketches of parts; close: their ranks are as near as stated."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(7)))
+    d = d.select("part", F.explode(F.array(F.col("lang"), F.lit("all"))).alias("grp"), F.length("text").alias("size"))
+    parts = stored(evaluation.spread_sketches(d, F.col("size"), "grp", "part"), "sketches")
+    spreads = evaluation.spread(evaluation.merged_sketches(parts, "grp"), _SPREAD)
+    errors = evaluation.rank_errors(d, F.col("size"), spreads, _SPREAD, "grp")
+    return errors.select("grp", "n", (F.col("error") <= 2 * evaluation.rank_error()).alias("close"))
+
+
+_WORDS_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents WHERE doc_id % 10 <> 3) GROUP BY word"
+
+
+@query(_WORDS_SQL)
+def maintained_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, counted once, and then what goes with some documents and comes and goes with others."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    view = views.CountView(words, d.where("doc_id % 5 <> 4"))
+    view.apply(come=d.where("doc_id % 5 = 4"))
+    view.apply(gone=d.where("doc_id % 10 = 3"), come=d.where("doc_id % 10 = 7").withColumn("text", F.concat("text", F.lit(" newword"))))
+    view.apply(gone=d.where("doc_id % 10 = 7").withColumn("text", F.concat("text", F.lit(" newword"))))
+    return view.read()
+
+
 @query("SELECT source, CAST(row_number() OVER (ORDER BY n DESC, source) AS INTEGER) AS place FROM (SELECT source, count(*) FILTER (lang = 'en') AS n FROM documents GROUP BY source)")
 def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of collections, most English texts first; one row a collection."""
