@@ -503,3 +503,46 @@ def test_groups_of_like_length_waste_little(spark, sf_dir):
     padded = sum(len(g) * max(lengths[i] for i in g) for g in groups)
     assert padded <= generation.WASTE * sum(lengths) and all(len(g) <= 64 and (len(g) == 1 or len(g) * max(lengths[i] for i in g) <= 100_000) for g in groups)
     assert generation.by_length([3, 1, 2], 2, None) == [[0, 1], [2]]
+
+
+def test_pages_of_mixed_content_keep_prose_or_tables(spark, tmp_path, monkeypatch):
+    from tidemill.sources import files
+
+    monkeypatch.setattr(files, "PARSERS", dict(files.PARSERS))
+
+    @files.page_parser(".pdf")
+    def pages(data):
+        table = [["01-Jul", "Wed\n(a)"], [None, ""], ["02-Jul", None]]
+        return [("01-Jul Wed (a) 02-Jul", [table]), ("long   prose " * 10, [table, [[None]]]), (None, [table]), ("only\xa0prose", []), ("", [])]
+
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    got = sorted((r.pos, r.text, r.page, r.kind) for r in files.read_blocks(spark, str(tmp_path)).collect())
+    rows = "01-Jul | Wed (a)\n02-Jul"
+    assert got == [(0, rows, 1, "table"), (1, rows, 2, "table"), (2, ("long prose " * 10).strip(), 2, "text"), (3, rows, 3, "table"), (4, "only prose", 4, "text")]
+
+
+def test_registries_and_seeds_are_written_in_parts(spark, tmp_path, monkeypatch):
+    from tidemill.sources import files
+
+    monkeypatch.setattr(files, "AT_ONCE", 10)
+    rows = [(f"d{i}", "t", None, i, 1, None) for i in range(45)]
+    schema = "doc_id string, title string, filename string, chunks int, pages int, uploaded_at string"
+    files.write_registry(spark.createDataFrame(rows, schema), str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("part-*.txt"))) > 1
+    assert sorted(map(tuple, files.read_registry(spark, str(tmp_path / "r")).collect()), key=repr) == sorted(rows, key=repr)
+    files.write_registry(spark.createDataFrame([], schema), str(tmp_path / "r"))
+    assert files.read_registry(spark, str(tmp_path / "r")).count() == 0
+    files.write_seeds(spark.createDataFrame([(f"u{i}",) for i in range(45)], "url string"), str(tmp_path / "s"))
+    assert sorted(r.url for r in files.read_seeds(spark, str(tmp_path / "s")).collect()) == sorted(f"u{i}" for i in range(45))
+
+
+def test_many_centroids_meet_queries_in_shares(spark, monkeypatch):
+    from tidemill.operators import retrieval
+
+    rng = random.Random(4)
+    vector = lambda: [rng.random() for _ in range(4)]
+    q = spark.createDataFrame([(i, vector()) for i in range(30)], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(i, vector()) for i in range(50)] + [(60, [2.0] * 4), (61, [2.0] * 4)], "category long, centroid array<double>")
+    few = sorted(map(tuple, retrieval.nearest_centroid(q, c).collect()))
+    monkeypatch.setattr(retrieval, "FEW_CENTROIDS", 0)
+    assert sorted(map(tuple, retrieval.nearest_centroid(q, c).collect())) == few and {x[1] for x in few} == {60}

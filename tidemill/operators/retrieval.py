@@ -52,6 +52,22 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Centroids that are sent whole to every executor; else shares in which they meet the queries.
+FEW_CENTROIDS, SHARES = 10_000, 64
+
+
+def nearest_centroid(queries: DataFrame, centroids: DataFrame) -> DataFrame:
+    """query_id, category, score: the centroid (category, centroid) of largest product with each query(query_id, vector); ties to the first category."""
+    few = centroids.count() <= FEW_CENTROIDS
+    shares = 1 if few else SHARES
+    c = centroids.withColumn("_share", F.pmod(F.xxhash64("category"), F.lit(shares)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share")
+    pairs = queries.select("*", every).join(F.broadcast(c) if few else c, "_share")
+    scored = pairs.select("query_id", "category", F.round(dot(F.col("vector"), F.col("centroid")), 9).alias("score"))
+    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("category")).alias("n"))).alias("b"))
+    return best.select("query_id", (-F.col("b.n")).alias("category"), F.col("b.score").alias("score"))
+
+
 def upload_sources(pool: DataFrame) -> DataFrame:
     """A pool of uploads (title, page) with source_url and heading, which web chunks have of their own."""
     return pool.withColumns({"source_url": F.format_string("%s (page %d)", "title", "page"), "heading": F.col("title")})

@@ -238,9 +238,7 @@ def nearest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label whose mean vector is nearest; equal scores go to the first label."""
     v = table(spark, sf_dir, "embeddings")
     c = retrieval.centroids(v).select(F.col("label").alias("category"), F.transform("centroid", lambda x: F.round(x, 9)).alias("centroid"))
-    q = _queries(v)
-    s = q.join(c, F.lit(True)).select("query_id", "category", F.round(retrieval.dot(F.col("vector"), F.col("centroid")), 9).alias("score"))
-    return _rounded(s.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("category")).alias("n"))).alias("b")).select("query_id", (-F.col("b.n")).alias("category"), F.col("b.score").alias("score")), "score")
+    return _rounded(retrieval.nearest_centroid(_queries(v).select("query_id", "vector"), c), "score")
 
 
 @query("""

@@ -40,11 +40,37 @@ def parse_text(data: bytes) -> list[tuple[str, int, str]]:
 
 def prose_or_tables(prose: str, tables: list[str]) -> list[tuple[str, str]]:
     """What a page of mixed content gives: each table, and prose only if it holds clearly more than the tables."""
-    whole = "\n".join(tables)
-    keep = prose and (not whole or len(prose) >= 1.25 * len(whole))
+    whole = sum(map(len, tables))
+    keep = prose and (not whole or len(prose) >= 1.25 * whole)
     return [(t, "table") for t in tables] + ([(prose, "text")] if keep else [])
 
 
+def table_lines(rows: list[list]) -> str:
+    """A table's filled cells, parted by bars, a line for each row that has any."""
+    cells = ([clean_text(str(c)).replace("\n", " ") for c in row if c] for row in rows)
+    return "\n".join(" | ".join(c for c in row if c) for row in cells if any(row))
+
+
+def page_parser(*extensions: str):
+    """Registers a parser of pages with mixed content, as a PDF's: bytes to (prose, tables as rows of cells) for each page.
+
+    Its prose is cleaned and left out where the tables say the same.
+    """
+
+    def add(f: Callable[[bytes], list[tuple[str | None, list[list[list]]]]]):
+        def blocks(data: bytes) -> list[tuple[str, int, str]]:
+            out = []
+            for page, (prose, tables) in enumerate(f(data), start=1):
+                texts = [t for t in map(table_lines, tables) if t]
+                out += [(text, page, kind) for text, kind in prose_or_tables(clean_text(prose or ""), texts)]
+            return out
+
+        parser(*extensions)(blocks)
+        return f
+
+    return add
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, text, page, kind of every file of a known kind below path; unknown kinds fail."""
     from tidemill.sources import office  # noqa: F401 registers its parsers
@@ -115,14 +141,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Entries of a registry file, urls of a seed file.
+AT_ONCE = 10_000
+
+
 def write_registry(entries: DataFrame, path: str) -> None:
-    """Rewrites the JSON object of documents; entries as `read_registry` gives them, one short row a document."""
+    """Rewrites the registry: a JSON object of documents for each AT_ONCE entries or so; entries as `read_registry` gives them."""
     names = ["doc_id", "title", "filename", "chunks", "pages", "uploaded_at"]
-    pair = F.struct(F.coalesce("doc_id", F.lit("")), F.struct(*names))
-    entries.coalesce(1).agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")).write.mode("overwrite").text(path)
+    key = F.coalesce("doc_id", F.lit(""))
+    parts = max(-(-entries.count() // AT_ONCE), 1)
+    grouped = entries.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*names))))).alias("value"))
+    grouped.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_seeds(urls: DataFrame, path: str, files: int = 8) -> None:
-    """Urls as JSON arrays, one to a file."""
-    part = urls.groupBy(F.pmod(F.xxhash64("url"), F.lit(files)).alias("part")).agg(F.to_json(F.collect_list("url")).alias("value"))
+def write_seeds(urls: DataFrame, path: str) -> None:
+    """Urls as JSON arrays of AT_ONCE or so, one to a file."""
+    parts = max(-(-urls.count() // AT_ONCE), 1)
+    part = urls.groupBy(F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list("url")).alias("value"))
     part.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
