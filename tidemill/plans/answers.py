@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import rules
 from tidemill.functions import html as pages
 from tidemill.functions import text as tx
-from tidemill.operators import chat, chunking, evaluation, generation, retrieval, scoring, sync
+from tidemill.operators import chat, chunking, evaluation, generation, page_rows, retrieval, scoring, sync
 from tidemill.plans.registry import ORACLE_SQL, lit, query, sql_collapse, sql_strip
 from tidemill.plans.retrieval import EVERY
 from tidemill.plans.texts import EXAMPLES_SQL, questions
@@ -247,6 +247,13 @@ def built_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chunk_id", "chunk_type", "heading", "photo_url", "profile_url", "designation", "designation_raw", "is_department_head", "department")
 
 
+@query(_BUILT)
+def built_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks from the pages' nodes as rows."""
+    out = page_rows.extract(_built_pages(spark, sf_dir), _OWN)
+    return out.select("chunk_id", "chunk_type", "heading", "photo_url", "profile_url", "designation", "designation_raw", "is_department_head", "department")
+
+
 @query(f"""
 WITH l AS (SELECT page_id, 'http://u.edu/bengaluru/' || CASE page_id % 3 WHEN 0 THEN 'physics' WHEN 1 THEN 'EEE' ELSE 'school' END || '/faculty/?p=' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'physics' WHEN 1 THEN 'electrical and electronics' END AS department FROM pages)
 SELECT url AS source_url, department FROM l WHERE department IS NOT NULL
