@@ -105,3 +105,16 @@ def test_racing_writers(spark):
     assert {r.id: r.text for r in t.read().collect()} == {i: "a" if i < 30 else "b" for i in range(70)}
     with pytest.raises(Conflict):
         t._commit(t.version(1))
+
+
+def test_keys_that_repeat_keep_all_their_rows(spark):
+    """Rows of a key that aren't unique all stay, equal ones too, and all go together."""
+    old = [(1, "a", "t", None), (1, "a", "t", None), (1, "b", "t", None), (2, "a", "t", None), (None, "a", "t", None), (None, "a", "t", None)]
+    t = made(spark, old, n_buckets=4, unique=False)
+    assert rows_of(t.read()) == sorted(old, key=repr)
+    new = [(1, "c", "u", None), (1, "c", "u", None)]
+    t.upsert(spark.createDataFrame(new, SCHEMA))
+    assert rows_of(t.read()) == sorted(new + old[3:], key=repr)
+    t.delete(spark.createDataFrame([(1,), (2,)], "id long"))
+    assert rows_of(t.read()) == sorted(old[4:], key=repr)
+    assert rows_of(t.read(0)) == sorted(old, key=repr)

@@ -12,7 +12,9 @@ which sees at most one number a bucket.
 
 Rules of the writes: keys that occur several times in one write are an error in the caller's
 data and keep one row, the largest by all columns; null keys are equal to each other; columns
-missing in a write are null; columns that the table doesn't have are an error.
+missing in a write are null; columns that the table doesn't have are an error. A table that is
+created with unique=False holds any number of rows a key, equal ones too: all rows of a write
+replace all that have their keys.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ class Version:
     operation: str = "create"
     touched: list[int] = field(default_factory=list)
     bytes_written: int = 0
+    unique: bool = True
 
 
 class KeyedTable:
@@ -136,16 +139,16 @@ class KeyedTable:
 
     # Writing ------------------------------------------------------------------
 
-    def create(self, rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None, n_buckets: int = 16) -> Version:
-        """The first version, from rows with these keys."""
+    def create(self, rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None, n_buckets: int = 16, unique: bool = True) -> Version:
+        """The first version, from rows with these keys; one row a key if they are unique."""
         bucket_by = bucket_by or keys
         if not set(bucket_by) <= set(keys) and bucket_by != keys:
             keys = list(dict.fromkeys([*bucket_by, *keys]))
-        v = Version(-1, {}, rows.schema.json(), list(keys), list(bucket_by), n_buckets)
+        v = Version(-1, {}, rows.schema.json(), list(keys), list(bucket_by), n_buckets, unique=unique)
         p, fs = self._hadoop(f"{self.path}/log")
         fs.mkdirs(p)
-        found, size = self._write(_one_a_key(rows, v.keys).withColumn(BUCKET, self._bucket(v)))
-        return self._commit(Version(0, found, v.schema, v.keys, v.bucket_by, n_buckets, "create", sorted(found), size))
+        found, size = self._write(_settled(rows, v).withColumn(BUCKET, self._bucket(v)))
+        return self._commit(Version(0, found, v.schema, v.keys, v.bucket_by, n_buckets, "create", sorted(found), size, unique))
 
     def _write(self, rows: DataFrame) -> tuple[dict[int, str], int]:
         """Folders of the buckets, and their bytes."""
@@ -172,7 +175,7 @@ class KeyedTable:
             while True:
                 buckets = {b: d for b, d in latest.buckets.items() if b not in hit} | found
                 try:
-                    return self._commit(Version(latest.number + 1, buckets, base.schema, base.keys, base.bucket_by, base.n_buckets, operation, sorted(hit), size))
+                    return self._commit(Version(latest.number + 1, buckets, base.schema, base.keys, base.bucket_by, base.n_buckets, operation, sorted(hit), size, base.unique))
                 except Conflict:
                     since = [self.version(n) for n in self.versions() if n > latest.number]
                     latest = since[-1]
@@ -197,7 +200,7 @@ class KeyedTable:
         """Rows whose keys are there replace them, others are added."""
 
         def rewrite(v: Version, old: DataFrame) -> DataFrame:
-            new = self._numbered(_one_a_key(rows, v.keys), v)
+            new = self._numbered(_settled(rows, v), v)
             return _without(old, new, v.keys).unionByName(new)
 
         return self._change("upsert", lambda v: self._hit(rows, v), rewrite)
@@ -215,7 +218,7 @@ class KeyedTable:
         """All rows that share the bucket columns with one of these are replaced by these."""
 
         def rewrite(v: Version, old: DataFrame) -> DataFrame:
-            return _without(old, rows, v.bucket_by).unionByName(self._numbered(_one_a_key(rows, v.keys), v))
+            return _without(old, rows, v.bucket_by).unionByName(self._numbered(_settled(rows, v), v))
 
         return self._change("replace", lambda v: self._hit(rows, v), rewrite)
 
@@ -260,6 +263,10 @@ def _all(conditions) -> Column:
     return out
 
 
+def _settled(rows: DataFrame, v: Version) -> DataFrame:
+    return _one_a_key(rows, v.keys) if v.unique else rows
+
+
 def _one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c, t in rows.dtypes if not t.startswith("map")])
     return rows.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
