@@ -1,5 +1,6 @@
 """Queries on tables in which rows repeat under other keys, as larger copies of the given ones do."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,3 +23,17 @@ def copies(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["manifest_remove", "manifest_upsert"])
 def test_matches_oracle_on_copies(spark, copies, name):
     assert differences(spark, QUERIES[name], ORACLE_SQL[name], copies) == ""
+
+
+def test_stream_of_arrivals_in_many_files(spark, sf_dir, tmp_path):
+    """An arrival of more files than a micro-batch used to read: none of its messages is late."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(9, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        assert differences(spark, QUERIES["streamed_admission"], ORACLE_SQL["streamed_admission"], str(tmp_path), con) == ""
+    finally:
+        spark.conf.set(key, before)

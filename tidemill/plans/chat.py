@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,29 +220,35 @@ def message_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.admission(_inbound(spark, sf_dir), limit=3, window=86_400)
 
 
-#: Writes that the messages arrive in, in order of time; within one, they come in any order.
+#: Writes that the messages arrive in, in order of time; within one, they come in any order, however many files it has.
 ARRIVALS = 4
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @query(_ADMITTED)
 def streamed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the stateful stream: all messages as files that arrive one after the other, read in micro-batches."""
+    """The same by the stateful stream: all messages as files that arrive one after the other, read in micro-batches.
+
+    A message may come after any other of its arrival, so the watermark stays behind by the longest of them.
+    """
     m, folder, key = _inbound(spark, sf_dir), scratch(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
     cuts = m.where("ts IS NOT NULL").select(F.unix_micros("ts").cast("double").alias("us")).approxQuantile("us", [i / ARRIVALS for i in range(ARRIVALS + 1)], 0.001) or [0.0]
     part = F.lit(0)
     for cut in cuts[1:-1]:
         part = part + (F.unix_micros("ts") > cut).cast("int")
-    # A message from nobody in particular, a day later, moves the watermark past all others.
-    last = spark.createDataFrame([(None, "end", -1, "text", "")], "ord long, msg_id string, sender long, kind string, body string").withColumn("ts", F.timestamp_micros(F.lit(int(cuts[-1]) + 172_800_000_000)))
+    delay = 60 + int(max((b - a for a, b in pairwise(cuts)), default=0)) // 1_000_000
+    # A message from nobody in particular, a day beyond the delay, moves the watermark past all others.
+    end = F.timestamp_micros(F.lit(int(cuts[-1]) + (86_400 + delay) * 1_000_000))
+    last = spark.createDataFrame([(None, "end", -1, "text", "")], "ord long, msg_id string, sender long, kind string, body string").withColumn("ts", end)
     for i in range(ARRIVALS):
         m.where(part == i).write.parquet(f"{folder}/in/{i}")
     last.select(m.columns).write.parquet(f"{folder}/in/{ARRIVALS}")
+    files = max(2, *(len(spark.read.schema(m.schema).parquet(f"{folder}/in/{i}").inputFiles()) for i in range(ARRIVALS)))
     before = spark.conf.get(key, None)
     spark.conf.set(key, _ROCKS)
     try:
-        for name, rule in (("known", lambda x: adm.admission_stream(x, limit=3, window=86_400)), ("skipped", adm.skipped)):
-            source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/*")
+        for name, rule in (("known", lambda x: adm.admission_stream(x, limit=3, window=86_400, delay=f"{delay} seconds")), ("skipped", adm.skipped)):
+            source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
             sink = rule(source).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state-{name}")
             sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
