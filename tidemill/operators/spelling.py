@@ -16,10 +16,18 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_FREQUENCY) & (F.length("word") >= LEAST_WORD))
 
 
+def shuffled(words: DataFrame) -> DataFrame:
+    """A side that grows with the texts: never sent whole through the driver, however small Spark takes it for.
+
+    Letters and keys of words compress well, so that a side of a few MB in files or shuffles is many times that in memory.
+    """
+    return words.hint("merge")
+
+
 def unknown(texts: DataFrame, vocab: DataFrame, column: str = "text") -> DataFrame:
     """Distinct lower-case tokens of five or more letters that the vocabulary lacks."""
     t = texts.select(F.explode(F.regexp_extract_all(column, F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).select(F.lower("token").alias("token"))
-    return t.where(F.length("token") >= LEAST_TOKEN).distinct().join(vocab, F.col("token") == F.col("word"), "left_anti")
+    return t.where(F.length("token") >= LEAST_TOKEN).distinct().join(shuffled(vocab), F.col("token") == F.col("word"), "left_anti")
 
 
 def blocks(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def _long_pairs(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     v = vocab.select("word", F.length("word").alias("b")).where(F.col("b") > SHORT - MOST_DELTA)
     v = v.select("word", "b", F.explode(F.expr("sequence(1, b)")).alias("at"))
     v = v.select("word", "b", "at", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("size")).select("word", "b", "at", F.expr("substring(word, at, size)").alias("piece"))
-    return t.join(v, ["b", "at", "piece"]).select("token", "word").distinct()
+    return t.join(shuffled(v), ["b", "at", "piece"]).select("token", "word").distinct()
 
 
 def correct(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def correct(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     near = F.broadcast(tokens.select(lengths).distinct())  # a number for each length of a word
     vocab = vocab.join(near, F.length("word") == F.col("_len"), "left_semi")
     a, b = _keys(tokens, "token", "a", "b"), _keys(vocab, "word", "b", "a")
-    pairs = a.join(b, ["a", "b", "key"]).select("token", "word").distinct().unionByName(_long_pairs(tokens, vocab))
+    pairs = a.join(shuffled(b), ["a", "b", "key"]).select("token", "word").distinct().unionByName(_long_pairs(tokens, vocab))
     scored = pairs.withColumn("ratio", indel_ratio("token", "word")).where(F.col("ratio") >= CUTOFF)
     best = Window.partitionBy("token").orderBy(F.desc("ratio"), F.length("word"), "word")
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
@@ -117,7 +125,7 @@ def corrected(queries: DataFrame, fixes: DataFrame, key: str = "query_id", colum
     t = queries.select(key, F.posexplode_outer(parts).alias("i", "part"))
     # Only what can have a correction is joined: blanks and short words would be the hottest keys.
     word = F.coalesce(F.rlike("part", F.lit(f"^[A-Za-z]{{{LEAST_TOKEN},}}$")), F.lit(False))
-    j = t.where(word).withColumn("token", F.lower("part")).join(fixes.select("token", "word"), "token", "left")
+    j = t.where(word).withColumn("token", F.lower("part")).join(shuffled(fixes.select("token", "word")), "token", "left")
     fixed = j.select(key, "i", F.when(F.col("word").isNull(), F.col("part")).otherwise(shaped(F.col("part"), F.col("word"))).alias("p"))
     all_parts = fixed.unionByName(t.where(~word).select(key, "i", F.col("part").alias("p")))
     return all_parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]), "").alias("corrected"))
