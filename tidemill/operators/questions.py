@@ -25,7 +25,7 @@ from tidemill.functions import rules
 from tidemill.functions import text as tx
 from tidemill.operators import chat, generation, retrieval, routing, scoring, spelling
 from tidemill.operators.generation import Model
-from tidemill.session import stored
+from tidemill.session import shuffled, stored
 
 #: Words of a rewrite beyond which it is taken for a runaway.
 MOST_WORDS = 40
@@ -61,7 +61,7 @@ def searchable(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     """questions(query_id, asked) with `query`: spelled by the vocabulary, then with its abbreviations expanded."""
     fixes = spelling.correct(stored(spelling.unknown(questions, vocab, "asked"), "unknown"), vocab)
     spelled = spelling.corrected(questions, fixes, column="asked")
-    return questions.join(spelled.select("query_id", tx.expand(F.col("corrected")).alias("query")), "query_id")
+    return questions.join(shuffled(spelled.select("query_id", tx.expand(F.col("corrected")).alias("query"))), "query_id")
 
 
 def unit(vector: Column) -> Column:
@@ -78,7 +78,7 @@ def embedded(df: DataFrame, model: Model, of: str, to: str, prefix: str = "") ->
 
 def reranked(pool: DataFrame, chunks: DataFrame, model: Model, text: str, k: int = rules.TOP_K) -> DataFrame:
     """The pool in the order of the model's scores for (text, content), with `kept` for the first k."""
-    pairs = pool.join(chunks.select("vec_id", "content"), "vec_id").withColumn("_pair", F.to_json(F.struct(F.col(text).alias("query"), "content")))
+    pairs = pool.join(shuffled(chunks.select("vec_id", "content")), "vec_id").withColumn("_pair", F.to_json(F.struct(F.col(text).alias("query"), "content")))
     scored = stored(generation.with_model(pairs.drop("score"), model, "_pair", "_score", "double").drop("_pair"), "reranked")
     return retrieval.rerank(scored, F.coalesce("_score", F.lit(0.0)), k).drop("_score")
 
@@ -87,12 +87,12 @@ def agreement(questions: DataFrame, voters: Sequence[Column], text: str) -> Data
     """query_id, label, agreement of the voters; without a vote the agreement is 0."""
     each = F.posexplode(F.array(*voters)).alias("pos", "label")
     found = scoring.votes(questions.withColumn("text", F.col(text)).select("query_id", each), ["query_id"], "label", "pos")
-    return questions.select("query_id").join(found.select("query_id", "label", "agreement"), "query_id", "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
+    return questions.select("query_id").join(shuffled(found.select("query_id", "label", "agreement")), "query_id", "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
 
 
 def scored(pool: DataFrame, votes: DataFrame, profile: str, filtered: Column) -> DataFrame:
-    found = scoring.signals(pool, ["query_id"], rules.TOP_K, profile).join(votes.select("query_id", "agreement"), "query_id")
-    return scoring.confidence(found.join(pool.groupBy("query_id").agg(F.max("filtered").alias("filtered")), "query_id"), filtered, F.col("agreement"), profile)
+    found = scoring.signals(pool, ["query_id"], rules.TOP_K, profile).join(shuffled(votes.select("query_id", "agreement")), "query_id")
+    return scoring.confidence(found.join(shuffled(pool.groupBy("query_id").agg(F.max("filtered").alias("filtered"))), "query_id"), filtered, F.col("agreement"), profile)
 
 
 def answered(questions: DataFrame, web: DataFrame, uploads: DataFrame, vocab: DataFrame, models: Models, wording: dict) -> DataFrame:
@@ -109,22 +109,22 @@ def answered(questions: DataFrame, web: DataFrame, uploads: DataFrame, vocab: Da
     ask = q.where("vector IS NOT NULL")
     pool = routing.routed_pools(ask.select("query_id", "vector", F.col("query").alias("text")), web)
     pool = reranked(pool, web, models.rerank, "rerank_text")
-    pool = pool.join(web.select("vec_id", "source_url"), "vec_id")
+    pool = pool.join(shuffled(web.select("vec_id", "source_url")), "vec_id")
     own = retrieval.pools(ask.select("query_id", "vector", F.lit(None).cast("string").alias("label")), uploads.withColumn("label", F.lit(None).cast("string")), rules.POOL)
-    own = reranked(own.join(ask.select("query_id", "query"), "query_id"), uploads, models.rerank, "query").withColumn("filtered", F.lit(False))
-    own = retrieval.upload_sources(own.join(uploads.select("vec_id", "title", "page"), "vec_id"))
+    own = reranked(own.join(shuffled(ask.select("query_id", "query")), "query_id"), uploads, models.rerank, "query").withColumn("filtered", F.lit(False))
+    own = retrieval.upload_sources(own.join(shuffled(uploads.select("vec_id", "title", "page")), "vec_id"))
 
     sides = {"web": scored(pool, votes, "web", F.col("filtered")), "upload": scored(own, votes, "upload", F.lit(False))}
     sides = {s: stored(d.select("query_id", "band", "final", "mode"), s) for s, d in sides.items()}
     picked = scoring.arbitrate(sides["web"], sides["upload"], ["query_id"]).select("query_id", "store")
     both = sides["web"].withColumn("store", F.lit("web")).unionByName(sides["upload"].withColumn("store", F.lit("upload")))
-    winner = both.join(picked, ["query_id", "store"])
+    winner = both.join(shuffled(picked), ["query_id", "store"])
 
     kept = pool.where("kept").select("query_id", "pos", "content", "source_url", "route", F.lit("web").alias("store"))
     kept = kept.unionByName(own.where("kept").select("query_id", "pos", "content", "source_url", F.lit("uploaded_documents").alias("route"), F.lit("upload").alias("store")))
-    kept = kept.join(picked, ["query_id", "store"])
-    context = chat.context(kept, "query_id").join(_urls(kept), "query_id")
-    results = q.join(winner, "query_id", "left").join(context, "query_id", "left").join(votes.select("query_id", "label"), "query_id", "left")
+    kept = kept.join(shuffled(picked), ["query_id", "store"])
+    context = chat.context(kept, "query_id").join(shuffled(_urls(kept)), "query_id")
+    results = q.join(shuffled(winner), "query_id", "left").join(shuffled(context), "query_id", "left").join(shuffled(votes.select("query_id", "label")), "query_id", "left")
     results = results.select("query_id", "text", F.col("asked").alias("question"), F.col("query").alias("rewritten"), "was_rewritten", "route", "store", F.coalesce("band", F.lit("low")).alias("band"), F.coalesce("final", F.lit(0.0)).alias("final"), "mode", "label", "context", "urls")
     out = generation.answers(results, models.answer, **wording)
     return out.withColumnsRenamed({"question": "asked", "rewritten": "query"}).drop("text", "context", "urls", "llm_called")

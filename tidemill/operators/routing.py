@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import rules
 from tidemill.functions import text as tx
 from tidemill.operators import blocks, retrieval
-from tidemill.session import stored
+from tidemill.session import shuffled, stored
 
 
 def intents(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def routed_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     kind = F.split("key", r"\|")[0]
     about = q.select("query_id", "text", "dept", "tag", "school", "intent")
     found = found.where(F.col("pos") <= F.when(kind == "people", rules.DEPARTMENT_POOL).otherwise(rules.FILTERED_POOL)).withColumn("leg", kind).drop("key")
-    found = found.join(about, "query_id").join(chunks.select("vec_id", "department"), "vec_id", "left")
+    found = found.join(shuffled(about), "query_id").join(shuffled(chunks.select("vec_id", "department")), "vec_id", "left")
     found = found.where((F.col("leg") != "head") | tx.departments_match(F.col("dept"), F.col("department")))
     # A head's question takes the principals only if no head of the department is left.
     own = F.max(F.col("leg") == "head").over(Window.partitionBy("query_id"))
@@ -62,7 +62,7 @@ def routed_pools(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     text = F.when(F.col("leg") == "principal", tx.rerank_text(F.col("text"), F.col("school"))).otherwise(F.col("text"))
     scoped = stored(found.select("query_id", place.alias("pos"), "vec_id", "score", route.alias("route"), F.lit(True).alias("filtered"), text.alias("rerank_text")), "scoped")
 
-    rest = q.join(scoped.select("query_id").distinct(), "query_id", "left_anti").withColumn("label", F.lit(None).cast("string"))
+    rest = q.join(shuffled(scoped.select("query_id").distinct()), "query_id", "left_anti").withColumn("label", F.lit(None).cast("string"))
     plain = retrieval.pools(rest.select("query_id", "vector", "label"), chunks.withColumn("label", F.col("department_canon")), rules.POOL)
-    plain = plain.join(about.select("query_id", F.col("text").alias("rerank_text")), "query_id")
+    plain = plain.join(shuffled(about.select("query_id", F.col("text").alias("rerank_text"))), "query_id")
     return scoped.unionByName(plain.select("query_id", "pos", "vec_id", "score", F.lit(None).cast("string").alias("route"), F.lit(False).alias("filtered"), "rerank_text"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidemill.session import shuffled
+
 CUTOFF, MOST_DELTA, LEAST_FREQUENCY, LEAST_WORD, LEAST_TOKEN = 82, 2, 2, 3, 5
 
 
@@ -16,14 +18,6 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_FREQUENCY) & (F.length("word") >= LEAST_WORD))
 
 
-def shuffled(words: DataFrame) -> DataFrame:
-    """A side that grows with the texts: never sent whole through the driver, however small Spark takes it for.
-
-    Letters and keys of words compress well, so that a side of a few MB in files or shuffles is many times that in memory.
-    """
-    return words.hint("merge")
-
-
 def unknown(texts: DataFrame, vocab: DataFrame, column: str = "text") -> DataFrame:
     """Distinct lower-case tokens of five or more letters that the vocabulary lacks."""
     t = texts.select(F.explode(F.regexp_extract_all(column, F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).select(F.lower("token").alias("token"))

@@ -65,3 +65,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never sent whole through the driver.
+
+    Spark takes it for as small as its files or shuffled parts; words, keys and copied texts
+    are many times that in memory.
+    """
+    return df.hint("merge")
