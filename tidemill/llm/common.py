@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import small_batches  # noqa: F401
+
 #: Words everywhere here: maximal runs without space and the characters U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,20 +62,6 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None, older: set[str] =
         fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
 
 
-#: Bytes of an Arrow batch on its way to a worker, and Spark's own default.
-BATCH, DEFAULT_BATCH = "4m", str(64 << 20)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, unless the session's owner has chosen a size.
-
-    The JVM and the worker each hold a batch several times over, for every running task.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(spark.conf.get(key)).rstrip("bB") == DEFAULT_BATCH:
-        spark.conf.set(key, BATCH)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -70,6 +70,13 @@ def packed(rows: DataFrame, id_: str, vector: str, key: Column, size: int) -> Da
     return rows.where("key IS NOT NULL").mapInArrow(_packing(size), PACKED)
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows that hold a block or two each: a worker has one of them unpacked at a time, however many a batch brings."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def unpacked(data: bytes, n: int, width: int, to: int | None = None) -> np.ndarray:
     x = np.frombuffer(data, np.float64).reshape(n, width)
     return x if to is None or to == width else np.pad(x, ((0, 0), (0, to - width)))
@@ -85,21 +92,20 @@ def _nearest(n: int) -> Callable:
     """Pairs of blocks to the n best rows of each query in each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, out = [], []
-            for row in batch.to_pylist():
-                qi, vi = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
-                width = max(row["q_width"], row["width"])
-                scores = cosines(unpacked(row["q_data"], len(qi), row["q_width"], width), unpacked(row["data"], len(vi), row["width"], width))
-                for i, s in zip(qi, scores, strict=True):
-                    there = np.flatnonzero(vi != i)
-                    if len(there) > n:  # all that reach the n-th score, so that ties are cut by id
-                        there = there[s[there] >= np.partition(s[there], len(there) - n)[len(there) - n]]
-                    best = there[np.lexsort((vi[there], -s[there]))[:n]]
-                    keys += [row["key"]] * len(best)
-                    out.append((np.full(len(best), i), vi[best], s[best]))
+        for row in one_by_one(batches):
+            out = []
+            qi, vi = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
+            width = max(row["q_width"], row["width"])
+            scores = cosines(unpacked(row["q_data"], len(qi), row["q_width"], width), unpacked(row["data"], len(vi), row["width"], width))
+            for i, s in zip(qi, scores, strict=True):
+                there = np.flatnonzero(vi != i)
+                if len(there) > n:  # all that reach the n-th score, so that ties are cut by id
+                    there = there[s[there] >= np.partition(s[there], len(there) - n)[len(there) - n]]
+                best = there[np.lexsort((vi[there], -s[there]))[:n]]
+                out.append((np.full(len(best), i), vi[best], s[best]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]], ["key", "query_id", "vec_id", "score"])
+                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(columns[0]), pa.string()), *columns], ["key", "query_id", "vec_id", "score"])
 
     return run
 
