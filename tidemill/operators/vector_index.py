@@ -57,8 +57,20 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
+#: Numbers that a product of rows and centres may hold at once, so that it doesn't grow with the lists.
+PRODUCT = 1 << 20
+
+
+def shares(rows: int, centres: int) -> Iterator[slice]:
+    """Runs of rows that meet all centres at once."""
+    step = max(1, PRODUCT // max(centres, 1))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
 def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+    half = (centres * centres).sum(axis=1) / 2
+    found = [(x[s] @ centres.T - half).argmax(axis=1) for s in shares(len(x), len(centres))]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -127,9 +139,11 @@ def _visiting(model: Model, probes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = blocks.matrix(batch["vector"], model.width)
-                near = np.argsort(-(units(x) @ model.coarse.T), axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vector"], batch["label"], pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "vector", "label", "lists"])
+                x = units(blocks.matrix(batch["vector"], model.width))
+                for s in shares(len(x), len(model.coarse)):
+                    near = np.argsort(-(x[s] @ model.coarse.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    part = batch.slice(s.start, len(near))
+                    yield pa.RecordBatch.from_arrays([part["query_id"], part["vector"], part["label"], pa.array(list(near), pa.list_(pa.int32()))], ["query_id", "vector", "label", "lists"])
 
     return run
 
@@ -150,23 +164,22 @@ def _decoded(model: Model, best: int | None) -> Callable:
     """Blocks of queries and codes to candidates: the `best` of each query by decoded score, or all that reach its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for row in blocks.one_by_one(batches):
             out = []
-            for row in batch.to_pylist():
-                ids, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"], np.float64)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                qi = np.array(row["q_ids"], np.int64)
-                q = units(blocks.unpacked(row["q_data"], len(qi), row["q_width"], model.width))
-                floor = q[:, :0] if best else None
-                scores = q @ model.decode(np.full(len(ids), row["list"]), codes).T
-                for j, i in enumerate(qi):
-                    there = np.flatnonzero(ids != i)
-                    if floor is None:
-                        # A score of 0 stands for all below it, so a floor of 0 keeps every row.
-                        there = there[(scores[j, there] + errors[there] >= row["floors"][j] - SLACK) | (row["floors"][j] <= 0)]
-                    elif len(there) > best:
-                        there = there[np.argpartition(-scores[j, there], best - 1)[:best]]
-                    out.append((np.full(len(there), i), ids[there], scores[j, there]))
+            ids, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"], np.float64)
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+            qi = np.array(row["q_ids"], np.int64)
+            q = units(blocks.unpacked(row["q_data"], len(qi), row["q_width"], model.width))
+            floor = q[:, :0] if best else None
+            scores = q @ model.decode(np.full(len(ids), row["list"]), codes).T
+            for j, i in enumerate(qi):
+                there = np.flatnonzero(ids != i)
+                if floor is None:
+                    # A score of 0 stands for all below it, so a floor of 0 keeps every row.
+                    there = there[(scores[j, there] + errors[there] >= row["floors"][j] - SLACK) | (row["floors"][j] <= 0)]
+                elif len(there) > best:
+                    there = there[np.argpartition(-scores[j, there], best - 1)[:best]]
+                out.append((np.full(len(there), i), ids[there], scores[j, there]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -341,9 +354,10 @@ def _reaching(model: Model, reach: dict[int, float]) -> Callable:
             if batch.num_rows:
                 x = units(blocks.matrix(batch["vector"], model.width))
                 floors = batch["floor"].to_numpy()
-                most = x @ model.coarse[lists].T + radii
-                open_ = (most >= floors[:, None] - SLACK) | (floors[:, None] <= 0)
-                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("query_id", "vector", "label", "floor")], pa.array([lists[o].tolist() for o in open_], pa.list_(pa.int32()))], ["query_id", "vector", "label", "floor", "lists"])
+                for s in shares(len(x), len(lists)):
+                    open_ = (x[s] @ model.coarse[lists].T + radii >= floors[s, None] - SLACK) | (floors[s, None] <= 0)
+                    part = batch.slice(s.start, len(open_))
+                    yield pa.RecordBatch.from_arrays([*[part[c] for c in ("query_id", "vector", "label", "floor")], pa.array([lists[o] for o in open_], pa.list_(pa.int32()))], ["query_id", "vector", "label", "floor", "lists"])
 
     return run
 
