@@ -314,6 +314,39 @@ def test_quality_edges(spark):
     assert quality.keep_good(odd_documents(spark), labels).columns == odd_documents(spark).columns
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """The weights are those of all pairs, listed one by one, and every labelled row moves them."""
+    from tidemill.llm.common import pick
+
+    rng = np.random.default_rng(4)
+    words = ["plain", "Words", "WITH", "some", "!!!", "|", "#x#", "of", "all", "kinds"]
+    texts = [" ".join(rng.choice(words, rng.integers(5, 40))) for _ in range(300)]
+    labels = [int(rng.random() < 1 / (1 + math.exp(t.count("!") - 5))) for t in texts]
+    ids = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 5][:300]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(list(zip(ids, labels, strict=True)), "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE", 50, raising=False)
+    monkeypatch.setattr(quality, "PAIRS", 400, raising=False)
+    ranker = quality.fit(pick(docs, "doc_id", "text"), known)
+    x, y = np.array([quality.features(t.encode()) for t in texts]), np.array(labels)
+    spread = x.std(axis=0)
+    spread[spread < 1e-7] = 1
+    assert ranker.mean == pytest.approx(x.mean(axis=0), abs=1e-8)
+    z = (x - x.mean(axis=0)) / spread
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    w = ranker.weight * spread
+    slope = d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w
+    assert np.abs(slope).max() < 1e-5, "the likelihood of all pairs is at its maximum"
+    assert ranker.cut == pytest.approx(np.quantile((x - ranker.mean) @ ranker.weight, (y == 0).mean()), abs=1e-9)
+
+
+def test_neighbours_of_a_place(spark):
+    values = [3.0, -1.0, 3.0, 1e9, 3.0, 3.0 + 1e-12, 0.0, -1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    for place in range(1, len(values)):
+        assert quality.neighbours(df, place) == tuple(sorted(values)[place - 1 : place + 1])
+
+
 # op4, op10 -----------------------------------------------------------------
 
 
