@@ -43,3 +43,12 @@ def test_intervals_nest(spark):
     assert [r[3] for r in found] == list(range(len(found)))
     for r in found:
         assert all(found[a][3] < r[3] and r[4] <= found[a][4] for a, _ in r[14]) and r[4] >= r[3]
+
+
+def test_rows_are_shuffled_once(spark):
+    rows = [("http://u.edu/1", "T", KNOWN_PAGE)] * 3 + [("http://u.edu/2", None, KNOWN_PAGE)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    out = page_rows.extract(df, ["oakfield"])
+    assert chunks(out) == chunks(html.extract(df, ["oakfield"])), "equal pages are pages of their own"
+    plan = page_rows.extract(spark.createDataFrame(rows, SCHEMA), ["oakfield"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -1,17 +1,19 @@
-"""Pages as rows: every element and text of a page with its interval, so that the page's structure is windows and joins.
+"""Pages as rows: every element and text of a page with its interval, so that the page's structure is windows.
 
-A parser flattens each page once: `pre` is a node's place in document order, `post` the place
-of the last node below it, and `up` its ancestors. What lies below a node is between its pre
-and post, so "inside noise, a table or a card" is a running maximum of posts over the rows in
-order, the heading of a row is the last one before it, and sections are runs between
-boundaries. Texts meet the elements that hold them by their ancestors, an equi-join whose rows
-are the texts times their depth. Chunks are those of functions.html.page_chunks, row by row.
+A parser flattens each page once: `pre` is a node's place in document order and `post` the
+place of the last node below it. What lies below a node is between its pre and post, so
+"inside noise, a table or a card" is a running maximum of posts over the rows in order, the
+heading of a row is the last one before it, and sections are runs between boundaries. As a
+page's places are dense, the nodes below an element are a slice of the page's nodes in order,
+and texts meet the elements that hold them without a join. Chunks are those of
+functions.html.page_chunks, row by row.
 
-A page is one group of rows by its nature; pages are dealt over the tasks by url.
+A page is one group of rows by its nature. Rows are dealt over the tasks by page once; every
+window and group below keeps to a page, so that nothing is shuffled, or written, again.
 
 Edge cases: a page without html has no nodes and no chunks; repeated urls are told apart by
-their html; equal chunks of a page are one, the last; nested tables, rows and cards count for
-each that holds them.
+their html, and wholly equal rows by their place in the input; equal chunks of a page are one,
+the last; nested tables, rows and cards count for each that holds them.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemill.functions import html, roles, rules
-from tidemill.session import stored
 
-NODE = "page long, url string, title string, pre int, post int, name string, text string, noise boolean, content boolean, card boolean, portrait_class boolean, portrait_side boolean, src string, href string, up array<struct<pre:int,name:string>>"
+NODE = "page long, copy long, url string, title string, pre int, post int, name string, text string, noise boolean, content boolean, card boolean, portrait_class boolean, portrait_side boolean, src string, href string"
 HEADINGS = ("h1", "h2", "h3", "h4")
 ENTRY = rf"^\s*(?:{'|'.join(rules.MONTHS)})\s+\d{{4}}"
 
@@ -56,21 +57,28 @@ def nodes(page: int, url: str, title: str, text: str | None, ids: frozenset[str]
 
 
 def flattened(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
+    """The nodes of all pages, dealt over the tasks by page; url and title are with a page's root only."""
     ids = frozenset([*rules.NOISE_IDS, *(f"why-{name}-sec" for name in own_names)])
+    fields = [c.split()[0] for c in NODE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODE.split(", ")]
         for batch in batches:
             for r in batch.itertuples(index=False):
-                yield pd.DataFrame(nodes(r.page, r.url or "", r.title or "", r.html, ids), columns=columns)
+                found = pd.DataFrame(nodes(r.page, r.url or "", r.title or "", r.html, ids), columns=[*(f for f in fields if f != "copy"), "up"])
+                found.loc[1:, ["url", "title"]] = None
+                yield found.assign(copy=r.copy)[fields]
 
-    keyed = pages.select(F.xxhash64("url", "title", "html").alias("page"), "url", "title", "html")
-    return keyed.mapInPandas(run, NODE)
+    keyed = pages.select(F.xxhash64("url", "title", "html").alias("page"), F.monotonically_increasing_id().alias("copy"), "url", "title", "html")
+    return keyed.mapInPandas(run, NODE).repartition("page")
+
+
+#: A page's rows; `page` alone says which task has them, whatever number a copy is given.
+PAGE = ("page", "copy")
 
 
 def up_to(offset: int) -> WindowSpec:
     """The rows of a page up to this one (0) or before it (-1)."""
-    return Window.partitionBy("page").orderBy("pre").rowsBetween(Window.unboundedPreceding, offset)
+    return Window.partitionBy(*PAGE).orderBy("pre").rowsBetween(Window.unboundedPreceding, offset)
 
 
 def inside(kind: Column, itself: bool = True) -> Column:
@@ -78,86 +86,107 @@ def inside(kind: Column, itself: bool = True) -> Column:
     return F.coalesce(F.max(F.when(kind, F.col("post"))).over(up_to(0 if itself else -1)) >= F.col("pre"), F.lit(False))
 
 
-def texts_of(rows: DataFrame, names: Sequence[str] | None, glue: str, out: str) -> DataFrame:
-    """page, pre, out: the texts below each element of these names (all, if None), in order; elements without any are left out."""
-    held = F.col("up") if names is None else F.filter("up", lambda a: a["name"].isin(*names))
-    said = rows.where("name = '#text' AND text <> '' AND NOT silent").select("page", F.col("pre").alias("at"), "text", F.explode(held).alias("a"))
-    pieces = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return said.groupBy("page", F.col("a.pre").alias("pre")).agg(F.array_join(F.transform(pieces, lambda p: p["text"]), glue).alias(out))
-
-
-def chunk_rows(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
-    """page, url, title, kind, heading, content, photo, profile: every chunk of pages(url, title, html)."""
+def marked(rows: DataFrame) -> DataFrame:
+    """What a page's rows are and lie in; those in noise lose their name and text, but keep their place."""
     name = F.col("name")
-    rows = flattened(pages, own_names).withColumn("gone", inside(F.col("noise"))).where("NOT gone")
+    rows = rows.withColumn("gone", inside(F.col("noise")))
+    rows = rows.withColumns({"name": F.when(F.col("gone"), "").otherwise(name), "text": F.when(~F.col("gone"), F.nullif("text", F.lit("")))})
+    rows = rows.withColumns({c: F.col(c) & ~F.col("gone") for c in ("content", "card")})
     rows = rows.withColumn("silent", inside(name.isin(*html.SILENT), itself=False))
     main = (name.isin("main", "article") | F.col("content")) & (name != "#text")
-    rows = rows.withColumn("body", F.min(F.when(main, F.struct("pre", "post"))).over(Window.partitionBy("page")))
+    rows = rows.withColumn("body", F.min(F.when(main, F.struct("pre", "post"))).over(Window.partitionBy(*PAGE)))
     portrait = (name == "img") & F.col("src").isNotNull() & (F.col("portrait_class") | inside(F.col("portrait_side"), itself=False))
     rows = rows.withColumn("portrait", F.when(portrait, F.struct("pre", "src")))
-    rows = rows.withColumn("photo", F.coalesce(F.min("portrait").over(Window.partitionBy("page"))["src"], F.lit("")))
     in_body = F.col("body").isNull() | ((F.col("pre") > F.col("body.pre")) & (F.col("pre") <= F.col("body.post")))
-    rows = rows.withColumn("in_body", in_body & (F.col("pre") > 0))
+    rows = rows.withColumn("in_body", in_body & (F.col("pre") > 0)).drop("body")
     rows = rows.withColumn("in_table", inside((name == "table") & F.col("in_body")))
-    rows = stored(rows.drop("noise", "gone", "content", "portrait", "portrait_class", "portrait_side", "body"), "nodes")  # the parser's pass and the windows are needed by every step below
-
-    heads = texts_of(rows, HEADINGS, "", "said")
-    rows = rows.join(heads, ["page", "pre"], "left").withColumn("head", F.when(name.isin(*HEADINGS), F.coalesce("said", F.lit(""))))
-    rows = rows.drop("said").withColumn("above", F.last("head", ignorenulls=True).over(up_to(-1)))
-    cards = stored(_said_cards(rows), "cards")
-    return _tables(rows).unionByName(_cards(rows, cards)).unionByName(_sections(rows, cards))
-
-
-def _tables(rows: DataFrame) -> DataFrame:
-    cells = texts_of(rows, ("td", "th"), " ", "cell")
-    placed = rows.where("name IN ('td', 'th')").select("page", "pre", "up").join(cells, ["page", "pre"])
-    trs = placed.select("page", "pre", "cell", "up", F.explode(F.filter("up", lambda a: a["name"] == "tr")).alias("tr"))
-    each = trs.select("page", "pre", "cell", "tr", F.explode(F.filter("up", lambda a: (a["name"] == "table") & (a["pre"] < F.col("tr")["pre"]))).alias("t"))
-    joined = lambda items, glue: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*items))), lambda x: x[items[-1]]), glue)
-    lines = each.groupBy("page", F.col("t.pre").alias("table"), F.col("tr.pre").alias("tr")).agg(joined(["pre", "cell"], " | ").alias("line"))
-    text = lines.groupBy("page", F.col("table").alias("pre")).agg(joined(["tr", "line"], "\n").alias("rows_text"))
-    found = rows.where("name = 'table' AND in_body").join(text, ["page", "pre"])
-    title = F.coalesce(F.nullif("above", F.lit("")), F.lit("General"))
-    content = F.concat(title, F.lit("\n\nThe following table shows "), F.lower(title), F.lit(" details for "), "title", F.lit(", including the data below:\n\n"), "rows_text")
-    return found.select("page", "url", "title", F.col("pre").alias("at"), F.lit(0).alias("step"), F.lit("table").alias("kind"), F.col("above").alias("heading"), content.alias("content"), "photo", F.lit("").alias("profile"))
-
-
-def _said_cards(rows: DataFrame) -> DataFrame:
-    """Cards with a text, tables aside."""
-    cards = rows.where("card AND in_body AND NOT in_table AND name <> '#text'")
-    said = texts_of(rows.where("NOT in_table"), None, " ", "said").withColumn("said", F.trim(F.regexp_replace("said", r"(?U)\s+", " "))).where("said <> ''")
-    return cards.join(said, ["page", "pre"])
-
-
-def _cards(rows: DataFrame, cards: DataFrame) -> DataFrame:
-    below = rows.where("NOT in_table AND ((name = 'img' AND src IS NOT NULL) OR (name = 'a' AND href IS NOT NULL))")
-    below = below.select("page", F.explode("up").alias("a"), F.when(F.col("name") == "img", F.struct("pre", F.col("src").alias("web"))).alias("img"), F.when(F.col("name") == "a", F.struct("pre", F.col("href").alias("web"))).alias("link"))
-    first = below.groupBy("page", F.col("a.pre").alias("pre")).agg(F.min("img")["web"].alias("picture"), F.min("link")["web"].alias("profile"))
-    found = cards.join(first, ["page", "pre"], "left").withColumn("profile", F.coalesce("profile", F.lit("")))
-    content = F.concat(F.lit("Faculty\n\n"), "said", F.when(F.col("profile") != "", F.concat(F.lit(" Profile: "), "profile")).otherwise(""))
-    photo = F.coalesce(F.nullif("picture", F.lit("")), "photo")
-    return found.select("page", "url", "title", F.col("pre").alias("at"), F.lit(1).alias("step"), F.lit("faculty_card").alias("kind"), F.lit("Faculty").alias("heading"), content.alias("content"), photo.alias("photo"), "profile")
-
-
-def _sections(rows: DataFrame, cards: DataFrame) -> DataFrame:
-    dropped = cards.select("page", "pre", F.lit(True).alias("said_card"))
-    rest = rows.join(dropped, ["page", "pre"], "left").withColumn("in_card", inside(F.coalesce("said_card", F.lit(False)))).where("in_body AND NOT in_table AND NOT in_card")
-    texts = texts_of(rest, ("li", "p"), " ", "said")
-    strong = rest.where("name IN ('strong', 'b')").select("page", F.col("pre").alias("strong"), F.explode(F.filter("up", lambda a: a["name"] == "li")).alias("a"))
-    strong = strong.groupBy("page", F.col("a.pre").alias("pre")).agg(F.min("strong").alias("strong"))
-    bold = texts_of(rest, ("strong", "b"), "", "bold").withColumnRenamed("pre", "strong")
-    dated = strong.join(bold, ["page", "strong"]).where(F.rlike("bold", F.lit(ENTRY))).select("page", "pre", F.lit(True).alias("dated"))
-    heads = texts_of(rest, HEADINGS, "", "left_head")
-    seen = rest.where(F.col("name").isin("li", "p", *HEADINGS)).join(texts, ["page", "pre"], "left").join(dated, ["page", "pre"], "left").join(heads, ["page", "pre"], "left")
-    is_head = F.col("name").isin(*HEADINGS)
-    line = F.when(~is_head & (F.col("said") != ""), F.concat(F.when(F.col("name") == "li", "* ").otherwise(""), "said"))
-    seen = seen.withColumns({"line": line, "own_head": F.when(is_head, F.coalesce("left_head", F.lit("")))})
-    boundary = is_head | ((F.col("name") == "li") & F.col("line").isNotNull() & F.coalesce("dated", F.lit(False)))
-    seen = seen.withColumns({"section": F.sum(boundary.cast("int")).over(up_to(0)), "heading": F.last("own_head", ignorenulls=True).over(up_to(0))})
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pre", "line")))), lambda x: x["line"]), "\n")
-    found = seen.groupBy("page", "url", "title", "section", "photo").agg(F.min("pre").alias("at"), F.first("heading").alias("heading"), F.regexp_replace(lines, r"(?U)^\s+|\s+$", "").alias("said")).where("said <> ''")
-    content = F.concat(F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit("\n\n"))).otherwise(""), "said")
-    return found.select("page", "url", "title", "at", F.lit(2).alias("step"), F.lit("text").alias("kind"), "heading", content.alias("content"), "photo", F.lit("").alias("profile"))
+    rows = rows.withColumn("card", F.col("card") & F.col("in_body") & ~F.col("in_table"))
+    outer = F.last(F.when(F.col("card") & ~inside(F.col("card"), itself=False), F.struct("pre", "post")), ignorenulls=True).over(up_to(0))
+    rows = rows.withColumn("outer", outer)
+    rows = rows.withColumn("outer", F.when(F.col("outer.post") >= F.col("pre"), F.col("outer")))  # the outermost card around a row
+    above = F.last(F.when(name.isin(*HEADINGS), F.struct("pre", "post")), ignorenulls=True).over(up_to(-1))
+    rows = rows.withColumns({"text": F.when(~F.col("silent"), F.col("text")), "above": F.when(name == "table", above)})
+    rows = rows.withColumn("loose", F.when(~F.col("in_table"), F.col("text")))  # a text outside tables
+    rows = rows.withColumn("plain", F.when(F.col("in_body") & F.col("outer").isNull(), F.col("loose")))  # and cards: a card that holds a text is one with a text
+    return rows.withColumn("said", F.count("loose").over(up_to(0)))
+
+
+def _below(n: Column) -> Column:
+    return F.slice("nodes", n["pre"] + 2, n["post"] - n["pre"])
+
+
+def _text(n: Column, kind: str, glue: str) -> Column:
+    """The texts of a kind below a node, in order."""
+    return F.array_join(_below(n)[kind], glue)
+
+
+def _named(*names: str):
+    return lambda n: n["name"].isin(*names)
+
+
+def _item(step: int, at: Column, line: Column, head: Column, cut: Column, photo: Column | None, profile: Column | None) -> Column:
+    values = {"step": F.lit(step), "at": at, "line": line, "head": head, "cut": cut, "photo": photo, "profile": profile}
+    return F.struct(*[(F.lit(None) if v is None else v).cast({"step": "int", "at": "int", "cut": "int"}.get(k, "string")).alias(k) for k, v in values.items()])
+
+
+def _table(t: Column) -> Column:
+    cell = lambda c: F.nullif(_text(c, "text", " "), F.lit(""))
+    row = lambda r: F.nullif(F.array_join(F.transform(F.filter(_below(r), _named("td", "th")), cell), " | "), F.lit(""))
+    line = F.array_join(F.transform(F.filter(_below(t), _named("tr")), row), "\n")
+    return _item(0, t["pre"], line, F.when(t["above"].isNotNull(), _text(t["above"], "text", "")), F.lit(1), None, None)
+
+
+def _card(c: Column) -> Column:
+    line = F.trim(F.regexp_replace(_text(c, "loose", " "), r"(?U)\s+", " "))
+    first = lambda name, web: F.get(F.filter(_below(c), lambda n: (n["name"] == name) & n[web].isNotNull() & ~n["in_table"]), F.lit(0))[web]
+    return _item(1, c["pre"], line, F.lit("Faculty"), F.lit(1), first("img", "src"), first("a", "href"))
+
+
+def _in_card(n: Column) -> Column:
+    """In a card with a text: more texts have been said at its end than at its start."""
+    said = lambda place: F.get(F.col("nodes"), place)["said"]
+    return n["outer"].isNotNull() & (said(n["outer"]["post"]) > said(n["outer"]["pre"]))
+
+
+def _rest(n: Column) -> Column:
+    return n["in_body"] & ~n["in_table"] & ~_in_card(n)
+
+
+def _piece(n: Column) -> Column:
+    is_head, is_item = n["name"].isin(*HEADINGS), n["name"] == "li"
+    line = F.when(~is_head, F.nullif(_text(n, "plain", " "), F.lit("")))
+    line = F.when(is_item, F.concat(F.lit("* "), line)).otherwise(line)
+    bold = F.get(F.filter(_below(n), lambda b: b["name"].isin("strong", "b") & _rest(b)), F.lit(0))
+    dated = is_item & line.isNotNull() & F.coalesce(F.rlike(_text(bold, "plain", ""), F.lit(ENTRY)), F.lit(False))
+    return _item(2, n["pre"], line, F.when(is_head, _text(n, "plain", "")), (is_head | dated), None, None)
+
+
+def chunk_rows(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
+    """page, copy, url, title, step, at, kind, heading, content, photo, profile: every chunk of pages(url, title, html)."""
+    node = F.struct("pre", "post", "name", "text", "loose", "plain", "src", "href", "card", "in_body", "in_table", "outer", "above", "said")
+    whole = marked(flattened(pages, own_names)).groupBy(*PAGE).agg(
+        F.max("url").alias("url"), F.max("title").alias("title"), F.coalesce(F.min("portrait")["src"], F.lit("")).alias("portrait"), F.array_sort(F.collect_list(node)).alias("nodes")
+    )
+    tables = F.transform(F.filter("nodes", lambda n: (n["name"] == "table") & n["in_body"]), _table)
+    cards = F.transform(F.filter("nodes", lambda n: n["card"]), _card)
+    pieces = F.transform(F.filter("nodes", lambda n: n["name"].isin("li", "p", *HEADINGS) & _rest(n)), _piece)
+    items = whole.select(*PAGE, "url", "title", "portrait", F.inline(F.concat(tables, cards, pieces)))
+    order = Window.partitionBy(*PAGE, "step").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    items = items.withColumns({"section": F.sum("cut").over(order), "heading": F.last("head", ignorenulls=True).over(order)})
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    found = items.groupBy(*PAGE, "step", "section").agg(
+        *[F.max(c).alias(c) for c in ("url", "title", "portrait", "heading", "photo", "profile")], F.min("at").alias("at"), F.regexp_replace(lines, r"(?U)^\s+|\s+$", "").alias("said")
+    ).where("said <> ''")
+    named = F.coalesce(F.nullif("heading", F.lit("")), F.lit("General"))
+    profile = F.coalesce("profile", F.lit(""))
+    table = F.concat(named, F.lit("\n\nThe following table shows "), F.lower(named), F.lit(" details for "), "title", F.lit(", including the data below:\n\n"), "said")
+    card = F.concat(F.lit("Faculty\n\n"), "said", F.when(profile != "", F.concat(F.lit(" Profile: "), profile)).otherwise(""))
+    text = F.concat(F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit("\n\n"))).otherwise(""), "said")
+    of = lambda *by: F.get(F.array(*by), F.col("step"))
+    return found.select(
+        *PAGE, "url", "title", "step", "at", of(F.lit("table"), F.lit("faculty_card"), F.lit("text")).alias("kind"), "heading",
+        F.when(F.col("step") == 0, table).when(F.col("step") == 1, card).otherwise(text).alias("content"), F.coalesce(F.nullif("photo", F.lit("")), "portrait").alias("photo"), profile.alias("profile"),
+    )
 
 
 def extract(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +194,7 @@ def extract(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
     found = chunk_rows(pages, own_names)
     stripped = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
     found = found.withColumn("chunk_id", F.concat_ws("::", "url", "kind", F.substring(F.sha2(stripped, 256), 1, 16)))
-    last = Window.partitionBy("page", "chunk_id").orderBy(F.desc("step"), F.desc("at"))
+    last = Window.partitionBy(*PAGE, "chunk_id").orderBy(F.desc("step"), F.desc("at"))
     kept = found.withColumn("_r", F.row_number().over(last)).where("_r = 1")
     words = F.regexp_count("content", F.lit(r"(?U)\S+"))
     chunks = kept.select("chunk_id", F.col("url").alias("source_url"), "title", "heading", F.col("kind").alias("chunk_type"), "content", F.expr("0L").alias("token_estimate"), F.col("photo").alias("photo_url"), F.col("profile").alias("profile_url"))
