@@ -32,3 +32,27 @@ def test_spelling_broadcasts_only_lengths(spark):
     vocab = spark.createDataFrame([("engineering", 2), ("department", 3)], "word string, n long")
     plan = spelling.correct(tokens, vocab)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") <= 2 and plan.count("SortMergeJoin") >= 2
+
+
+def test_spelling_makes_keys_for_few_edits_first_and_scores_only_the_best(spark):
+    """Word lengths around every limit against brute force, and no subsequences in nested lambdas."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcd"), n))
+    vocab = sorted({word(n) for n in (*range(5, 36), 60) for _ in range(3)})
+    tokens = set()
+    for w in vocab:
+        for edits in range(1, 7):
+            t = list(w)
+            for _ in range(edits):
+                at = rng.integers(len(t))
+                t[at : at + 1] = [[], ["x"], [t[at], "a"]][rng.integers(3)]
+            tokens.add("".join(t))
+    tokens = sorted(t for t in tokens - set(vocab) if len(t) >= spelling.LEAST_TOKEN)
+    df = spelling.correct(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w, 2) for w in vocab], "word string, n long"))
+    want = {}
+    for t in tokens:
+        near = [(-200.0 * spelling.lcs(t, w) / (len(t) + len(w)), len(w), w) for w in vocab if abs(len(w) - len(t)) <= spelling.MOST_DELTA]
+        if near and min(near)[0] <= -spelling.CUTOFF:
+            want[t] = min(near)[2]
+    assert {r.token: r.word for r in df.collect()} == want and len(want) > 100
+    assert "flatten" not in df._jdf.queryExecution().executedPlan().toString()

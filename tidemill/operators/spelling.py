@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemill.session import shuffled
+from tidemill.session import shuffled, stored
 
 CUTOFF, MOST_DELTA, LEAST_FREQUENCY, LEAST_WORD, LEAST_TOKEN = 82, 2, 2, 3, 5
 
@@ -31,8 +38,11 @@ def blocks(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return t.join(sizes, "len").select("token", "len", "words")
 
 
-#: Lengths up to which words meet by shared subsequences, longer ones by shared pieces.
-SHORT = 14
+#: Edits (letters taken out of either word) that are tried first, and lengths up to which they are. Lengths up to
+#: which words with more edits meet by shared subsequences, longer ones by shared pieces.
+CLOSE, LONG, SHORT = 2, 30, 18
+#: Keys that a worker makes at once; parts of the joint length in which edits are told apart.
+AT_ONCE, LEVELS = 1 << 17, 1 << 11
 
 
 def common(a: Column, b: Column) -> Column:
@@ -40,22 +50,83 @@ def common(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * F.lit(CUTOFF / 200) - F.lit(1e-9)).cast("int")
 
 
-def _without(word: Column, n: Column, most: int) -> Column:
-    """Distinct strings left when n letters (up to most) are taken out of a word."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    found = F.array(word)
-    for k in range(most):
-        found = F.when(n > k, F.array_distinct(F.flatten(F.transform(found, one)))).otherwise(found)
-    return found
-
+def drops(length: int, most: int, edits: range, token: bool) -> list[tuple[int, int, int]]:
+    """How many letters a token or word of this length loses, what the word of such a pair loses, and the pair's level.
 
-def _keys(words: DataFrame, name: str, own: str, other: str) -> DataFrame:
-    """name, own and other length, key: what a word may share with one of the other length."""
-    t = words.select(name, F.length(name).alias(own))
-    t = t.select(name, own, F.explode(F.expr(f"sequence({own} - {MOST_DELTA}, {own} + {MOST_DELTA})")).alias(other))
-    need = common(F.col(own), F.col(other))
-    short = t.where((F.col(own) <= SHORT) & (F.col(other) <= SHORT)).withColumn("drop", F.col(own) - need).where("drop >= 0")
-    return short.select(name, own, other, F.explode(_without(F.col(name), F.col("drop"), 4)).alias("key"))
+    Of pairs that reach the cutoff within these edits, both up to `most` letters long. The level orders a token's
+    pairs as their ratios do, best first; for a word it is 0.
+    """
+    found = set()
+    for other in range(max(1, length - MOST_DELTA), min(most, length + MOST_DELTA) + 1):
+        both = length + other
+        for k in edits:
+            shared, odd = divmod(both - k, 2)
+            if not odd and max(1, math.ceil(both * CUTOFF / 200 - 1e-9)) <= shared <= min(length, other):
+                found.add((length - shared, other - shared, k * LEVELS // both) if token else (length - shared, length - shared, 0))
+    return sorted(found) if length <= most else []
+
+
+@lru_cache(maxsize=256)
+def _left(length: int, drop: int) -> np.ndarray:
+    """Places that are left when so many letters are taken out, all ways."""
+    return np.array(list(combinations(range(length), length - drop)))
+
+
+def _keying(most: int, edits: range, token: bool) -> Callable:
+    """Words to a key of 96 bits for each subsequence that they may share with one of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array(batch["text"].to_pylist(), object)
+            sizes = np.array([len(w) for w in words], np.int64)
+            for size in np.unique(sizes):
+                rows, ways = np.flatnonzero(sizes == size), drops(int(size), most, edits, token)
+                for own, other, level in ways:
+                    left = _left(int(size), own)
+                    step = max(1, AT_ONCE // len(left))
+                    for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+                        letters = words[part].astype(f"U{size}").view(np.uint32).reshape(len(part), -1).astype(np.uint64)
+                        key = np.full((len(part), len(left)), 7919 + other, np.uint64)
+                        check = key.copy()
+                        for place in left.T:
+                            key = (key ^ letters[:, place]) * np.uint64(0x9E3779B97F4A7C15)
+                            key ^= key >> np.uint64(29)
+                            check = check * np.uint64(0x100000001B3) + letters[:, place]
+                        order = np.argsort(key, axis=1)
+                        key = np.take_along_axis(key, order, axis=1)
+                        fresh = np.ones(key.shape, bool)
+                        fresh[:, 1:] = key[:, 1:] != key[:, :-1]
+                        check = (np.take_along_axis(check, order, axis=1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+                        at = part[np.nonzero(fresh)[0]]
+                        columns = [pa.array(key[fresh].view(np.int64)), pa.array(check[fresh].astype(np.uint32).view(np.int32)), batch["id"].take(pa.array(at)), pa.array(np.full(len(at), level))]
+                        yield pa.RecordBatch.from_arrays(columns, ["key", "check", "id", "level"])
+
+    return run
+
+
+def _best_pairs(tokens: DataFrame, vocab: DataFrame, most: int, edits: range) -> DataFrame:
+    """token, word: of the words(id, word; ids ordered as ties are) within these edits, the best for each token.
+
+    The two share a key for every subsequence of the right length, so that the least edits that
+    a key allows are those of the pair.
+    """
+    # Few small rows become many keys, so the number of tasks goes by the cores, not by the rows' size.
+    tasks = 4 * tokens.sparkSession.sparkContext.defaultParallelism
+    keys = lambda df, kind, token: df.repartition(tasks, "id").mapInArrow(_keying(most, edits, token), f"key long, check int, id {kind}, level long")
+    t = keys(tokens.where(F.length("token") <= most).select(F.col("token").alias("text"), F.col("token").alias("id")), "string", True)
+    v = keys(_near(tokens, vocab).where(F.length("word") <= most).select(F.col("word").alias("text"), "id"), "long", False)
+    t = t.select("key", "check", F.col("id").alias("token"), F.shiftleft("level", 52).alias("level"))
+    pairs = t.join(shuffled(v.select("key", "check", "id")), ["key", "check"])
+    best = pairs.groupBy("token").agg(F.min(F.col("level").bitwiseOR(F.col("id"))).alias("best"))
+    best = best.select("token", F.col("best").bitwiseAND(F.lit((1 << 52) - 1)).alias("id"))
+    return best.join(shuffled(vocab.select("id", "word")), "id").select("token", "word")
+
+
+def _near(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Words within two letters of a token's length."""
+    lengths = F.explode(F.expr(f"sequence(length(token) - {MOST_DELTA}, length(token) + {MOST_DELTA})")).alias("_len")
+    near = F.broadcast(tokens.select(lengths).distinct())  # a number for each length of a word
+    return vocab.join(near, F.length("word") == F.col("_len"), "left_semi")
 
 
 def _long_pairs(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -75,18 +146,20 @@ def correct(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """token, word, ratio: the best vocabulary word for each token; ties to the shorter, then alphabetical.
 
     Candidates meet by equi-joins. The cutoff says how many letters two words of given lengths
-    must share in order, so both are reduced to all their subsequences of that many letters
-    and joined on them; words over SHORT letters, of which those would be too many, are
-    joined on pieces and their places. Survivors are scored exactly.
+    must share in order, so both are reduced to their subsequences of that many letters and
+    joined on them. As fewer edits always give the better ratio, up to CLOSE are tried first
+    and more only for tokens that have found nothing; of these, words over SHORT letters, of
+    which there would be too many subsequences, are joined on pieces and their places.
     """
-    lengths = F.explode(F.expr(f"sequence(length(token) - {MOST_DELTA}, length(token) + {MOST_DELTA})")).alias("_len")
-    near = F.broadcast(tokens.select(lengths).distinct())  # a number for each length of a word
-    vocab = vocab.join(near, F.length("word") == F.col("_len"), "left_semi")
-    a, b = _keys(tokens, "token", "a", "b"), _keys(vocab, "word", "b", "a")
-    pairs = a.join(shuffled(b), ["a", "b", "key"]).select("token", "word").distinct().unionByName(_long_pairs(tokens, vocab))
-    scored = pairs.withColumn("ratio", indel_ratio("token", "word")).where(F.col("ratio") >= CUTOFF)
+    vocab = stored(vocab.select("word").orderBy(F.length("word"), "word").withColumn("id", F.monotonically_increasing_id()), "ordered")
+    scored = lambda pairs: pairs.withColumn("ratio", indel_ratio("token", "word")).where(F.col("ratio") >= CUTOFF)
+    close = stored(scored(_best_pairs(tokens, vocab, LONG, range(CLOSE + 1))), "close")
+    # A token near LONG may have a closer word beyond.
+    done = close.where(F.length("token") <= LONG - MOST_DELTA).select("token")
+    rest = stored(tokens.select("token").join(shuffled(done), "token", "left_anti"), "rest")
+    far = _best_pairs(rest, vocab, SHORT, range(CLOSE + 1, 2 * SHORT)).unionByName(_long_pairs(rest, _near(rest, vocab)))
     best = Window.partitionBy("token").orderBy(F.desc("ratio"), F.length("word"), "word")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return close.unionByName(scored(far)).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
 def lcs(a: str, b: str) -> int:
