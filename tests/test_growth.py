@@ -34,6 +34,14 @@ def test_spelling_broadcasts_only_lengths(spark):
     assert plan.count("BroadcastHashJoin") <= 2 and plan.count("SortMergeJoin") >= 2
 
 
+def test_a_task_gives_back_only_rows_that_may_be_among_the_best():
+    q, far, close = np.eye(3)[:1], np.tile([0.6, 0.8, 0.0], (20, 1)), np.tile([0.8, 0.6, 0.0], (20, 1))
+    block = lambda v, at: {"key": "", "q_ids": [0], "q_width": 3, "q_data": q.tobytes(), "ids": list(range(at, at + 20)), "width": 3, "data": v.tobytes()}
+    rows = [block(close, 100), block(far, 200), block(-close, 300), block(close, 50)]
+    found = pa.Table.from_batches(list(blocks._nearest(4)(iter([pa.RecordBatch.from_pylist([r]) for r in rows])))).to_pylist()
+    assert [r["vec_id"] for r in found] == [*range(100, 104), *range(50, 54)] and {r["score"] for r in found} == {0.8}
+
+
 def test_spelling_makes_keys_for_few_edits_first_and_scores_only_the_best(spark):
     """Word lengths around every limit against brute force, and no subsequences in nested lambdas."""
     rng = np.random.default_rng(5)

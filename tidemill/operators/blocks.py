@@ -82,30 +82,90 @@ def unpacked(data: bytes, n: int, width: int, to: int | None = None) -> np.ndarr
     return x if to is None or to == width else np.pad(x, ((0, 0), (0, to - width)))
 
 
+def paired(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The similarity of each row of q with the row of v at its place, as cosines has it."""
+    norms = np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1))
+    return np.round(np.clip(np.divide((q * v).sum(axis=1), norms, out=np.zeros(len(q)), where=norms > 0), 0, 1), 9)
+
+
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Similarities within 0 and 1 to nine digits; 0 for zero vectors."""
     norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None]
     return np.round(np.clip(np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms > 0), 0, 1), 9)
 
 
+#: Error of a single-precision product of unit vectors, for each dimension; cells that a query may leave open, times n.
+SINGLE, OPEN = 2.0**-23, 8
+#: Scores that a task remembers; it forgets them all beyond, which costs time only.
+REMEMBERED = 4 << 20
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in single precision; zero vectors as they are."""
+    norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0).astype(np.float32)
+
+
+def _reaching(q: np.ndarray, v: np.ndarray, own: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Cells of q x v that may be among a query's n best so far, by products in single precision; none if they are no help."""
+    n, slack = best.shape[1], SINGLE * (q.shape[1] + 2) + 1e-9
+    rough = _units(q) @ _units(v).T
+    rough[own] = -2
+    floor = best.min(axis=1)
+    if (floor < 0).any() and len(v) > n:
+        floor = np.maximum(floor, np.partition(rough, len(v) - n, axis=1)[:, len(v) - n] - slack)
+    # A score of 0 stands for all below it.
+    i, j = np.nonzero(rough >= np.where(floor > 2 * slack, floor - slack, -1.5).astype(np.float32)[:, None])
+    return (i, j) if len(i) <= OPEN * n * len(q) and np.isfinite(rough).all() else None
+
+
+def _each(scores: np.ndarray, qi: np.ndarray, vi: np.ndarray, floor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's n best cells that reach its floor, best first."""
+    rows = []
+    for at, s in enumerate(scores):
+        there = np.flatnonzero((vi != qi[at]) & (s >= floor[at]))
+        if len(there) > n:  # all that reach the n-th score, so that ties are cut by id
+            there = there[s[there] >= np.partition(s[there], len(there) - n)[len(there) - n]]
+        rows.append(there[np.lexsort((vi[there], -s[there]))[:n]])
+    i, j = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    return i, j, scores[i, j]
+
+
 def _nearest(n: int) -> Callable:
-    """Pairs of blocks to the n best rows of each query in each pair."""
+    """Pairs of blocks to the rows of each pair that may be among a query's n best, n a query at most.
+
+    A task remembers the n best scores of each query it has met, so that what it gives back
+    hardly grows with the blocks, and exact scores are for the cells that reach them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[tuple, np.ndarray] = {}
         for row in one_by_one(batches):
-            out = []
             qi, vi = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
             width = max(row["q_width"], row["width"])
-            scores = cosines(unpacked(row["q_data"], len(qi), row["q_width"], width), unpacked(row["data"], len(vi), row["width"], width))
-            for i, s in zip(qi, scores, strict=True):
-                there = np.flatnonzero(vi != i)
-                if len(there) > n:  # all that reach the n-th score, so that ties are cut by id
-                    there = there[s[there] >= np.partition(s[there], len(there) - n)[len(there) - n]]
-                best = there[np.lexsort((vi[there], -s[there]))[:n]]
-                out.append((np.full(len(best), i), vi[best], s[best]))
-            if out:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(columns[0]), pa.string()), *columns], ["key", "query_id", "vec_id", "score"])
+            q, v = unpacked(row["q_data"], len(qi), row["q_width"], width), unpacked(row["data"], len(vi), row["width"], width)
+            if len(so_far) * len(qi) * n > REMEMBERED:
+                so_far.clear()
+            best = so_far.setdefault((row["key"], qi.tobytes()), np.full((len(qi), n), -1.0))
+            cells = _reaching(q, v, qi[:, None] == vi, best)
+            floor = best.min(axis=1)
+            if cells is None:
+                i, j, s = _each(cosines(q, v), qi, vi, floor, n)
+            else:
+                i, j = cells
+                s = paired(q[i], v[j])
+                there = s >= floor[i]
+                i, j, s = i[there], j[there], s[there]
+                order = np.lexsort((vi[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+            place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(qi)))[i]
+            i, j, s, place = (x[place < n] for x in (i, j, s, place))
+            if len(i):
+                fresh = np.full((len(qi), n), -1.0)
+                fresh[i, place] = s
+                met = np.unique(i)
+                best[met] = -np.sort(-np.concatenate([best[met], fresh[met]], axis=1), axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(i), pa.string()), pa.array(qi[i]), pa.array(vi[j]), pa.array(s)], ["key", "query_id", "vec_id", "score"])
 
     return run
 

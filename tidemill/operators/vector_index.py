@@ -187,15 +187,13 @@ def _decoded(model: Model, best: int | None) -> Callable:
 
 
 def _real(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with both vectors to their scores, as blocks.cosines has them."""
+    """Candidates with both vectors to their scores, by blocks.paired."""
     for batch in batches:
         if batch.num_rows:
             q, v = (blocks.matrix(batch[c]) for c in ("vector", "embedding"))
             width = max(q.shape[1], v.shape[1])
             q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
-            norms = np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1))
-            scores = np.round(np.clip(np.divide((q * v).sum(axis=1), norms, out=np.zeros(len(q)), where=norms > 0), 0, 1), 9)
-            yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(scores)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(blocks.paired(q, v))], ["query_id", "vec_id", "score"])
 
 
 FOUND = "query_id long, vec_id long, score double"
