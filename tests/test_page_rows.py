@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from tests.test_known import KNOWN_PAGE
 from tidemill.functions import html
 from tidemill.operators import page_rows
@@ -52,3 +54,16 @@ def test_rows_are_shuffled_once(spark):
     assert chunks(out) == chunks(html.extract(df, ["oakfield"])), "equal pages are pages of their own"
     plan = page_rows.extract(spark.createDataFrame(rows, SCHEMA), ["oakfield"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_nodes_of_many_pages_are_given_back_together():
+    pages = [{"page": i, "copy": i, "url": f"http://u.edu/{i}", "title": None if i % 3 else "T", "html": ODD[i % len(ODD)]} for i in range(400)]
+    batch = pa.RecordBatch.from_pylist(pages, pa.schema([("page", pa.int64()), ("copy", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("html", pa.string())]))
+    found = list(page_rows._numbered(frozenset())(iter([batch, batch.slice(0, 1), batch.slice(0, 0)])))
+    assert len(found) <= 2 + sum(b.num_rows for b in found) // page_rows.AT_ONCE
+    rows = [r for b in found[:-1] for r in b.to_pylist()]
+    for p in pages:
+        want = [(r[3], r[4], r[5], r[6]) for r in page_rows.nodes(0, p["url"], "", p["html"], frozenset())]
+        own = [r for r in rows if r["page"] == p["page"]]
+        assert [(r["pre"], r["post"], r["name"], r["text"]) for r in own] == want
+        assert [r["url"] for r in own] == [p["url"]] + [None] * (len(own) - 1)

@@ -87,7 +87,7 @@ def metadata(df: DataFrame, text: str, url: str, kind: str, own_names: Sequence[
     titled = is_person_record(F.col(url), F.col(kind)) & F.rlike(F.substring(text, 1, rules.LEADING_WINDOW), F.lit("(?i)" + rules.HONORIFIC))
     seen = F.when(titled, F.col(text))
     df = df.withColumn("_roles", F.when(titled, leading(find_roles(seen), F.col(text))).otherwise(F.array().cast(f"array<{ROLE}>")))
-    df = df.withColumn("_first", primary(F.col("_roles"))).withColumn("_dept", normalize_department(department_text(F.col(text), F.col("_first")["stop"], own_names)))
+    df = df.withColumn("_first", primary(F.col("_roles"))).withColumn("_dept", normalize_department(department_text(F.when(F.col("_first").isNotNull(), F.col(text)), F.col("_first")["stop"], own_names)))
     names = F.array_sort(F.array_distinct(F.transform("_roles", lambda r: r["role"])))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return df.select(

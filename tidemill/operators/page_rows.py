@@ -18,15 +18,19 @@ the last; nested tables, rows and cards count for each that holds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tidemill.functions import html, roles, rules
 
 NODE = "page long, copy long, url string, title string, pre int, post int, name string, text string, noise boolean, content boolean, card boolean, portrait_class boolean, portrait_side boolean, src string, href string"
+#: Nodes of whole pages that a worker gives back together.
+AT_ONCE = 4096
 HEADINGS = ("h1", "h2", "h3", "h4")
 ENTRY = rf"^\s*(?:{'|'.join(rules.MONTHS)})\s+\d{{4}}"
 
@@ -56,20 +60,29 @@ def nodes(page: int, url: str, title: str, text: str | None, ids: frozenset[str]
     return map(tuple, out)
 
 
-def flattened(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
-    """The nodes of all pages, dealt over the tasks by page; url and title are with a page's root only."""
-    ids = frozenset([*rules.NOISE_IDS, *(f"why-{name}-sec" for name in own_names)])
-    fields = [c.split()[0] for c in NODE.split(", ")]
+def _numbered(ids: frozenset[str]) -> Callable:
+    """Pages to the nodes of many pages at once: a table a page costs more than parsing it."""
+    kinds = to_arrow_schema(_parse_datatype_string(NODE))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                found = pd.DataFrame(nodes(r.page, r.url or "", r.title or "", r.html, ids), columns=[*(f for f in fields if f != "copy"), "up"])
-                found.loc[1:, ["url", "title"]] = None
-                yield found.assign(copy=r.copy)[fields]
+            found: list[tuple] = []
+            for at, (page, copy, url, title, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True), 1):
+                for row in nodes(page, url or "", title or "", text, ids):
+                    named = row[1:3] if row[3] == 0 else (None, None)
+                    found.append((page, copy, *named, *row[3:-1]))
+                if len(found) >= AT_ONCE or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds.types, strict=True)], kinds.names)
+                    found = []
+
+    return run
 
+
+def flattened(pages: DataFrame, own_names: Sequence[str] = ()) -> DataFrame:
+    """The nodes of all pages, dealt over the tasks by page; url and title are with a page's root only."""
+    ids = frozenset([*rules.NOISE_IDS, *(f"why-{name}-sec" for name in own_names)])
     keyed = pages.select(F.xxhash64("url", "title", "html").alias("page"), F.monotonically_increasing_id().alias("copy"), "url", "title", "html")
-    return keyed.mapInPandas(run, NODE).repartition("page")
+    return keyed.mapInArrow(_numbered(ids), NODE).repartition("page")
 
 
 #: A page's rows; `page` alone says which task has them, whatever number a copy is given.
