@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tidemill.operators import blocks, spelling, vector_index
+from tidemill.operators import blocks, keyed_table, spelling, vector_index
+from tidemill.session import scratch
 
 
 def test_a_worker_gives_back_each_pair_of_blocks_before_the_next():
@@ -64,3 +66,15 @@ def test_spelling_makes_keys_for_few_edits_first_and_scores_only_the_best(spark)
             want[t] = min(near)[2]
     assert {r.token: r.word for r in df.collect()} == want and len(want) > 100
     assert "flatten" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_indexs_writes_and_searches_broadcast_nothing(spark):
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    v = spark.createDataFrame([(i, r.tolist(), "l") for i, r in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    index = vector_index.VectorIndex.build(v, scratch(spark, "index"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    held = index.entries.read()
+    assert "Broadcast" not in plan(keyed_table._without(held, v.where("vec_id % 3 = 1").select("vec_id"), ["vec_id"]))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    found = index.search(asked, v, 5)
+    assert "Broadcast" not in plan(found) and found.count() == 30

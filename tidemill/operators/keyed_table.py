@@ -8,7 +8,7 @@ until `vacuum`.
 The manifest of a version can be created once only. A writer that finds its version taken
 looks at what has been committed since: if that touched none of its buckets, it commits its
 folders on top; else it runs again on the newest version. No rows pass through the driver,
-which sees at most one number a bucket.
+which sees at most one number a bucket: the keys of a write meet the table by sort-merge.
 
 Rules of the writes: keys that occur several times in one write are an error in the caller's
 data and keep one row, the largest by all columns; null keys are equal to each other; columns
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tidemill.session import shuffled
+
 #: Files a bucket is written in at most, so that one large bucket isn't one task.
 FILES = 4
 BUCKET = "_bucket"
@@ -227,7 +229,7 @@ class KeyedTable:
 
         def merged(v: Version, old: DataFrame) -> tuple[DataFrame, Column]:
             fresh = _one_a_key(changes, v.keys).select(*[F.col(k).alias(f"_k_{k}") for k in v.keys], *[F.col(c).alias(f"_new_{c}") for c in columns])
-            rows = old.join(fresh, _all(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in v.keys), "left")
+            rows = old.join(shuffled(fresh), _all(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in v.keys), "left")
             differs = F.lit(False)
             for c in columns:
                 differs = differs | (F.col(f"_new_{c}").isNotNull() & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)))
@@ -274,4 +276,4 @@ def _one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _without(old: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     other = keys.select(*[F.col(k).alias(f"_k_{k}") for k in by]).distinct()
-    return old.join(other, _all(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by), "left_anti")
+    return old.join(shuffled(other), _all(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by), "left_anti")

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import blocks
 from tidemill.operators.keyed_table import KeyedTable
+from tidemill.session import shuffled
 
 #: Rows that centroids and code books are fitted on, at most some; lists at most; values of a code.
 SAMPLE, MAX_LISTS, VALUES = 20_000, 4096, 256
@@ -249,9 +250,9 @@ class VectorIndex:
         """Take ids out of the lists they are in, but for those that keep their list."""
         version = self.places.version()
         held = self.places._read(version, self.places._hit(ids, version) & set(version.buckets))
-        old = held.join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
+        old = held.join(shuffled(ids.select("vec_id").distinct()), "vec_id", "left_semi")
         if stay is not None:
-            old = old.join(stay.select("vec_id", "list"), ["vec_id", "list"], "left_anti")
+            old = old.join(shuffled(stay.select("vec_id", "list")), ["vec_id", "list"], "left_anti")
         self.entries.delete(_stored(old.select("list", "vec_id"), f"{self.path}/writes"))
 
     # Searching -------------------------------------------------------------------
@@ -305,7 +306,7 @@ class VectorIndex:
             return blocks.top(found, k).select("query_id", "pos", "vec_id", "score")
         # The k-th score so far; queries with fewer rows take whatever there is.
         floors = blocks.top(found, k).groupBy("query_id").agg(F.max(F.when(F.col("pos") == k, F.col("score"))).alias("floor"))
-        asked = q.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        asked = q.join(shuffled(floors), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
         radii = self.entries.read().groupBy("list").agg(F.max("radius").alias("radius"), F.max("error").alias("error"))
         reach = {r.list: r.radius for r in radii.collect()}  # a number for each list
         every = asked.mapInArrow(_reaching(model, reach), "query_id long, vector array<double>, label string, floor double, lists array<int>")
@@ -321,12 +322,12 @@ class VectorIndex:
         floor = F.col("floor") if best is None else F.lit(0.0)
         rows = visits.select("query_id", "vector", floor.alias("floor"), key.alias("key")).repartition("key").sortWithinPartitions("key")
         packed = rows.mapInArrow(_query_blocks(model.width), "q_key string, q_ids array<long>, q_width int, q_data binary, floors array<double>")
-        return entries.join(packed, F.col("key") == F.col("q_key")).drop("key", "q_key").mapInArrow(_decoded(model, best), FOUND)
+        return entries.join(shuffled(packed), F.col("key") == F.col("q_key")).drop("key", "q_key").mapInArrow(_decoded(model, best), FOUND)
 
     @staticmethod
     def _scored(pairs: DataFrame, q: DataFrame, vectors: DataFrame) -> DataFrame:
         real = vectors.where(blocks.usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        return pairs.join(real, "vec_id").join(q.select("query_id", "vector"), "query_id").select("query_id", "vec_id", "vector", "embedding").mapInArrow(_real, FOUND)
+        return pairs.join(shuffled(real), "vec_id").join(shuffled(q.select("query_id", "vector")), "query_id").select("query_id", "vec_id", "vector", "embedding").mapInArrow(_real, FOUND)
 
 
 def _query_blocks(width: int) -> Callable:
